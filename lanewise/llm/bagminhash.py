@@ -8,7 +8,7 @@ with probability equal to their weighted Jaccard similarity.
 
 Registers are banded. In a bucket every text is compared with the bucket's leader, not with each other, and compared
 means an exact multiset overlap. Buckets whose texts still lie in several classes go through a second pass that
-compares signatures block by block inside tasks, so a link between different texts isn't lost to the star shape.
+computes overlaps block by block inside tasks, so a link between different texts isn't lost to the star shape.
 
 Null texts and texts without words are nobody's duplicates: each such row is a class of its own. Texts of one to four
 words have one element, all their words. Equal texts are one class at once; repeated rows of one key stay rows.
@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +33,8 @@ SIMILARITY = 0.8
 #: A pair at the threshold shares none of 25 bands of 5 registers with probability (1 - 0.8**5)**25 = 5e-5.
 BANDS, BAND = 25, 5
 REGISTERS = BANDS * BAND
-#: Signature agreement below which the second pass doesn't verify: over four standard deviations under the threshold.
-HINT = 0.65
 #: Texts of a bucket in one block of the second pass.
-BLOCK = 1024
+BLOCK = 512
 _U = np.uint64
 _SIG_SLICE = 4 << 20
 
@@ -99,7 +96,7 @@ def _signed(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(texts: DataFrame) -> DataFrame:
-    """(tid, text) -> (tid, sig: the low 32 bits of each register, buckets: a key for each band), texts with a word only."""
+    """(tid, text) -> (tid, buckets: a key for each band of registers), texts with a word only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,17 +106,15 @@ def signed(texts: DataFrame) -> DataFrame:
                 keys = mix(keys * _U(3) + sig[:, k::BAND])
             keys = mix(keys + np.arange(BANDS, dtype=_U))
             keep = np.flatnonzero(some)
-            low = sig[keep].astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(keep)),
-                    pa.array([x.tobytes() for x in low], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, len(keep) * BANDS + 1, BANDS, dtype=np.int32), keys[keep].view(np.int64).reshape(-1)),
                 ],
-                names=["tid", "sig", "buckets"],
+                names=["tid", "buckets"],
             )
 
-    return texts.mapInArrow(run, "tid binary, sig binary, buckets array<bigint>")
+    return texts.mapInArrow(run, "tid binary, buckets array<bigint>")
 
 
 def _bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -192,34 +187,54 @@ def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
 
 
-def _rest(buckets: DataFrame, label: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket, weren't compared with its leader, and whose signatures
-    agree on HINT of the registers: one pair for each text and other class of a block pair is enough to join the classes,
-    but all are given, as only the exact overlap decides."""
+def _rest(buckets: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between texts of one bucket that the comparison with its leader left in different classes.
+
+    Such a bucket is dealt into blocks, and each pair of blocks goes to a task, which computes all overlaps exactly from
+    its own postings. A link is given only where it joins two classes of the task: fewer than it has texts.
+    """
     member = buckets.where(F.col("tid") != F.col("leader")).join(label, "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("root"))
-    lead = buckets.select("bucket", "leader").distinct().join(label.withColumnRenamed("tid", "leader"), "leader", "left")
     several = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n")
-    open_ = staged(member.join(several, "bucket").join(sigs.select("tid", "sig"), "tid"), "open")
+    open_ = staged(member.join(several, "bucket"), "open").join(texts, "tid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("tid"), blocks).cast("int")
-    dealt = open_.select("bucket", "tid", "root", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    keyed = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "tid", "root", "sig")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), REGISTERS)
-        root, own = pd.factorize(part["root"])[0], part["own"].to_numpy()
-        x, y = part["x"].iloc[0], part["y"].iloc[0]
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out = []
-        for i in left:
-            to = right[right > i] if x == y else right
-            to = to[root[to] != root[i]]
-            near = to[(sig[to] == sig[i]).sum(axis=1) >= HINT * REGISTERS]
-            out += [(i, j) for j in near]
-        tid = part["tid"].to_numpy()
-        return pd.DataFrame({"a": [min(tid[i], tid[j]) for i, j in out], "b": [max(tid[i], tid[j]) for i, j in out]}, columns=["a", "b"])
-
-    return keyed.groupBy("bucket", "x", "y").applyInPandas(run, "a binary, b binary").distinct()
+    dealt = open_.select("bucket", "tid", "root", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keyed = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "tid", "root", "text")
+
+    def run(part: pa.Table) -> pa.Table:
+        own, root = part.column("own").to_numpy(), part.column("root").to_pylist()
+        tid, bags = part.column("tid").to_pylist(), _bags(part.column("text"))
+        links = block_links(bags, own, root)
+        out = [sorted((tid[i], tid[j])) for i, j in links]
+        return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
+
+    return keyed.groupBy("bucket", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def block_links(bags: list[tuple[np.ndarray, np.ndarray]], block: np.ndarray, root: list) -> list[tuple[int, int]]:
+    """Links that join the given classes: pairs of one block or of two, by exact overlap, one for each joining."""
+    names = {r: k for k, r in enumerate(dict.fromkeys(root))}
+    group = np.array([names[r] for r in root])
+    size = np.array([n.sum() for _, n in bags])
+    doc = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
+    count = np.concatenate([n for _, n in bags])
+    shingle = np.unique(np.concatenate([h for h, _ in bags]), return_inverse=True)[1]
+    order = np.argsort(shingle, kind="stable")
+    at = np.searchsorted(shingle[order], np.arange(shingle.max(initial=-1) + 2))
+    own = np.searchsorted(doc, np.arange(len(bags) + 1))
+    two, links = block.min() != block.max(), []
+    for i in range(len(bags)):
+        mine = slice(own[i], own[i + 1])
+        first, n = at[shingle[mine]], np.diff(at)[shingle[mine]]
+        hits = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        common = np.bincount(doc[hits], np.minimum(count[hits], np.repeat(count[mine], n)), minlength=len(bags))
+        near = common >= SIMILARITY * (size + size[i] - common) - 1e-9
+        near[: i + 1] = False
+        for j in np.flatnonzero(near & (block != block[i]) if two else near):
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                links.append((i, int(j)))
+    return links
 
 
 def _per_text(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -241,7 +256,7 @@ def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     texts = staged(_texts_of(rows, buckets.select("tid").distinct()), "texts")
     edges = staged(verified(pairs, texts), "edges")
     label = components(edges)
-    more = staged(verified(_rest(buckets, label, sigs), texts), "edges")
+    more = staged(_rest(buckets, label, texts), "edges")
     if more.limit(1).count():
         label = components(edges.union(more))
     return rows, _per_text(rows, label)

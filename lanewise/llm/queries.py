@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanewise.llm import bagminhash, rules
+from lanewise.llm import bagminhash, packing, quality, rules, toxicity
 from lanewise.llm.common import table
 
 
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
 
@@ -18,6 +28,10 @@ def op6_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bagminhash": op4_bagminhash, "op6_adaptive_rules": op6_adaptive_rules}
+def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_knn_quality": op1_knn_quality, "op3_concat_and_cut": op3_concat_and_cut, "op8_counterfactual_toxicity": op8_counterfactual_toxicity, "op4_bagminhash": op4_bagminhash, "op6_adaptive_rules": op6_adaptive_rules}
 
 ORACLES: dict = {}

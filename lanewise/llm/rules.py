@@ -35,8 +35,8 @@ REACH = 3
 #: Measure -> numerator, scale, denominator, least distance of the fence, whether a lower fence holds too.
 RATES = {
     "symbol_rate": ("n_symbols", 1000, "n_words", 100, False),
-    "dup_line_rate": ("n_dup_lines", 1000, "n_lines", 300, False),
-    "repeat_rate": ("n_repeat_words", 1000, "n_words", 150, False),
+    "dup_line_rate": ("n_dup_lines", 1000, "n_lines", 400, False),
+    "repeat_rate": ("n_repeat_words", 1000, "n_words", 350, False),
     "word_length": ("word_chars", 100, "n_words", 150, True),
 }
 #: Values below 2**EXACT_BITS have cells of their own, larger ones share their leading EXACT_BITS bits.

@@ -86,7 +86,25 @@ class Words:
         return [raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())]
 
 
-def slices(column: pa.Array, limit: int = SLICE) -> Iterator[Words]:
+#: Every ASCII character but letters and digits: what parts words where punctuation and case don't count.
+_PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII and Latin-1 capitals made small."""
+    out = np.where((data >= 0x41) & (data <= 0x5A), data + 32, data).astype(np.uint8)
+    if len(data) > 1:
+        accented = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][accented] += 32
+    return out
+
+
+def plain_slices(column: pa.Array, limit: int = SLICE) -> Iterator[Words]:
+    """As slices(), but words are small-letter runs of letters, digits and non-ASCII characters."""
+    return slices(column, limit, _PARTS, lowered)
+
+
+def slices(column: pa.Array, limit: int = SLICE, space: np.ndarray = _SPACE, change=None) -> Iterator[Words]:
     """The words of a string column, null as empty, slice by slice."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_string()).fill_null("")
@@ -97,12 +115,13 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[Words]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo, hi)
+        part = data[offsets[lo] : offsets[hi]]
+        yield _words(change(part) if change else part, offsets[lo : hi + 1] - offsets[lo], lo, hi, space)
         lo = hi
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words:
-    inside = ~_SPACE[data]
+def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, space: np.ndarray) -> Words:
+    inside = ~space[data]
     begin, end = inside.copy(), inside.copy()
     if len(data):
         begin[1:] &= ~inside[:-1]
