@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import bagminhash, chat, packing, quality, rendezvous, rules, toxicity
+from lanewise.llm import bagminhash, chat, hashforest, packing, quality, rendezvous, rules, toxicity
 from lanewise.llm.common import table
 
 
@@ -48,7 +48,11 @@ def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_grammar_round_trip": op2_grammar_round_trip, "op9_rendezvous": op9_rendezvous, "op1_knn_quality": op1_knn_quality, "op3_concat_and_cut": op3_concat_and_cut, "op8_counterfactual_toxicity": op8_counterfactual_toxicity, "op4_bagminhash": op4_bagminhash, "op6_adaptive_rules": op6_adaptive_rules}
+def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashforest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op10_hash_prefix_forest": op10_hash_prefix_forest, "op2_grammar_round_trip": op2_grammar_round_trip, "op9_rendezvous": op9_rendezvous, "op1_knn_quality": op1_knn_quality, "op3_concat_and_cut": op3_concat_and_cut, "op8_counterfactual_toxicity": op8_counterfactual_toxicity, "op4_bagminhash": op4_bagminhash, "op6_adaptive_rules": op6_adaptive_rules}
 
 OP2_SQL = r"""
 WITH c AS (
