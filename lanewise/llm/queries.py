@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import bagminhash, chat, hashforest, packing, quality, rendezvous, rules, toxicity
+from lanewise.llm import bagminhash, chat, hashforest, packing, quality, rendezvous, rules, tagpath, toxicity
 from lanewise.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
 
 
+def op5_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpath.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -52,7 +56,7 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashforest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op10_hash_prefix_forest": op10_hash_prefix_forest, "op2_grammar_round_trip": op2_grammar_round_trip, "op9_rendezvous": op9_rendezvous, "op1_knn_quality": op1_knn_quality, "op3_concat_and_cut": op3_concat_and_cut, "op8_counterfactual_toxicity": op8_counterfactual_toxicity, "op4_bagminhash": op4_bagminhash, "op6_adaptive_rules": op6_adaptive_rules}
+QUERIES = {"op5_tag_path_ratios": op5_tag_path_ratios, "op10_hash_prefix_forest": op10_hash_prefix_forest, "op2_grammar_round_trip": op2_grammar_round_trip, "op9_rendezvous": op9_rendezvous, "op1_knn_quality": op1_knn_quality, "op3_concat_and_cut": op3_concat_and_cut, "op8_counterfactual_toxicity": op8_counterfactual_toxicity, "op4_bagminhash": op4_bagminhash, "op6_adaptive_rules": op6_adaptive_rules}
 
 OP2_SQL = r"""
 WITH c AS (
