@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import bagminhash, chat, hashforest, packing, quality, rendezvous, rules, tagpath, toxicity
+from lanewise.llm import bagminhash, chat, hashforest, packing, quality, rendezvous, rules, subwords, tagpath, toxicity
 from lanewise.llm.common import table
 
 
@@ -44,6 +44,18 @@ def op6_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    there_and_back = subwords.decoded(subwords.encoded(docs))
+    return there_and_back.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,7 +68,18 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashforest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op5_tag_path_ratios": op5_tag_path_ratios, "op10_hash_prefix_forest": op10_hash_prefix_forest, "op2_grammar_round_trip": op2_grammar_round_trip, "op9_rendezvous": op9_rendezvous, "op1_knn_quality": op1_knn_quality, "op3_concat_and_cut": op3_concat_and_cut, "op8_counterfactual_toxicity": op8_counterfactual_toxicity, "op4_bagminhash": op4_bagminhash, "op6_adaptive_rules": op6_adaptive_rules}
+QUERIES = {
+    "op1_knn_quality": op1_knn_quality,
+    "op2_grammar_round_trip": op2_grammar_round_trip,
+    "op3_concat_and_cut": op3_concat_and_cut,
+    "op4_bagminhash": op4_bagminhash,
+    "op5_tag_path_ratios": op5_tag_path_ratios,
+    "op6_adaptive_rules": op6_adaptive_rules,
+    "op7_shared_prefix_viterbi": op7_shared_prefix_viterbi,
+    "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
+    "op9_rendezvous": op9_rendezvous,
+    "op10_hash_prefix_forest": op10_hash_prefix_forest,
+}
 
 OP2_SQL = r"""
 WITH c AS (
@@ -77,4 +100,59 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-ORACLES: dict = {"op2_grammar_round_trip": OP2_SQL}
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)
+), g AS (
+  SELECT r, k, w, CASE WHEN lead(w, 2) OVER o IS NOT NULL THEN w || chr(10) || lead(w) OVER o || chr(10) || lead(w, 2) OVER o END AS g
+  FROM w WINDOW o AS (PARTITION BY r ORDER BY k)
+), again AS (
+  SELECT r, k, count(*) OVER (PARTITION BY r, g) > 1 AND g IS NOT NULL AS twice, length(w) AS n FROM g
+), covered AS (
+  SELECT r, n, twice OR coalesce(lag(twice) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS c FROM again WINDOW o AS (PARTITION BY r ORDER BY k)
+), words AS (
+  SELECT r, count(*) AS n_words, sum(n) AS word_chars, count(*) FILTER (WHERE c) AS n_repeat_words FROM covered GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r
+), m AS (
+  SELECT d.r, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN words USING (r) LEFT JOIN lines USING (r)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+), v AS (
+  SELECT r, lang, source, measure, (value // (1 << greatest(length(bin(value)) - 6, 0))) * (1 << greatest(length(bin(value)) - 6, 0)) AS cell FROM (
+    SELECT r, lang, source, 'symbol' AS measure, least(1000 * n_symbols // n_words, 1048575)::BIGINT AS value FROM f WHERE NOT base_failed
+    UNION ALL SELECT r, lang, source, 'line', least(CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END, 1048575)::BIGINT FROM f WHERE NOT base_failed
+    UNION ALL SELECT r, lang, source, 'repeat', least(1000 * n_repeat_words // n_words, 1048575)::BIGINT FROM f WHERE NOT base_failed
+    UNION ALL SELECT r, lang, source, 'length', least(100 * word_chars // n_words, 1048575)::BIGINT FROM f WHERE NOT base_failed)
+), levels AS (
+  SELECT 1 AS level, lang, source, measure, cell, count(*) AS n FROM v GROUP BY ALL
+  UNION ALL SELECT 2, lang, NULL, measure, cell, count(*) FROM v GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, measure, cell, count(*) FROM v GROUP BY ALL
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY cell) AS upto FROM levels
+), q AS (
+  SELECT level, lang, source, measure, max(total) AS n, min(cell) FILTER (WHERE 4 * upto >= total) AS q1, min(cell) FILTER (WHERE 4 * upto >= 3 * total) AS q3
+  FROM c GROUP BY ALL
+), b AS (
+  SELECT level, lang, source, measure, n, q3 + greatest(3 * (q3 - q1), CASE measure WHEN 'symbol' THEN 100 WHEN 'line' THEN 400 WHEN 'repeat' THEN 350 ELSE 150 END) AS hi,
+    CASE WHEN measure = 'length' THEN q1 - greatest(3 * (q3 - q1), 150) ELSE -1 END AS lo
+  FROM q
+), judged AS (
+  SELECT v.r, bool_and(v.cell <= CASE WHEN o.n >= 200 THEN o.hi WHEN l.n >= 200 THEN l.hi ELSE e.hi END
+    AND v.cell >= CASE WHEN o.n >= 200 THEN o.lo WHEN l.n >= 200 THEN l.lo ELSE e.lo END) AS held
+  FROM v JOIN b o ON o.level = 1 AND o.measure = v.measure AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
+  JOIN b l ON l.level = 2 AND l.measure = v.measure AND l.lang IS NOT DISTINCT FROM v.lang
+  JOIN b e ON e.level = 3 AND e.measure = v.measure GROUP BY v.r
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(held, false) AS kept
+FROM f LEFT JOIN judged USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_grammar_round_trip": OP2_SQL, "op6_adaptive_rules": OP6_SQL}

@@ -28,9 +28,8 @@ from pyspark.sql import types as T
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Words a worker remembers, their longest, and the neighbour pairs it remembers; none of them changes a result.
-CACHE, CACHED_WORD, PAIRS = 300_000, 64, 2_000_000
+CACHE, CACHED_WORD, PAIRS = 800_000, 64, 2_000_000
 
 
 class Pieces:
@@ -46,7 +45,15 @@ class Pieces:
         self.ids = {loaded.id_to_piece(i): i for i in plain}
         order = sorted(plain, key=lambda i: (-loaded.get_score(i), i))
         self.rank = {loaded.id_to_piece(i): k for k, i in enumerate(order)}
-        self.longest = max(map(len, self.ids))
+        tails: dict[str, set[int]] = {}
+        for piece in self.ids:
+            tails.setdefault(piece[-2:], set()).add(len(piece))
+        #: Last two characters -> lengths of the pieces that end so, longest first; one character always may stand alone.
+        self.tails = {k: sorted(v | {1}, reverse=True) for k, v in tails.items()}
+        merging = set("".join(p for p in self.ids if len(p) > 1))
+        lone = "".join(re.escape(chr(k)) for k in (*range(32), 127) if chr(k) not in merging)
+        #: Marked words; control characters that are in no longer piece merge with nothing and part words too.
+        self.word = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + (f"|[{lone}]" if lone else ""))
         self.bytes_ = {int(loaded.id_to_piece(i)[1:-1], 16): i for i in range(n) if loaded.is_byte(i)}
         self.unknown = loaded.unk_id()
         self.shown = [b"" if loaded.is_control(i) else loaded.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
@@ -79,19 +86,23 @@ class Pieces:
 
     def segmented(self, words: list[str]) -> Iterator[list[str]]:
         """Pieces of each of the words, which are sorted: states of a shared prefix are kept from the word before."""
-        state, previous = [""], ""
-        rank, fits, longest = self.rank, self.fits, self.longest
+        state, previous, alone = [""], "", [1]
+        rank, apart, fits, tails = self.rank, self.apart, self.fits, self.tails
         for word in words:
             shared, most = 0, min(len(word), len(previous))
             while shared < most and word[shared] == previous[shared]:
                 shared += 1
             del state[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = word[begin:end]
-                    if (piece in rank or begin == end - 1) and fits(state[begin], piece):
-                        state.append(piece)
-                        break
+                for size in tails.get(word[max(0, end - 2) : end], alone):
+                    if size <= end:
+                        piece = word[end - size : end]
+                        if size == 1 or piece in rank:
+                            before = state[end - size]
+                            known = apart.get((before, piece))
+                            if fits(before, piece) if known is None else known:
+                                state.append(piece)
+                                break
                 else:
                     raise ValueError(f"no segmentation of {word[:end]!r}")
             out, end = [], len(word)
@@ -113,7 +124,7 @@ class Pieces:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         missing = sorted({w for words in split for w in words if w not in self.words})
         known = self.words
         if len(known) + len(missing) > CACHE:
@@ -139,7 +150,8 @@ def encoded(df: DataFrame, text: str = "text", into: str = "ids", model: str = M
     names = [c for c in df.columns if c != into]
     slim = df.select(*dict.fromkeys([*names, text]))
     schema = T.StructType([*[f for f in slim.schema if f.name in names], T.StructField(into, T.BinaryType())])
-    at = slim.columns.index(text)
+    columns = list(slim.columns)
+    at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
@@ -147,7 +159,7 @@ def encoded(df: DataFrame, text: str = "text", into: str = "ids", model: str = M
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 ids = coder.encode([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k, c in enumerate(slim.columns) if c in names], pa.array(ids, pa.binary())], names=[*names, into])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k, c in enumerate(columns) if c in names], pa.array(ids, pa.binary())], names=[*names, into])
 
     return slim.mapInArrow(run, schema)
 
@@ -157,7 +169,8 @@ def decoded(df: DataFrame, ids: str = "ids", into: str = "decoded", model: str =
     names = [c for c in df.columns if c != into]
     slim = df.select(*dict.fromkeys([*names, ids]))
     schema = T.StructType([*[f for f in slim.schema if f.name in names], T.StructField(into, T.StringType())])
-    at = slim.columns.index(ids)
+    columns = list(slim.columns)
+    at = columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
@@ -165,6 +178,6 @@ def decoded(df: DataFrame, ids: str = "ids", into: str = "decoded", model: str =
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 texts = [coder.decode(np.frombuffer(b or b"", "<u4")) for b in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k, c in enumerate(slim.columns) if c in names], pa.array(texts, pa.string())], names=[*names, into])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k, c in enumerate(columns) if c in names], pa.array(texts, pa.string())], names=[*names, into])
 
     return slim.mapInArrow(run, schema)
