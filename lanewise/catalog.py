@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lanewise.plans import results
+
+QUERIES: dict = {**results.QUERIES}
+ORACLES: dict[str, str] = {**results.ORACLES}
