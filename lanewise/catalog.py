@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lanewise.plans import results
+from lanewise.plans import curation, documents, loading, relays, results
 
-QUERIES: dict = {**results.QUERIES}
-ORACLES: dict[str, str] = {**results.ORACLES}
+_PLANS = (results, loading, curation, documents, relays)
+QUERIES: dict = {k: v for plan in _PLANS for k, v in plan.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for plan in _PLANS for k, v in plan.ORACLES.items()}

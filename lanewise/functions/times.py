@@ -50,11 +50,15 @@ def normal_time(text: Column) -> Column:
 
 def time_ms(text: Column) -> Column:
     """Milliseconds of a time, null for status words, other text and over 999 minutes."""
-    normal = F.trim(F.regexp_replace(normal_time(text), "^X", ""))
-    long, short = r"^(\d{1,3}):(\d{2}),(\d{2})$", r"^(\d{1,3}),(\d{2})$"
-    number = lambda p, g: F.regexp_extract(normal, p, g).try_cast("long")
-    return F.when(normal.rlike(long), (number(long, 1) * 60 + number(long, 2)) * 1000 + number(long, 3) * 10).when(
-        normal.rlike(short), number(short, 1) * 1000 + number(short, 2) * 10
+    value = blank_to_null(text)
+    base = _base(value)
+    cs = lambda p, g: _centis(base, p, g).try_cast("long") * 10
+    minutes = _part(base, HOURS, 1) * 60 + _part(base, HOURS, 2)
+    return (
+        F.when(F.upper(value).isin(*TEXT_STATUSES), None)
+        .when(base.rlike(SECONDS), _part(base, SECONDS, 1).cast("long") * 1000 + cs(SECONDS, 2))
+        .when(base.rlike(MINUTES), (_part(base, MINUTES, 1) * 60 + _part(base, MINUTES, 2)).cast("long") * 1000 + cs(MINUTES, 3))
+        .when(base.rlike(HOURS) & (minutes < 1000), (minutes * 60 + _part(base, HOURS, 3)).cast("long") * 1000 + cs(HOURS, 4))
     )
 
 

@@ -176,7 +176,8 @@ def trend_last5(s: Star) -> DataFrame:
     return last.withColumn("place", place).select("athlete_id", "stroke", "start_date", "time_ms", "place")
 
 
-@query("SELECT competition_id, event_id, athlete_id, time_ms, seed_ms, round((nullif(time_ms, 0) - nullif(seed_ms, 0))::DECIMAL(18,3) / 1000, 2)::DECIMAL(12,2) AS delta FROM result WHERE status = 'valid'")
+@query("""SELECT competition_id, event_id, athlete_id, time_ms, seed_ms, ((CASE WHEN d < 0 THEN -((5 - d) // 10) ELSE (d + 5) // 10 END) / 100)::DECIMAL(12,2) AS delta
+FROM (SELECT *, nullif(time_ms, 0) - nullif(seed_ms, 0) AS d FROM result WHERE status = 'valid')""")
 def seed_delta(s: Star) -> DataFrame:
     return s.result.where("status = 'valid'").select("competition_id", "event_id", "athlete_id", "time_ms", "seed_ms", times.seed_delta_seconds(F.col("time_ms"), F.col("seed_ms")).alias("delta"))
 
