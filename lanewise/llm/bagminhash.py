@@ -36,7 +36,7 @@ REGISTERS = BANDS * BAND
 #: Texts of a bucket in one block of the second pass.
 BLOCK = 512
 _U = np.uint64
-_SIG_SLICE = 4 << 20
+_SIG_SLICE = 2 << 20
 
 
 def signatures(row: np.ndarray, element: np.ndarray, count: np.ndarray, rows: int, registers: int = REGISTERS) -> np.ndarray:

@@ -15,6 +15,7 @@ import json
 import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from lanewise.llm.common import staged
 LENGTH = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-#: Distinct words that a worker remembers, and the longest of them in characters.
-CACHE, CACHED_WORD = 600_000, 64
+#: Distinct words that a task remembers, and the longest of them in characters.
+CACHE, CACHED_WORD = 200_000, 64
 _TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 #: A text of these characters only is plain: its words can be cut and made small without the tokenizer.
 _NOT_PLAIN = re.compile("[^\x09-\x0D\x20-\x7EÀ-ÖØ-öø-ÿ]|<\\|")
@@ -57,18 +58,15 @@ class Encoder:
 
     This tokenizer makes letters small, drops white space and merges bytes within words only. Plain texts are cut into
     words here and merged from the same file's ranks (each word's end is a byte that UTF-8 never uses); all other texts
-    go to the tokenizer itself, run by run between ASCII white space.
+    go to the tokenizer itself, run by run between ASCII white space. The memory is a task's own and ends with it, so
+    that workers that Spark uses again hold the ranks only.
     """
 
     def __init__(self, vocabulary: str):
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        path = public_tokenizers.path(vocabulary)
-        tokenizer = Tokenizer.from_file(path)
-        self.width = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.runs = _Cache(lambda run: tokenizer.encode(run, add_special_tokens=False).ids, self.width)
-        self.words = _Cache(_merger(path), self.width)
+        merge, size = _merger(vocabulary)
+        self.width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.words = _Cache(merge, self.width)
+        self.runs = _Cache(lambda run: _tokenizer(vocabulary).encode(run, add_special_tokens=False).ids, self.width)
 
     def __call__(self, text: str) -> bytes:
         if _NOT_PLAIN.search(text):
@@ -76,12 +74,24 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, _PLAIN_WORDS.findall(text.lower())))
 
 
-def _merger(path: str) -> Callable[[str], list[int]]:
-    """Merges a word's bytes by the file's ranks: a token's id is its rank, as each merge made one token."""
+@cache
+def _tokenizer(vocabulary: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary))
+
+
+@cache
+def _merger(vocabulary: str) -> tuple[Callable[[str], list[int]], int]:
+    """Merges a word's bytes by the file's ranks (a token's id is its rank, as each merge made one token); the ids' bound."""
+    import public_tokenizers
     import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+        whole = json.load(file)
+    model = whole["model"]
+    size = 1 + max([*model["vocab"].values(), *(t["id"] for t in whole["added_tokens"])])
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
@@ -93,16 +103,7 @@ def _merger(path: str) -> Callable[[str], list[int]]:
             ranks[bytes(byte[c] for c in body) + b"\xff" * ends] = rank
     ranks.setdefault(b"\xff", max(ranks.values()) + 1)
     merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-    return lambda word: merge(word.encode() + b"\xff")
-
-
-_loaded: dict[str, Encoder] = {}
-
-
-def encoder(vocabulary: str) -> Encoder:
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = Encoder(vocabulary)
-    return _loaded[vocabulary]
+    return (lambda word: merge(word.encode() + b"\xff")), size
 
 
 def tokenised(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
@@ -111,7 +112,7 @@ def tokenised(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY
     key_type = slim.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, part, seen = Encoder(vocabulary), TaskContext.get().partitionId(), 0
         stop, size = np.asarray([end], encode.width).tobytes(), encode.width.itemsize
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
