@@ -4,7 +4,8 @@ Vectors get one coordinate more, sqrt(M^2 - |x|^2) with M the largest norm (0 fo
 product is the least angle; signs of random projections then give each of `TREES` trees a hash string of `BITS` bits. A
 tree is the array of its strings in order. A query descends to the part of each tree's array that shares its longest
 prefix and ascends bit by bit, tree after tree, all trees in step, until the parts hold `BUDGET` times as many
-candidates as there are vectors; every candidate's product is computed exactly.
+candidates as there are vectors, and k + 1 a tree at least, so that a list of k is full if the table can fill it; every
+candidate's product is computed exactly.
 
 The counts of the prefixes, at most TREES * 2**TOP of them, are all that the driver sees; they tell each query how far
 to ascend. The arrays are dealt by tree and prefix cell, cells of over `BLOCK` vectors in several blocks, and queries go
@@ -129,7 +130,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     dealt = hashed.mapInArrow(_dealt_points(bits, blocks), "tree int, cell int, block int, code bigint, vkey binary, vec binary, least bigint")
     asked = rows.where(F.col("id") % every == 0).select("id", "vkey")
     wanted_vectors = asked.select("vkey").distinct().join(points.select("vkey", "vec"), "vkey")
-    queries = wanted_vectors.mapInArrow(_dealt_queries(dim, bits, blocks, counts, budget * total), "tree int, cell int, block int, code bigint, depth int, vkey binary, vec binary")
+    queries = wanted_vectors.mapInArrow(_dealt_queries(dim, bits, blocks, counts, max(budget * total, TREES * (k + 1))), "tree int, cell int, block int, code bigint, depth int, vkey binary, vec binary")
     found = (
         dealt.groupBy("tree", "cell", "block")
         .cogroup(queries.groupBy("tree", "cell", "block"))
