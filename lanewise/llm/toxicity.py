@@ -28,8 +28,8 @@ from lanewise.llm.words import mix, plain_slices
 PER_CLASS = 4000
 MAX_WORDS = 20_000
 #: Least texts with a word, and least standard score of the word's difference between the classes, to be in the model.
-MIN_TEXTS, MIN_Z = 2, 3.0
-L1, SWAP_PENALTY, STEPS = 0.0001, 1.0, 400
+MIN_TEXTS, MIN_Z = 2, 4.0
+L1, L2, SWAP_PENALTY, STEPS = 0.00002, 0.0005, 1.0, 500
 CUT = 0.5
 
 # Names of groups, by kind and language; names of one line are swapped for each other.
@@ -130,20 +130,20 @@ def _swaps(text: np.ndarray, h: np.ndarray, groups: list[np.ndarray], words: np.
 
 
 def _descend(i, j, y, weight, n_words, swaps, swap_penalty):
-    """Accelerated proximal descent on weighted log loss + L1 + the mean squared score change of the swaps."""
+    """Accelerated proximal descent on weighted log loss + L1 + L2 + the mean squared score change of the swaps."""
     n = len(y)
     out_, in_ = (np.array([s[k] for s in swaps], np.int64) for k in (1, 2))
     per = swap_penalty / max(1, len(swaps))
     column = np.bincount(j, weight[i], minlength=n_words)
     reach = 0.25 * np.bincount(i, np.ones(len(i)), minlength=n).max(initial=1) + 0.25
-    step = 1 / (reach * max(1e-9, column.max(initial=0), 0.05) + 4 * per * len(swaps) + 0.25)
+    step = 1 / (L2 + reach * max(1e-9, column.max(initial=0), 0.05) + 4 * per * len(swaps) + 0.25)
     w = v = np.zeros(n_words)
     b = c = 0.0
     t = 1.0
     for _ in range(STEPS):
         score = c + np.bincount(i, v[j], minlength=n)
         slope = weight * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - y)
-        gradient = np.bincount(j, slope[i], minlength=n_words)
+        gradient = np.bincount(j, slope[i], minlength=n_words) + L2 * v
         if len(swaps):
             change = 2 * per * (v[in_] - v[out_])
             gradient += np.bincount(in_, change, minlength=n_words) - np.bincount(out_, change, minlength=n_words)
