@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words a worker remembers, their longest, and the neighbour pairs it remembers; none of them changes a result.
-CACHE, CACHED_WORD, PAIRS = 800_000, 64, 2_000_000
+CACHE, CACHED_WORD, PAIRS = 300_000, 64, 400_000
 
 
 class Pieces:
