@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lanewise.plans import curation, documents, identity, loading, relays, results
+from lanewise.plans import curation, documents, grids, identity, loading, relays, results
 
-_PLANS = (results, loading, curation, documents, relays, identity)
+_PLANS = (results, loading, curation, documents, relays, identity, grids)
 QUERIES: dict = {k: v for plan in _PLANS for k, v in plan.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for plan in _PLANS for k, v in plan.ORACLES.items()}
