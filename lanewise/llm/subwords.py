@@ -18,6 +18,7 @@ back every text, except that the mark character itself comes back as a space. Re
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words a worker remembers, their longest, and the neighbour pairs it remembers; none of them changes a result.
-CACHE, CACHED_WORD, PAIRS = 300_000, 64, 400_000
+CACHE, CACHED_WORD, PAIRS = 500_000, 64, 400_000
 
 
 class Pieces:
@@ -81,7 +82,8 @@ class Pieces:
         if found is None:
             if len(self.apart) >= PAIRS:
                 self.apart.clear()
-            found = self.apart[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            whole = before + piece  # two pieces that make a third don't stay apart
+            found = self.apart[key] = self.merged(whole) == [before, piece] if before and whole not in self.rank else not before and self.merged(piece) == [piece]
         return found
 
     def segmented(self, words: list[str]) -> Iterator[list[str]]:
@@ -89,9 +91,9 @@ class Pieces:
         state, previous, alone = [""], "", [1]
         rank, apart, fits, tails = self.rank, self.apart, self.fits, self.tails
         for word in words:
-            shared, most = 0, min(len(word), len(previous))
-            while shared < most and word[shared] == previous[shared]:
-                shared += 1
+            shared = min(len(word), len(previous))
+            while not word.startswith(previous[:shared]):
+                shared -= 1
             del state[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 for size in tails.get(word[max(0, end - 2) : end], alone):
@@ -120,23 +122,27 @@ class Pieces:
                 out.append(found)
             else:
                 out += [self.bytes_.get(b, self.unknown) for b in piece.encode()]
-        return np.asarray(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         split = [self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        missing = sorted({w for words in split for w in words if w not in self.words})
+        met = set().union(*split)
         known = self.words
+        missing = sorted([w for w in met if w not in known])
         if len(known) + len(missing) > CACHE:
             known = self.words = {}
-            missing = sorted({w for words in split for w in words})
-        new = {w: self.numbered(p) for w, p in zip(missing, self.segmented(missing))}
-        known.update((w, ids) for w, ids in new.items() if len(w) <= CACHED_WORD)
-        new = {w: ids for w, ids in new.items() if len(w) > CACHED_WORD}
-        return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
+            missing = sorted(met)
+        new = dict(zip(missing, map(self.numbered, self.segmented(missing))))
+        long = {w: ids for w, ids in new.items() if len(w) > CACHED_WORD}
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in long:
+            del known[w]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join([self.shown[i] for i in ids.tolist()])
+        raw = b"".join(map(self.shown.__getitem__, ids.tolist()))
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
