@@ -28,6 +28,18 @@ def top_by(df: DataFrame, keys: list[str], n: int, *order: Column, into: str = "
     return df.withColumn(into, rank).where(F.col(into) <= n)
 
 
+def global_rank(df: DataFrame, bucket: Column, *order: Column, into: str = "rank") -> DataFrame:
+    """The row number over all rows, without sorting them in one task: rows are ranked within buckets, which the order must
+    agree with (a lower bucket ranks before a higher one), and the sizes of the buckets before are added. Only the sizes,
+    one row a bucket, meet in one place."""
+    rows = df.withColumn("_bucket", bucket)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n")).select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    ranked = rows.withColumn("_within", within).join(sizes, F.col("_bucket").eqNullSafe(F.col("_b")))
+    return ranked.withColumn(into, F.col("_before") + F.col("_within")).drop("_bucket", "_b", "_before", "_within")
+
+
 def all_of(*predicates: Column | None) -> Column:
     """Conjunction of the predicates that are given."""
     return reduce(lambda a, b: a & b, [p for p in predicates if p is not None], F.lit(True))

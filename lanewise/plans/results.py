@@ -34,7 +34,7 @@ def ranked(s: Star, distance: int | None = None, stroke: str | None = None, gend
     """The best time of each athlete among the results that pass the optional filters, ranked over all.
 
     Dates are half-open ranges and filters stand on the scans' own columns, so they are pushed down. The global rank
-    runs on one row an athlete.
+    runs on one row an athlete, in buckets of a second.
     """
     start = F.col("start_date")
     period = (start >= F.lit(f"{year}-01-01").cast("date")) & (start < F.lit(f"{year + 1}-01-01").cast("date")) if year else start >= F.add_months(F.lit(AS_OF).cast("date"), -12)
@@ -43,8 +43,8 @@ def ranked(s: Star, distance: int | None = None, stroke: str | None = None, gend
     rows = results.join(events, "event_id").join(s.athlete, "athlete_id").join(s.club.select("club_id", "club_name"), "club_id", "left")
     order = [F.asc("time_ms"), F.desc_nulls_last("start_date"), F.desc("competition_id"), F.desc("event_id"), F.desc_nulls_last("club_id"), F.asc("rank_position")]
     best = core.first_by(rows, ["athlete_id"], *order)
-    rank = F.row_number().over(Window.orderBy(F.asc("time_ms"), F.desc_nulls_last("start_date"), F.desc("competition_id"), F.desc("event_id"), F.desc("athlete_id")))
-    return best.withColumn("rank", rank.cast("long")).withColumn("category", domain.age_category(F.col("birth_year"), AS_OF_YEAR))
+    places = [F.asc("time_ms"), F.desc_nulls_last("start_date"), F.desc("competition_id"), F.desc("event_id"), F.desc("athlete_id")]
+    return core.global_rank(best, F.expr("time_ms div 1000"), *places).withColumn("category", domain.age_category(F.col("birth_year"), AS_OF_YEAR))
 
 
 RANKED_SQL = f"""

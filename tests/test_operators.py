@@ -184,3 +184,12 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert rows(spark.read.parquet(target), "rank", "name") == [(1, "Alfa, Ana"), (2, "Beta, Bea")]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert ingest.windowed_counts(events).agg(F.sum("n")).collect()[0][0] == events.count()
+
+
+def test_global_rank(spark):
+    random.seed(8)
+    data = [(k, random.choice([None, *range(40)])) for k in range(300)]
+    df = spark.createDataFrame(data, "id int, ms int")
+    got = core.global_rank(df, F.expr("ms div 7"), F.asc_nulls_first("ms"), F.desc("id"))
+    want = {k: n for n, (k, _) in enumerate(sorted(data, key=lambda d: (d[1] is not None, d[1] or 0, -d[0])), 1)}
+    assert dict(rows(got, "id", "rank")) == want
