@@ -151,6 +151,20 @@ def pieces(model: str = MODEL) -> Pieces:
     return Pieces(model)
 
 
+#: Characters of text encoded at once: the more, the longer the prefixes that neighbours in the sorted words share.
+PORTION = 4_000_000
+
+
+def _portions(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about PORTION bytes of the column, one row at least."""
+    sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(at)])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PORTION, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def encoded(df: DataFrame, text: str = "text", into: str = "ids", model: str = MODEL) -> DataFrame:
     """df with a binary column `into` (replaced, if there is one): little-endian unsigned 32-bit ids."""
     names = [c for c in df.columns if c != into]
@@ -162,8 +176,7 @@ def encoded(df: DataFrame, text: str = "text", into: str = "ids", model: str = M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in _portions(batch, at):
                 ids = coder.encode([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k, c in enumerate(columns) if c in names], pa.array(ids, pa.binary())], names=[*names, into])
 
