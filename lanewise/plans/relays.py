@@ -46,11 +46,12 @@ def candidates(roster: DataFrame, style: str, rule: str, categories: list[str] |
     of a group's 24 orders the first with the least total counts, and of groups with equal totals the one with least ids.
     """
     strokes = domain.RELAY_STROKES[style]
-    needed = [F.try_element_at("times", F.lit(k)).isNotNull() for k in dict.fromkeys(strokes)]
-    any_time = needed[0]
-    for n in needed[1:]:
-        any_time = any_time | n
-    able = roster.where(any_time & F.col("age").isNotNull()).select("club_id", F.struct("athlete_id", "athlete_gender", "age", "times").alias("a"))
+    slots = [F.try_element_at("times", F.lit(k)).alias(f"t{n}") for n, k in enumerate(strokes)]
+    any_time = F.coalesce(*[F.try_element_at("times", F.lit(k)) for k in dict.fromkeys(strokes)]).isNotNull()
+    member = F.struct("athlete_id", "athlete_gender", "age", *slots).alias("a")
+    # few bytes come in and many groups go out: a fixed number of partitions isn't merged by size, and every join keeps it
+    parts = int(roster.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    able = roster.where(any_time & F.col("age").isNotNull()).select("club_id", member).repartition(parts, "club_id")
     genders = {"mixed": ("female", "female", "male", "male"), "women": ("female",) * 4, "men": ("male",) * 4}[rule]
     groups = None
     for n, gender in enumerate(genders):
@@ -64,43 +65,51 @@ def candidates(roster: DataFrame, style: str, rule: str, categories: list[str] |
     groups = groups.withColumn("age_sum", ages).withColumn("category", domain.relay_category(F.col("age_sum"))).where("category IS NOT NULL")
     if categories is not None:
         groups = groups.where(F.col("category").isin(*categories))
-    orders = []
-    for k, order in enumerate(permutations(range(4))):
-        total = None
-        for place, member in enumerate(order):
-            one = F.try_element_at(F.col(f"a{member}.times"), F.lit(strokes[place]))
-            total = one if total is None else total + one
-        ids = F.array(*[F.col(f"a{m}.athlete_id") for m in order])
-        orders.append(F.when(total.isNotNull(), F.struct(total.alias("total_ms"), F.lit(k).alias("k"), ids.alias("ids"))))
-    best = F.array_min(F.array_compact(F.array(*orders)))
-    lined = groups.withColumn("best", best).where("best IS NOT NULL").select("club_id", "category", "age_sum", "best.total_ms", "best.ids")
+    orders = list(permutations(range(4))) if len(set(strokes)) > 1 else [(0, 1, 2, 3)]
+    none = 1 << 60
+    totals = []
+    for k, order in enumerate(orders):
+        total = sum((F.col(f"a{m}.t{place}") for place, m in enumerate(order[1:], 1)), F.col(f"a{order[0]}.t0"))
+        totals.append(F.struct(F.coalesce(total, F.lit(none)).cast("long").alias("total_ms"), F.lit(k).alias("k")))
+    places = F.array(*[F.array(*[F.lit(m) for m in order]) for order in orders])
+    best = groups.select("club_id", "category", "age_sum", F.array(*[F.col(f"a{m}.athlete_id") for m in range(4)]).alias("four"), F.array_min(F.array(*totals)).alias("best"))
+    lined = best.where(F.col("best.total_ms") < none).select("club_id", "category", "age_sum", "best.total_ms", F.col("four"), F.get(places, F.col("best.k")).alias("order"))
+    lined = lined.select("club_id", "category", "age_sum", "total_ms", F.transform("order", lambda m: F.get("four", m)).alias("ids"))
     return core.top_by(lined, ["club_id", "category"], PER_CATEGORY, F.asc("total_ms"), F.asc(F.array_sort("ids")))
 
 
 def choose_disjoint(line_ups: pd.DataFrame) -> list[int]:
-    """Rows of the line-ups to swim: as many categories as possible, then the least total, no athlete twice. Later ones
-    replace earlier ones only if strictly better."""
+    """Rows of the line-ups to swim: as many categories as possible, then the least total, no athlete twice; of equals the
+    one that leaves out earlier categories, then the one with better places in them.
+
+    A search over the categories, the one with fewest line-ups left first. Line-ups that share an athlete with those
+    taken fall out at once, and what is left bounds the number and the time that a branch can still reach.
+    """
     order = [key for key, *_ in domain.RELAY_CATEGORIES]
-    by = {key: part.sort_values("place").index.tolist() for key, part in line_ups.groupby("category")}
-    ids = {i: frozenset(x) for i, x in line_ups["ids"].items()}
-    total = line_ups["total_ms"].to_dict()
-    memo: dict = {}
-
-    def best(at: int, used: frozenset) -> tuple[int, int, tuple]:
-        if at == len(order):
-            return 0, 0, ()
-        key = (at, used)
-        if key not in memo:
-            found = best(at + 1, used)
-            for i in by.get(order[at], ()):
-                if not ids[i] & used:
-                    n, ms, rest = best(at + 1, used | ids[i])
-                    if (n + 1, -(ms + total[i])) > (found[0], -found[1]):
-                        found = (n + 1, ms + total[i], (i, *rest))
-            memo[key] = found
-        return memo[key]
-
-    return list(best(0, frozenset())[2])
+    bit = {a: 1 << n for n, a in enumerate(dict.fromkeys(a for ids in line_ups["ids"] for a in ids))}
+    rows: list[list[tuple[int, int, int, int]]] = [[] for _ in order]
+    for i, key, place, ids, total in zip(line_ups.index, line_ups["category"], line_ups["place"], line_ups["ids"], line_ups["total_ms"]):
+        rows[order.index(key)].append((int(total), int(place), sum(bit[a] for a in ids), i))
+    best: tuple = (1, 0, (), ())
+
+    def search(left: dict[int, list], n: int, total: int, taken: tuple) -> None:
+        nonlocal best
+        left = {c: r for c, r in left.items() if r}
+        bound = (-(n + len(left)), total + sum(r[0][0] for r in left.values()))
+        if bound > best[:2]:
+            return
+        if not left:
+            key = tuple(next((p for c, p, _ in taken if c == k), -1) for k in range(len(order)))
+            best = min(best, (-n, total, key, tuple(i for *_, i in sorted(taken))))
+            return
+        at = min(left, key=lambda c: len(left[c]))
+        rest = {c: r for c, r in left.items() if c != at}
+        for ms, place, mask, i in left[at]:
+            search({c: [x for x in r if not x[2] & mask] for c, r in rest.items()}, n + 1, total + ms, (*taken, (at, place, i)))
+        search(rest, n, total, taken)
+
+    search({c: sorted(r) for c, r in enumerate(rows)}, 0, 0, ())
+    return list(best[3])
 
 
 def proposals(line_ups: DataFrame) -> DataFrame:
