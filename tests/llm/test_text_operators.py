@@ -167,6 +167,14 @@ def test_pages_have_their_articles(spark):
         assert rows[p.page_id].n_chars == len(rows[p.page_id].text)
 
 
+def test_pages_of_odd_rows(spark):
+    rows = [(1, "u", "<p>a b.</p>"), (1, "u", "<p>a b.</p>"), (None, None, None), (2, "v", ""), (3, "w", "<p>" + "long, text. " * 20000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("key", F.lit(2))
+    got = sorted((r.page_id or 0, r.n_chars) for r in tagpath.extracted(df).collect())
+    assert got == [(0, 0), (1, 4), (1, 4), (2, 0), (3, 12 * 20000 - 1)]
+    assert tagpath.extracted(df.limit(0)).count() == 0
+
+
 def test_crc_is_zlibs(spark):
     r = QUERIES["op3_concat_and_cut"](spark, SF).orderBy("doc_id", "start").first()
     t = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text
