@@ -36,8 +36,8 @@ def test_combined(spark):
 
 
 def test_small_helpers(spark):
-    df = spark.createDataFrame([("Copa Chile",), ("Open Brasil y Chile",), ("x",), (None,)], "t string")
-    assert [r[0] for r in df.select(grids.local_hint(F.col("t"), ["chile"], ["brasil"])).collect()] == ["local", "foreign", "unknown", "unknown"]
+    df = spark.createDataFrame([("Copa Here",), ("Open There y Here",), ("x",), (None,)], "t string")
+    assert [r[0] for r in df.select(grids.local_hint(F.col("t"), ["here"], ["there"])).collect()] == ["local", "foreign", "unknown", "unknown"]
     assert grids.page_url("http://a/b/", 1) == "http://a/b/" and grids.page_url("http://a/b/", 3) == "http://a/b/page/3/"
     names = spark.createDataFrame([("U1", "p"), ("U2", "p"), ("U2", "q"), ("V", "p")], "club_name string, athlete_name string")
     aliases = spark.createDataFrame([("U1", "U"), ("U2", "U"), ("V", "V")], "club_name string, canonical_name string")
