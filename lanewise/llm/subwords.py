@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words a worker remembers, their longest, and the neighbour pairs it remembers; none of them changes a result.
-CACHE, CACHED_WORD, PAIRS = 200_000, 64, 200_000
+CACHE, CACHED_WORD, PAIRS = 350_000, 64, 250_000
 
 
 class Pieces:
@@ -152,7 +152,7 @@ def pieces(model: str = MODEL) -> Pieces:
 
 
 #: Characters of text encoded at once: the more, the longer the prefixes that neighbours in the sorted words share.
-PORTION = 2_500_000
+PORTION = 3_000_000
 
 
 def _portions(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
