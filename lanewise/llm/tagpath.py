@@ -1,13 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each under its root-to-leaf tag path. Per path, text length and punctuation are summed
-over its nodes; length per node and punctuation per node are its ratios. The ratios are smoothed along the page, fused
-into one score a node, and the text nodes' scores, averaged per path, meet a threshold that follows their spread over
-the page. Paths through boilerplate elements (menus, headers and footers of the page, sidebars, notices, adverts, forms,
-reader comments, by element, role, class or id) have no score; where a page marks its article, only paths below it have.
-
-Nodes of chosen paths form blocks: block elements part them, white space inside a block becomes one space, blocks are
-joined by a newline in page order. Null and empty pages give an empty text; unclosed and misnested tags are tolerated;
+A page is cut into text nodes, each under its root-to-leaf tag path; block elements part them into blocks, whose path
+ends at the block element, apart for blocks that are mostly links. Per path, text length and punctuation are summed over
+its blocks; length per block and punctuation per block are its ratios. The ratios are smoothed along the page, fused with
+the path's link density into one score a block, and averaged per path. Where the page's paths fall into two levels (Otsu's
+cut, weighted by text length), the lower ones are left out. Paths through boilerplate elements (menus, headers and footers
+of the page, sidebars, notices, adverts, forms, reader comments, by element, role, class or id) have no score; where a page
+marks its article, only paths below it have, and of the lower ones there only those that are mostly links are left out.
+
+White space inside a block becomes one space, blocks are joined by a newline in page order. Null and empty pages give an empty text; unclosed and misnested tags are tolerated;
 pages of any length are read whole, in one pass. Repeated rows are extracted one by one.
 """
 
@@ -55,9 +56,9 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 HEADING = re.compile(r"(?:^|/)h[1-6](?:/[^/]+)*$")
-#: Neighbours on either side that smooth a node's ratios; a path passes from LENIENCE standard deviations under the page's
-#: mean score, and always from FLOOR times the mean.
-SMOOTH, LENIENCE, FLOOR = 2, 2.0, 0.5
+#: Neighbours on either side that smooth a block's ratios; two levels of scores are means at least LEVELS apart, with no
+#: path's score within APART between them.
+SMOOTH, LEVELS, APART = 2, 2.0, 1.0
 
 
 def text_nodes(page: str) -> list[tuple[str, str, int, bool, bool]]:
@@ -115,38 +116,64 @@ def text_nodes(page: str) -> list[tuple[str, str, int, bool, bool]]:
     return nodes
 
 
-def chosen_paths(nodes: list[tuple[str, int, int]]) -> set[str]:
-    """Paths to keep of nodes given as (path, characters, punctuation marks)."""
-    if not nodes:
-        return set()
-    of: dict[str, list[int]] = defaultdict(list)
-    for k, (path, _, _) in enumerate(nodes):
-        of[path].append(k)
-    chars, marks = (np.array([x[i] for x in nodes], float) for i in (1, 2))
-    ratio, points = np.zeros(len(nodes)), np.zeros(len(nodes))
+def bar_between(scores: np.ndarray, lengths: np.ndarray) -> float:
+    """The least score of the upper level by Otsu's cut, weighted by text length; -inf if there is one level only."""
+    order = np.argsort(scores, kind="stable")
+    x, w = scores[order], lengths[order]
+    below, sums = np.cumsum(w)[:-1], np.cumsum(w * x)[:-1]
+    above = w.sum() - below
+    low, high = sums / np.maximum(below, 1e-9), ((w * x).sum() - sums) / np.maximum(above, 1e-9)
+    parted = np.where((np.diff(x) >= APART) & (high - low >= LEVELS), below * above * (high - low) ** 2, 0)
+    return float(x[parted.argmax() + 1]) if parted.max(initial=0) > 0 else -np.inf
+
+
+def chosen_paths(blocks: list[tuple[tuple[str, bool], int, int, int]], marked: bool) -> set[tuple[str, bool]]:
+    """Paths to keep of blocks given as (path, characters, punctuation marks, characters in links)."""
+    of: dict[tuple[str, bool], list[int]] = defaultdict(list)
+    for k, block in enumerate(blocks):
+        of[block[0]].append(k)
+    if len(of) < 2:
+        return set(of)
+    chars, marks, linked = (np.array([x[i] for x in blocks], float) for i in (1, 2, 3))
+    ratio, points, text = np.zeros(len(blocks)), np.zeros(len(blocks)), np.zeros(len(blocks))
     for at in of.values():
-        ratio[at], points[at] = chars[at].mean(), marks[at].mean()
+        ratio[at], points[at], text[at] = chars[at].mean(), marks[at].mean(), 1 - linked[at].sum() / chars[at].sum()
     kernel = np.exp(-0.5 * (np.arange(-SMOOTH, SMOOTH + 1) / max(1, SMOOTH / 2)) ** 2)
-    weight = np.convolve(np.ones(len(nodes)), kernel, "full")[SMOOTH:-SMOOTH]
+    weight = np.convolve(np.ones(len(blocks)), kernel, "full")[SMOOTH:-SMOOTH]
     smooth = lambda x: np.convolve(x, kernel, "full")[SMOOTH:-SMOOTH] / weight
-    fused = np.log1p(smooth(ratio)) + np.log1p(smooth(points))
-    for k in range(len(nodes) - 2, -1, -1):  # a heading belongs to what it heads
-        if HEADING.search(nodes[k][0]):
+    fused = (np.log1p(smooth(ratio)) + np.log1p(smooth(points))) * text
+    for k in range(len(blocks) - 2, -1, -1):  # a heading belongs to what it heads
+        if HEADING.search(blocks[k][0][0]):
             fused[k] = max(fused[k], fused[k + 1])
-    bar = min(fused.mean() - LENIENCE * fused.std(), FLOOR * fused.mean())
-    return {path for path, at in of.items() if fused[at].mean() >= bar - 1e-9}
+    score = {path: fused[at].mean() for path, at in of.items()}
+    bar = bar_between(np.array(list(score.values())), np.array([chars[at].sum() for at in of.values()]))
+    return {path for path in of if score[path] >= bar or marked and not path[1]}
+
+
+def block_path(path: str) -> str:
+    """The path without the inline elements at its end."""
+    names = path.split("/")
+    while names and names[-1] not in BLOCKS:
+        names.pop()
+    return "/".join(names)
 
 
 def main_text(page: str | None) -> str:
     nodes = text_nodes(page or "")
     inside = any(content and not boiler and text.strip() for _, text, _, boiler, content in nodes)
     own = [(path, html.unescape(text) if "&" in text else text, block) for path, text, block, boiler, content in nodes if not boiler and content >= inside]
-    keep = chosen_paths([(path, len(text), len(PUNCTUATION.findall(text))) for path, text, _ in own if not text.isspace()])
     blocks: dict[int, list[str]] = {}
+    measured: dict[int, list] = {}  # path, characters, punctuation marks, characters in links
     for path, text, block in own:
-        if path in keep or text.isspace():
-            blocks.setdefault(block, []).append(text)
-    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
+        blocks.setdefault(block, []).append(text)
+        if not text.isspace():
+            m = measured.setdefault(block, [block_path(path), 0, 0, 0])
+            m[1] += len(text)
+            m[2] += len(PUNCTUATION.findall(text))
+            m[3] += len(text) * ("a" in path.split("/"))
+    keyed = {block: ((path, 2 * linked > chars), chars, marks, linked) for block, (path, chars, marks, linked) in measured.items()}
+    keep = chosen_paths(list(keyed.values()), inside)
+    lines = (" ".join("".join(parts).split()) for block, parts in blocks.items() if block in keyed and keyed[block][0] in keep)
     return "\n".join(line for line in lines if line)
 
 

@@ -154,6 +154,25 @@ def test_main_text(page, text):
     assert tagpath.main_text(page) == text
 
 
+PROSE = "<p>" + "Some words of prose, and more of them; a sentence ends here. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("links", [1, 2, 5, 10, 20, 40])
+def test_paths_part_text_from_links_without_telling_names(links):
+    line = " ".join(PROSE[3:-4].split())
+    menu = "<ul>" + "<li><a href='/x'>Page 1</a></li>" * links + "</ul>"
+    assert tagpath.main_text(f"<body><div>{menu}</div><div>{PROSE * 20}</div></body>") == "\n".join([line] * 20)
+    assert tagpath.main_text(f"<body><div>{PROSE * 20}</div><div>{menu.replace('<a', '<i').replace('</a', '</i') if links > 2 else menu}</div></body>") == "\n".join([line] * 20)
+    assert tagpath.main_text(f"<body><article>{PROSE * 5}{menu}<ul><li>short</ul></article></body>") == "\n".join([line] * 5 + ["short"])
+
+
+def test_paths_keep_links_and_headings_of_text():
+    line = " ".join(PROSE[3:-4].split())
+    linked = PROSE.replace("prose", "<a href='/p'>prose</a>")
+    assert tagpath.main_text(f"<body><h2><a href='/h'>Head</a></h2>{linked * 3}</body>") == "\n".join(["Head"] + [line] * 3)
+    assert tagpath.main_text("<ul><li><a href='/x'>Only</a><li><a href='/y'>links</a></ul>") == "Only\nlinks"
+
+
 def test_pages_have_their_articles(spark):
     rows = {r.page_id: r for r in QUERIES["op5_tag_path_ratios"](spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
