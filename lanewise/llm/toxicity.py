@@ -27,8 +27,10 @@ from lanewise.llm.words import mix, plain_slices
 #: The most labelled texts of each class that the fit takes.
 PER_CLASS = 4000
 MAX_WORDS = 20_000
-#: Least texts with a word, and least standard score of the word's difference between the classes, to be in the model.
-MIN_TEXTS, MIN_Z = 2, 4.0
+#: A word is in the model if this many texts have it and its difference between the classes has the standard score MIN_Z;
+#: or, whatever the size of the classes, if it stands out at chance RARE (an exact bound of the binomial tail) among the
+#: toxic texts that the words so chosen don't find.
+MIN_TEXTS, MIN_Z, RARE = 2, 4.0, 0.001
 L1, L2, SWAP_PENALTY, STEPS = 0.00002, 0.0005, 1.0, 500
 CUT = 0.5
 
@@ -76,14 +78,18 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def totals(self, row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+        """The log odds of texts given as (row, hash) of their distinct words."""
+        total = np.full(rows, self.bias)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            total += np.bincount(row, np.where(self.words[at] == h, self.weights[at], 0.0), minlength=rows)
+        return total
+
     def score(self, column: pa.Array) -> np.ndarray:
         out = [np.zeros(0)]
         for rows, row, h in bags(column):
-            total = np.full(rows, self.bias)
-            if len(self.words):
-                at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-                total += np.bincount(row, np.where(self.words[at] == h, self.weights[at], 0.0), minlength=rows)
-            out.append(1 / (1 + np.exp(-np.clip(total, -500, 500))))
+            out.append(1 / (1 + np.exp(-np.clip(self.totals(row, h, rows), -500, 500))))
         return np.concatenate(out)
 
 
@@ -105,7 +111,22 @@ def fit_bags(rows: list[np.ndarray], labels: np.ndarray, swap_penalty: float = S
     chosen = np.argsort(-strength, kind="stable")[:MAX_WORDS]
     keep = np.zeros(len(vocabulary), bool)
     keep[chosen] = strength[chosen] > 0
-    words = np.union1d(vocabulary[keep | named], np.concatenate(groups))
+    model = _fit_words(rows, text, flat, np.union1d(vocabulary[keep | named], np.concatenate(groups)), groups, labels, swap_penalty)
+    missed = (labels == 1) & (model.totals(text, flat, len(rows)) < 0)
+    k, m, share = np.bincount(word, missed[text], minlength=len(vocabulary)), texts - with1, missed.sum() / (missed.sum() + n0)
+    if not missed.any():
+        return model
+    rate = k / np.maximum(k + m, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tail = -np.where(k > 0, k * np.log(rate / share), 0) - np.where(m > 0, m * np.log((1 - rate) / (1 - share)), 0)
+    tail = np.where((k >= MIN_TEXTS) & (rate > share) & ~keep, tail, 0)
+    rare = np.argsort(tail, kind="stable")[: MAX_WORDS - int(keep.sum())]
+    keep[rare] |= tail[rare] <= np.log(RARE)
+    return _fit_words(rows, text, flat, np.union1d(vocabulary[keep | named], np.concatenate(groups)), groups, labels, swap_penalty)
+
+
+def _fit_words(rows, text, flat, words, groups, labels, swap_penalty) -> Model:
+    n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     inside = np.isin(flat, words)
     i, j = text[inside], np.searchsorted(words, flat[inside])
     swaps = list(_swaps(i, words[j], groups, words))
