@@ -92,6 +92,13 @@ def top_two(scored: DataFrame, keys: list[str], score: str, *order: Column) -> D
     return led.where((F.col(score) >= MATCH_SCORE) & (F.col(score) - F.col("second") >= MATCH_MARGIN))
 
 
+def club_pairs(results: DataFrame) -> DataFrame:
+    """Clubs that share an athlete within a year: distinct first, then an equi-join on (athlete, year)."""
+    seen = results.where("club_id IS NOT NULL AND start_date IS NOT NULL").select("club_id", "athlete_id", F.year("start_date").alias("y")).distinct()
+    pairs = seen.withColumnRenamed("club_id", "club_a").join(seen.withColumnRenamed("club_id", "club_b"), ["athlete_id", "y"]).where("club_a < club_b")
+    return pairs.groupBy("club_a", "club_b").agg(F.count("*").alias("n_athlete_years"), F.countDistinct("athlete_id").alias("n_athletes"))
+
+
 # --- registered forms
 
 
@@ -124,10 +131,14 @@ def band_birth_year_pairs(s: Star) -> DataFrame:
 @query("""SELECT a.club_id AS club_a, b.club_id AS club_b, count(*)::BIGINT AS n_athlete_years, count(DISTINCT a.athlete_id)::BIGINT AS n_athletes FROM (SELECT DISTINCT club_id, athlete_id, year(start_date) AS y FROM result WHERE club_id < 20 AND start_date IS NOT NULL) a
 JOIN (SELECT DISTINCT club_id, athlete_id, year(start_date) AS y FROM result WHERE club_id < 20 AND start_date IS NOT NULL) b ON a.athlete_id = b.athlete_id AND a.y = b.y AND a.club_id < b.club_id GROUP BY ALL""")
 def club_cooccurrence(s: Star) -> DataFrame:
-    """Clubs that share an athlete within a year: distinct first, then an equi-join on (athlete, year)."""
-    seen = s.result.where("club_id < 20 AND start_date IS NOT NULL").select("club_id", "athlete_id", F.year("start_date").alias("y")).distinct()
-    pairs = seen.withColumnRenamed("club_id", "club_a").join(seen.withColumnRenamed("club_id", "club_b"), ["athlete_id", "y"]).where("club_a < club_b")
-    return pairs.groupBy("club_a", "club_b").agg(F.count("*").alias("n_athlete_years"), F.countDistinct("athlete_id").alias("n_athletes"))
+    """The clubs of id below 20 that share an athlete within a year, as in the SQL."""
+    return club_pairs(s.result.where("club_id < 20"))
+
+
+@query()
+def club_cooccurrence_all(s: Star) -> DataFrame:
+    """club_cooccurrence over all clubs. Tests hold it against brute force."""
+    return club_pairs(s.result)
 
 
 @query("""SELECT name_key, n, years, clubs, CASE WHEN years = 1 THEN 'same_year' WHEN gap <= 1 THEN 'adjacent_years' WHEN clubs = 1 THEN 'one_club' ELSE 'homonyms' END AS class FROM (

@@ -186,6 +186,25 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert ingest.windowed_counts(events).agg(F.sum("n")).collect()[0][0] == events.count()
 
 
+def test_club_pairs_of_all_clubs_match_brute_force(spark):
+    from lanewise import catalog
+    from lanewise.plans.star import Star
+
+    sf = "/root/testdata/sf0.001"
+    of: dict = {}
+    for r in Star(spark, sf).result.where("club_id IS NOT NULL AND start_date IS NOT NULL").select("club_id", "athlete_id", F.year("start_date").alias("y")).collect():
+        of.setdefault((r.athlete_id, r.y), set()).add(r.club_id)
+    shared: dict = {}
+    for (athlete, _), clubs in of.items():
+        for pair in itertools.combinations(sorted(clubs), 2):
+            shared.setdefault(pair, []).append(athlete)
+    want = sorted(((*p, len(v), len(set(v))) for p, v in shared.items()), key=str)
+    assert rows(catalog.QUERIES["club_cooccurrence_all"](spark, sf), "club_a", "club_b", "n_athlete_years", "n_athletes") == want
+    data = [(5, 1, "2020-01-02"), (30, 1, "2020-09-01"), (40, 1, "2020-03-01"), (None, 1, "2020-03-01"), (30, 2, None), (5, 2, "2020-01-01")]
+    made = spark.createDataFrame(data, "club_id long, athlete_id long, start_date string").withColumn("start_date", F.col("start_date").cast("date"))
+    assert rows(curation.club_pairs(made)) == [(30, 40, 1, 1), (5, 30, 1, 1), (5, 40, 1, 1)]
+
+
 def test_global_rank(spark):
     random.seed(8)
     data = [(k, random.choice([None, *range(40)])) for k in range(300)]
