@@ -11,7 +11,7 @@ from lanewise import catalog
 
 HEADLINE = [
     "ranking_best_times", "current_club", "historical_clubs", "club_attendance_matrix", "competition_stats", "competition_detail_flat", "club_participation",
-    "club_medal_table", "personal_bests", "best_match_window", "asof_team_line", "idempotent_insert_antijoin", "validation_unmatched_counts", "band_birth_year_pairs",
+    "club_medal_table", "personal_bests", "best_match_window", "asof_team_line", "idempotent_insert_antijoin", "validation_unmatched_counts", "band_birth_year_pairs_all",
     "club_cooccurrence_all", "html_links", "line_context_fold",
 ]
 

@@ -122,12 +122,19 @@ def edit_distance_pairs(s: Star) -> DataFrame:
 @query("""SELECT a.athlete_id AS a, b.athlete_id AS b, abs(a.birth_year - b.birth_year)::INTEGER AS gap FROM athlete a JOIN athlete b
 ON a.athlete_id < b.athlete_id AND a.segment = b.segment AND a.athlete_gender = b.athlete_gender AND abs(a.birth_year - b.birth_year) <= 1 AND a.athlete_id % 4 = b.athlete_id % 4""")
 def band_birth_year_pairs(s: Star) -> DataFrame:
-    """Pairs of a block whose years differ by one at most, by an equi-join on exploded years."""
+    """Pairs of a block whose years differ by one at most, by an equi-join on exploded years; of equal id modulo 4, as in the SQL."""
     a = s.athlete.where("birth_year IS NOT NULL").withColumn("part", F.col("athlete_id") % 4)
     pairs = core.band_pairs(a, ["segment", "athlete_gender", "part"], "birth_year", 1, "athlete_id")
     return pairs.select("a", "b", F.abs(F.col("number_a") - F.col("number_b")).cast("int").alias("gap"))
 
 
+@query()
+def band_birth_year_pairs_all(s: Star) -> DataFrame:
+    """band_birth_year_pairs over all athletes of a block. Tests hold it against brute force."""
+    pairs = core.band_pairs(s.athlete.where("birth_year IS NOT NULL"), ["segment", "athlete_gender"], "birth_year", 1, "athlete_id")
+    return pairs.select("a", "b", F.abs(F.col("number_a") - F.col("number_b")).cast("int").alias("gap"))
+
+
 @query("""SELECT a.club_id AS club_a, b.club_id AS club_b, count(*)::BIGINT AS n_athlete_years, count(DISTINCT a.athlete_id)::BIGINT AS n_athletes FROM (SELECT DISTINCT club_id, athlete_id, year(start_date) AS y FROM result WHERE club_id < 20 AND start_date IS NOT NULL) a
 JOIN (SELECT DISTINCT club_id, athlete_id, year(start_date) AS y FROM result WHERE club_id < 20 AND start_date IS NOT NULL) b ON a.athlete_id = b.athlete_id AND a.y = b.y AND a.club_id < b.club_id GROUP BY ALL""")
 def club_cooccurrence(s: Star) -> DataFrame:

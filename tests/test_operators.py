@@ -205,6 +205,17 @@ def test_club_pairs_of_all_clubs_match_brute_force(spark):
     assert rows(curation.club_pairs(made)) == [(30, 40, 1, 1), (5, 30, 1, 1), (5, 40, 1, 1)]
 
 
+def test_band_pairs_of_all_athletes_match_brute_force(spark):
+    from lanewise import catalog
+    from lanewise.plans.star import Star
+
+    sf = "/root/testdata/sf0.001"
+    people = Star(spark, sf).athlete.where("birth_year IS NOT NULL").orderBy("athlete_id").collect()
+    want = [(a.athlete_id, b.athlete_id, abs(a.birth_year - b.birth_year)) for a, b in itertools.combinations(people, 2) if (a.segment, a.athlete_gender) == (b.segment, b.athlete_gender) and abs(a.birth_year - b.birth_year) <= 1]
+    assert any(a % 4 != b % 4 for a, b, _ in want)
+    assert rows(catalog.QUERIES["band_birth_year_pairs_all"](spark, sf), "a", "b", "gap") == sorted(want, key=str)
+
+
 def test_global_rank(spark):
     random.seed(8)
     data = [(k, random.choice([None, *range(40)])) for k in range(300)]
