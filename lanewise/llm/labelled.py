@@ -14,10 +14,11 @@ from lanewise.llm.common import held_out
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, label) of at most `per_class` labelled keys of each class, none of them held out.
+    """(text, label) of at most `per_class` labelled keys of each class, none of them held out: one row a key and class.
 
-    Keys are taken in the order of their hash. They are bounded, so they are broadcast and the texts aren't shuffled.
-    A key labelled both ways counts in both classes; null keys, null labels and labels but 0 and 1 don't count.
+    Keys are taken in the order of their hash. They are bounded, so they are broadcast; of a key's documents the one with
+    the least hash of its text is taken, and tasks shuffle one text a key and class at most. A key labelled both ways counts
+    in both classes; null keys, null labels and labels but 0 and 1 don't count.
     """
     own = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).where(F.col("k").isNotNull() & ~held_out("k")).distinct()
     some = None
@@ -25,7 +26,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key:
         part = own.where(F.col("label") == value).orderBy(F.xxhash64("k"), "k").limit(per_class)
         some = part if some is None else some.union(part)
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    return slim.join(F.broadcast(some), "k").select("text", "label")
+    one = F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")).alias("text")
+    return slim.join(F.broadcast(some), "k").groupBy("k", "label").agg(one).select("text", "label")
 
 
 def with_scores(docs: DataFrame, text: str, score: Callable[[pa.Array], np.ndarray], into: str, carry: list[str] | None = None) -> DataFrame:

@@ -116,7 +116,8 @@ def fit_bags(bag: np.ndarray, labels: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
-    """Fits on at most 2 * per_class texts. Their traits (non-zero ones), not the texts, come to the driver."""
+    """Fits on at most 2 * per_class texts. Their traits (non-zero ones), not the texts, come to the driver: 6 bytes a trait,
+    so at most 2 * per_class * TRAITS * 6 bytes, and then a matrix of 2 * per_class * TRAITS * 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

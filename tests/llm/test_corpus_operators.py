@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lanewise.llm import bagminhash, hashforest, quality, rendezvous, rules, toxicity, words
+from lanewise.llm import bagminhash, hashforest, labelled, quality, rendezvous, rules, toxicity, words
+from lanewise.llm.common import held_out
 from lanewise.llm.queries import ORACLES, QUERIES
 from tests.oracle import assert_same, connect
 
@@ -177,6 +178,17 @@ def check(spark, classify, label, sf, least):
     assert np.mean([r.predicted == r[label] for r in rows]) >= least
 
 
+def test_sample_has_one_row_a_key_and_class(spark):
+    rows = [(1, f"copy {k}") for k in range(50)] + [(1, None), (2, "two"), (2, "two"), (4, None), (5, "five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)] + [(1, 0)], "doc_id long, toxic int")
+    own = {r.doc_id for r in labels.where(~held_out("doc_id")).collect()} & {1, 2, 4, 5}
+    got = [labelled.sample(docs.repartition(n), labels, "toxic", 100).collect() for n in (2, 9)]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    assert len(got[0]) == len(own) + (1 in own) and 1 in own
+    assert len({r.text for r in got[0] if (r.text or "").startswith("copy")}) == 1
+
+
 @pytest.mark.parametrize("classify", [quality.quality, toxicity.toxicity])
 def test_classifiers_on_odd_rows(spark, classify):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (3, None, 1), (4, 0, 0), (5, 1, 1), (6, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("t"))
