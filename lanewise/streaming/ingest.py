@@ -1,8 +1,8 @@
 """Bundles as they arrive: a file stream of result lines, parsed and appended once.
 
 The batch path reloads whole folders; here new files are picked up by the stream's checkpoint, each micro-batch is parsed
-with the same expressions, its keys are made unique, and keys that the core table has already are left out. A batch that
-is run again after a failure adds nothing.
+with the same expressions under the event header above each line, its keys are made unique, and keys that the core table
+has already are left out. A batch that is run again after a failure adds nothing. A file is one document, read as one row.
 """
 
 from __future__ import annotations
@@ -14,17 +14,18 @@ from pyspark.sql.streaming import StreamingQuery
 from lanewise.operators import core
 from lanewise.plans import documents
 
-KEYS = ["document", "rank", "name", "time_ms"]
+KEYS = ["document", "event", "rank", "name", "time_ms"]
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    r = documents.parse_result_line(F.trim("raw_line"))
-    return lines.select("document", r.alias("r")).where("r IS NOT NULL").select("document", "r.rank", "r.name", "r.team", "r.time_ms", "r.status")
+def parsed(texts: DataFrame) -> DataFrame:
+    """The result lines of (document, text), with the event they stand under."""
+    rows = documents.parsed_documents(documents.lines(texts, "document", "text"), ["document"], ["line_number"])
+    return rows.where("kind <> 'header' AND result IS NOT NULL").select("document", "event", "result.rank", "result.name", "result.team", "result.time_ms", "result.status")
 
 
 def start(spark: SparkSession, folder: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Reads text files of `folder` as they come and keeps the Parquet table `target` free of repeats."""
-    lines = spark.readStream.text(folder).select(F.col("value").alias("raw_line"), F.col("_metadata.file_name").alias("document"))
+    texts = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("document"), F.col("value").alias("text"))
 
     def load(batch: DataFrame, _: int) -> None:
         new = core.first_by(parsed(batch), KEYS, F.asc("team"), F.asc("status"))
@@ -36,7 +37,7 @@ def start(spark: SparkSession, folder: str, target: str, checkpoint: str, once:
                 raise
         new.write.mode("append").parquet(target)
 
-    stream = lines.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    stream = texts.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
 
 

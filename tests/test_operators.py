@@ -216,6 +216,18 @@ def test_band_pairs_of_all_athletes_match_brute_force(spark):
     assert rows(catalog.QUERIES["band_birth_year_pairs_all"](spark, sf), "a", "b", "gap") == sorted(want, key=str)
 
 
+def test_stream_keeps_a_swimmer_of_several_events(spark, tmp_path):
+    from lanewise.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    line = "1 Gama, Eva 30 Club Uno NT DNS"
+    (tmp_path / "in/a.txt").write_text(f"Event 3 Women 30-34 100 LC Meter Freestyle\n{line}\n{line}\nEvent 4 Women 30-34 200 LC Meter Freestyle\n{line}\n")
+    for k in range(2):
+        ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / f"check{k}")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(got.select("event.distance_m", "name", "status")) == [(100, "Gama, Eva", "dns"), (200, "Gama, Eva", "dns")]
+
+
 def test_global_rank(spark):
     random.seed(8)
     data = [(k, random.choice([None, *range(40)])) for k in range(300)]
