@@ -1,23 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each under its root-to-leaf tag path; block elements part them into blocks, whose path
-ends at the block element, apart for blocks that are mostly links. Per path, text length and punctuation are summed over
-its blocks; length per block and punctuation per block are its ratios. The ratios are smoothed along the page, fused with
-the path's link density into one score a block, and averaged per path. Where the page's paths fall into two levels (Otsu's
-cut, weighted by text length), the lower ones are left out. Paths through boilerplate elements (menus, headers and footers
-of the page, sidebars, notices, adverts, forms, reader comments, by element, role, class or id) have no score; where a page
-marks its article, only paths below it have, and of the lower ones there only those that are mostly links are left out.
-
-White space inside a block becomes one space, blocks are joined by a newline in page order. Null and empty pages give an empty text; unclosed and misnested tags are tolerated;
-pages of any length are read whole, in one pass. Repeated rows are extracted one by one.
+A page is cut into text nodes, each under its root-to-leaf tag path (element names with their classes), and into blocks, whose
+path ends at the block element. Per path, text length and punctuation are summed over its blocks; length per block and marks
+per block are its ratios. The ratios are smoothed along the page and fused, one score a path between 0 and 1, with what else
+is known of it: its link density, the part that its elements play (menus, footers, sidebars, forms; articles) and, weakly,
+telling words among its class names. Where the scores of a page fall into two levels (Otsu's cut, weighted by text length),
+the paths of the lower one are left out: nothing else but invisible elements is.
+
+White space inside a block becomes one space, blocks are joined by a newline in page order. Null and empty pages give an
+empty text; unclosed and misnested tags are tolerated; pages of any length and depth are read whole, in one pass. Repeated
+rows are extracted one by one. Columns but the named three are left alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,10 @@ RAW = frozenset("script style textarea title noframes noembed iframe xmp".split(
 BOILERPLATE = frozenset("nav footer aside form button menu dialog input fieldset label option search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset(["article", "main"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|"
-    r"footer|foot|masthead|site-?header|header|topbar|toolbar|comments?|commentlist|disqus|replies|reply|respond|related|recommend\w*|share|sharing|social|"
-    r"subscribe|newsletter|signup|login|search|widget\w*|pagination|pager|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer|masthead|"
+    r"site-?header|topbar|toolbar|comments?|commentlist|disqus|replies|related|recommend\w*|sharing|social|subscribe|newsletter|pagination|copyright)(?:$|[\s_-])",
     re.I,
 )
 #: Closing one of these also closes what it may still hold; opening one closes an open one of its kind.
@@ -53,29 +54,58 @@ SELF_CLOSING = {
     "option": frozenset(["option", "optgroup"]),
 }
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-HEADING = re.compile(r"(?:^|/)h[1-6](?:/[^/]+)*$")
-#: Neighbours on either side that smooth a block's ratios; two levels of scores are means at least LEVELS apart, with no
-#: path's score within APART between them.
-SMOOTH, LEVELS, APART = 2, 2.0, 1.0
-
-
-def text_nodes(page: str) -> list[tuple[str, str, int, bool, bool]]:
-    """(path, text, block, boilerplate, inside a content element) of every visible text node, in page order."""
-    nodes: list[tuple[str, str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, boilerplate, content
-    path, block, at, n = "", 0, 0, len(page)
-    hidden = boiler = content = False
-
-    def flags():
-        return stack[-1][1:] if stack else (False, False, False)
+#: A quote opens a value only behind an equals sign.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: What a path's score is multiplied by: in a boilerplate element or role; under a telling class name; outside the page's article.
+PART, NAMED, OUTSIDE = 0.05, 0.3, 0.3
+#: What an article's path has at least of the score, whatever its ratios.
+MARKED = 0.6
+#: Two levels of scores are means at least LEVELS apart, with no path's score within APART between them.
+LEVELS, APART = 0.2, 0.05
+#: Spread of the smoothing along the page, in blocks.
+SPREAD = 0.5
+
+
+@dataclass(frozen=True)
+class Place:
+    """An open element: its path (a number for each different row of labels), its block's path, and what its path says."""
+
+    name: str
+    path: int = 0
+    block_path: int = 0
+    hidden: bool = False
+    part: bool = False
+    named: bool = False
+    content: bool = False
+    linked: bool = False
+    heading: bool = False
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """Names in small letters with their values; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def text_nodes(page: str) -> list[tuple[str, int, Place]]:
+    """(text, block number, place) of every visible text node, in page order."""
+    nodes: list[tuple[str, int, Place]] = []
+    stack, paths, opened = [Place("")], {}, Counter()
+    block, at, n = 0, 0, len(page)
+
+    def pop() -> str:
+        name = stack.pop().name
+        opened[name] -= 1
+        return name
 
     while at < n:
         found = _TOKEN.search(page, at)
         end = found.start() if found else n
-        if end > at and not hidden:
-            nodes.append((path, page[at:end], block, boiler, content))
+        if end > at and not stack[-1].hidden:
+            nodes.append((page[at:end], block, stack[-1]))
         if not found:
             break
         at, name = found.end(), (found[2] or "").lower()
@@ -83,43 +113,52 @@ def text_nodes(page: str) -> list[tuple[str, str, int, bool, bool]]:
             continue
         if name in BLOCKS:
             block += 1
-        elif name == "br" and not hidden:
-            nodes.append((path, " ", block, boiler, content))
+        elif name == "br" and not stack[-1].hidden:
+            nodes.append((" ", block, stack[-1]))
         if found[1]:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            if opened[name]:
+                while pop() != name:
                     pass
-        else:
-            while stack and name in SELF_CLOSING.get(stack[-1][0], ()):
-                stack.pop()
-            if name in BLOCKS:  # an open paragraph ends before a block, even if inline elements are still open in it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in BLOCKS:
-                        if stack[k][0] == "p":
-                            del stack[k:]
-                        break
-            hidden, boiler, content = flags()
-            marks = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(found[3])} if found[3] else {}
-            named = f"{marks.get('class', '')} {marks.get('id', '')}"
-            is_page_header = name == "header" and not content
-            boiler = boiler or name in BOILERPLATE or is_page_header or marks.get("role", "").lower() in ROLES
-            boiler = boiler or (bool(named.strip()) and name not in ("html", "body", *CONTENT) and bool(MARKS.search(named)))
-            hidden = hidden or name in HIDDEN or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true"
-            content = content or name in CONTENT or marks.get("role", "").lower() in CONTENT
-            if name not in VOID and not found[3].rstrip().endswith("/"):
-                stack.append((name, hidden, boiler, content))
-                if name in RAW:
-                    close = re.compile(rf"</{name}\b", re.I).search(page, at)
-                    at = close.start() if close else n
-        hidden, boiler, content = flags()
-        path = "/".join(s[0] for s in stack)
+            continue
+        while name in SELF_CLOSING.get(stack[-1].name, ()):
+            pop()
+        if name in BLOCKS:  # an open paragraph ends before a block, even if inline elements are still open in it
+            k = len(stack) - 1
+            while k and stack[k].name not in BLOCKS:
+                k -= 1
+            if stack[k].name == "p":
+                while len(stack) > k:
+                    pop()
+        if name in VOID or found[3].rstrip().endswith("/"):
+            continue
+        up, has = stack[-1], attributes(found[3]) if found[3] else {}
+        role, label = has.get("role", "").lower(), (up.path, name, has.get("class", ""))
+        path = paths.setdefault(label, len(paths) + 1)
+        names = f"{has.get('class', '')} {has.get('id', '')}"
+        stack.append(
+            Place(
+                name,
+                path,
+                path if name in BLOCKS else up.block_path,
+                up.hidden or name in HIDDEN or "hidden" in has or has.get("aria-hidden", "").lower() == "true",
+                up.part or name in BOILERPLATE or role in ROLES or (name == "header" and not up.content),
+                up.named or (name not in ("html", "body", *CONTENT) and bool(MARKS.search(names))),
+                up.content or name in CONTENT or role in CONTENT,
+                up.linked or name == "a",
+                up.heading or name in HEADINGS,
+            )
+        )
+        opened[name] += 1
+        if name in RAW:
+            close = re.compile(rf"</{name}\b", re.I).search(page, at)
+            at = close.start() if close else n
     return nodes
 
 
-def bar_between(scores: np.ndarray, lengths: np.ndarray) -> float:
-    """The least score of the upper level by Otsu's cut, weighted by text length; -inf if there is one level only."""
+def level(scores: np.ndarray, weights: np.ndarray) -> float:
+    """The least score of the upper level by Otsu's cut; -inf if there is one level only."""
     order = np.argsort(scores, kind="stable")
-    x, w = scores[order], lengths[order]
+    x, w = scores[order], weights[order]
     below, sums = np.cumsum(w)[:-1], np.cumsum(w * x)[:-1]
     above = w.sum() - below
     low, high = sums / np.maximum(below, 1e-9), ((w * x).sum() - sums) / np.maximum(above, 1e-9)
@@ -127,54 +166,72 @@ def bar_between(scores: np.ndarray, lengths: np.ndarray) -> float:
     return float(x[parted.argmax() + 1]) if parted.max(initial=0) > 0 else -np.inf
 
 
-def chosen_paths(blocks: list[tuple[tuple[str, bool], int, int, int]], marked: bool) -> set[tuple[str, bool]]:
-    """Paths to keep of blocks given as (path, characters, punctuation marks, characters in links)."""
-    of: dict[tuple[str, bool], list[int]] = defaultdict(list)
-    for k, block in enumerate(blocks):
-        of[block[0]].append(k)
-    if len(of) < 2:
-        return set(of)
-    chars, marks, linked = (np.array([x[i] for x in blocks], float) for i in (1, 2, 3))
-    ratio, points, text = np.zeros(len(blocks)), np.zeros(len(blocks)), np.zeros(len(blocks))
-    for at in of.values():
-        ratio[at], points[at], text[at] = chars[at].mean(), marks[at].mean(), 1 - linked[at].sum() / chars[at].sum()
-    kernel = np.exp(-0.5 * (np.arange(-SMOOTH, SMOOTH + 1) / max(1, SMOOTH / 2)) ** 2)
-    weight = np.convolve(np.ones(len(blocks)), kernel, "full")[SMOOTH:-SMOOTH]
-    smooth = lambda x: np.convolve(x, kernel, "full")[SMOOTH:-SMOOTH] / weight
-    fused = (np.log1p(smooth(ratio)) + np.log1p(smooth(points))) * text
-    for k in range(len(blocks) - 2, -1, -1):  # a heading belongs to what it heads
-        if HEADING.search(blocks[k][0][0]):
-            fused[k] = max(fused[k], fused[k + 1])
-    score = {path: fused[at].mean() for path, at in of.items()}
-    bar = bar_between(np.array(list(score.values())), np.array([chars[at].sum() for at in of.values()]))
-    return {path for path in of if score[path] >= bar or marked and not path[1]}
+@dataclass
+class Block:
+    """A run of text of one block element and one part of the page."""
+
+    place: Place
+    texts: list[str]
+    chars: int = 0
+    marks: int = 0
+    linked: int = 0
+
+    @property
+    def key(self) -> tuple:
+        p = self.place
+        return p.block_path, p.part, p.named, p.content, 2 * self.linked > self.chars
 
 
-def block_path(path: str) -> str:
-    """The path without the inline elements at its end."""
-    names = path.split("/")
-    while names and names[-1] not in BLOCKS:
-        names.pop()
-    return "/".join(names)
+def path_scores(blocks: list[Block]) -> dict[tuple, tuple[float, int]]:
+    """The fused score of every path, and its characters."""
+    of: dict[tuple, list[int]] = defaultdict(list)
+    for k, b in enumerate(blocks):
+        of[b.key].append(k)
+    chars, marks, linked = (np.array([getattr(b, x) for b in blocks], float) for x in ("chars", "marks", "linked"))
+    length, points, text = np.zeros(len(blocks)), np.zeros(len(blocks)), np.zeros(len(blocks))
+    for at in of.values():
+        length[at], points[at], text[at] = chars[at].mean(), marks[at].mean(), 1 - linked[at].sum() / chars[at].sum()
+    kernel = np.exp(-0.5 * (np.arange(-1, 2) / SPREAD) ** 2)
+    weight = np.convolve(np.ones(len(blocks)), kernel, "full")[1:-1]
+    smooth = lambda x: np.convolve(x, kernel, "full")[1:-1] / weight
+    ratio = np.sqrt(smooth(length * text) * (1 + smooth(points * text)))
+    for k in range(len(blocks) - 2, -1, -1):  # a heading belongs to what it heads
+        if blocks[k].place.heading:
+            ratio[k], text[k] = max(ratio[k], ratio[k + 1]), max(text[k], text[k + 1])
+    per_path = {key: ratio[at].mean() for key, at in of.items()}
+    most, marked = max(per_path.values()), any(b.place.content and not b.place.part for b in blocks)
+    out = {}
+    for key, at in of.items():
+        _, part, named, content, _ = key
+        own = per_path[key] / most if most else 0.0
+        if marked and content:
+            own = MARKED + (1 - MARKED) * own
+        out[key] = own * text[at].mean() * (PART if part else 1) * (NAMED if named else 1) * (OUTSIDE if marked and not content else 1), int(chars[at].sum())
+    return out
 
 
 def main_text(page: str | None) -> str:
-    nodes = text_nodes(page or "")
-    inside = any(content and not boiler and text.strip() for _, text, _, boiler, content in nodes)
-    own = [(path, html.unescape(text) if "&" in text else text, block) for path, text, block, boiler, content in nodes if not boiler and content >= inside]
-    blocks: dict[int, list[str]] = {}
-    measured: dict[int, list] = {}  # path, characters, punctuation marks, characters in links
-    for path, text, block in own:
-        blocks.setdefault(block, []).append(text)
+    runs: dict[tuple, Block] = {}
+    for raw, block, place in text_nodes(page or ""):
+        text = html.unescape(raw) if "&" in raw else raw
+        run = runs.setdefault((block, place.part, place.named, place.content), Block(place, []))
+        run.texts.append(text)
         if not text.isspace():
-            m = measured.setdefault(block, [block_path(path), 0, 0, 0])
-            m[1] += len(text)
-            m[2] += len(PUNCTUATION.findall(text))
-            m[3] += len(text) * ("a" in path.split("/"))
-    keyed = {block: ((path, 2 * linked > chars), chars, marks, linked) for block, (path, chars, marks, linked) in measured.items()}
-    keep = chosen_paths(list(keyed.values()), inside)
-    lines = (" ".join("".join(parts).split()) for block, parts in blocks.items() if block in keyed and keyed[block][0] in keep)
-    return "\n".join(line for line in lines if line)
+            if not run.chars:
+                run.place = place
+            run.chars += len(text)
+            run.marks += len(PUNCTUATION.findall(text))
+            run.linked += len(text) * place.linked
+    blocks = {key: run for key, run in runs.items() if run.chars}
+    if not blocks:
+        return ""
+    scores = path_scores(list(blocks.values()))
+    bar = level(*(np.array(x, float) for x in zip(*scores.values())))
+    lines: dict[int, list[str]] = defaultdict(list)
+    for (block, *_), run in blocks.items():
+        if scores[run.key][0] >= bar:
+            lines[block] += run.texts
+    return "\n".join(line for line in (" ".join("".join(parts).split()) for parts in lines.values()) if line)
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

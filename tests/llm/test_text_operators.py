@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -92,11 +93,42 @@ def test_subwords_match_the_library(spark):
         assert np.frombuffer(bytes(got[k].ids), "<u4").tolist() == theirs.encode(t or ""), t
         assert got[k].decoded == (t or "")
     assert subwords.encoded(df.limit(0)).count() == 0
-    coder = subwords.Pieces()
-    coder.words, before = {}, coder.encode(["shared prefix sharing"])
+    coder = subwords.Coder(subwords.pieces())
+    before = coder.encode(["shared prefix sharing"])
     assert before == coder.encode(["shared prefix sharing"])
 
 
+def test_subword_memory_is_bounded_and_changes_nothing(monkeypatch):
+    texts = [" ".join(f"word{k * k % 977}x{k % 13}" for k in range(n, n + 300)) + " 漢é▁" for n in range(0, 6000, 300)]
+    want = subwords.Coder(subwords.pieces()).encode(texts)
+    monkeypatch.setattr(subwords, "REMEMBERED", 20_000)
+    monkeypatch.setattr(subwords, "LINKS", 50)
+    coder, got = subwords.Coder(subwords.pieces()), []
+    for t in texts:
+        got += coder.encode([t])
+        assert coder.held < 20_000 + 400 * 200 and len(coder.links) <= 50
+    assert got == want
+
+
+def test_forward_scores_are_the_sums_of_their_pieces():
+    coder = subwords.Coder(subwords.pieces())
+    words = sorted([" the", " then", " theory", " x漢", "é"])
+    for word, (ids, score) in zip(words, coder.segmented(words)):
+        alone, total = next(subwords.Coder(subwords.pieces()).segmented([word]))
+        assert (ids, score) == (alone, total) and score == sum(coder.model.score.get(i, 0.0) for i in ids)
+
+
+def test_two_long_words_that_part_early_take_linear_time():
+    from sentencepiece import SentencePieceProcessor
+    import public_tokenizers
+
+    text = "x" * 300_000 + "a x" + "y" * 300_000 + " " + "x" * 300_000 + "b"
+    theirs = SentencePieceProcessor(model_file=public_tokenizers.path(subwords.MODEL)).encode(text)
+    began = time.process_time()
+    assert np.frombuffer(subwords.Coder(subwords.pieces()).encode([text])[0], "<u4").tolist() == theirs
+    assert time.process_time() - began < 30
+
+
 def plain_escape(t):
     return re.sub(r"([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>)", r"\1\\\2\3", t)
 
@@ -173,6 +205,42 @@ def test_paths_keep_links_and_headings_of_text():
     assert tagpath.main_text("<ul><li><a href='/x'>Only</a><li><a href='/y'>links</a></ul>") == "Only\nlinks"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><div style="overflow:hidden"><p>Text one, here.</p></div><p>Two.</p></article>', "Text one, here.\nTwo."),
+        ('<article><div title="a hidden gem"><p>Text one.</p></div></article>', "Text one."),
+        ("<article><p data-id='comments'>Text.</p></article>", "Text."),
+        ('<article><div class="post-header"><h1>Head</h1></div><p>Body text, long. More of it.</p></article>', "Head\nBody text, long. More of it."),
+        ("<article><p title=don't>Some text.</p><p>it's here</p></article>", "Some text.\nit's here"),
+        ("<article><p hidden>No.</p><p aria-hidden=TRUE>No.</p><p data-x=\"a>b\">Yes.</p></article>", "Yes."),
+    ],
+)
+def test_attributes_are_read_by_name(page, text):
+    assert tagpath.main_text(page) == text
+
+
+def unmarked(page):
+    """Without article, nav, footer and telling classes: nothing but the ratios tells the text."""
+    for name in ("article", "nav", "footer"):
+        page = page.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
+    return page.replace('<div class="ad">', "<div>")
+
+
+def test_ratios_and_their_cut_find_the_text(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    marked = [tagpath.main_text(p) for p in pages]
+    assert np.mean([tagpath.main_text(unmarked(p)) == t for p, t in zip(pages, marked)]) >= 0.8
+    monkeypatch.setattr(tagpath, "level", lambda *_: -np.inf)
+    assert all(tagpath.main_text(p) != t for p, t in zip(pages, marked))
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    assert tagpath.main_text("<div><b>" * 30_000 + "text" + "</i>" * 30_000) == "text"
+    assert time.process_time() - began < 10
+
+
 def test_pages_have_their_articles(spark):
     rows = {r.page_id: r for r in QUERIES["op5_tag_path_ratios"](spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
@@ -188,7 +256,7 @@ def test_pages_have_their_articles(spark):
 
 def test_pages_of_odd_rows(spark):
     rows = [(1, "u", "<p>a b.</p>"), (1, "u", "<p>a b.</p>"), (None, None, None), (2, "v", ""), (3, "w", "<p>" + "long, text. " * 20000)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("key", F.lit(2))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("key", F.lit(2)).withColumn("page", F.lit(3)).withColumn("n_chars", F.lit(4))
     got = sorted((r.page_id or 0, r.n_chars) for r in tagpath.extracted(df).collect())
     assert got == [(0, 0), (1, 4), (1, 4), (2, 0), (3, 12 * 20000 - 1)]
     assert tagpath.extracted(df.limit(0)).count() == 0
