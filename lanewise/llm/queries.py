@@ -125,11 +125,11 @@ WITH d AS (
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 ), v AS (
-  SELECT r, lang, source, measure, (value // (1 << greatest(length(bin(value)) - 6, 0))) * (1 << greatest(length(bin(value)) - 6, 0)) AS cell FROM (
-    SELECT r, lang, source, 'symbol' AS measure, least(1000 * n_symbols // n_words, 1048575)::BIGINT AS value FROM f WHERE NOT base_failed
-    UNION ALL SELECT r, lang, source, 'line', least(CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END, 1048575)::BIGINT FROM f WHERE NOT base_failed
-    UNION ALL SELECT r, lang, source, 'repeat', least(1000 * n_repeat_words // n_words, 1048575)::BIGINT FROM f WHERE NOT base_failed
-    UNION ALL SELECT r, lang, source, 'length', least(100 * word_chars // n_words, 1048575)::BIGINT FROM f WHERE NOT base_failed)
+  SELECT r, lang, source, measure, value, (value // (1::BIGINT << greatest(length(bin(value)) - 6, 0))) * (1::BIGINT << greatest(length(bin(value)) - 6, 0)) AS cell, over, under FROM (
+    SELECT r, lang, source, 'symbol' AS measure, (1000 * n_symbols // n_words)::BIGINT AS value, n_symbols AS over, n_words AS under FROM f WHERE NOT base_failed
+    UNION ALL SELECT r, lang, source, 'line', (1000 * n_dup_lines // n_lines)::BIGINT, n_dup_lines, n_lines FROM f WHERE NOT base_failed
+    UNION ALL SELECT r, lang, source, 'repeat', (1000 * n_repeat_words // n_words)::BIGINT, n_repeat_words, n_words FROM f WHERE NOT base_failed
+    UNION ALL SELECT r, lang, source, 'length', (100 * word_chars // n_words)::BIGINT, word_chars, n_words FROM f WHERE NOT base_failed)
 ), levels AS (
   SELECT 1 AS level, lang, source, measure, cell, count(*) AS n FROM v GROUP BY ALL
   UNION ALL SELECT 2, lang, NULL, measure, cell, count(*) FROM v GROUP BY ALL
@@ -137,18 +137,18 @@ WITH d AS (
 ), c AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY cell) AS upto FROM levels
 ), q AS (
-  SELECT level, lang, source, measure, max(total) AS n, min(cell) FILTER (WHERE 4 * upto >= total) AS q1, min(cell) FILTER (WHERE 4 * upto >= 3 * total) AS q3
+  SELECT level, lang, source, measure, max(total)::BIGINT AS n, [min(cell) FILTER (WHERE 10 * upto >= total), min(cell) FILTER (WHERE 10 * upto >= 5 * total),
+    min(cell) FILTER (WHERE 10 * upto >= 9 * total)] AS d
   FROM c GROUP BY ALL
-), b AS (
-  SELECT level, lang, source, measure, n, q3 + greatest(3 * (q3 - q1), CASE measure WHEN 'symbol' THEN 100 WHEN 'line' THEN 400 WHEN 'repeat' THEN 350 ELSE 150 END) AS hi,
-    CASE WHEN measure = 'length' THEN q1 - greatest(3 * (q3 - q1), 150) ELSE -1 END AS lo
-  FROM q
+), near AS (
+  SELECT o.lang, o.source, o.measure, list_transform([1, 2, 3], lambda k: (o.n * o.d[k] + 200 * ((l.n * l.d[k] + 200 * e.d[k]) // (l.n + 200))) // (o.n + 200)) AS d
+  FROM q o JOIN q l ON o.level = 1 AND l.level = 2 AND l.measure = o.measure AND l.lang IS NOT DISTINCT FROM o.lang JOIN q e ON e.level = 3 AND e.measure = o.measure
+), fence AS (
+  SELECT lang, source, measure, d[3] + 3 * (d[3] - d[2]) AS hi, d[1] - 3 * (d[2] - d[1]) AS lo, CASE measure WHEN 'repeat' THEN 6 ELSE 1 END AS event FROM near
 ), judged AS (
-  SELECT v.r, bool_and(v.cell <= CASE WHEN o.n >= 200 THEN o.hi WHEN l.n >= 200 THEN l.hi ELSE e.hi END
-    AND v.cell >= CASE WHEN o.n >= 200 THEN o.lo WHEN l.n >= 200 THEN l.lo ELSE e.lo END) AS held
-  FROM v JOIN b o ON o.level = 1 AND o.measure = v.measure AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
-  JOIN b l ON l.level = 2 AND l.measure = v.measure AND l.lang IS NOT DISTINCT FROM v.lang
-  JOIN b e ON e.level = 3 AND e.measure = v.measure GROUP BY v.r
+  SELECT v.r, bool_and(CASE WHEN v.measure = 'length' THEN value BETWEEN lo AND hi
+    ELSE 1000 * over <= hi * under OR (1000 * over - hi * under)::DOUBLE * (1000 * over - hi * under)::DOUBLE <= 9e6::DOUBLE * event * ((hi * under)::DOUBLE / 1000::DOUBLE + event) END) AS held
+  FROM v JOIN fence b ON b.measure = v.measure AND b.lang IS NOT DISTINCT FROM v.lang AND b.source IS NOT DISTINCT FROM v.source GROUP BY v.r
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(held, false) AS kept

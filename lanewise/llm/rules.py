@@ -2,12 +2,15 @@
 
 Each document is measured once (words, symbols, repeated lines and word windows). The measures of every language and
 source go into mergeable quantile sketches: counts on a log-linear grid of integers, which add up exactly in any order
-and hold at most `GRID_CELLS` cells a measure. Fences come from the sketch's quartiles, of the source where it has
-enough rows, else of its language, else of all rows; the filter joins them back.
+and hold at most `GRID_CELLS` cells a measure. A fence is the upper decile plus REACH times its distance from the median
+(word length also has the like lower fence); no fence is a fixed number. A source's deciles are weighed with its
+language's and these with all rows', by how many rows each has, so small groups lean on wider ones without a switch.
+Marks that are rare in a group have deciles of 0, so rates are held against their fence with the tolerance that counts of
+that size have by chance: REACH standard deviations of a Poisson count of events.
 
 Null texts and texts without words have no words, fail the base rule and are not kept. Null languages and sources are
-groups of their own. Repeated rows are measured and judged one by one. Only the named columns are read; others, whatever
-their names, are left alone.
+groups of their own. Repeated rows are measured and judged one by one, ties of values share a cell. Very long texts are
+measured whole. An empty table gives none. Only the named columns are read; others, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -28,20 +31,18 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 WINDOW = 3
-#: Rows from which a source's, or else a language's, own sketch counts.
-MIN_ROWS = 200
-#: Quartile distances between a quartile and its fence.
+#: Rows that the wider group's deciles count for when a group's own are weighed with them.
+PRIOR = 200
+#: Distances between median and decile that a fence lies beyond the decile; also standard deviations of the tolerance.
 REACH = 3
-#: Measure -> numerator, scale, denominator, least distance of the fence, whether a lower fence holds too.
-RATES = {
-    "symbol_rate": ("n_symbols", 1000, "n_words", 100, False),
-    "dup_line_rate": ("n_dup_lines", 1000, "n_lines", 400, False),
-    "repeat_rate": ("n_repeat_words", 1000, "n_words", 350, False),
-    "word_length": ("word_chars", 100, "n_words", 150, True),
-}
+#: Rate -> numerator, denominator, marks that one event leaves (a word window that comes again: two windows of words).
+RATES = {"symbol_rate": ("n_symbols", "n_words", 1), "dup_line_rate": ("n_dup_lines", "n_lines", 1), "repeat_rate": ("n_repeat_words", "n_words", 2 * WINDOW)}
+#: Rates are counted per SCALE; word length, in hundredths, has two fences.
+SCALE, LENGTH_SCALE = 1000, 100
+MEASURES = (*RATES, "word_length")
 #: Values below 2**EXACT_BITS have cells of their own, larger ones share their leading EXACT_BITS bits.
-EXACT_BITS, TOP_BITS = 6, 20
-GRID_CELLS = 2**EXACT_BITS + (TOP_BITS - EXACT_BITS) * 2 ** (EXACT_BITS - 1)
+EXACT_BITS = 6
+GRID_CELLS = 2**EXACT_BITS + (63 - EXACT_BITS) * 2 ** (EXACT_BITS - 1)
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -100,8 +101,7 @@ def measure(docs: DataFrame, text: str = "text", into: str = "measures") -> Data
 
 
 def grid(value: Column) -> Column:
-    """The grid cell of a value, named by its least member."""
-    value = F.least(F.greatest(value, F.lit(0)), F.lit(2**TOP_BITS - 1))
+    """The grid cell of a value of 0 or more, named by its least member."""
     shift = F.greatest(F.length(F.bin(value)) - EXACT_BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
@@ -111,10 +111,8 @@ def base_failed(m: Column) -> Column:
 
 
 def rates(m: Column) -> dict[str, Column]:
-    return {
-        name: F.when(m[under] > 0, F.floor(m[over] * scale / m[under])).otherwise(0).cast("long")
-        for name, (over, scale, under, _, _) in RATES.items()
-    }
+    share = lambda over, scale, under: F.when(m[under] > 0, F.floor(m[over] * scale / m[under])).otherwise(0).cast("long")
+    return {k: share(over, SCALE, under) for k, (over, under, _) in RATES.items()} | {"word_length": share("word_chars", LENGTH_SCALE, "n_words")}
 
 
 def sketches(measured: DataFrame, groups: tuple[str, str] = ("lang", "source"), into: str = "measures") -> DataFrame:
@@ -135,45 +133,51 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "measure", "cell").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, *by: str) -> DataFrame:
-    """Rows and the fences lo, hi of each measure, one row a group, as columns <measure>_lo and <measure>_hi."""
+#: Column -> tenths of the rows at or below it.
+DECILES = {"low": 1, "mid": 5, "high": 9}
+
+
+def deciles(sketch: DataFrame, *by: str) -> DataFrame:
+    """One row a group: n (its rows) and <measure>_low, _mid and _high, the first, fifth and ninth decile."""
     w = Window.partitionBy(*by, "measure")
-    quartiles = (
-        sketch.withColumn("total", F.sum("n").over(w))
-        .withColumn("upto", F.sum("n").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*by, "measure")
-        .agg(
-            F.max("total").alias("n"),
-            F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("cell"))).alias("q1"),
-            F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("cell"))).alias("q3"),
-        )
-    )
-    spread = REACH * (F.col("q3") - F.col("q1"))
-    out = [F.max("n").alias("n")]
-    for name, (*_, least, lower) in RATES.items():
-        mine = F.col("measure") == name
-        out.append(F.max(F.when(mine, F.col("q3") + F.greatest(spread, F.lit(least)))).alias(f"{name}_hi"))
-        if lower:
-            out.append(F.max(F.when(mine, F.col("q1") - F.greatest(spread, F.lit(least)))).alias(f"{name}_lo"))
-    return quartiles.groupBy(*by).agg(*out)
+    cells = sketch.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda name, tenths: F.min(F.when((F.col("measure") == name) & (10 * F.col("upto") >= tenths * F.col("total")), F.col("cell")))
+    return cells.groupBy(*by).agg(F.max("total").alias("n"), *[at(m, t).alias(f"{m}_{d}") for m in MEASURES for d, t in DECILES.items()])
 
 
-#: Fences are broadcast up to so many groups (under 100 bytes each), beyond that joined by a shuffle.
+#: Fences are broadcast up to so many groups (under 150 bytes each), beyond that joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """The fences that hold for each language and source, written once."""
-    own, lang = fences(sketch, "lang", "source"), fences(merged(sketch, "lang"), "lang")
-    every = fences(merged(sketch))
-    names = [c for c in own.columns if c not in ("lang", "source", "n")]
-    pick = lambda c: F.when(F.col("o.n") >= MIN_ROWS, F.col(f"o.{c}")).when(F.col("l.n") >= MIN_ROWS, F.col(f"l.{c}")).otherwise(F.col(f"e.{c}"))
+    """The fences that hold for each language and source, <measure>_lo and <measure>_hi, written once."""
+    own, lang, every = deciles(sketch, "lang", "source"), deciles(merged(sketch, "lang"), "lang"), deciles(merged(sketch))
     joined = (
         own.alias("o")
         .join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")), "left")
         .join(F.broadcast(every.alias("e")))  # one row
     )
-    return staged(joined.select(F.col("o.lang").alias("fence_lang"), F.col("o.source").alias("fence_source"), *[pick(c).alias(c) for c in names]), "fences")
+    weighed = lambda n, own_, wide: F.expr(f"({n} * {own_} + {PRIOR} * {wide}) div ({n} + {PRIOR})")
+    names = [f"{m}_{d}" for m in MEASURES for d in DECILES]
+    near = joined.select("o.*", *[weighed("l.n", f"l.{c}", f"e.{c}").alias(f"wide_{c}") for c in names])
+    held = near.select("lang", "source", *[weighed("n", c, f"wide_{c}").alias(c) for c in names])
+    out = [F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source")]
+    for m in MEASURES:
+        out.append((F.col(f"{m}_high") + REACH * (F.col(f"{m}_high") - F.col(f"{m}_mid"))).alias(f"{m}_hi"))
+        out.append((F.col(f"{m}_low") - REACH * (F.col(f"{m}_mid") - F.col(f"{m}_low"))).alias(f"{m}_lo"))
+    return staged(held.select(*out), "fences")
+
+
+def within(m: Column, side: DataFrame) -> Column:
+    """Whether a document's measures hold the fences."""
+    length = rates(m)["word_length"]
+    held = (length <= side["word_length_hi"]) & (length >= side["word_length_lo"])
+    for name, (over, under, event) in RATES.items():
+        allowed = side[f"{name}_hi"] * m[under]
+        excess = (SCALE * m[over] - allowed).cast("double")
+        chance = F.lit(float(SCALE**2 * REACH**2 * event)) * (allowed.cast("double") / F.lit(float(SCALE)) + F.lit(float(event)))
+        held = held & ((excess <= 0) | (excess * excess <= chance))
+    return held
 
 
 def judged(measured: DataFrame, fence: DataFrame, groups: tuple[str, str] = ("lang", "source"), into: str = "measures", verdict: str = "kept") -> DataFrame:
@@ -182,31 +186,23 @@ def judged(measured: DataFrame, fence: DataFrame, groups: tuple[str, str] = ("la
     small = fence.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     side = F.broadcast(fence) if small else fence
     lang, source = (measured[g].cast("string") for g in groups)
-    held = F.lit(True)
-    for name, value in rates(m).items():
-        held = held & (grid(value) <= side[f"{name}_hi"])
-        if RATES[name][-1]:
-            held = held & (grid(value) >= side[f"{name}_lo"])
     out = measured.join(side, lang.eqNullSafe(side["fence_lang"]) & source.eqNullSafe(side["fence_source"]), "left")
     keep = [measured[c] for c in measured.columns if c != verdict]
-    return out.select(*keep, (~base_failed(m) & F.coalesce(held, F.lit(False))).alias(verdict))
+    return out.select(*keep, (~base_failed(m) & F.coalesce(within(m, side), F.lit(False))).alias(verdict))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """One row a document: key, groups, METRICS, base_failed, kept. The text is read once."""
     slim = docs.select(F.col(key), *[F.col(g) for g in groups], F.col(text).alias("measures_text"))
-    measured = measure(slim, "measures_text").drop("measures_text")
-    measured = staged(measured, "measures")
-    fence = thresholds(sketches(measured, groups))
-    out = judged(measured, fence, groups)
+    measured = staged(measure(slim, "measures_text").drop("measures_text"), "measures")
+    out = judged(measured, thresholds(sketches(measured, groups)), groups)
     m = F.col("measures")
     return out.select(key, *groups, *[m[x].alias(x) for x in METRICS], base_failed(m).alias("base_failed"), "kept")
 
 
 def keep_by_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """The documents, all their columns, that the rules keep. Measured twice instead of storing the texts again."""
+    """The documents, all their columns, that the rules keep. They are measured once and written with their measures."""
     into, verdict = "lanewise_measures", "lanewise_kept"
-    slim = docs.select(F.col(text), *[F.col(g) for g in groups])
-    fence = thresholds(sketches(measure(slim, text, into).drop(text), groups, into))
-    out = judged(measure(docs, text, into), fence, groups, into, verdict)
+    measured = staged(measure(docs, text, into), "measured")
+    out = judged(measured, thresholds(sketches(measured, groups, into)), groups, into, verdict)
     return out.where(F.col(verdict)).select(*docs.columns)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
-_PERIOD = 1 << 16
+_TABLE = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
@@ -36,7 +36,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-_POWERS = mix(np.arange(1, _PERIOD + 1, dtype=_U)) | _U(1)
+def _weights(at: np.ndarray) -> np.ndarray:
+    """The weight of each byte position in a segment: no two positions share one by rule."""
+    return mix(at.astype(_U) + _U(1)) | _U(1)
+
+
+#: The weights of the first positions, which nearly all words and lines lie within.
+_FIRST = _weights(np.arange(_TABLE))
 
 
 def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -49,7 +55,7 @@ def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         first = np.cumsum(n) - n
         local = np.arange(int(n.sum())) - np.repeat(first, n)
         values = data[np.repeat(starts[full], n) + local].astype(_U) + _U(1)
-        values *= _POWERS[local % _PERIOD]
+        values *= _FIRST[local] if n.max() <= _TABLE else _weights(local)
         out[full] = np.add.reduceat(values, first)
     return mix(out + lens.astype(_U) * _U(0x9E3779B97F4A7C15))
 

@@ -138,6 +138,18 @@ def test_rules_on_odd_rows(spark):
     assert rules.quality_rules(odd(spark).limit(0)).count() == 0
 
 
+def test_fences_follow_each_group_of_the_data(spark):
+    """The same text is kept where such texts are usual and not where they aren't; no number is fixed."""
+    plain, marked = " ".join(f"word{k}" for k in range(60)), " ".join(f"word{k}" + "#" * (k % 2) for k in range(60))
+    rows = [(k, plain, "en", "prose") for k in range(900)] + [(1000 + k, marked if k % 2 else plain, "en", "code") for k in range(900)]
+    rows += [(5000, marked, "en", "prose"), (5001, marked, "en", "tiny")]
+    kept = {r.doc_id: r.kept for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[k] for k in range(900)) and all(kept[1000 + k] for k in range(900)) and not kept[5000]
+    fence = {r.fence_source: r for r in rules.thresholds(rules.sketches(rules.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "text", "measures"))).collect()}
+    assert fence["prose"].symbol_rate_hi < fence["tiny"].symbol_rate_hi < fence["code"].symbol_rate_hi
+    assert kept[5001] == (fence["tiny"].symbol_rate_hi >= 500)
+
+
 def test_sketches_merge_and_bound_their_error(spark):
     values = spark.range(1, 200_000, 37).select((F.col("id") * F.col("id") % 900_001).alias("v"))
     got = values.select("v", rules.grid(F.col("v")).alias("g")).agg(F.max(F.col("g") > F.col("v")).alias("over"), F.max((F.col("v") - F.col("g")) / F.greatest("v", F.lit(1))).alias("e"), F.countDistinct("g").alias("n")).first()

@@ -34,6 +34,15 @@ def test_words_and_hashes():
     assert list(words.slices(pa.array([], pa.string()))) == []
 
 
+def test_long_words_that_differ_in_one_place_have_hashes_of_their_own():
+    n = 3 * (1 << 16)
+    texts = ["x" * k + "y" + "x" * (n - k - 1) for k in (0, 5, 65_536, 65_541, 131_072, 131_077)] + ["x" * 65_536, "x" * 65_537]
+    found = [h for w in words.slices(pa.array(texts)) for h in w.hashes()]
+    assert len(set(found)) == len(texts)
+    (both,) = words.slices(pa.array([texts[0] + " short", "short"]))
+    assert both.hashes()[0] == found[0] and both.hashes()[1] == both.hashes()[2]
+
+
 def test_shingle_bags_are_multisets():
     texts = ["a b c d e f a b c d e", "a b c d e", "a b", "", None, "b a"]
     (w,) = words.slices(pa.array(texts))
