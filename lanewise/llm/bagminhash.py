@@ -6,9 +6,11 @@ weights are the bits of a point's weight coordinate, and a point counts where th
 count. Points fall on random registers; a register keeps its earliest point. Two documents then agree on a register
 with probability equal to their weighted Jaccard similarity.
 
-Registers are banded. In a bucket every text is compared with the bucket's leader, not with each other, and compared
-means an exact multiset overlap. Buckets whose texts still lie in several classes go through a second pass that
-computes overlaps block by block inside tasks, so a link between different texts isn't lost to the star shape.
+Registers are banded. The texts of a bucket are dealt to SALTS parts; in a part every text is compared with the part's
+leader, and the leaders with the first of them, not all with each other, and compared means an exact multiset overlap.
+Buckets whose texts still lie in several classes go through a second pass that computes the overlaps of each text outside
+the bucket's largest class with all its texts, block by block inside tasks, so a link between different texts isn't lost to
+the star shape. No task gets more of a bucket than a part of it, or two blocks of about BLOCK_BYTES.
 
 Null texts and texts without words are nobody's duplicates: each such row is a class of its own. Texts of one to four
 words have one element, all their words. Equal texts are one class at once; repeated rows of one key stay rows.
@@ -32,8 +34,10 @@ SIMILARITY = 0.8
 #: A pair at the threshold shares none of 25 bands of 5 registers with probability (1 - 0.8**5)**25 = 5e-5.
 BANDS, BAND = 25, 5
 REGISTERS = BANDS * BAND
-#: Texts of a bucket in one block of the second pass.
-BLOCK = 512
+#: Parts of a bucket, and bytes of text in one block of the second pass.
+SALTS, BLOCK_BYTES = 256, 4 << 20
+#: Rows of a bucket that meet one row of what is known of the bucket.
+SALTED = 64
 _U = np.uint64
 _SIG_SLICE = 2 << 20
 
@@ -169,70 +173,84 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _shared_buckets(sigs: DataFrame) -> DataFrame:
-    """(bucket, tid, leader) of buckets with two texts or more. The leader comes first in an order that the bucket picks."""
-    band = sigs.select("tid", F.explode("buckets").alias("bucket"))
-    turn = F.xxhash64("tid", F.pmod("bucket", F.lit(3)))
-    lead = (
-        band.groupBy("bucket")
-        .agg(F.min(F.struct(turn.alias("turn"), F.col("tid").alias("leader"))).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("bucket", F.col("first.leader").alias("leader"))
+    """(bucket, n, tid, leader) of buckets with n > 1 texts. The order that leaders come first in differs between buckets.
+    A part's leader has the bucket's as its own."""
+    band = sigs.select("tid", F.explode("buckets").alias("bucket"), F.pmod(F.xxhash64("tid"), F.lit(SALTS)).alias("salt"))
+    turn = F.struct(F.xxhash64("tid", F.pmod("bucket", F.lit(3))).alias("turn"), "tid")
+    parts = band.groupBy("bucket", "salt").agg(F.min(turn).alias("first"), F.collect_list("tid").alias("tids"))
+    whole = Window.partitionBy("bucket")  # SALTS rows at most, of 16 bytes a text
+    known = parts.withColumn("n", F.sum(F.size("tids")).over(whole)).withColumn("lead", F.min("first").over(whole)["tid"]).where("n > 1")
+    own = F.col("first")["tid"]
+    return known.select("bucket", "n", own.alias("own"), "lead", F.explode("tids").alias("tid")).select(
+        "bucket", "n", "tid", F.when(F.col("tid") == F.col("own"), F.col("lead")).otherwise(F.col("own")).alias("leader")
     )
-    return band.join(lead, "bucket").select("bucket", "tid", "leader")
 
 
 def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(tid, text), once each. Copies are reduced to one row before the texts are shuffled by tid."""
-    return rows.join(nodes, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    """(tid, text, size in bytes), once each. Copies are reduced to one row a task before the texts are shuffled by tid; so
+    the join, with each tid once on both sides, is no semi-join, which would be put before the reduction."""
+    once = rows.groupBy("tid").agg(F.first("text").alias("text"))
+    return once.join(nodes, "tid").select("tid", "text", F.octet_length("text").cast("long").alias("size"))
 
 
 def _rest(buckets: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between texts of one bucket that the comparison with its leader left in different classes.
+    """Links (a, b) between texts of one bucket that the comparison with leaders left in different classes.
 
-    Such a bucket is dealt into blocks, and each pair of blocks goes to a task, which computes all overlaps exactly from
-    its own postings. A link is given only where it joins two classes of the task: fewer than it has texts.
+    The texts of such a bucket outside its largest class are dealt into blocks, and so are all its texts; each pair of
+    blocks goes to a task, which computes all overlaps exactly from its own postings. A link is given only where it joins
+    two classes of the task: fewer than it has texts.
     """
-    member = buckets.where(F.col("tid") != F.col("leader")).join(label, "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("root"))
-    several = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n")
-    open_ = staged(member.join(several, "bucket"), "open").join(texts, "tid")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("tid"), blocks).cast("int")
-    dealt = open_.select("bucket", "tid", "root", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    keyed = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "tid", "root", "text")
+    member = buckets.select("bucket", "n", "tid").join(label, "tid", "left").withColumn("root", F.coalesce("root", "tid")).join(texts.select("tid", "size"), "tid")
+    classes = member.groupBy("bucket", "n", "root").agg(F.count("*").alias("texts"), F.sum("size").alias("size"))
+    largest = F.max(F.struct("texts", "size", "root"))
+    several = classes.groupBy("bucket", "n").agg(F.count("*").alias("classes"), F.sum("size").alias("size"), largest.alias("largest")).where("classes > 1")
+    blocks = lambda size: F.ceil(size / BLOCK_BYTES).cast("int")
+    salts = F.ceil(F.col("n") / SALTED).cast("int")
+    facts = several.select(
+        "bucket", F.col("largest.root").alias("most"), blocks(F.col("size")).alias("many"), blocks(F.col("size") - F.col("largest.size")).alias("few"),
+        F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
+    )
+    turn = F.xxhash64("tid")
+    open_ = staged(member.withColumn("salt", F.pmod(turn, salts).cast("int")).join(facts, ["bucket", "salt"]), "open")
+    deal = lambda side, own, other: F.struct(F.lit(side).alias("side"), F.pmod(turn, own).cast("int").alias("own"), F.sequence(F.lit(0), other - 1).alias("other"))
+    outside = F.when(F.col("root") != F.col("most"), deal(0, F.col("few"), F.col("many")))
+    sides = open_.select("bucket", "tid", "root", F.explode(F.array(outside, deal(1, F.col("many"), F.col("few")))).alias("d")).where("d IS NOT NULL")
+    dealt = sides.select("bucket", "tid", "root", "d.side", "d.own", F.explode("d.other").alias("other"))
+    pick = lambda side: F.when(F.col("side") == side, F.col("own")).otherwise(F.col("other"))
+    keyed = dealt.select("bucket", pick(0).alias("x"), pick(1).alias("y"), "side", "tid", "root").join(texts.select("tid", "text"), "tid")
 
     def run(part: pa.Table) -> pa.Table:
-        own, root = part.column("own").to_numpy(), part.column("root").to_pylist()
+        side, root = part.column("side").to_numpy(), part.column("root").to_pylist()
         tid, bags = part.column("tid").to_pylist(), _bags(part.column("text"))
-        links = block_links(bags, own, root)
-        out = [sorted((tid[i], tid[j])) for i, j in links]
+        out = [sorted((tid[i], tid[j])) for i, j in block_links(bags, side, root)]
         return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
 
     return keyed.groupBy("bucket", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def block_links(bags: list[tuple[np.ndarray, np.ndarray]], block: np.ndarray, root: list) -> list[tuple[int, int]]:
-    """Links that join the given classes: pairs of one block or of two, by exact overlap, one for each joining."""
+def block_links(bags: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, root: list) -> list[tuple[int, int]]:
+    """Links that join the given classes, between bags of side 0 and bags of side 1, by exact overlap, one for each joining."""
     names = {r: k for k, r in enumerate(dict.fromkeys(root))}
     group = np.array([names[r] for r in root])
     size = np.array([n.sum() for _, n in bags])
     doc = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
     count = np.concatenate([n for _, n in bags])
     shingle = np.unique(np.concatenate([h for h, _ in bags]), return_inverse=True)[1]
-    order = np.argsort(shingle, kind="stable")
-    at = np.searchsorted(shingle[order], np.arange(shingle.max(initial=-1) + 2))
     own = np.searchsorted(doc, np.arange(len(bags) + 1))
-    two, links = block.min() != block.max(), []
-    for i in range(len(bags)):
+    facing = np.flatnonzero(side[doc] == 1)
+    order = facing[np.argsort(shingle[facing], kind="stable")]
+    at = np.searchsorted(shingle[order], np.arange(shingle.max(initial=-1) + 2))
+    links = []
+    for i in np.flatnonzero(side == 0):
         mine = slice(own[i], own[i + 1])
         first, n = at[shingle[mine]], np.diff(at)[shingle[mine]]
         hits = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         common = np.bincount(doc[hits], np.minimum(count[hits], np.repeat(count[mine], n)), minlength=len(bags))
-        near = common >= SIMILARITY * (size + size[i] - common) - 1e-9
-        near[: i + 1] = False
-        for j in np.flatnonzero(near & (block != block[i]) if two else near):
+        near = (common >= SIMILARITY * (size + size[i] - common) - 1e-9) & (side == 1)
+        for j in np.flatnonzero(near):
             if group[i] != group[j]:
                 group[group == group[j]] = group[i]
-                links.append((i, int(j)))
+                links.append((int(i), int(j)))
     return links
 
 
@@ -252,7 +270,7 @@ def _labelled(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     sigs = staged(signed(rows.select("tid", "text")).dropDuplicates(["tid"]), "signatures")
     buckets = staged(_shared_buckets(sigs), "buckets")
     pairs = buckets.where(F.col("tid") != F.col("leader")).select(F.col("leader").alias("a"), F.col("tid").alias("b")).distinct()
-    texts = staged(_texts_of(rows, buckets.select("tid").distinct()), "texts")
+    texts = staged(_texts_of(rows, buckets.select("tid").distinct()), "texts")  # each text with a partner once
     edges = staged(verified(pairs, texts), "edges")
     label = components(edges)
     more = staged(_rest(buckets, label, texts), "edges")

@@ -2,12 +2,13 @@
 
 A sparse logistic regression over the words of a text (small letters, no punctuation, each distinct word once). It is
 fitted on a bounded sample of labelled texts. For every sampled text that names a group, the name is swapped for the
-other names of its kind, and the fit pays for the squared change of the score; so a weight that rests on which group is
-named, not on what is said, is driven to that of its counterparts. Words are kept as 64-bit hashes, so no two words of a
-corpus share a weight, and the model holds at most `MAX_WORDS` of them.
+other names of its kind, and taken out of a text that isn't toxic; the fit pays for the squared change of the score. So a
+weight that rests on which group is named, not on what is said, is driven to that of its counterparts, and the mere
+mention of a group to no weight at all. Words are kept as 64-bit hashes, so no two words of a corpus share a weight.
 
 Null and empty texts score the model's bias. Very long texts are read whole. Without labels of both kinds every text
-scores 0. Repeated rows are scored one by one; labels, languages, sources and keys are no inputs of a score.
+scores 0. A score equal to the cut is toxic. Repeated rows are scored one by one, and labelled rows of one key count once
+a class; labels, languages, sources and keys are no inputs of a score. Columns but the named ones are left alone.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from lanewise.llm.words import mix, plain_slices
 
 #: The most labelled texts of each class that the fit takes.
 PER_CLASS = 4000
-MAX_WORDS = 20_000
 #: A word is in the model if this many texts have it and its difference between the classes has the standard score MIN_Z;
 #: or, whatever the size of the classes, if it stands out at chance RARE (an exact bound of the binomial tail) among the
 #: toxic texts that the words so chosen don't find.
@@ -107,10 +107,7 @@ def fit_bags(rows: list[np.ndarray], labels: np.ndarray, swap_penalty: float = S
     z = (with1 / n1 - (texts - with1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
     groups = [_word_hash(line.split()) for line in IDENTITY_TERMS]
     named = np.isin(vocabulary, np.concatenate(groups))
-    strength = np.where((texts >= MIN_TEXTS) & (np.abs(z) >= MIN_Z), np.abs(z), 0)
-    chosen = np.argsort(-strength, kind="stable")[:MAX_WORDS]
-    keep = np.zeros(len(vocabulary), bool)
-    keep[chosen] = strength[chosen] > 0
+    keep = (texts >= MIN_TEXTS) & (np.abs(z) >= MIN_Z)
     model = _fit_words(rows, text, flat, np.union1d(vocabulary[keep | named], np.concatenate(groups)), groups, labels, swap_penalty)
     missed = (labels == 1) & (model.totals(text, flat, len(rows)) < 0)
     k, m, share = np.bincount(word, missed[text], minlength=len(vocabulary)), texts - with1, missed.sum() / (missed.sum() + n0)
@@ -119,9 +116,7 @@ def fit_bags(rows: list[np.ndarray], labels: np.ndarray, swap_penalty: float = S
     rate = k / np.maximum(k + m, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         tail = -np.where(k > 0, k * np.log(rate / share), 0) - np.where(m > 0, m * np.log((1 - rate) / (1 - share)), 0)
-    tail = np.where((k >= MIN_TEXTS) & (rate > share) & ~keep, tail, 0)
-    rare = np.argsort(tail, kind="stable")[: MAX_WORDS - int(keep.sum())]
-    keep[rare] |= tail[rare] <= np.log(RARE)
+    keep |= (k >= MIN_TEXTS) & (rate > share) & (tail <= np.log(RARE))
     return _fit_words(rows, text, flat, np.union1d(vocabulary[keep | named], np.concatenate(groups)), groups, labels, swap_penalty)
 
 
@@ -129,31 +124,35 @@ def _fit_words(rows, text, flat, words, groups, labels, swap_penalty) -> Model:
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     inside = np.isin(flat, words)
     i, j = text[inside], np.searchsorted(words, flat[inside])
-    swaps = list(_swaps(i, words[j], groups, words))
+    swaps = list(_swaps(i, words[j], groups, words, labels))
     weight = np.where(labels == 1, 0.5 / n1, 0.5 / n0)
     w, bias = _descend(i, j, labels.astype(float), weight, len(words), swaps, swap_penalty)
     used = np.flatnonzero(w)
     return Model(words[used], w[used], bias)
 
 
-def _swaps(text: np.ndarray, h: np.ndarray, groups: list[np.ndarray], words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(text, word out, word in) of every swap of a group's name."""
+def _swaps(text: np.ndarray, h: np.ndarray, groups: list[np.ndarray], words: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(word out, word in) of every swap of a group's name; -1 for none, where it is taken out of a text that isn't toxic."""
     for group in groups:
         at = np.flatnonzero(np.isin(h, group))
         own: dict[int, set] = {}
         for k in at:
             own.setdefault(int(text[k]), set()).add(int(h[k]))
+        place = {x: int(np.searchsorted(words, np.uint64(x))) for x in group.tolist()}
         for t, there in own.items():
             for out in there:
+                if labels[t] == 0:
+                    yield place[out], -1
                 for new in group.tolist():
                     if new not in there:
-                        yield t, int(np.searchsorted(words, np.uint64(out))), int(np.searchsorted(words, np.uint64(new)))
+                        yield place[out], place[new]
 
 
 def _descend(i, j, y, weight, n_words, swaps, swap_penalty):
     """Accelerated proximal descent on weighted log loss + L1 + L2 + the mean squared score change of the swaps."""
     n = len(y)
-    out_, in_ = (np.array([s[k] for s in swaps], np.int64) for k in (1, 2))
+    out_, in_ = (np.array([s[k] for s in swaps], np.int64) for k in (0, 1))
+    in_[in_ < 0] = n_words  # a word of weight 0
     per = swap_penalty / max(1, len(swaps))
     column = np.bincount(j, weight[i], minlength=n_words)
     reach = 0.25 * np.bincount(i, np.ones(len(i)), minlength=n).max(initial=1) + 0.25
@@ -166,8 +165,8 @@ def _descend(i, j, y, weight, n_words, swaps, swap_penalty):
         slope = weight * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - y)
         gradient = np.bincount(j, slope[i], minlength=n_words) + L2 * v
         if len(swaps):
-            change = 2 * per * (v[in_] - v[out_])
-            gradient += np.bincount(in_, change, minlength=n_words) - np.bincount(out_, change, minlength=n_words)
+            change = 2 * per * (np.append(v, 0.0)[in_] - v[out_])
+            gradient += np.bincount(in_, change, minlength=n_words + 1)[:n_words] - np.bincount(out_, change, minlength=n_words)
         new_w = v - step * gradient
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * L1, 0)
         new_b = c - step * slope.sum()
@@ -178,8 +177,8 @@ def _descend(i, j, y, weight, n_words, swaps, swap_penalty):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
-    """Fits on at most 2 * per_class texts. Their word hashes, not the texts, come to the driver: 8 bytes a distinct word of a
-    text, so the rows are bounded, and the bytes only as far as the texts' lengths are."""
+    """Fits on at most 2 * per_class texts of the sample's bytes. Their word hashes, not the texts, come to the driver: 8 bytes a
+    distinct word of a text, so at most four times the bytes of the sampled texts (a word and its parting take two)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -101,7 +101,8 @@ def test_blocks_join_every_class():
     texts = made_texts()
     keys = [k for k, t in texts.items() if t and t.split()]
     bags = bagminhash._bags(pa.array([texts[k] for k in keys]))
-    links = bagminhash.block_links(bags, np.zeros(len(keys), int), keys)
+    twice = np.repeat([0, 1], len(keys))  # all against all, as in a bucket of one block
+    links = [(i, j - len(keys)) for i, j in bagminhash.block_links(bags + bags, twice, keys + keys)]
     root = {k: k for k in keys}
 
     def find(x):
@@ -116,6 +117,40 @@ def test_blocks_join_every_class():
     assert {k: find(k) for k in keys} == {k: v for k, v in brute_classes(texts).items() if k in root}
 
 
+def test_second_pass_with_many_blocks_matches_all_pairs(spark, monkeypatch):
+    """One bucket holds every text, leaders link nothing, blocks hold few texts: the second pass alone finds every link."""
+    texts = {k: t for k, t in made_texts().items() if t and t.split()}
+    rows = spark.createDataFrame([(k, t) for k, t in texts.items()], "key long, text string").withColumn("tid", bagminhash._tid("text"))
+    once = rows.groupBy("tid").agg(F.first("text").alias("text"), F.min("key").alias("key")).cache()
+    n = once.count()
+    buckets = once.select(F.lit(7).cast("long").alias("bucket"), F.lit(n).cast("long").alias("n"), "tid", F.col("tid").alias("leader"))
+    label = once.select("tid", F.col("tid").alias("root")).limit(0)
+    ids = {bytes(r.tid): r.key for r in once.collect()}
+    for size in (1 << 12, 1 << 30):
+        monkeypatch.setattr(bagminhash, "BLOCK_BYTES", size)
+        root = {k: k for k in ids.values()}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in bagminhash._rest(buckets, label, once.select("tid", "text", F.octet_length("text").cast("long").alias("size"))).collect():
+            a, b = find(ids[bytes(r.a)]), find(ids[bytes(r.b)])
+            root[max(a, b)] = min(a, b)
+        assert {k: find(k) for k in root} == {k: v for k, v in brute_classes({k: texts[k] for k in root}).items()}
+
+
+def test_a_large_bucket_is_dealt_in_parts(spark):
+    sigs = spark.range(5000).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("tid"), F.array(F.lit(1).cast("long"), F.col("id") + 10).alias("buckets"))
+    got = bagminhash._shared_buckets(sigs).collect()
+    assert len(got) == 5000 and {(r.bucket, r.n) for r in got} == {(1, 5000)}
+    stars = Counter(bytes(r.leader) for r in got)
+    assert max(stars.values()) < 400 and len(stars) <= bagminhash.SALTS + 1
+    top = {bytes(r.leader) for r in got if r.leader in {x.leader for x in got} and r.tid == r.leader}
+    assert len(top) == 1
+
+
 def test_near_copies_of_odd_rows(spark):
     got = sorted((str(r.doc_id), str(r.class_id), r.n_class) for r in bagminhash.near_duplicates(odd(spark)).collect())
     assert got == sorted([("None", "5", 2), ("5", "5", 2), ("1", "1", 1), ("2", "2", 1), ("3", "3", 2), ("3", "3", 2), ("4", "4", 1)])
@@ -220,12 +255,48 @@ def test_swaps_lower_the_weight_of_names():
         texts.append(" ".join(t)), labels.append(int(toxic))
     rows = [h for part in toxicity.bags(pa.array(texts)) for h in [part[2][part[1] == r] for r in range(part[0])]]
     gap = {}
-    for penalty in (0.0, 20.0):
+    for penalty in (0.0, toxicity.SWAP_PENALTY, 20.0):
         m = toxicity.fit_bags(rows, np.array(labels), penalty)
         s = m.score(pa.array(["women f1 f2", "men f1 f2", "vile men f1"]))
         gap[penalty] = abs(np.log(s[0] / (1 - s[0])) - np.log(s[1] / (1 - s[1])))
         assert s[2] > 0.5 > s[1]
-    assert gap[20.0] < 0.5 * gap[0.0]
+    assert gap[20.0] < 0.5 * gap[0.0] and gap[toxicity.SWAP_PENALTY] < 0.5 * gap[0.0]
+
+
+def test_mentions_of_groups_alone_are_not_toxic():
+    """A name that neutral texts have too gets no weight of its own, however often toxic texts have it."""
+    rng = np.random.default_rng(5)
+    texts, labels = [], []
+    for k in range(600):
+        toxic = k % 3 == 0
+        t = [f"f{x}" for x in rng.choice(200, 15, replace=False)] + (["vile"] if toxic else [])
+        texts.append(" ".join(t + (["muslims"] if rng.random() < (0.8 if toxic else 0.05) else []))), labels.append(int(toxic))
+    rows = [h for part in toxicity.bags(pa.array(texts)) for h in [part[2][part[1] == r] for r in range(part[0])]]
+    plain, swapped = (toxicity.fit_bags(rows, np.array(labels), p) for p in (0.0, toxicity.SWAP_PENALTY))
+    mention = lambda m: np.diff(np.log(1 / m.score(pa.array(["f1 f2 f3", "f1 f2 f3 muslims"])) - 1))[0]
+    assert abs(mention(swapped)) < 0.25 * abs(mention(plain))
+    assert swapped.score(pa.array(["f1 vile", "f1 muslims"])).round().tolist() == [1, 0]
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * (100 if k % 7 else 5000)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    got = labelled.sample(docs, labels, "toxic", 1000, class_bytes=10_000).collect()
+    for label in (0, 1):
+        sizes = [len(r.text) for r in got if r.label == label]
+        assert 9_000 <= sum(sizes) <= 10_000 and set(sizes) == {100}
+
+
+def test_votes_are_those_of_the_nearest_by_brute_force():
+    rng = np.random.default_rng(3)
+    bag = np.sqrt(rng.dirichlet(np.full(quality.TRAITS, 0.02), 300)).astype(np.float32)
+    m = quality.fit_bags(bag[:200], np.arange(200) % 2)
+    own = m.latent(bag[200:])
+    for vector, vote in zip(own, m.votes(own)):
+        cosine = [float(np.dot(vector, x)) for x in m.vectors]
+        near = sorted(range(200), key=lambda k: -cosine[k])[: quality.NEIGHBOURS]
+        weight = [max(0.0, cosine[k]) ** 2 * m.weights[k] for k in near]
+        assert abs(vote - sum(w * m.labels[k] for w, k in zip(weight, near)) / max(sum(weight), 1e-12)) < 1e-5
 
 
 def test_shards(spark):
