@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The control strings of the template, opened and closed per role.
 USER = ("[INST] ", " [/INST]")
@@ -75,26 +76,35 @@ def parse(formatted: Column) -> Column:
 
 
 def formatted(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a conversation: conv, formatted, turns (parsed from it), spans (start and length in characters of the
-    assistant texts in it, the loss mask), identical (the parsed turns are the source's), n_escaped."""
+    """One row a conversation: conv, formatted, turns (parsed from it), spans (start and length of the assistant texts in it,
+    in characters and in bytes: the loss mask), identical (the parsed turns are the source's), n_escaped."""
     rows = conversations.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     plain = render_turn(F.col("role"), F.col("text"))
     conflict = ~(parse(plain).eqNullSafe(F.array(F.struct("role", "text"))))
-    first = rows.withColumn("body", F.when(conflict, escape(F.col("text"))).otherwise(F.col("text")))
-    held = first.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "body"))).alias("source"))
+    first = rows.withColumn("body", F.when(conflict, escape(F.col("text"))).otherwise(F.col("text"))).withColumn("safe", escape(F.col("text")))
+    before = Window.partitionBy("conv").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    measures = {"chars": F.length, "bytes": F.octet_length}
+    for name, size in measures.items():  # running lengths of what comes before a turn, escaped where in conflict or throughout
+        for how in ("body", "safe"):
+            first = first.withColumn(f"{name}_{how}", F.coalesce(F.sum(size(render_turn(F.col("role"), F.col(how)))).over(before), F.lit(0)))
+    at = lambda how: F.struct(*[F.col(f"{name}_{how}").alias(name) for name in measures])
+    kept = F.struct("turn", "role", "text", at("body").alias("at_body"), "body", at("safe").alias("at_safe"), "safe")
+    held = first.groupBy("conv").agg(F.array_sort(F.collect_list(kept)).alias("source"))
     wanted = F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    some = F.array_join(F.transform("source", lambda t: render_turn(t["role"], t["body"])), "")
-    all_ = F.array_join(F.transform("source", lambda t: render_turn(t["role"], escape(t["text"]))), "")
-    once = held.withColumn("wanted", wanted).withColumn("once", some)
-    once = once.withColumn("formatted", F.when(parse(F.col("once")).eqNullSafe(F.col("wanted")), F.col("once")).otherwise(all_))
-    done = once.withColumn("turns", parse(F.col("formatted")))
-    segments = F.filter(F.split("formatted", CLOSED), lambda s: s != "")
-    lengths = F.transform(segments, F.length)
-    sizes = F.transform(segments, lambda s: F.when(s.startswith(ASSISTANT[0]), F.length(s) - len(ASSISTANT[0]) - len(ASSISTANT[1])))
-    starts = F.transform(lengths, lambda n, k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(len(ASSISTANT[0])), lambda a, x: a + x))
-    spans = F.filter(F.arrays_zip(starts.alias("start"), sizes.alias("length")), lambda s: s["length"].isNotNull())
+    joined = lambda how: F.array_join(F.transform("source", lambda t: render_turn(t["role"], t[how])), "")
+    once = held.withColumn("wanted", wanted).withColumn("once", joined("body"))
+    once = once.withColumn("well", parse(F.col("once")).eqNullSafe(F.col("wanted")))
+    done = once.withColumn("formatted", F.when(F.col("well"), F.col("once")).otherwise(joined("safe"))).withColumn("turns", parse(F.col("formatted")))
+    mark = len(ASSISTANT[0])
+    span = lambda t, how: F.struct(
+        (t[f"at_{how}"]["chars"] + mark).alias("start"),
+        F.length(t[how]).alias("length"),
+        (t[f"at_{how}"]["bytes"] + mark).alias("start_byte"),
+        F.octet_length(t[how]).alias("bytes"),
+    )
+    spans = F.transform(F.filter("source", lambda t: t["role"] == "assistant"), lambda t: F.when(F.col("well"), span(t, "body")).otherwise(span(t, "safe")))
     return done.select(
         F.col("conv").alias(conv),
         "formatted",
@@ -105,12 +115,18 @@ def formatted(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn
     )
 
 
+def masked(chats: DataFrame, into: str = "masked") -> DataFrame:
+    """chats with the texts under the loss mask: cut out of the formatted bytes by the spans, then unescaped."""
+    raw = chats.withColumn("lanewise_raw", F.col("formatted").cast("binary"))
+    cut = lambda s: unescape(F.decode(F.substring("lanewise_raw", (s["start_byte"] + 1).cast("int"), s["bytes"]), "UTF-8"))
+    return raw.withColumn(into, F.transform("spans", cut)).drop("lanewise_raw")
+
+
 def digest(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Counts and digests of what the parser reads back from the formatted text."""
-    turns = F.col("turns")
-    loss = F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    """Counts and digests of what the parser reads back from the formatted text, and of what the loss mask cuts out of it."""
+    turns, loss = F.col("turns"), F.array_join("lanewise_loss", "")
     all_ = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return chats.select(
+    return masked(chats, "lanewise_loss").select(
         conv,
         F.size(turns).cast("long").alias("n_turns"),
         F.sha2(all_.cast("binary"), 256).alias("turns_sha256"),

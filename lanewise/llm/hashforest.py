@@ -12,9 +12,10 @@ to ascend. The arrays are dealt by tree and prefix cell, cells of over `BLOCK` v
 to the cells that their prefixes cover. Equal vectors are indexed once, with their k + 1 least ids, which is all a list
 of k can show; so a large group of copies is no large part of an array.
 
-Take no part: null vectors, zero vectors, vectors with null or non-finite components, rows without an id, vectors of
-another length than the table's commonest (the longer one on a tie). Of different vectors of one id one counts. Ties go
-to the smaller id. An empty table gives no rows. Columns but the named ones are left alone.
+Take no part: null vectors, zero vectors, vectors with null or non-finite components, rows without an id. Vectors of
+different lengths have no product, so each length is a table of its own. Rows of one id with equal vectors are one row;
+different vectors of one id are candidates each, and queries each with a list of their own. Ties go to the smaller id. An
+empty table gives no rows. Columns but the named ones are left alone.
 
 BUDGET is a share because recall must hold for vectors without clusters: for directions at random, hash prefixes of near
 and far vectors differ so little that 0.9 of the true neighbours only come with about as many products as a scan makes.
@@ -40,7 +41,7 @@ K = 20
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, vkey: a digest of the vector, vec: its doubles' bytes, dim), one row an id."""
+    """(id, vkey: a digest of the vector, vec: its doubles' bytes, dim), one row an id and vector."""
     slim = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     slim = slim.where(F.col("id").isNotNull() & F.col("v").isNotNull())
 
@@ -59,9 +60,7 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
             )
 
     rows = slim.mapInArrow(run, "id bigint, vec binary, dim int").withColumn("vkey", F.unhex(F.md5("vec")))
-    rows = staged(rows.groupBy("id").agg(F.min(F.struct("vkey", "vec", "dim")).alias("r")).select("id", "r.vkey", "r.vec", "r.dim"), "vectors")
-    dims = rows.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    return rows.where(F.col("dim") == (dims[0]["dim"] if dims else 0))
+    return staged(rows.groupBy("id", "vkey").agg(F.first("vec").alias("vec"), F.first("dim").alias("dim")), "vectors")
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -109,14 +108,16 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = K, budget: float = BUDGET) -> DataFrame:
-    """query_id, rank, vec_id, score for queries whose id is divisible by `every`."""
-    spark = vectors.sparkSession
+    """query_id, rank, vec_id, score for queries whose id is divisible by `every`. One search for each length of vectors."""
     rows = usable(vectors, key, vector)
+    out = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for dim in sorted(r["dim"] for r in rows.select("dim").distinct().collect()):
+        out = out.unionByName(_search_all(rows.where(F.col("dim") == dim), dim, every, k, budget))
+    return out
+
+
+def _search_all(rows: DataFrame, dim: int, every: int, k: int, budget: float) -> DataFrame:
     points = staged(distinct_vectors(rows, k), "points")
-    size = points.select(F.octet_length("vec").alias("b")).limit(1).collect()
-    if not size:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim = size[0]["b"] // 8
     longest = float(points.select("vec").mapInArrow(_norms(dim), "norm double").agg(F.max("norm")).collect()[0][0])
     hashed = staged(points.mapInArrow(_hashed(dim, longest), "vkey binary, vec binary, ids array<bigint>, codes array<bigint>"), "hashed")
     tops = hashed.select(F.posexplode("codes").alias("tree", "code")).groupBy("tree", F.expr(f"shiftright(code, {BITS - TOP})").alias("top")).count().collect()
@@ -139,11 +140,12 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
     pairs = found.select("query", F.explode("found").alias("f")).select("query", "f.score", "f.least", "f.vkey").dropDuplicates(["query", "vkey"])
     top = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-    listed = top.join(points.select("vkey", "ids"), "vkey").select("query", "score", F.explode("ids").alias("vec_id"))
+    listed = top.join(points.select("vkey", "ids"), "vkey").select("query", "score", F.col("vkey").alias("near"), F.explode("ids").alias("vec_id"))
     near = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     listed = listed.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1)
-    own = asked.withColumnRenamed("id", "query_id").join(listed.withColumnRenamed("query", "vkey"), "vkey").where(F.col("vec_id") != F.col("query_id"))
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    own = asked.withColumnRenamed("id", "query_id").join(listed.withColumnRenamed("query", "vkey"), "vkey")
+    own = own.where((F.col("vec_id") != F.col("query_id")) | (F.col("near") != F.col("vkey")))
+    last = Window.partitionBy("query_id", "vkey").orderBy(F.desc("score"), "vec_id")
     return own.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -226,6 +228,7 @@ def _search(dim: int, k: int):
             q, depth = _matrix(queries.column("vec"), dim), queries.column("depth").to_numpy()
             low = (queries.column("code").to_numpy() >> (BITS - depth)) << (BITS - depth)
             name = queries.column("vkey").to_pylist()
+            slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()  # of a matrix product's rounding
             for part in _parts(low, depth):
                 a, b = np.searchsorted(code, [low[part[0]], low[part[0]] + (1 << int(BITS - depth[part[0]]))])
                 for at in np.array_split(part, -(-len(part) // 256)) if b > a else ():
@@ -233,7 +236,7 @@ def _search(dim: int, k: int):
                     kept = min(k, b - a)
                     bar = np.partition(product, b - a - kept, axis=1)[:, b - a - kept]
                     for row, i in enumerate(at):
-                        near = a + np.flatnonzero(product[row] >= bar[row] - 1e-12)
+                        near = a + np.flatnonzero(product[row] >= bar[row] - slack[i])
                         score = (x[near] * q[i]).sum(axis=1)
                         order = np.lexsort((least[near], -score))[:kept]
                         names.append(name[i])

@@ -333,7 +333,7 @@ def test_neighbours(spark):
 
 
 def test_neighbours_of_odd_vectors(spark):
-    rows = [(k, [1.0, 0.0, 0.5]) for k in range(60)] + [(60, [0.0, 9.0, 1.0]), (61, None), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 1.0]), (64, [float("nan"), 1.0, 1.0]), (65, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (80, [-0.0, 9.0, 1.0]), (66, [])]
+    rows = [(k, [1.0, 0.0, 0.5]) for k in range(60)] + [(60, [0.0, 9.0, 1.0]), (61, None), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 1.0]), (64, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (80, [-0.0, 9.0, 1.0]), (66, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("score", F.lit(1))
     got = defaultdict(list)
     for r in hashforest.neighbours(df).orderBy("query_id", "rank").collect():
@@ -345,6 +345,66 @@ def test_neighbours_of_odd_vectors(spark):
     assert hashforest.neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_several_vectors_an_id_lengths_and_norms(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, (rng.standard_normal(6) * 10.0 ** rng.integers(-3, 4)).tolist()) for k in range(200)]
+    rows += [(20, rng.standard_normal(6).tolist()), (7, rng.standard_normal(6).tolist()), (7, rows[7][1])] + [(300 + 20 * k, rng.standard_normal(3).tolist()) for k in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in hashforest.neighbours(df, budget=1e9).collect())
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    want = []
+    for q, v in distinct:
+        if q % 20 == 0:
+            near = sorted(((-float(np.sum(np.array(x) * np.array(v))), i) for i, x in distinct if len(x) == len(v) and (i, x) != (q, v)))[:20]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near)]
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)]
+    assert np.allclose([r[3] for r in got], [r[3] for r in sorted(want)], rtol=1e-12, atol=0)
+
+
+def plain_xxhash(salt, key):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(key.encode(), xxhash.xxh64_intdigest(int(salt).to_bytes(4, "little"), 42))
+
+
+def test_shards_are_the_least_draws(spark):
+    docs = spark.createDataFrame([(k, "t") for k in [*range(300), None]], "doc_id long, text string")
+    weights = [1.0] * 20 + [2.0, 0.5, 0.0, 1.0]
+    draw = lambda key, n, w: -np.log(((plain_xxhash(rendezvous.SALT + n, key) >> 11) + 0.5) * 2.0**-53) / w
+    for r in rendezvous.sharded(docs, weights=weights).where("doc_id IS NOT NULL").collect():
+        draws = [(draw(str(r.doc_id), n, w), n) for n, w in enumerate(weights) if w]
+        assert r.shard == min(draws)[1] and r.grown_shard == min([*draws, (draw(str(r.doc_id), 24, 1.0), 24)])[1]
+    nulls = docs.where("doc_id IS NULL").unionAll(docs.where("doc_id IS NULL")).repartition(2)
+    got = rendezvous.sharded(nulls).collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == [0, 1] and len({r.grown_shard for r in got}) == 1
+
+
+def test_pipeline_of_odd_rows_against_brute_force(spark, tmp_path):
+    """run() over null, empty, equal and repeated rows, as the stages one by one say."""
+    prose = " ".join(f"plain{k}" for k in range(80))
+    rows = [(10 + k, f"{prose} own{k} " + " ".join(f"u{k}x{j}" for j in range(60)), "en", "s", 1) for k in range(30)]
+    rows += [(100 + k, rows[k][1], "en", "s", 1) for k in range(10)] + [rows[3], (None, prose + " null", None, None, None), *ODD]
+    for name, df in {
+        "documents": spark.createDataFrame(rows, KIND),
+        "labels": spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int"),
+    }.items():
+        df.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = [r for r in rules.quality_rules(docs).where("kept").collect()]
+    number = lambda k: 9999 if k is None else k
+    texts = {number(r[0]): r[1] for r in rows}
+    want = set(brute_classes({number(r.doc_id): texts[number(r.doc_id)] for r in good}).values())
+    assert {number(r.doc_id) for r in got} == want and {9999, *range(10, 40)} <= want and not want & {100 + k for k in range(10)}
+    length = Counter()
+    for r in got:
+        length[r.doc_id] += r.length
+    assert all(r.doc_tokens == length[r.doc_id] for r in got)
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r for r in docs.collect()}
@@ -363,4 +423,6 @@ def test_pipeline_stages(spark):
     for p in pieces:
         tokens[p.doc_id] += p.length
     assert {p.doc_id: p.doc_tokens for p in pieces} == dict(tokens) and set(tokens) == set(classes.values())
-    assert sorted(map(str, corpus_pipeline.run(spark, SF).select("doc_id", "start").distinct().collect()))[:1]
+    whole = Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces)
+    again = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id: r.doc_tokens for r in again} == {r.doc_id: r.doc_tokens for r in pieces} and sum(r.length for r in again) == sum(n * k[2] for k, n in whole.items())

@@ -62,6 +62,21 @@ def test_encoder_gives_the_tokenizers_ids():
         assert np.frombuffer(encode(t), encode.width).tolist() == theirs.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_on_random_words():
+    """Plain words are merged through a part of another library that isn't its public face; an update may not change ids."""
+    import random
+
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    random.seed(9)
+    encode, theirs = packing.Encoder(packing.VOCABULARY), Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    letters = "aaeeiioouutnrslcdmpghbfvwyjkqxzéèüñßÀÖ0123456789'.,-!?$&()"
+    texts = [" ".join("".join(random.choices(letters, k=random.randint(1, 14))) for _ in range(40)) for _ in range(1500)]
+    for t, want in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(encode(t), encode.width).tolist() == want.ids, t
+
+
 def test_packing_round_trip(spark):
     texts = [(k, t) for k, t in enumerate(ODD * 4)] + [(None, "no id"), (3, "same id"), (3, "same id")]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("start", F.lit(5)).withColumn("ids", F.lit("x")).repartition(3)
@@ -147,6 +162,7 @@ def test_chat_round_trip(spark):
     rows = [(c, t, ("user", "assistant", "system =%", None)[(c + t) % 4], x) for c in range(4) for t, x in enumerate(nasty)] + [(9, 0, "user", "a"), (9, 0, "user", "a"), (None, None, "assistant", "b"), (10, 3, "assistant", "y"), (10, 1, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     got = {r.conv_id: r for r in chat.formatted(df).collect()}
+    masks = {r.conv_id: r.masked for r in chat.masked(chat.formatted(df)).collect()}
     digests = {r.conv_id: r for r in chat.digest(chat.formatted(df)).collect()}
     for conv in {r[0] for r in rows}:
         mine = sorted([((r[1] is not None, r[1] or 0), r[2] or "", r[3] or "") for r in rows if r[0] == conv])
@@ -155,6 +171,7 @@ def test_chat_round_trip(spark):
         loss = [t for role, t in turns if role == "assistant"]
         spans = [got[conv].formatted[s.start : s.start + s.length] for s in got[conv].spans]
         assert spans == [plain_escape(t) for t in loss]
+        assert masks[conv] == loss
         d = digests[conv]
         assert d.n_turns == len(turns) and d.loss_chars == len("".join(loss)) and d.formatted_chars == len(got[conv].formatted)
         assert d.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
