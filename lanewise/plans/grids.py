@@ -29,7 +29,6 @@ FORM_HEADERS = {
 STROKE_WORDS = {"espalda": "backstroke", "pecho": "breaststroke", "mariposa": "butterfly", "crol": "freestyle", "libre": "freestyle"}
 GENDER_WORDS = {"dama": "female", "mujer": "female", "female": "female", "varon": "male", "hombre": "male", "male": "male"}
 QUAD_STROKES = ("butterfly", "backstroke", "breaststroke", "freestyle")
-ENTRY = "sheet string, row int, first_name string, paternal string, maternal string, id_number string, birth_date string, gender string, backstroke string, breaststroke string, butterfly string, freestyle string"
 
 
 def query(sql: str | None = None, star: bool = True):
@@ -65,61 +64,74 @@ def between(words: DataFrame, keys: list[str], left: float, right: float, into:
     return inside.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ").alias(into))
 
 
-def _fold(value: object) -> str:
-    table = str.maketrans("áéíóúüñ", "aeiouun")
-    return " ".join(str(value or "").lower().translate(table).split())
+def _folded(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), text.MATCH_FROM, text.MATCH_TO), r"\s+", " "))
 
 
-def _gender(words: str) -> str | None:
-    return next((g for w, g in GENDER_WORDS.items() if re.search(rf"(?<![a-z]){w}" if w == "male" else w, words)), None)
+def _gender_in(c: Column) -> Column:
+    """The gender of the first of GENDER_WORDS that a folded text holds; "male" only where no letter comes before it."""
+    hits = [F.when(c.rlike(rf"(?<![a-z]){w}") if w == "male" else F.contains(c, F.lit(w)), g) for w, g in GENDER_WORDS.items()]
+    return F.coalesce(*hits)
 
 
-def _form(rows: list[list]) -> list[dict] | None:
-    at = {_fold(h): k for k, h in enumerate(rows[0])} if rows else {}
-    if any(FORM_HEADERS[k] not in at for k in ("first_name", "paternal", "birth_date", "gender")):
-        return None
-    pick = lambda r, k: r[at[FORM_HEADERS[k]]] if FORM_HEADERS[k] in at and at[FORM_HEADERS[k]] < len(r) else None
-    return [{"row": n} | {k: pick(r, k) for k in FORM_HEADERS} for n, r in enumerate(rows[1:], 2) if any(v for v in r)]
+def _last_place(cells: Column, test) -> Column:
+    """The place, from 0, of the last cell that passes."""
+    return F.array_max(F.filter(F.transform(cells, lambda v, k: F.when(test(v), k)), lambda k: k.isNotNull()))
 
 
-def _blocks(sheet: str, rows: list[list]) -> list[dict]:
-    heads = []
-    for n, row in enumerate(rows):
-        names = [_fold(v) for v in row]
-        if "nombre" in names and "rut" in names and any("nacimiento" in x for x in names):
-            find = lambda test, names=names: next((k for k, x in enumerate(names) if test(x)), None)
-            heads.append((n, {"first_name": names.index("nombre"), "id_number": names.index("rut"), "paternal": find(lambda x: "apellido" in x and "paterno" in x), "maternal": find(lambda x: "apellido" in x and "materno" in x), "birth_date": find(lambda x: "nacimiento" in x)}))
-    out = []
-    for k, (n, at) in enumerate(heads):
-        gender = _gender(_fold(sheet)) or next((g for r in rows[n + 1 : n + 4] if (g := _gender(_fold(" ".join(str(v or "") for v in r))))), None)
-        if gender is None:
-            continue
-        strokes = {s: c for r in rows[max(0, n - 4) : n] for c, v in enumerate(r) for w, s in STROKE_WORDS.items() if "50" in _fold(v) and w in _fold(v)}
-        end = heads[k + 1][0] if k + 1 < len(heads) else len(rows)
-        for number, row in enumerate(rows[n + 1 : end], n + 2):
-            cell = lambda c, row=row: row[c] if c is not None and c < len(row) else None
-            if cell(at["first_name"]) or cell(at["paternal"]) or cell(at["id_number"]):
-                out.append({"row": number, "gender": gender} | {f: cell(c) for f, c in at.items()} | {s: cell(c) for s, c in strokes.items()})
-    return out
+def _first_place(cells: Column, test) -> Column:
+    return F.array_min(F.filter(F.transform(cells, lambda v, k: F.when(test(v), k)), lambda k: k.isNotNull()))
+
+
+ENTRY_FIELDS = ("first_name", "paternal", "maternal", "id_number", "birth_date", "gender", *sorted(set(STROKE_WORDS.values())))
+_PLACES = "struct<" + ", ".join(f"{f}: int" for f in ENTRY_FIELDS) + ">"
+
+
+def raw_entries(grid: DataFrame) -> DataFrame:
+    """(sheet, row, ENTRY_FIELDS as text) of the people in sheets given as (sheet, row, cells).
+
+    Each row looks up where its fields stand in the header above it: a form's is its first row, a block's the last row of
+    block headers so far, carried down the sheet. A block's gender is in the sheet's name or the three rows below its
+    header, its strokes are above the header, in up to four rows. Blocks of no gender have no people.
+    """
+    sheet = Window.partitionBy("sheet").orderBy("at")
+    rows = grid.select("sheet", F.row_number().over(Window.partitionBy("sheet").orderBy("row")).alias("at"), "cells", F.transform("cells", _folded).alias("names"))
+    is_ = lambda text_: lambda v: v == text_
+    form_places = [_last_place(F.col("names"), is_(FORM_HEADERS[f])).alias(f) for f in ENTRY_FIELDS]
+    is_form = (F.col("at") == 1) & F.forall(F.array(*[F.lit(FORM_HEADERS[f]) for f in ("first_name", "paternal", "birth_date", "gender")]), lambda h: F.array_contains("names", h))
+    born = lambda v: F.contains(v, F.lit("nacimiento"))
+    is_block = F.array_contains("names", "nombre") & F.array_contains("names", "rut") & F.exists("names", born)
+    surname = lambda which: lambda v: F.contains(v, F.lit("apellido")) & F.contains(v, F.lit(which))
+    block_places = {"first_name": is_("nombre"), "id_number": is_("rut"), "paternal": surname("paterno"), "maternal": surname("materno"), "birth_date": born}
+    above, below = sheet.rowsBetween(-4, -1), sheet.rowsBetween(1, 3)
+    for stroke in sorted(set(STROKE_WORDS.values())):
+        words = [w for w, of in STROKE_WORDS.items() if of == stroke]
+        own = _last_place(F.col("names"), lambda v, words=words: F.contains(v, F.lit("50")) & v.rlike("|".join(words)))
+        rows = rows.withColumn(f"_own_{stroke}", own).withColumn(f"_{stroke}", F.last(f"_own_{stroke}", ignorenulls=True).over(above))
+    placed = {f: _first_place(F.col("names"), t) for f, t in block_places.items()} | {s: F.col(f"_{s}") for s in set(STROKE_WORDS.values())}
+    block_struct = F.struct(*[(placed[f] if f in placed else F.lit(None)).cast("int").alias(f) for f in ENTRY_FIELDS])
+    rows = rows.withColumn("_said", _gender_in(_folded(F.array_join(F.col("cells"), " ", ""))))
+    rows = rows.withColumn("_sex", F.coalesce(_gender_in(_folded(F.col("sheet"))), F.first("_said", ignorenulls=True).over(below)))
+    head = F.when(is_form, F.struct(F.lit("form").alias("kind"), F.lit(None).cast("string").alias("sex"), F.struct(*[p.cast("int").alias(f) for p, f in zip(form_places, ENTRY_FIELDS)]).cast(_PLACES).alias("places")))
+    head = head.when(is_block, F.struct(F.lit("block").alias("kind"), F.col("_sex").alias("sex"), block_struct.cast(_PLACES).alias("places")))
+    upto = sheet.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_head", head).withColumn("_form", F.first("_head", ignorenulls=False).over(upto)).withColumn("_last", F.last("_head", ignorenulls=True).over(upto))
+    form = F.coalesce(F.col("_form.kind") == "form", F.lit(False))  # a sheet with a form's first row is a form throughout
+    people = rows.withColumn("_h", F.when(form, F.col("_form")).otherwise(F.col("_last"))).where(F.when(form, F.col("at") > 1).otherwise(F.col("_head").isNull() & F.col("_h").isNotNull()))
+    values = {f: F.get("cells", F.col(f"_h.places.{f}")) for f in ENTRY_FIELDS}
+    values["gender"] = F.when(form, values["gender"]).otherwise(F.col("_h.sex"))
+    filled = lambda c: F.coalesce(c != "", F.lit(False))
+    there = F.when(form, F.exists("cells", filled)).otherwise(F.col("_h.sex").isNotNull() & (filled(values["first_name"]) | filled(values["paternal"]) | filled(values["id_number"])))
+    return people.where(there).select("sheet", F.col("at").alias("row"), *[v.alias(f) for f, v in values.items()])
 
 
 def entries(grid: DataFrame, competition_year: int) -> DataFrame:
     """People of an entries workbook given as (sheet, row, cells): the form layout where a sheet has its headers, else
     blocks under repeated headers. Gender, birth date and times are read; rows without a name or a known gender go."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row")
-        sheet, rows = part["sheet"].iloc[0], [list(c) for c in part["cells"]]
-        found = _form(rows)
-        found = _blocks(sheet, rows) if found is None else found
-        columns = [c.split()[0] for c in ENTRY.split(", ")]
-        return pd.DataFrame([{"sheet": sheet} | f for f in found], columns=columns, dtype=object)
-
-    raw = grid.groupBy("sheet").applyInPandas(run, ENTRY)
     born = F.coalesce(*[F.try_to_date(F.trim("birth_date"), f) for f in ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy")])
     marks = [F.struct(F.lit(s).alias("key"), times.time_ms(F.col(s)).alias("value")) for s in sorted(set(STROKE_WORDS.values()))]
     name = F.trim(F.concat_ws(" ", "first_name", "paternal", "maternal"))
-    out = raw.withColumn("born", born).select(
+    out = raw_entries(grid).withColumn("born", born).select(
         "sheet", "row", name.alias("full_name"), text.id_number_key(F.col("id_number")).alias("id_number"), domain.athlete_gender(F.col("gender")).alias("gender"),
         F.year("born").alias("birth_year"), (F.lit(competition_year) - F.year("born")).alias("age"), F.map_from_entries(F.filter(F.array(*marks), lambda m: m["value"].isNotNull())).alias("times"),
     )

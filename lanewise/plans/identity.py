@@ -32,51 +32,52 @@ def tokens(name: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text.strip_accents(name)), "[^a-z0-9]+", " ")), " ")
 
 
-_PARTIAL = T.StructType().add("shorter", "string").add("added", T.ArrayType(T.StringType())).add("initials", T.ArrayType(T.StringType()))
-
-
-def _contained(few: list[str], many: list[str]) -> tuple[list[str], list[str]] | None:
-    """What many has beyond few, and the initials of few that stand for names of many; None if few isn't contained."""
-    left, rest, initials = list(many), [], []
-    for t in few:
-        if t in left:
-            left.remove(t)
-        else:
-            rest.append(t)
-    for t in rest:
-        full = next((x for x in left if x.startswith(t)), None) if len(t) == 1 else None
-        if full is None:
-            return None
-        left.remove(full)
-        initials.append(f"{t}->{full}")
-    return left, initials
-
-
-@F.pandas_udf(_PARTIAL)
-def partial_match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Of two token arrays: which is the other less up to two names or with initials; all null if neither is. Taking
-    tokens out of a multiset one by one has no built-in form."""
-    out = []
-    for x, y in zip(a, b):
-        x, y = list(x if x is not None else ()), list(y if y is not None else ())
-        found = []
-        if len(x) > 1 and len(y) > 1 and x != y:
-            for side, few, many in (("a", x, y), ("b", y, x)):
-                hit = _contained(few, many) if len(few) <= len(many) else None
-                if hit is not None:
-                    found.append((len(hit[0]), len(hit[1]), side, hit))
-        best = min(found, key=lambda f: f[:2]) if found else None
-        good = best and (best[3][0] or best[3][1]) and (len(best[3][0]) <= 2 or best[3][1])
-        out.append((best[2], best[3][0], best[3][1]) if good else (None, None, None))
-    return pd.DataFrame(out, columns=["shorter", "added", "initials"])
+def _numbered(words: Column) -> Column:
+    """Sorted words as (word, its number among equal ones): sets of these are multisets of words."""
+    return F.transform(words, lambda w, k: F.struct(w.alias("w"), (k + 2 - F.array_position(words, w)).cast("int").alias("n")))
+
+
+def within_name(few: Column, many: Column) -> Column:
+    """(added, initials) where the sorted tokens few, counted, lie within many, an initial standing for a token that it
+    begins; else null. added: what many has beyond few; initials: `initial->token`.
+
+    Tokens that both have are set against each other first. What is left of few must be initials; per letter, the first
+    tokens left of many that begin with it are theirs.
+    """
+    rest = F.transform(F.array_except(_numbered(few), _numbered(many)), lambda t: t["w"])
+    over = F.transform(F.array_except(_numbered(many), _numbered(few)), lambda t: t["w"])
+    wanted = _numbered(rest)
+    begun = F.transform(over, lambda w: F.substring(w, 1, 1))
+    offered = F.transform(F.arrays_zip(over.alias("w"), _numbered(begun).alias("key")), lambda z: z)
+    fits = (F.size(few) <= F.size(many)) & F.forall(rest, lambda w: F.length(w) == 1) & (F.size(F.array_except(wanted, _numbered(begun))) == 0)
+    added = F.transform(F.filter(offered, lambda z: ~F.array_contains(wanted, z["key"])), lambda z: z["w"])
+    initials = F.transform(F.filter(offered, lambda z: F.array_contains(wanted, z["key"])), lambda z: F.concat(z["key"]["w"], F.lit("->"), z["w"]))
+    return F.when(fits, F.struct(added.alias("added"), initials.alias("initials")))
+
+
+#: Names that may be left out beside none of initials.
+MOST_ADDED = 2
 
 
 def partial_candidates(people: DataFrame, key: str = "athlete_id", name: str = "athlete_name") -> DataFrame:
-    """Pairs of one gender and birth year whose names contain each other."""
+    """Pairs a < b of one gender and birth year of whom one's name is the other's less up to two names or with initials:
+    (a, b, shorter: "a" or "b", added, initials).
+
+    The shorter name's full tokens must all be in the longer one, so a shorter name is joined by its rarest full token only
+    (a name of initials by each of them) with the names that have it: no block is compared as a whole.
+    """
     p = people.where("birth_year IS NOT NULL").select(F.col(key).alias("id"), F.col("athlete_gender").alias("g"), F.col("birth_year").alias("y"), F.array_sort(tokens(F.col(name))).alias("t"))
-    pairs = p.select("g", "y", F.col("id").alias("a"), F.col("t").alias("ta")).join(p.select("g", "y", F.col("id").alias("b"), F.col("t").alias("tb")), ["g", "y"]).where("a < b")
-    near = pairs.where(F.size(F.array_intersect("ta", "tb")) > 0)
-    return near.withColumn("m", partial_match("ta", "tb")).where("m.shorter IS NOT NULL").select("a", "b", "m.shorter", "m.added", "m.initials")
+    p = p.where(F.size("t") > 1)
+    words = p.select("g", "y", "id", "t", F.explode(F.array_distinct("t")).alias("w"))
+    often = words.groupBy("g", "y", "w").agg(F.count("*").alias("often"))
+    ranked = words.where(F.length("w") > 1).join(often, ["g", "y", "w"])
+    full = core.first_by(ranked, ["id"], F.asc("often"), F.asc("w")).select("g", "y", "w", "id", "t")
+    bare = words.where(~F.exists("t", lambda t: F.length(t) > 1)).select("g", "y", "w", "id", "t")
+    few = full.unionByName(bare).select("g", "y", "w", F.col("id").alias("few"), F.col("t").alias("tf"))
+    pairs = few.join(words.select("g", "y", "w", F.col("id").alias("many"), F.col("t").alias("tm")), ["g", "y", "w"]).where("few <> many AND tf <> tm")
+    hits = pairs.withColumn("m", within_name(F.col("tf"), F.col("tm"))).where(F.col("m").isNotNull() & ((F.size("m.initials") > 0) | F.size("m.added").between(1, MOST_ADDED)))
+    sided = hits.select(F.least("few", "many").alias("a"), F.greatest("few", "many").alias("b"), F.when(F.col("few") < F.col("many"), "a").otherwise("b").alias("shorter"), "m.added", "m.initials").distinct()
+    return core.first_by(sided, ["a", "b"], F.size("added").asc(), F.size("initials").asc(), F.asc("shorter"))
 
 
 def _parts(name: Column) -> tuple[Column, Column]:
