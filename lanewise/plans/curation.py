@@ -51,10 +51,12 @@ def apply_rules(df: DataFrame, rules: DataFrame, kinds: list[str]) -> DataFrame:
 
 def preferred_year(counts: Column, observed: Column) -> Column:
     """From `year:sources | year:sources` of exactly two years, one with one source and one with more: the latter, if the
-    observation counts agree."""
+    observation counts name exactly two years too, none of them 0, and agree (the one named first, on a tie)."""
     split = lambda c: F.transform(F.split(c, r" \| "), lambda e: F.struct(F.split_part(e, F.lit(":"), F.lit(2)).try_cast("int").alias("n"), F.split_part(e, F.lit(":"), F.lit(1)).alias("year")))
-    by, seen = F.array_sort(split(counts)), F.array_sort(split(observed))
-    return F.when((F.size(by) == 2) & (by[0]["n"] == 1) & (by[1]["n"] > 1) & (F.try_element_at(seen, F.lit(-1))["year"] == by[1]["year"]), by[1]["year"].try_cast("int"))
+    by, seen = F.array_sort(split(counts)), split(observed)
+    two = (F.size(by) == 2) & (F.size(seen) == 2) & F.forall(F.concat(by, seen), lambda e: e["n"] > 0)
+    agreed = F.when(F.get(seen, F.lit(0))["n"] >= F.get(seen, F.lit(1))["n"], F.get(seen, F.lit(0))["year"]).otherwise(F.get(seen, F.lit(1))["year"])
+    return F.when(two & (F.get(by, F.lit(0))["n"] == 1) & (F.get(by, F.lit(1))["n"] > 1) & (agreed == F.get(by, F.lit(1))["year"]), F.get(by, F.lit(1))["year"].try_cast("int"))
 
 
 def longest_prefix_club(teams: DataFrame, clubs: DataFrame) -> DataFrame:
@@ -69,20 +71,31 @@ def longest_prefix_club(teams: DataFrame, clubs: DataFrame) -> DataFrame:
     return teams.join(best.select("team", "club_name"), "team", "left")
 
 
+# Words that no athlete's name has.
+STATUS_WORDS = ("DQ", "DNS", "DNF", "SCR", "NS", "NT")
+CLUB_WORDS = ("club", "natacion", "swim", "team", "master", "masters", "deportivo", "deportiva", "universidad")
+PAGE_WORDS = ("page", "pagina", "evento", "event", "resultados", "results", "finals")
+
+
 def name_reasons(name: Column) -> Column:
-    """What is odd about an athlete's name."""
+    """What is odd about an athlete's name, in a fixed order; an empty one has that reason only."""
+    clean = text.blank_to_null(F.regexp_replace(name, r"\s+", " "))
+    words = F.filter(F.split(F.regexp_replace(F.lower(text.strip_accents(clean)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    has = lambda some: F.arrays_overlap(words, F.array(*map(F.lit, some)))
+    often = lambda c: F.regexp_count(clean, F.lit(c))
     tests = {
-        "blank": text.blank_to_null(name).isNull(),
-        "no_comma": ~F.contains(name, F.lit(",")),
-        "digits": name.rlike("[0-9]"),
-        "double_space": name.rlike("  "),
-        "single_letters": name.rlike(r"(?:^|\s)\p{L}(?:\s+\p{L}){2,}(?:\s|$)"),
-        "web_text": name.rlike("(?i)https?:|www\\.|@"),
-        "odd_characters": name.rlike(r"[^\p{L}\s,.'\-#0-9]"),
-        "lower_start": name.rlike(r"^\p{Ll}"),
-        "long": F.length(name) > 60,
+        "contains_digit": clean.rlike("[0-9]"),
+        "contains_time_token": clean.rlike(r"\b\d{1,2}[:.,]\d{2}(?:[:.,]\d{2})?\b"),
+        "contains_status_token": F.arrays_overlap(F.regexp_extract_all(F.upper(clean), F.lit("[A-Z]+"), 0), F.array(*map(F.lit, STATUS_WORDS))),
+        "too_few_name_tokens": F.size(words) < 2,
+        "single_letter_ocr_run": clean.rlike(r"(?:^|\s)(?:\p{L}\s+){3,}\p{L}(?:\s|$)"),
+        "contains_club_word": has(CLUB_WORDS),
+        "contains_pdf_noise": has(PAGE_WORDS),
+        "contains_layout_punctuation": clean.rlike(r"[|_{}\[\]<>]"),
+        "unbalanced_brackets": (often(r"\(") != often(r"\)")) | (often(r"\[") != often(r"\]")),
     }
-    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(r)) for r, t in tests.items()]))
+    odd = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(r)) for r, t in tests.items()]))
+    return F.when(clean.isNull(), F.array(F.lit("empty_name"))).otherwise(odd)
 
 
 def top_two(scored: DataFrame, keys: list[str], score: str, *order: Column) -> DataFrame:
