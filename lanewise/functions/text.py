@@ -86,6 +86,15 @@ def signature(c: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.concat(F.substring(t, 1, 1), F.regexp_replace(F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))), "[aeiou]", ""), F.when(F.length(t) > 1, F.right(t, F.lit(1))).otherwise(""))), " ")
 
 
+def token_signature(token: Column) -> Column:
+    """first|consonants|last of a word of small plain letters, runs of one vowel being one; without consonants, the word."""
+    once = token
+    for vowel in "aeiou":
+        once = F.regexp_replace(once, f"{vowel}+", vowel)
+    consonants = F.nullif(F.regexp_replace(once, "[aeiou]", ""), F.lit(""))
+    return F.concat(F.substring(once, 1, 1), F.lit("|"), F.coalesce(consonants, once), F.lit("|"), F.right(once, F.lit(1)))
+
+
 def id_number_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^0-9K]", "")
 

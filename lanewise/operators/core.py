@@ -93,26 +93,31 @@ def occurrence_names(df: DataFrame, key: list[str], name: str, *order: Column) -
     return df.withColumn(name, F.when(n > 1, F.concat(F.col(name), F.lit("-"), n.cast("string"))).otherwise(F.col(name)))
 
 
-def closure(pairs: DataFrame, source: str, target: str) -> DataFrame:
+def closure(pairs: DataFrame, source: str, target: str, most_rounds: int = 40) -> DataFrame:
     """Each source with the end of its chain: pointer doubling, one join a round, so chains of length n take log n rounds.
 
-    A chain that runs into a cycle ends at the least name that it passes. The rule tables behind this are small, but
-    nothing is collected: every round is checkpointed where the session has a checkpoint folder.
+    A chain that runs into a cycle ends at the least name that it passes. Rounds end when no further source has reached its
+    end and no least name has changed: what is left then lies on cycles. Beyond most_rounds (chains of 2**most_rounds) it
+    raises. Rounds are checkpointed where the session has a checkpoint folder, else cached and released.
     """
     jump = pairs.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s IS NOT NULL AND t IS NOT NULL AND s <> t").groupBy("s").agg(F.min("t").alias("t"))
-    jump = jump.withColumn("low", F.least("s", "t"))
-    persistent = df_has_checkpoint(pairs)
-    for _ in range(20):
+    jump = jump.withColumn("low", F.least("s", "t")).withColumn("open", F.lit(True))
+    persistent, before, held = df_has_checkpoint(pairs), None, None
+    for _ in range(most_rounds):
         far = jump.select(F.col("s").alias("t"), F.col("t").alias("t2"), F.col("low").alias("low2"))
-        joined = jump.join(far, "t", "left")
-        new = joined.select("s", F.coalesce("t2", "t").alias("t"), F.least("low", F.coalesce("low2", "low")).alias("low"))
+        least = F.least("low", F.coalesce("low2", "low"))
+        new = jump.join(far, "t", "left").select("s", F.coalesce("t2", "t").alias("t"), least.alias("low"), F.col("t2").isNotNull().alias("open"), (least != F.col("low")).alias("moved"))
         new = new.checkpoint() if persistent else new.cache()
-        if not joined.where("t2 IS NOT NULL AND t2 <> t").limit(1).count():
-            jump = new
+        state = new.agg(F.count_if("open").alias("open"), F.count_if("moved").alias("moved")).first()
+        if held is not None and not persistent:
+            held.unpersist()
+        held, jump = new, new.select("s", "t", "low", "open")
+        if not state["open"] or (before == state["open"] and not state["moved"]):
             break
-        jump = new
-    sources = jump.select(F.col("s").alias("t"), F.lit(True).alias("inside"))
-    return jump.join(sources, "t", "left").select(F.col("s").alias(source), F.when(F.col("inside"), F.col("low")).otherwise(F.col("t")).alias(target))
+        before = state["open"]
+    else:
+        raise ValueError(f"chains longer than 2**{most_rounds}")
+    return jump.select(F.col("s").alias(source), F.when(F.col("open"), F.col("low")).otherwise(F.col("t")).alias(target))
 
 
 def df_has_checkpoint(df: DataFrame) -> bool:

@@ -37,16 +37,19 @@ def apply_aliases(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
 
 def apply_rules(df: DataFrame, rules: DataFrame, kinds: list[str]) -> DataFrame:
     """The ordered cascade: one left join a rule kind; the first rule (by rule_order) that fits a row's name key, with
-    gender and year compatible, sets name, gender and year, and later kinds see what earlier ones set."""
+    gender and year compatible, sets name, gender and year, and later kinds see what earlier ones set. The rule is found
+    once for each different key, gender and year, so rows need no number of their own."""
     out = df
     for kind in kinds:
-        keyed = out.withColumn("name_key", text.match_key(F.col("full_name"))).withColumn("_row", F.monotonically_increasing_id())
-        some = core.small_side(rules.where(F.col("kind") == kind).select("rule_order", F.col("match_key").alias("name_key"), F.col("gender").alias("g"), F.col("birth_year").alias("y"), "new_name", "new_gender", "new_year"))
-        hit = keyed.join(some, "name_key", "left").withColumn("fits", F.col("rule_order").isNotNull() & domain.compatible(F.col("gender"), F.col("g")) & domain.compatible(F.col("birth_year"), F.col("y")))
-        first = core.first_by(hit, ["_row"], F.desc("fits"), F.asc_nulls_last("rule_order"))
-        set_ = lambda new, old: F.when(F.col("fits"), F.coalesce(new, old)).otherwise(F.col(old)).alias(old)
-        out = first.select(*[c for c in df.columns if c not in ("full_name", "gender", "birth_year")], set_("new_name", "full_name"), set_("new_gender", "gender"), set_("new_year", "birth_year"))
-    return out.select(*df.columns)
+        keyed = out.withColumn("_key", text.match_key(F.col("full_name")))
+        some = core.small_side(rules.where(F.col("kind") == kind).select("rule_order", F.col("match_key").alias("_key"), F.col("gender").alias("g"), F.col("birth_year").alias("y"), "new_name", "new_gender", "new_year"))
+        who = ["_key", "gender", "birth_year"]
+        hit = keyed.select(*who).distinct().join(some, "_key").where(domain.compatible(F.col("gender"), F.col("g")) & domain.compatible(F.col("birth_year"), F.col("y")))
+        first = core.first_by(hit, who, F.asc("rule_order"), F.asc("new_name"), F.asc("new_year")).select(F.col("_key").alias("_k"), F.col("gender").alias("_g"), F.col("birth_year").alias("_y"), "new_name", "new_gender", "new_year")
+        same = (F.col("_key") == F.col("_k")) & F.col("gender").eqNullSafe(F.col("_g")) & F.col("birth_year").eqNullSafe(F.col("_y"))
+        new = {"full_name": "new_name", "gender": "new_gender", "birth_year": "new_year"}
+        out = keyed.join(first, same, "left").select(*[F.coalesce(new[c], c).alias(c) if c in new else F.col(c) for c in df.columns])
+    return out
 
 
 def preferred_year(counts: Column, observed: Column) -> Column:
@@ -133,31 +136,17 @@ def edit_distance_pairs(s: Star) -> DataFrame:
 
 
 @query("""SELECT a.athlete_id AS a, b.athlete_id AS b, abs(a.birth_year - b.birth_year)::INTEGER AS gap FROM athlete a JOIN athlete b
-ON a.athlete_id < b.athlete_id AND a.segment = b.segment AND a.athlete_gender = b.athlete_gender AND abs(a.birth_year - b.birth_year) <= 1 AND a.athlete_id % 4 = b.athlete_id % 4""")
+ON a.athlete_id < b.athlete_id AND a.segment = b.segment AND a.athlete_gender = b.athlete_gender AND abs(a.birth_year - b.birth_year) <= 1""")
 def band_birth_year_pairs(s: Star) -> DataFrame:
-    """Pairs of a block whose years differ by one at most, by an equi-join on exploded years; of equal id modulo 4, as in the SQL."""
-    a = s.athlete.where("birth_year IS NOT NULL").withColumn("part", F.col("athlete_id") % 4)
-    pairs = core.band_pairs(a, ["segment", "athlete_gender", "part"], "birth_year", 1, "athlete_id")
-    return pairs.select("a", "b", F.abs(F.col("number_a") - F.col("number_b")).cast("int").alias("gap"))
-
-
-@query()
-def band_birth_year_pairs_all(s: Star) -> DataFrame:
-    """band_birth_year_pairs over all athletes of a block. Tests hold it against brute force."""
+    """Pairs of a block whose years differ by one at most, by an equi-join on exploded years."""
     pairs = core.band_pairs(s.athlete.where("birth_year IS NOT NULL"), ["segment", "athlete_gender"], "birth_year", 1, "athlete_id")
     return pairs.select("a", "b", F.abs(F.col("number_a") - F.col("number_b")).cast("int").alias("gap"))
 
 
-@query("""SELECT a.club_id AS club_a, b.club_id AS club_b, count(*)::BIGINT AS n_athlete_years, count(DISTINCT a.athlete_id)::BIGINT AS n_athletes FROM (SELECT DISTINCT club_id, athlete_id, year(start_date) AS y FROM result WHERE club_id < 20 AND start_date IS NOT NULL) a
-JOIN (SELECT DISTINCT club_id, athlete_id, year(start_date) AS y FROM result WHERE club_id < 20 AND start_date IS NOT NULL) b ON a.athlete_id = b.athlete_id AND a.y = b.y AND a.club_id < b.club_id GROUP BY ALL""")
+@query("""SELECT a.club_id AS club_a, b.club_id AS club_b, count(*)::BIGINT AS n_athlete_years, count(DISTINCT a.athlete_id)::BIGINT AS n_athletes FROM (SELECT DISTINCT club_id, athlete_id, year(start_date) AS y FROM result WHERE club_id IS NOT NULL AND start_date IS NOT NULL) a
+JOIN (SELECT DISTINCT club_id, athlete_id, year(start_date) AS y FROM result WHERE club_id IS NOT NULL AND start_date IS NOT NULL) b ON a.athlete_id = b.athlete_id AND a.y = b.y AND a.club_id < b.club_id GROUP BY ALL""")
 def club_cooccurrence(s: Star) -> DataFrame:
-    """The clubs of id below 20 that share an athlete within a year, as in the SQL."""
-    return club_pairs(s.result.where("club_id < 20"))
-
-
-@query()
-def club_cooccurrence_all(s: Star) -> DataFrame:
-    """club_cooccurrence over all clubs. Tests hold it against brute force."""
+    """Clubs that share an athlete within a year."""
     return club_pairs(s.result)
 
 

@@ -106,13 +106,12 @@ def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
 
 @query("""SELECT target, page_id, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY page_id, position) AS rn FROM (
-SELECT page_id, position - 1 AS position, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || regexp_extract(a, 'href="([^"]*)"', 1) AS target FROM (
-SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="[^"]*"[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*?href="[^"]*"[^>]*>.*?</a>'), 1) AS position FROM pages)
-WHERE regexp_matches(a, 'href="/[^/"]'))) WHERE rn = 1""")
+SELECT page_id, position - 1 AS position, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || href
+ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS target FROM (SELECT page_id, url, position, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM (
+SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="[^"]*"[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*?href="[^"]*"[^>]*>.*?</a>'), 1) AS position FROM pages)))) WHERE rn = 1""")
 def html_links(s: Star) -> DataFrame:
-    """Site-relative links, absolute, each where it was first seen."""
-    found = links(s.raw("pages")).where(F.col("href").rlike("^/[^/]"))
-    return core.first_by(found, ["target"], F.asc("page_id"), F.asc("position")).select("target", "page_id", "position")
+    """All links, absolute, each where it was first seen."""
+    return core.first_by(links(s.raw("pages")), ["target"], F.asc("page_id"), F.asc("position")).select("target", "page_id", "position")
 
 
 @query("""SELECT page_id, host, CASE WHEN n > 1 THEN host || '-' || n ELSE host END AS slug FROM (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM (

@@ -160,11 +160,14 @@ def combined_results(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     return rows.where("l.raw <> '-'").select(*lines.columns, "rank", "name", "age", "club", "l.leg", "l.stroke", ms.alias("time_ms"), F.when(ms.isNotNull(), "valid").otherwise(domain.status(F.lit(None).cast("string"), F.col("l.raw"))).alias("status"))
 
 
-def matching(groups: DataFrame, token: str, title: str, rows: str, row_text) -> DataFrame:
-    """Groups that hold the token: all their rows if their title does, else the rows that do; groups left empty go."""
-    hit = lambda c: F.contains(text.search_fold(c), F.lit(token))
-    kept = F.when(hit(F.col(title)), F.col(rows)).otherwise(F.filter(rows, lambda r: hit(row_text(r))))
-    return groups.withColumn(rows, kept).where(F.size(rows) > 0)
+def matching(rows: DataFrame, token: str, title: str, own: list[str]) -> DataFrame:
+    """Rows of groups that hold the token: where the group's title does, all its rows, else the rows that do. Each row
+    carries its group's title, so nothing is gathered to be searched."""
+    hit = lambda c: F.coalesce(F.contains(text.search_fold(F.col(c)), F.lit(token)), F.lit(False))
+    found = hit(title)
+    for c in own:
+        found = found | hit(c)
+    return rows.where(found)
 
 
 # --- registered forms
@@ -213,12 +216,11 @@ def signature_groups(s: Star) -> DataFrame:
     return groups.where("n_names > 1")
 
 
-@query("""SELECT competition_id, competition_name, n FROM (SELECT competition_id, competition_name, count(*) FILTER (WHERE contains(lower(competition_name), '77') OR contains(lower(event_name), 'ring'))::BIGINT AS n FROM result JOIN event USING (event_id) GROUP BY ALL) WHERE n > 0""")
+@query("""SELECT competition_id, scope, count(*)::BIGINT AS n FROM result JOIN event USING (event_id) WHERE contains(lower(scope), 'low') OR contains(lower(event_name), 'low') GROUP BY ALL""")
 def nested_search(s: Star) -> DataFrame:
     """Search in nested results: a title that matches keeps all its rows, else the rows that match stay."""
-    nested = s.result.join(s.event, "event_id").groupBy("competition_id", "competition_name").agg(F.collect_list(F.struct("event_name", "time_ms")).alias("results"))
-    found = matching(nested.withColumn("title", F.when(F.contains("competition_name", F.lit("77")), "ring").otherwise("")), "ring", "title", "results", lambda r: r["event_name"])
-    return found.select("competition_id", "competition_name", F.size("results").cast("long").alias("n"))
+    found = matching(s.result.join(s.event, "event_id"), "low", "scope", ["event_name"])
+    return found.groupBy("competition_id", "scope").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT season, month, count(*)::BIGINT AS n, string_agg(competition_id::VARCHAR, ',' ORDER BY start_date, competition_id) AS ids FROM (SELECT *, year(start_date)::INTEGER AS season, month(start_date)::INTEGER AS month FROM competition WHERE start_date IS NOT NULL) GROUP BY ALL""")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lanewise.functions import domain, similarity, text
@@ -18,11 +16,11 @@ ORACLES: dict = {}
 SHORT_FROM_M, SHORT_MS = 200, 90_000
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, star: bool = True):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Star(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = STAR_SQL + sql
+            ORACLES[f.__name__] = (STAR_SQL if star else "") + sql
         return f
 
     return add
@@ -90,21 +88,23 @@ def _parts(name: Column) -> tuple[Column, Column]:
     return surname, given
 
 
-def _prefix(a: Column, b: Column) -> Column:
-    """a's words are the first of b's; initials count as the words they start."""
+def _begins(a: Column, b: Column) -> Column:
+    """The words of a are the first of b's."""
     x, y = F.split(a, " "), F.split(b, " ")
-    return (F.size(x) < F.size(y)) & F.forall(F.arrays_zip(x.alias("p"), F.slice(y, F.lit(1), F.size(x)).alias("q")), lambda z: (z["p"] == z["q"]) | ((F.length(z["p"]) == 1) & z["q"].startswith(z["p"])))
+    return F.slice(y, F.lit(1), F.size(x)) == x
 
 
 def expanded_reasons(a: Column, b: Column, year_gap: Column) -> Column:
-    """Why two names may be one person's: a surname or given name left out, or neighbouring birth years."""
+    """Why two names may be one person's: a surname or given name left out, or neighbouring birth years. First given names
+    agree up to one edit; given names also agree where one's lie within the other's in any order, initials for names."""
     (sa, ga), (sb, gb) = _parts(a), _parts(b)
     full = (sa != "") & (ga != "") & (sb != "") & (gb != "")
-    first_a, first_b = F.split_part(ga, F.lit(" "), F.lit(1)), F.split_part(gb, F.lit(" "), F.lit(1))
-    first = (first_a == first_b) | ((F.length(first_a) == 1) & first_b.startswith(first_a)) | ((F.length(first_b) == 1) & first_a.startswith(first_b))
-    surname = (year_gap == 0) & first & (sa != sb) & (_prefix(sa, sb) | _prefix(sb, sa))
-    given = (year_gap == 0) & (sa == sb) & (ga != gb) & (_prefix(ga, gb) | _prefix(gb, ga))
-    year = (year_gap == 1) & ((sa == sb) | similarity.within_one_edit(sa, sb)) & first
+    first = similarity.within_one_edit(F.split_part(ga, F.lit(" "), F.lit(1)), F.split_part(gb, F.lit(" "), F.lit(1)))
+    sorted_ = lambda c: F.array_sort(F.split(c, " "))
+    initials = lambda few, many: F.coalesce(F.size(within_name(sorted_(few), sorted_(many))["initials"]) > 0, F.lit(False))
+    surname = (year_gap == 0) & first & (sa != sb) & (_begins(sa, sb) | _begins(sb, sa))
+    given = (year_gap == 0) & (sa == sb) & (ga != gb) & (_begins(ga, gb) | _begins(gb, ga) | initials(ga, gb) | initials(gb, ga))
+    year = (year_gap == 1) & similarity.within_one_edit(sa, sb) & first
     return F.array_compact(F.array(*[F.when(F.coalesce(full & c, F.lit(False)), F.lit(n)) for n, c in (("surname_left_out", surname), ("given_name_left_out", given), ("year_differs_by_one", year))]))
 
 
@@ -122,31 +122,32 @@ def club_context(left: Column, right: Column, right_current: Column, left_curren
 
 def noise(name: Column) -> Column:
     """How misread a name looks: higher is worse, blank is 100."""
-    plain = text.blank_to_null(name)
-    count = lambda p: F.regexp_count(plain, F.lit(p))
+    plain = text.blank_to_null(F.regexp_replace(name, r"\s+", " "))
+    words = F.regexp_extract_all(F.lower(text.strip_accents(plain)), F.lit(r"\p{L}+"), 0)
     score = (
         F.when(F.contains(plain, F.lit(",")), 0).otherwise(3)
         + F.when(plain.rlike("[0-9]"), 10).otherwise(0)
-        + F.when(plain.rlike(r"(?:^|\s)(?:\p{L}\s+){3,}\p{L}(?:\s|$)"), 6).otherwise(0)
+        + F.when(plain.rlike(r"(?:^|\s)(?:\p{L}\s+){2,}\p{L}(?:\s|$)"), 6).otherwise(0)
         + F.when(F.contains(F.lower(plain), F.lit("ñ ñ")), 6).otherwise(0)
-        + 2 * count(r"(?i)[aeiouáéíóú]{3,}")
-        + count("[ÁÉÍÓÚáéíóúÜüÑñ]")
+        + 2 * F.size(F.filter(words, lambda w: w.rlike("[aeiou]{2,}")))
+        + F.regexp_count(plain, F.lit("[ÁÉÍÓÚáéíóúÜüÑñ]"))
     )
     return F.when(plain.isNull(), 100).otherwise(score)
 
 
-@F.pandas_udf(T.BooleanType())
-def safe_vowel_repair(original: pd.Series, repaired: pd.Series) -> pd.Series:
-    """Whether each word of the repair is the original's word or it less one vowel, and some word changed."""
-
-    def near(x: str, y: str) -> bool:
-        return x == y or any(x[:k] + x[k + 1 :] == y for k in range(len(x)) if x[k] in "aeiou")
-
-    def safe(a: str | None, b: str | None) -> bool:
-        x, y = (a or "").split(), (b or "").split()
-        return bool(x) and len(x) == len(y) and x != y and all(map(near, x, y))
-
-    return pd.Series([safe(a, b) for a, b in zip(original, repaired)])
+def safe_vowel_repair(original: Column, repaired: Column, n_original: Column, n_repaired: Column) -> Column:
+    """Whether a repair is safe: the name looks misread (other than plain letters, or a doubled vowel), each word is the
+    original's or that less one vowel with the same signature, some word changed, and the repaired name is no rarer or
+    looks less misread."""
+    words = lambda c: F.regexp_extract_all(F.lower(text.strip_accents(c)), F.lit(r"\p{L}+"), 0)
+    x, y = words(original), words(repaired)
+    bare = lambda c: F.regexp_replace(c, "[aeiou]", "")
+    less = lambda a, b: (F.length(a) == F.length(b) + 1) & (F.levenshtein(a, b) == 1) & (bare(a) == bare(b)) & (text.token_signature(a) == text.token_signature(b))
+    pairs = F.arrays_zip(x.alias("a"), y.alias("b"))
+    misread = original.rlike(r"[^\x00-\x7F]") | F.exists(x, lambda w: w.rlike(r"([aeiou])\1"))
+    held = F.forall(pairs, lambda p: (p["a"] == p["b"]) | less(p["a"], p["b"]))
+    better = (F.coalesce(n_repaired, F.lit(0)) >= n_original) | (noise(original) > noise(repaired))
+    return F.coalesce(misread & (F.size(x) > 0) & (F.size(x) == F.size(y)) & (x != y) & held & better, F.lit(False))
 
 
 def drop_gender_conflicts(results: DataFrame, athletes: DataFrame, key: list[str]) -> DataFrame:
@@ -211,13 +212,19 @@ def reconcile(swimmers: DataFrame, individuals: DataFrame) -> DataFrame:
 # --- registered forms
 
 
-@query("""SELECT competition_id, athlete_id, event_id, time_ms FROM (SELECT *, CASE event_gender WHEN 'women' THEN 'female' WHEN 'men' THEN 'male' END AS sex FROM result JOIN event USING (event_id) JOIN athlete USING (athlete_id))
-WHERE sex IS NULL OR sex = athlete_gender""")
+@query()
 def gender_conflict_drop(s: Star) -> DataFrame:
-    """Results whose event fits their athlete's gender."""
-    sex = F.when(F.col("event_gender") == "women", "female").when(F.col("event_gender") == "men", "male")
-    rows = s.result.join(s.event.select("event_id", "event_gender"), "event_id").join(s.athlete.select("athlete_id", "athlete_gender"), "athlete_id")
-    return rows.where(F.coalesce(sex == F.col("athlete_gender"), F.lit(True))).select("competition_id", "athlete_id", "event_id", "time_ms")
+    """Both phases over all results: times too short for their distance of people with results of both genders, then
+    results of another gender than their person's."""
+    rows = s.result.join(s.event.select("event_id", "event_gender", "distance_m"), "event_id").select("athlete_id", "event_gender", "distance_m", (F.col("time_ms") / 100).cast("long").alias("time_ms"), "competition_id", "event_id", "rank_position")
+    return drop_gender_conflicts(rows, s.athlete, ["athlete_id"]).select("competition_id", "athlete_id", "event_id", "time_ms", "rank_position")
+
+
+ORACLES["gender_conflict_drop"] = STAR_SQL + """, r AS (SELECT competition_id, athlete_id, event_id, time_ms // 100 AS time_ms, rank_position, distance_m, CASE event_gender WHEN 'women' THEN 'female' WHEN 'men' THEN 'male' END AS sex FROM result JOIN event USING (event_id)),
+n AS (SELECT *, count(DISTINCT sex) OVER (PARTITION BY athlete_id) AS kinds FROM r), c AS (SELECT *, coalesce(kinds = 2 AND distance_m >= 200 AND time_ms < 90000, false) AS short FROM n),
+d AS (SELECT *, bool_or(short) OVER (PARTITION BY athlete_id) AS was_cut FROM c), e AS (SELECT * FROM d WHERE NOT short),
+f AS (SELECT *, count(DISTINCT sex) OVER (PARTITION BY athlete_id) AS rest, max(sex) OVER (PARTITION BY athlete_id) AS one FROM e)
+SELECT competition_id, athlete_id, event_id, time_ms, rank_position FROM f LEFT JOIN athlete USING (athlete_id) WHERE coalesce(sex = CASE WHEN was_cut AND rest = 1 THEN one ELSE athlete_gender END, true)"""
 
 
 @query("""SELECT athlete_id, athlete_name FROM athlete a WHERE EXISTS (SELECT 1 FROM result r WHERE r.athlete_id = a.athlete_id AND r.status = 'valid') OR EXISTS (SELECT 1 FROM relay m WHERE m.athlete_id = a.athlete_id)""")
@@ -227,10 +234,13 @@ def observed_athletes(s: Star) -> DataFrame:
     return s.athlete.join(seen, "athlete_id", "left_semi").select("athlete_id", "athlete_name")
 
 
-@query("""SELECT name, n_letters, length(regexp_replace(name, '[^0-9]', '', 'g'))::INTEGER * 0 + CASE WHEN contains(name, ',') THEN 0 ELSE 3 END + CASE WHEN regexp_matches(name, '[0-9]') THEN 10 ELSE 0 END AS noise FROM (
-SELECT c_name AS name, length(c_name)::INTEGER AS n_letters FROM customer)""")
+@query("""SELECT name, n_letters, (CASE WHEN contains(name, ',') THEN 0 ELSE 3 END + CASE WHEN regexp_matches(name, '[0-9]') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(name, '(^|\\s)(\\pL\\s+){2,}\\pL(\\s|$)') THEN 6 ELSE 0 END
++ 2 * len(list_filter(regexp_extract_all(lower(strip_accents(name)), '[a-z]+'), lambda w: regexp_matches(w, '[aeiou]{2,}'))) + len(regexp_extract_all(name, '[áéíóúñ]')))::INTEGER AS noise FROM (
+SELECT c_name || CASE c_custkey % 4 WHEN 0 THEN ', Añaá' WHEN 1 THEN ' a b c' WHEN 2 THEN ' queen' ELSE '' END AS name, length(c_name)::INTEGER AS n_letters FROM customer)""", star=False)
 def name_noise(s: Star) -> DataFrame:
-    return s.raw("customer").select(F.col("c_name").alias("name"), F.length("c_name").alias("n_letters"), noise(F.col("c_name")).cast("int").alias("noise"))
+    n = F.col("c_custkey") % 4
+    name = F.concat("c_name", F.when(n == 0, ", Añaá").when(n == 1, " a b c").when(n == 2, " queen").otherwise(""))
+    return s.raw("customer").select(name.alias("name"), F.length("c_name").alias("n_letters"), noise(name).cast("int").alias("noise"))
 
 
 @query("""SELECT a.event_id AS a, b.event_id AS b FROM event a JOIN event b ON a.distance_m = b.distance_m AND a.stroke = b.stroke AND a.event_id < b.event_id

@@ -69,9 +69,13 @@ def insert_athletes(athletes: DataFrame, staging: DataFrame) -> DataFrame:
 
 
 def merge_duplicates(facts: DataFrame, merges: DataFrame, column: str = "athlete_id") -> DataFrame:
-    """Facts with duplicate ids replaced by their canonical ones, exact repeats gone."""
+    """Facts with duplicate ids replaced by their canonical ones. Of rows that the merge makes equal one stays; repeats that
+    were there before it stay as they are, and rows of other ids aren't touched or shuffled for it."""
     m = core.small_side(merges.select(F.col("duplicate_id").alias(column), "canonical_id"))
-    return facts.join(m, column, "left").withColumn(column, F.coalesce("canonical_id", column)).select(*facts.columns).distinct()
+    moved = facts.join(m, column).withColumn(column, F.col("canonical_id")).select(*facts.columns).distinct()
+    rest = facts.join(m.select(column), column, "left_anti")
+    there = rest.join(core.small_side(merges.select(F.col("canonical_id").alias(column)).distinct()), column, "left_semi")
+    return rest.select(*facts.columns).unionByName(core.missing_from(moved, there, facts.columns))
 
 
 def merge_guards(merges: DataFrame, athletes: DataFrame) -> DataFrame:
@@ -87,7 +91,11 @@ def merge_guards(merges: DataFrame, athletes: DataFrame) -> DataFrame:
 
 
 def register_documents(known: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(url, checksum, title) upserted by checksum, else by url, new values over old nulls and the reverse."""
+    """(url, checksum, title) upserted by checksum, else by url, new values over old nulls and the reverse. Of several incoming
+    rows of one checksum, or of one url, the first of the alphabet counts."""
+    order = [F.asc_nulls_last(c) for c in known.columns]
+    incoming = core.first_by(incoming.where("checksum IS NOT NULL"), ["checksum"], *order).unionByName(incoming.where("checksum IS NULL"))
+    incoming = core.first_by(incoming.where("url IS NOT NULL"), ["url"], F.desc(F.col("checksum").isNotNull()), *order).unionByName(incoming.where("url IS NULL"))
     i, k = incoming.alias("i"), known.alias("k")
     merged_sum = k.join(i, F.col("i.checksum") == F.col("k.checksum")).select(*[F.coalesce(F.col(f"i.{c}"), F.col(f"k.{c}")).alias(c) for c in known.columns])
     rest_i = i.join(k, F.col("i.checksum") == F.col("k.checksum"), "left_anti").alias("i")

@@ -40,9 +40,9 @@ def ranked(s: Star, distance: int | None = None, stroke: str | None = None, gend
     period = (start >= F.lit(f"{year}-01-01").cast("date")) & (start < F.lit(f"{year + 1}-01-01").cast("date")) if year else start >= F.add_months(F.lit(AS_OF).cast("date"), -12)
     events = s.event.where(core.all_of(core.wanted(F.col("distance_m"), distance), core.wanted(F.col("stroke"), stroke), core.wanted(F.col("event_gender"), gender)))
     results = eligible(s.result).where(core.all_of(period, core.wanted(F.col("scope"), scope), core.wanted(F.col("course"), course)))
-    rows = results.join(events, "event_id").join(s.athlete, "athlete_id").join(s.club.select("club_id", "club_name"), "club_id", "left")
+    rows = results.join(events, "event_id")
     order = [F.asc("time_ms"), F.desc_nulls_last("start_date"), F.desc("competition_id"), F.desc("event_id"), F.desc_nulls_last("club_id"), F.asc("rank_position")]
-    best = core.first_by(rows, ["athlete_id"], *order)
+    best = core.first_by(rows, ["athlete_id"], *order).join(s.athlete, "athlete_id").join(s.club.select("club_id", "club_name"), "club_id", "left")  # names for the rows that stay
     places = [F.asc("time_ms"), F.desc_nulls_last("start_date"), F.desc("competition_id"), F.desc("event_id"), F.desc("athlete_id")]
     return core.global_rank(best, F.expr("time_ms div 1000"), *places).withColumn("category", domain.age_category(F.col("birth_year"), AS_OF_YEAR))
 
@@ -78,7 +78,10 @@ def ranking_filtered(s: Star) -> DataFrame:
 
 @query(RANKED_SQL.replace("PERIOD", LAST_YEAR) + "SELECT count(*)::BIGINT AS total, ceil(count(*) / 20.0)::BIGINT AS pages FROM ranked")
 def ranking_page_count(s: Star) -> DataFrame:
-    return ranked(s).agg(F.count("*").alias("total"), F.ceil(F.count("*") / 20).cast("long").alias("pages"))
+    """A ranking has one row an athlete, so its length is the number of athletes that have an eligible result; none is ranked."""
+    recent = eligible(s.result).where(F.col("start_date") >= F.add_months(F.lit(AS_OF).cast("date"), -12))
+    some = recent.join(s.event.select("event_id"), "event_id", "left_semi").select("athlete_id").distinct().join(s.athlete.select("athlete_id"), "athlete_id")
+    return some.agg(F.count("*").alias("total"), F.ceil(F.count("*") / 20).cast("long").alias("pages"))
 
 
 @query("""SELECT DISTINCT 'distance' AS kind, distance_m::VARCHAR AS value FROM event JOIN result USING (event_id) WHERE status = 'valid' AND stroke NOT LIKE '%_relay'
@@ -256,8 +259,10 @@ SELECT club_id, club_name, count(*) AS n_results, count(DISTINCT athlete_id) AS
 WHERE coalesce(status, 'unknown') NOT IN ('dns', 'scratch') GROUP BY ALL)""")
 def club_participation(s: Star) -> DataFrame:
     per = s.result.where(domain.counted(F.col("status"))).groupBy("club_id").agg(F.count("*").alias("n_results"), F.countDistinct("athlete_id").alias("n_athletes"), F.countDistinct("competition_id").alias("n_competitions"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n_results"), F.desc("n_athletes"), F.asc("club_name"), F.asc("club_id")))
-    return per.join(s.club.select("club_id", "club_name"), "club_id").withColumn("rank", rank.cast("long")).select("rank", "club_id", "club_name", "n_results", "n_athletes", "n_competitions")
+    named = per.join(s.club.select("club_id", "club_name"), "club_id")
+    order = [F.desc("n_results"), F.desc("n_athletes"), F.asc("club_name"), F.asc("club_id")]
+    ranked_ = core.global_rank(named, -F.expr("length(bin(n_results))"), *order)  # buckets: powers of two of the first key
+    return ranked_.select(F.col("rank").cast("long").alias("rank"), "club_id", "club_name", "n_results", "n_athletes", "n_competitions")
 
 
 @query("""SELECT scope, club_id, club_name, count(*) AS n_results, count(DISTINCT athlete_id) AS n_athletes, sum(coalesce(points, 0))::DECIMAL(20,2) AS points,

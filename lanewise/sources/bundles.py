@@ -58,10 +58,11 @@ def read_csv_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A rule file with comma or semicolon, decided by its first line."""
+    """A rule file with comma or semicolon, decided by its first line, in UTF-8, or in windows-1252 where it isn't UTF-8."""
     head = spark.read.text(path).limit(1).collect()
     line = head[0][0] if head else ""
-    df = read_csv(spark, path, ";" if line.count(";") > line.count(",") else ",")
+    odd = spark.read.text(path).where(F.contains("value", F.lit("\ufffd"))).limit(1).count()
+    df = read_csv(spark, path, ";" if line.count(";") > line.count(",") else ",", "windows-1252" if odd else "UTF-8")
     return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
 
 
@@ -88,7 +89,46 @@ def freeze(manifest: DataFrame, states: DataFrame, allowed: list[str], order: st
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    """CSV files that begin with a byte-order mark: it stands before the first header, which each file has once."""
+    first, *rest = df.columns
+    marked = df.select(F.col(first).alias("\ufeff" + first), *rest)
+    marked.write.mode("overwrite").option("header", True).option("sep", sep).option("quoteAll", False).csv(path)
+
+
+def write_bundle(frames: dict[str, DataFrame], folder: str, metadata: dict[str, str]) -> None:
+    """A folder a frame, and the metadata as one JSON line."""
+    for name, df in frames.items():
+        write_csv(df, f"{folder}/{name}.csv")
+    spark = next(iter(frames.values())).sparkSession
+    row = spark.range(1).select(*[F.lit(v).cast("string").alias(k) for k, v in metadata.items()])
+    write_jsonl(row.coalesce(1), f"{folder}/metadata.json")
+
+
+def write_summary(counts: DataFrame, path: str) -> None:
+    """A one-row summary as JSON, secrets out of its addresses."""
+    safe = [F.regexp_replace(c, r"://[^/@\s]+@", "://***@").alias(c) if t == "string" else F.col(c) for c, t in counts.dtypes]
+    write_jsonl(counts.select(*safe).coalesce(1), path)
+
+
+def write_documents(df: DataFrame, path: str, document: str = "document") -> None:
+    """A curated copy, a folder a document."""
+    df.repartition(document).write.mode("overwrite").partitionBy(document).parquet(path)
+
+
+def one_mode(**modes: object) -> str:
+    """The one input mode that is given."""
+    given = [k for k, v in modes.items() if v]
+    if len(given) != 1:
+        raise ValueError(f"exactly one of {sorted(modes)} must be given, not {given}")
+    return given[0]
+
+
+def read_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables from a path each; all required ones must be there."""
+    absent = [n for n in REQUIRED if n not in paths]
+    if absent:
+        raise ValueError(f"no path for {absent}")
+    return {n: conform(read_csv(spark, p), n) for n, p in paths.items()}
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -24,18 +24,23 @@ def parsed(texts: DataFrame) -> DataFrame:
 
 
 def start(spark: SparkSession, folder: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Reads text files of `folder` as they come and keeps the Parquet table `target` free of repeats."""
+    """Reads text files of `folder` as they come and keeps the Parquet table `target`, a folder a document, free of repeats.
+
+    A batch reads the folders of its own documents only, and replaces them by what they had and what is new, so a batch
+    that failed half-way and runs again leaves the same table.
+    """
     texts = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("document"), F.col("value").alias("text"))
 
     def load(batch: DataFrame, _: int) -> None:
         new = core.first_by(parsed(batch), KEYS, F.asc("team"), F.asc("status"))
         try:
-            known = spark.read.schema(new.schema).parquet(target)
-            new = core.missing_from(new, known.select(*new.columns), KEYS)
+            known = spark.read.schema(new.schema).parquet(target).join(new.select("document").distinct(), "document", "left_semi").select(*new.columns)
+            new = known.unionByName(core.missing_from(new, known, KEYS))
         except Exception as error:  # the first batch has no table yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-        new.write.mode("append").parquet(target)
+        new = new.checkpoint() if core.df_has_checkpoint(new) else new
+        new.write.mode("overwrite").partitionBy("document").option("partitionOverwriteMode", "dynamic").parquet(target)
 
     stream = texts.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()

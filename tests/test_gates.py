@@ -81,8 +81,11 @@ def test_partial_and_expanded_names(spark):
     assert got[1, 2] == ("b", ["soto"], []) and got[2, 3] == ("b", [], ["a->ana"]) and (2, 6) not in got and (1, 4) not in got and got[1, 6][0] == "a"
     df = spark.createDataFrame([("Alfa Soto, Ana", "Alfa, Ana", 0), ("Alfa, Ana Eva", "Alfa, Ana", 0), ("Alfa, Ana", "Alva, Ana", 1), ("Alfa, Ana", "Beta, Ana", 1), (None, "x", 0)], "a string, b string, gap int")
     assert [list(r[0]) for r in df.select(identity.expanded_reasons(F.col("a"), F.col("b"), F.col("gap"))).collect()] == [["surname_left_out"], ["given_name_left_out"], ["year_differs_by_one"], [], []]
-    pairs = spark.createDataFrame([("joseeph", "joseph"), ("ana", "ana"), ("anna", "ana"), (None, "x"), ("maria jose", "mara jose")], "a string, b string")
-    assert [r[0] for r in pairs.select(identity.safe_vowel_repair("a", "b")).collect()] == [True, False, False, False, True]
+    pairs = spark.createDataFrame([("joseeph", "joseph", 1, 3), ("ana", "ana", 1, 1), ("anna", "ana", 1, 1), (None, "x", 1, 1), ("maria jose", "mara jose", 1, 9), ("maría joosé", "maría josé", 2, 1), ("joose", "jose", 5, 1), ("jooose", "jose", 1, 9)], "a string, b string, n int, m int")
+    safe = identity.safe_vowel_repair(F.col("a"), F.col("b"), F.col("n"), F.col("m"))
+    assert [r[0] for r in pairs.select(safe).collect()] == [True, False, False, False, False, True, True, False]
+    more = spark.createDataFrame([("Alfa, Ana Eva", "Alfa, E Ana", 0), ("Alfa, Ana", "Alfa, Anna", 0), ("Alfa Soto, Anna", "Alfa, Ana", 0), ("A, Ana", "Alfa, Ana", 0)], "a string, b string, gap int")
+    assert [list(r[0]) for r in more.select(identity.expanded_reasons(F.col("a"), F.col("b"), F.col("gap"))).collect()] == [["given_name_left_out"], [], ["surname_left_out"], []]
 
 
 def test_gender_conflicts_and_pruning(spark):
