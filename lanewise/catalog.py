@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lanewise.plans import curation, decisions, documents, grids, identity, loading, relays, reports, results
+from lanewise.plans import curation, decisions, documents, grids, identity, loading, registered, relays, reports, results
 
-_PLANS = (results, loading, curation, documents, relays, identity, grids, reports, decisions)
+_PLANS = (results, loading, curation, documents, relays, identity, grids, reports, decisions, registered)
 QUERIES: dict = {k: v for plan in _PLANS for k, v in plan.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for plan in _PLANS for k, v in plan.ORACLES.items()}

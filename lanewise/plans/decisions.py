@@ -472,9 +472,9 @@ def source_sets(s: Star) -> DataFrame:
     return counted_candidates(pairs.select("a", "b", *[c.alias(n) for n, c in seen.items()]), ["a"])
 
 
-@query("""SELECT athlete_id, reason FROM (SELECT u.athlete_id, 'unknown' AS reason FROM u LEFT JOIN athlete a USING (athlete_id) WHERE a.athlete_id IS NULL
+@query("""SELECT athlete_id, reason FROM (WITH u AS (SELECT athlete_id + CASE WHEN athlete_id % 11 = 0 THEN 10000000 ELSE 0 END AS athlete_id, CASE WHEN athlete_id % 13 = 0 THEN (SELECT min(athlete_name) FROM athlete) ELSE athlete_name || ' x' END AS canonical FROM athlete) SELECT u.athlete_id, 'unknown' AS reason FROM u LEFT JOIN athlete a USING (athlete_id) WHERE a.athlete_id IS NULL
 UNION ALL SELECT u.athlete_id, 'unexpected name' FROM u JOIN athlete a USING (athlete_id) WHERE a.athlete_name <> u.canonical AND u.athlete_id % 5 = 0
-UNION ALL SELECT DISTINCT u.athlete_id, 'taken' FROM u JOIN athlete a USING (athlete_id) JOIN athlete o ON lower(trim(o.athlete_name)) = lower(trim(u.canonical)) AND o.athlete_id <> a.athlete_id AND o.athlete_gender = a.athlete_gender AND o.birth_year IS NOT DISTINCT FROM a.birth_year)""".replace("FROM (SELECT u.", "FROM (WITH u AS (SELECT athlete_id + CASE WHEN athlete_id % 11 = 0 THEN 10000000 ELSE 0 END AS athlete_id, CASE WHEN athlete_id % 13 = 0 THEN (SELECT min(athlete_name) FROM athlete) ELSE athlete_name || ' x' END AS canonical FROM athlete) SELECT u.", 1))
+UNION ALL SELECT DISTINCT u.athlete_id, 'taken' FROM u JOIN athlete a USING (athlete_id) JOIN athlete o ON lower(trim(o.athlete_name)) = lower(trim(u.canonical)) AND o.athlete_id <> a.athlete_id AND o.athlete_gender = a.athlete_gender AND o.birth_year IS NOT DISTINCT FROM a.birth_year)""")
 def canonical_name_guards(s: Star) -> DataFrame:
     """What stands against reviewed names."""
     first = s.athlete.agg(F.min("athlete_name").alias("least"))

@@ -180,3 +180,76 @@ def relay_alternatives(s: Star) -> DataFrame:
     """The five best line-ups of each club and category, freestyle women."""
     found = candidates(star_roster(s), "freestyle", "women").where(F.col("place") <= ALTERNATIVES)
     return found.select("club_id", "category", "place", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "total_ms", "age_sum")
+
+
+# --- rosters and proposals beyond one call
+
+
+def by_ids(roster: DataFrame, ids: DataFrame) -> DataFrame:
+    """The roster's athletes of the given ids."""
+    return roster.join(core.small_side(ids.select("athlete_id").distinct()), "athlete_id", "left_semi")
+
+
+def with_known_times(athletes: DataFrame, best: DataFrame) -> DataFrame:
+    """athletes (name_key, gender, birth_year, times, athlete_id, ...) with the known best times (name_key, gender, birth_year,
+    stroke, ms, athlete_id) in place of those they came with; a stroke without a known time has none."""
+    keys = ["name_key", "gender", "birth_year"]
+    known = best.where("ms IS NOT NULL").groupBy(*keys, "stroke").agg(F.min_by(F.struct("ms", "athlete_id"), "ms").alias("b"))
+    held = known.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("stroke", "b.ms"))).alias("_times"), F.max("b.athlete_id").alias("_id"))
+    a, h = athletes.alias("a"), held.alias("h")
+    same = core.all_of(*[F.col(f"a.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys])
+    new = {"times": F.coalesce("h._times", F.create_map().cast("map<string,bigint>")), "athlete_id": F.coalesce("h._id", "a.athlete_id")}
+    return a.join(h, same, "left").select(*[new[c].alias(c) if c in new else F.col(f"a.{c}") for c in athletes.columns])
+
+
+def unassigned(roster: DataFrame, line_ups: DataFrame) -> DataFrame:
+    """The roster's athletes who swim in no line-up of their club."""
+    swims = line_ups.select("club_id", F.explode("ids").alias("athlete_id")).distinct()
+    return roster.join(swims, ["club_id", "athlete_id"], "left_anti")
+
+
+def cross_errors(line_ups: DataFrame, unavailable: DataFrame) -> DataFrame:
+    """line_ups (club_id, relay, category, ids) with what is wrong between them: an athlete in two of them, one who isn't
+    available, two of one category."""
+    legs = line_ups.select("club_id", "relay", F.explode("ids").alias("athlete_id"))
+    often = legs.groupBy("club_id", "athlete_id").agg(F.countDistinct("relay").alias("n"))
+    away = core.small_side(unavailable.select("athlete_id").distinct().withColumn("_away", F.lit(True)))
+    per = legs.join(often, ["club_id", "athlete_id"]).join(away, "athlete_id", "left").groupBy("club_id", "relay").agg(F.max(F.col("n") > 1).alias("_twice"), F.bool_or(F.coalesce("_away", F.lit(False))).alias("_away"))
+    same = line_ups.groupBy("club_id", "category").agg(F.count("*").alias("_same"))
+    joined = line_ups.join(per, ["club_id", "relay"], "left").join(same, ["club_id", "category"], "left")
+    tests = {"athlete in two relays": F.col("_twice"), "athlete not available": F.col("_away"), "category twice": F.col("_same") > 1}
+    errors = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items()]))
+    return joined.select(*[F.col(c) for c in line_ups.columns], errors.alias("errors"))
+
+
+def greedy(roster: DataFrame, style: str, rule: str, order: list[str], fixed: DataFrame | None = None) -> DataFrame:
+    """The line-ups of each club category by category, in the given order: the best of those athletes that no fixed and no
+    earlier relay has. Not the choice with most relays (proposals is), but the one that a person steps through."""
+    left = roster if fixed is None else unassigned(roster, fixed)
+    out = None
+    for category in order:
+        best = candidates(left, style, rule, [category]).where("place = 1").select("club_id", "category", "ids", "total_ms", "age_sum")
+        best = best.checkpoint() if core.df_has_checkpoint(best) else best
+        out = best if out is None else out.unionByName(best)
+        left = unassigned(left, best)
+    return out
+
+
+def responses(roster: DataFrame, line_ups: DataFrame) -> DataFrame:
+    """(club_id, response): what a club is told, as JSON: its line-ups and who swims in none."""
+    idle = unassigned(roster, line_ups).groupBy("club_id").agg(F.array_sort(F.collect_list("athlete_id")).alias("unassigned"))
+    lined = line_ups.groupBy("club_id").agg(F.array_sort(F.collect_list(F.struct("category", "total_ms", "age_sum", "ids"))).alias("proposal"))
+    both = roster.select("club_id").distinct().join(lined, "club_id", "left").join(idle, "club_id", "left")
+    return both.select("club_id", F.to_json(F.struct(F.coalesce("proposal", F.array().cast("array<struct<category:string,total_ms:bigint,age_sum:int,ids:array<bigint>>>")).alias("proposal"), F.coalesce("unassigned", F.array().cast("array<bigint>")).alias("unassigned"))).alias("response"))
+
+
+def distances(events: DataFrame, stroke: str | None) -> DataFrame:
+    """The distances that may be chosen beside a stroke."""
+    return events.where(core.all_of(core.wanted(F.col("stroke"), stroke))).select("distance_m").distinct()
+
+
+@query()
+def greedy_relays(s: Star) -> DataFrame:
+    """Freestyle men category by category. Tests hold it against a plain search."""
+    found = greedy(star_roster(s), "freestyle", "men", ["160-199", "200-239", "120-159"])
+    return found.select("club_id", "category", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "total_ms", "age_sum")
