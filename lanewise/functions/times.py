@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,40 +15,51 @@ TEXT_STATUSES = ("DNS", "DNF", "DSQ", "SCRATCH", "NT", "NS", "DQ", "DFS", "VALID
 FIRST_DIGITS = (3, 3, 2)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _clock(text: Column) -> Column:
     """(minutes, seconds, centis, n: numbers on the clock) that a time's text shows; null where it shows none.
 
     The text is one row of digit groups: parted by colons, with a fraction behind a point, comma or the last apostrophe.
     """
     plain = F.regexp_replace(F.upper(F.trim(F.regexp_replace(text, "^[Xx]", ""))), r"(?<=\d)[A-Z]$", "")
-    quoted = plain.rlike(r"^\d+(?:'\d\d)?'\d{1,2}$")
-    even = F.translate(F.when(quoted, F.regexp_replace(plain, "'(?=\\d+$)", ".")).otherwise(plain), ",", ".")
-    even = F.when(quoted, F.translate(even, "'", ":")).otherwise(even)
-    halves = F.split(even, r"\.", -1)
-    groups = F.split(F.get(halves, F.lit(0)), ":", -1)
-    n, fraction = F.size(groups), F.coalesce(F.get(halves, F.lit(1)), F.lit("0"))
-    most = F.get(F.array(*map(F.lit, FIRST_DIGITS)), n - 1)
-    first = F.get(groups, F.lit(0)).rlike("^[0-9]+$") & (F.length(F.get(groups, F.lit(0))) <= most)
-    rest = F.forall(F.slice(groups, 2, 3), lambda g: g.rlike("^[0-9]{2}$"))
-    well = (n <= len(FIRST_DIGITS)) & (F.size(halves) <= 2) & first & rest & fraction.rlike("^[0-9]+$") & ((n == 3) | (F.length(fraction) <= 6))
-    upto = F.aggregate(F.transform(F.slice(groups, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda g: g.try_cast("long")), F.lit(0).cast("long"), lambda a, g: a * 60 + g)
-    shown = F.struct(upto.alias("minutes"), F.element_at(groups, -1).try_cast("long").alias("seconds"), F.rpad(F.substring(fraction, 1, 2), 2, "0").try_cast("long").alias("centis"), n.alias("n"))
-    return F.when(well, shown)
+    quoted = lambda t: F.when(t.rlike(r"^\d+(?:'\d\d)?'\d{1,2}$"), F.translate(F.regexp_replace(t, "'(?=\\d+$)", "."), "'", ":")).otherwise(F.translate(t, ",", "."))
+    halves = F.split(let(plain, quoted), r"\.", -1)
+    parts = let(halves, lambda h: F.struct(F.split(F.get(h, F.lit(0)), ":", -1).alias("groups"), F.coalesce(F.get(h, F.lit(1)), F.lit("0")).alias("fraction"), F.size(h).alias("halves")))
+
+    def read(p: Column) -> Column:
+        groups, fraction, n = p["groups"], p["fraction"], F.size(p["groups"])
+        first = F.get(groups, F.lit(0))
+        begins = first.rlike("^[0-9]+$") & (F.length(first) <= F.get(F.array(*map(F.lit, FIRST_DIGITS)), n - 1))
+        rest = F.forall(F.slice(groups, 2, 3), lambda g: g.rlike("^[0-9]{2}$"))
+        well = (n <= len(FIRST_DIGITS)) & (p["halves"] <= 2) & begins & rest & fraction.rlike("^[0-9]+$") & ((n == 3) | (F.length(fraction) <= 6))
+        upto = F.aggregate(F.slice(groups, F.lit(1), F.greatest(n - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, g: a * 60 + g.try_cast("long"))
+        shown = F.struct(upto.alias("minutes"), F.element_at(groups, -1).try_cast("long").alias("seconds"), F.rpad(F.substring(fraction, 1, 2), 2, "0").try_cast("long").alias("centis"), n.alias("n"))
+        return F.when(well, shown)
+
+    return let(parts, read)
 
 
 def normal_time(text: Column) -> Column:
     """`m:ss,cc` or `s,cc`, with X before exhibition times; status words in capitals; other text as it is."""
-    value = blank_to_null(text)
-    t, two = _clock(value), lambda c: F.lpad(c.cast("string"), 2, "0")
-    seconds = F.when((t["n"] == 2) | (t["minutes"] > 0), F.concat(t["minutes"].cast("string"), F.lit(":"), two(t["seconds"]))).otherwise(t["seconds"].cast("string"))
-    shown = F.concat(F.when(F.upper(value).startswith("X"), "X").otherwise(""), seconds, F.lit(","), two(t["centis"]))
-    return F.coalesce(F.when(F.upper(value).isin(*TEXT_STATUSES), F.upper(value)), shown, value)
+
+    def shown(value: Column, t: Column) -> Column:
+        two = lambda c: F.lpad(c.cast("string"), 2, "0")
+        seconds = F.when((t["n"] == 2) | (t["minutes"] > 0), F.concat(t["minutes"].cast("string"), F.lit(":"), two(t["seconds"]))).otherwise(t["seconds"].cast("string"))
+        return F.concat(F.when(F.upper(value).startswith("X"), "X").otherwise(""), seconds, F.lit(","), two(t["centis"]))
+
+    def of(value: Column) -> Column:
+        return F.coalesce(F.when(F.upper(value).isin(*TEXT_STATUSES), F.upper(value)), let(_clock(value), lambda t: shown(value, t)), value)
+
+    return let(blank_to_null(text), of)
 
 
 def time_ms(text: Column) -> Column:
     """Milliseconds of a time, null for status words, other text and over 999 minutes."""
-    t = _clock(blank_to_null(text))
-    return F.when(t["minutes"] < 1000, (t["minutes"] * 60 + t["seconds"]) * 1000 + t["centis"] * 10)
+    return let(_clock(blank_to_null(text)), lambda t: F.when(t["minutes"] < 1000, (t["minutes"] * 60 + t["seconds"]) * 1000 + t["centis"] * 10))
 
 
 def format_ms(ms: Column) -> Column:
