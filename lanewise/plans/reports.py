@@ -291,3 +291,36 @@ def course_inference(s: Star) -> DataFrame:
     """The course that a document's first event names tell."""
     kind = F.when(F.col("event_type") == "purchase", "100 LC Meter").when(F.col("event_type") == "signup", "50 sc Meter").otherwise("LCX 50 Meter")
     return course_of(s.raw("events").select(F.col("user_id").alias("document"), F.col("event_id").alias("line_number"), kind.alias("event_name")))
+
+
+def staged_relays(teams: DataFrame, swimmers: DataFrame, clubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed relay teams and swimmers as staging rows: (relay results, relay members).
+
+    A team without a club has the one with the longest name that its own begins with. A swimmer belongs to the last team of
+    that event and name on the page at or above their line, else to the document's last one of that event and name.
+    """
+    from lanewise.plans.curation import longest_prefix_club
+
+    keys = {"_e": text.match_key(F.col("event_name")), "_t": text.match_key(F.col("team"))}
+    names = teams.select("team").union(swimmers.select("team")).distinct()
+    inferred = longest_prefix_club(names, clubs).withColumnRenamed("club_name", "_club")
+    results = teams.join(inferred, "team", "left").withColumn("club_name", F.coalesce("club_name", "_club"))
+    marked = results.withColumns(keys).withColumn("_mark", F.struct("club_name", "rank_position", "result_time_ms"))
+    last = marked.groupBy("_e", "_t").agg(F.max_by("_mark", "position").alias("_last"))
+    placed = core.as_of(swimmers.withColumns(keys), marked.withColumn("_of", F.col("_mark")).select("_e", "_t", "page_number", "line_number", "_of"), ["_e", "_t", "page_number"], ["line_number"], "_of")
+    joined = placed.join(last, ["_e", "_t"], "left").join(inferred, "team", "left").withColumn("_m", F.coalesce("_of", "_last"))
+    members = joined.select(*swimmers.columns, F.coalesce("_m.club_name", "_club").alias("club_name"), F.col("_m.rank_position").alias("relay_rank_position"), F.col("_m.result_time_ms").alias("relay_result_time_ms"))
+    return results.select(*teams.columns), members
+
+
+@query(""", t AS (SELECT team AS e, athlete_id % 4 AS k, athlete_id % 3 AS page, observation_id AS line, (time_ms % 10)::INTEGER AS rank FROM relay WHERE leg_order = 1)
+SELECT observation_id, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.e = r.team AND t.k = r.athlete_id % 4) OR r.athlete_id % 4 < 3 THEN 'Uno' END AS club_name,
+coalesce((SELECT arg_max(rank, line) FROM t WHERE t.e = r.team AND t.k = r.athlete_id % 4 AND t.page = r.athlete_id % 3 AND t.line <= r.observation_id), (SELECT arg_max(rank, line) FROM t WHERE t.e = r.team AND t.k = r.athlete_id % 4)) AS rank
+FROM relay r WHERE leg_order > 1""")
+def staged_relay_members(s: Star) -> DataFrame:
+    """Relay members with their team's club and rank, found by page and line."""
+    shaped = s.relay.select("observation_id", "leg_order", F.col("team").alias("event_name"), F.concat(F.lit("Uno "), (F.col("athlete_id") % 4).cast("string")).alias("team"), (F.col("athlete_id") % 3).alias("page_number"), F.col("observation_id").alias("line_number"),
+        F.lit(None).cast("string").alias("club_name"), (F.col("time_ms") % 10).cast("int").alias("rank_position"), F.col("time_ms").alias("result_time_ms"), F.col("observation_id").alias("position"))
+    clubs = s.raw("region").limit(1).select(F.lit("Uno").alias("club_name"))
+    _, members = staged_relays(shaped.where("leg_order = 1").drop("leg_order", "observation_id"), shaped.where("leg_order > 1").select("observation_id", "event_name", "team", "page_number", "line_number"), clubs)
+    return members.select("observation_id", "club_name", F.col("relay_rank_position").alias("rank"))

@@ -223,11 +223,29 @@ def attendance_percent(s: Star) -> DataFrame:
     return attendance(s).groupBy("club_id", "season").agg(F.count("*").alias("n_athletes"), here.alias("n_attended"), F.expr("(count_if(attended) * 200 + count(*)) div (2 * count(*))").alias("percent"))
 
 
+def competitions(s: Star, search: tuple[str, str] | None = None, timeframe: str = "all", number: int = 1, size: int = 100, today: str = AS_OF) -> DataFrame:
+    """A page of competitions: upcoming ones nearest first, past and all latest first; none dated last."""
+    day, now = F.col("start_date"), F.lit(today).cast("date")
+    hit = None if search is None else F.col("competition_name").ilike(f"%{search[0]}%") | F.col("scope").ilike(f"%{search[1]}%")
+    when = {"upcoming": day >= now, "past": day < now, "all": None}[timeframe]
+    order = [F.asc_nulls_last(day), F.asc("competition_id")] if timeframe == "upcoming" else [F.desc_nulls_last(day), F.desc("competition_id")]
+    return core.page(s.competition.where(core.all_of(hit, when)), number, size, *order).select("competition_id", "competition_name", "start_date", "scope", "course")
+
+
 @query(f"SELECT competition_id, competition_name, start_date, scope, course FROM competition WHERE (competition_name ILIKE '%1%' OR scope ILIKE '%urgent%') AND start_date < DATE '{AS_OF}' ORDER BY start_date DESC NULLS LAST, competition_id DESC LIMIT 100")
 def competition_list(s: Star) -> DataFrame:
-    hit = F.col("competition_name").ilike("%1%") | F.col("scope").ilike("%urgent%")
-    past = s.competition.where(hit & (F.col("start_date") < F.lit(AS_OF).cast("date")))
-    return core.page(past, 1, 100, F.desc_nulls_last("start_date"), F.desc("competition_id")).select("competition_id", "competition_name", "start_date", "scope", "course")
+    return competitions(s, ("1", "urgent"), "past")
+
+
+@query("SELECT competition_id, competition_name, start_date, scope, course FROM competition WHERE start_date >= DATE '2000-01-01' ORDER BY start_date, competition_id LIMIT 50 OFFSET 50")
+def upcoming_competitions(s: Star) -> DataFrame:
+    """The second page of what is to come."""
+    return competitions(s, None, "upcoming", 2, 50, "2000-01-01")
+
+
+@query("SELECT competition_id, competition_name, start_date, scope, course FROM competition ORDER BY start_date DESC NULLS LAST, competition_id DESC LIMIT 100")
+def all_competitions(s: Star) -> DataFrame:
+    return competitions(s)
 
 
 @query("SELECT year(start_date)::INTEGER AS season, count(*)::BIGINT AS n FROM competition WHERE start_date IS NOT NULL GROUP BY 1")
@@ -258,13 +276,28 @@ def competition_detail_flat(s: Star) -> DataFrame:
 SELECT club_id, club_name, count(*) AS n_results, count(DISTINCT athlete_id) AS n_athletes, count(DISTINCT competition_id) AS n_competitions FROM result JOIN club USING (club_id)
 WHERE coalesce(status, 'unknown') NOT IN ('dns', 'scratch') GROUP BY ALL)""")
 def club_participation(s: Star) -> DataFrame:
+    return participation(s)
+
+
+def participation(s: Star, sort: str | None = None) -> DataFrame:
+    """Clubs ranked by what they swam, or by name; any other order counts as the first. Ranks are taken within buckets."""
     per = s.result.where(domain.counted(F.col("status"))).groupBy("club_id").agg(F.count("*").alias("n_results"), F.countDistinct("athlete_id").alias("n_athletes"), F.countDistinct("competition_id").alias("n_competitions"))
     named = per.join(s.club.select("club_id", "club_name"), "club_id")
-    order = [F.desc("n_results"), F.desc("n_athletes"), F.asc("club_name"), F.asc("club_id")]
-    ranked_ = core.global_rank(named, -F.expr("length(bin(n_results))"), *order)  # buckets: powers of two of the first key
+    if sort == "name":
+        ranked_ = core.global_rank(named, F.substring("club_name", 1, 12), F.asc("club_name"), F.asc("club_id"))
+    else:
+        order = [F.desc("n_results"), F.desc("n_athletes"), F.asc("club_name"), F.asc("club_id")]
+        ranked_ = core.global_rank(named, -F.expr("length(bin(n_results))"), *order)  # buckets: powers of two of the first key
     return ranked_.select(F.col("rank").cast("long").alias("rank"), "club_id", "club_name", "n_results", "n_athletes", "n_competitions")
 
 
+@query("""SELECT row_number() OVER (ORDER BY club_name, club_id) AS rank, * FROM (
+SELECT club_id, club_name, count(*) AS n_results, count(DISTINCT athlete_id) AS n_athletes, count(DISTINCT competition_id) AS n_competitions FROM result JOIN club USING (club_id)
+WHERE coalesce(status, 'unknown') NOT IN ('dns', 'scratch') GROUP BY ALL)""")
+def club_participation_by_name(s: Star) -> DataFrame:
+    return participation(s, "name")
+
+
 @query("""SELECT scope, club_id, club_name, count(*) AS n_results, count(DISTINCT athlete_id) AS n_athletes, sum(coalesce(points, 0))::DECIMAL(20,2) AS points,
 count(*) FILTER (WHERE rank_position = 1) AS first, count(*) FILTER (WHERE rank_position = 2) AS second, count(*) FILTER (WHERE rank_position = 3) AS third FROM result LEFT JOIN club USING (club_id) GROUP BY ALL""")
 def club_medal_table(s: Star) -> DataFrame:

@@ -65,3 +65,13 @@ def test_meet_header_and_counters(spark):
     assert [tuple(map(str, g)) for g in got] == [("d", "Copa Uno", "2026-03-02", "2026-03-04", "2026"), ("e", "Copa", "None", "None", "None")]
     kinds = spark.createDataFrame([("d", "header"), ("d", "result"), ("d", "result"), ("e", "unparsed")], "document string, kind string")
     assert rows(reports.counters(kinds), "document", "n_header", "n_result", "n_unparsed") == [("d", 1, 2, 0), ("e", 0, 0, 1)]
+
+
+def test_staged_relays(spark):
+    kind = "event_name string, team string, page_number int, line_number int, club_name string, rank_position int, result_time_ms long, position int"
+    teams = spark.createDataFrame([("e", "Uno A", 1, 5, None, 1, 100, 1), ("e", "UNO A", 1, 20, None, 2, 200, 2), ("e", "Dos", 2, 1, "Club Dos", 3, 300, 3)], kind)
+    swimmers = spark.createDataFrame([("E", "Uno A", 1, 6, "a"), ("e", "uno a", 1, 30, "b"), ("e", "Uno A", 3, 1, "c"), ("e", "Dos", 2, 0, "d"), ("e", "Tres", 1, 1, "x"), ("e", "Uno A", None, None, "n")], "event_name string, team string, page_number int, line_number int, name string")
+    clubs = spark.createDataFrame([("Uno",), ("Tres",)], "club_name string")
+    staged, members = reports.staged_relays(teams, swimmers, clubs)
+    assert rows(staged, "team", "club_name") == [("Dos", "Club Dos"), ("UNO A", "Uno"), ("Uno A", "Uno")]
+    assert rows(members, "name", "club_name", "relay_rank_position", "relay_result_time_ms") == [("a", "Uno", 1, 100), ("b", "Uno", 2, 200), ("c", "Uno", 2, 200), ("d", "Club Dos", 3, 300), ("n", "Uno", 2, 200), ("x", "Tres", None, None)]
