@@ -160,13 +160,19 @@ def meet_header(lines: DataFrame, document: str = "document") -> DataFrame:
     return first.select(document, "name", "start_date", F.coalesce("last", "start_date").alias("end_date"), F.year("start_date").alias("year"))
 
 
-def layouts(words: DataFrame, document: str = "document", columns: int = 2) -> DataFrame:
-    """(document, layout) of word boxes (document, page_number, text, x0, page_width): by the first two pages, in columns
-    where event headers begin in more than one of them, else plain."""
-    begins = F.col("text").rlike(r"(?i)^(?:Event|Evento|#\d)")
-    column = F.floor(F.col("x0") * columns / F.col("page_width"))
-    seen = words.where("page_number <= 2").groupBy(document).agg(F.countDistinct(F.when(begins, column)).alias("n"), F.bool_or(F.lower("text").contains("campeonato brasileiro")).alias("brazil"))
-    return seen.select(document, F.when(F.col("brazil"), "coordinates").when(F.col("n") > 1, "columns").otherwise("plain").alias("layout"))
+# The mark of reports set by coordinates; the x-ranges of two columns.
+WATERMARK = "Sistemas de Natação Swim It Up"
+TWO_COLUMNS = ((0, 300), (300, 620))
+
+
+def layouts(lines: DataFrame, document: str = "document") -> DataFrame:
+    """(document, layout) of lines (document, page_number, raw_line), by the first two pages: by the watermark, or by lines
+    that hold more than one event header, which stand in two columns or, numbered by a hash, in several."""
+    heads = lambda opener: F.max(F.regexp_count("raw_line", F.lit(rf"{opener}\d+\s+(?:Women|Men|Mixed)")))
+    seen = lines.where("page_number <= 2").groupBy(document).agg(
+        F.bool_or(F.contains("raw_line", F.lit(WATERMARK))).alias("marked"), heads(r"\bEvent\s+").alias("two"), heads("#").alias("many"), F.bool_or(F.col("raw_line").rlike(r"#\d+\s+(?:Women|Men|Mixed)\s+\d")).alias("aged")
+    )
+    return seen.select(document, F.when(F.col("marked"), "coordinates").when(F.col("two") > 1, "two columns").when((F.col("many") > 1) & F.col("aged"), "columns").otherwise("plain").alias("layout"))
 
 
 def reading_order(rows: DataFrame, columns: int = 2) -> DataFrame:

@@ -54,9 +54,10 @@ def test_relay_names_over_lines(spark):
 
 
 def test_pages_in_columns(spark):
-    words = spark.createDataFrame([("d", 1, "Event", 10.0, 600.0, 1), ("d", 1, "Evento", 320.0, 600.0, 1), ("d", 1, "a", 11.0, 600.0, 2), ("e", 1, "Event", 10.0, 600.0, 1), ("f", 1, "Campeonato Brasileiro", 1.0, 600.0, 1)], "document string, page_number int, text string, x0 double, page_width double, line int")
-    assert rows(reports.layouts(words)) == [("d", "columns"), ("e", "plain"), ("f", "coordinates")]
-    assert rows(reports.reading_order(words).where("document = 'd'"), "line_number", "text") == [(1, "Event"), (2, "a"), (3, "Evento")]
+    lines = [("d", 1, "Event 1 Women 35-39 Event 2 Men 35-39"), ("e", 1, "#1 Women 18-24 100 #2 Men 18-24"), ("f", 1, f"x {reports.WATERMARK}"), ("g", 1, "Event 1 Women 35-39"), ("h", 3, "Event 1 Women Event 2 Men"), ("h", 1, None)]
+    assert rows(reports.layouts(spark.createDataFrame(lines, "document string, page_number int, raw_line string"))) == [("d", "two columns"), ("e", "columns"), ("f", "coordinates"), ("g", "plain"), ("h", "plain")]
+    words = spark.createDataFrame([("d", 1, "Event", 10.0, 600.0, 1), ("d", 1, "Evento", 320.0, 600.0, 1), ("d", 1, "a", 11.0, 600.0, 2)], "document string, page_number int, text string, x0 double, page_width double, line int")
+    assert rows(reports.reading_order(words), "line_number", "text") == [(1, "Event"), (2, "a"), (3, "Evento")]
 
 
 def test_meet_header_and_counters(spark):
