@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import bagminhash, chat, hashforest, packing, quality, rendezvous, rules, subwords, tagpath, toxicity
+from lanewise.llm import bagminhash, chat, hashforest, merkle, packing, quality, rendezvous, rules, stripes, subwords, tagpath, toxicity
 from lanewise.llm.common import table
 
 
@@ -68,6 +68,21 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashforest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_stripe_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripes.audit(table(spark, sf_dir, "documents"))
+
+
+#: Capitals of ASCII and the letters that stand for them in a tampered text.
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op12_pointer_jumping_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = {"text": F.translate("text", CAPITALS, CAPITALS.lower())}
+    every_fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = merkle.verified(table(spark, sf_dir, "documents"), tampered, every_fifth)
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("segment")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_knn_quality": op1_knn_quality,
     "op2_grammar_round_trip": op2_grammar_round_trip,
@@ -79,6 +94,8 @@ QUERIES = {
     "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
     "op9_rendezvous": op9_rendezvous,
     "op10_hash_prefix_forest": op10_hash_prefix_forest,
+    "op11_stripe_divergence": op11_stripe_divergence,
+    "op12_pointer_jumping_manifest": op12_pointer_jumping_manifest,
 }
 
 OP2_SQL = r"""
@@ -155,4 +172,77 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM f LEFT JOIN judged USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_grammar_round_trip": OP2_SQL, "op6_adaptive_rules": OP6_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), t AS (
+  SELECT lang, source, term, r, count(*) AS n FROM (SELECT lang, source, r, unnest(ws) AS term FROM d) GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM t GROUP BY ALL HAVING count(*) >= 30
+), g AS (SELECT DISTINCT lang, source FROM d
+), l AS (
+  SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM g) LEFT JOIN kept USING (lang) GROUP BY lang
+), c AS (
+  SELECT g.lang, g.source, k.term, coalesce(sum(n), 0)::HUGEINT AS n FROM g JOIN kept k USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM c JOIN l USING (lang)
+), q AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN l USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term) GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, b: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS crc,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents
+), h AS (
+  SELECT doc_id, source, crc, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS other FROM f
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM h
+), tree AS (
+  SELECT source, 0 AS level, place, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT source, level + 1, place // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM tree WHERE n > 1 GROUP BY source, level, place // 16
+), subroots AS (
+  SELECT source, level, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS level, place, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM top WHERE n > 1 GROUP BY level, place // 16
+), steps AS (
+  SELECT source, level, place, {'l': coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+    'r': coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '')} AS s
+  FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY source, level, place // 16 ORDER BY place)
+), topsteps AS (
+  SELECT level, place, {'l': coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+    'r': coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '')} AS s
+  FROM top WHERE n > 1 WINDOW w AS (PARTITION BY level, place // 16 ORDER BY place)
+), below AS (
+  SELECT v.source, v.place, list(s.s ORDER BY s.level) AS steps FROM leaves v JOIN steps s ON s.source IS NOT DISTINCT FROM v.source AND s.place = v.place // (16 ** s.level)::BIGINT GROUP BY ALL
+), above AS (
+  SELECT r.source, list(s.s ORDER BY s.level) AS steps FROM subroots r JOIN topsteps s ON s.place = r.place // (16 ** s.level)::BIGINT GROUP BY ALL
+), whole AS (
+  SELECT v.*, r.digest AS subroot, list_concat(coalesce(b.steps, []), coalesce(a.steps, [])) AS steps
+  FROM leaves v JOIN subroots r ON r.source IS NOT DISTINCT FROM v.source
+  LEFT JOIN below b ON b.source IS NOT DISTINCT FROM v.source AND b.place = v.place LEFT JOIN above a ON a.source IS NOT DISTINCT FROM v.source
+), folded AS (
+  SELECT *, list_reduce(list_prepend({'l': CASE WHEN crc % 5 = 0 THEN other ELSE leaf END, 'r': ''}, steps), lambda x, s: {'l': sha256(s.l || x.l || s.r), 'r': ''}).l AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded, (SELECT digest AS root FROM top WHERE n = 1)
+"""
+
+ORACLES: dict[str, str] = {"op2_grammar_round_trip": OP2_SQL, "op6_adaptive_rules": OP6_SQL, "op11_stripe_divergence": OP11_SQL, "op12_pointer_jumping_manifest": OP12_SQL}
