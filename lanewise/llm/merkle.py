@@ -66,7 +66,9 @@ def _numbered(rows: DataFrame, keys: list[str], order: list[str], tag: str) -> t
     return written, sizes.select(*keys, "task", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(of_key).alias("total"))
 
 
-_PLACE = (F.col("before") + F.col("number") - F.col("first")).alias("place")
+def _place() -> Column:
+    """A numbered row's place in its key."""
+    return F.col("before") + F.col("number") - F.col("first")
 
 
 def _siblings(members: Column, at: Column, value: str = "digest") -> Column:
@@ -121,12 +123,12 @@ def manifest(leaves: DataFrame, key: str = "doc_id", group: str = "source", leaf
     rows, bases = _numbered(slim, ["group"], ["key", "leaf", "tie"], "ordered")
     sizes = staged(bases, "sizes")
     groups, order = _numbered(sizes.groupBy("group").agg(F.max("total").alias("leaves")), [], ["group"], "groups")
-    names = groups.join(small_side(order), "task").select(F.col("group").alias("name"), _PLACE.alias("gid"))
+    names = groups.join(small_side(order), "task").select(F.col("group").alias("name"), _place().alias("gid"))
     sizes = sizes.join(small_side(names), F.col("group").eqNullSafe(F.col("name"))).select(F.col("group").alias("g"), F.col("task").alias("t"), "first", "before", "total", "gid")
     least = groups.agg(F.max("leaves"), F.count("*")).first()
     largest, n_groups = least[0] or 0, least[1]
     placed = rows.join(small_side(sizes), (F.col("task") == F.col("t")) & F.col("group").eqNullSafe(F.col("g")))
-    members = placed.select("gid", "group", "total", _PLACE, "key", "leaf", "carried").groupBy("gid", F.expr(f"place div {FAN}").alias("run"))
+    members = placed.select("gid", "group", "total", _place().alias("place"), "key", "leaf", "carried").groupBy("gid", F.expr(f"place div {FAN}").alias("run"))
     runs = staged(members.agg(F.max("total").alias("total"), F.first("group").alias("group"), F.array_sort(F.collect_list(F.struct("place", "key", "leaf", "carried"))).alias("members")), "runs")
     joined = F.array_join(F.transform("members", lambda m: m["leaf"]), "")
     nodes = runs.select("gid", F.col("run").alias("idx"), "total", F.when(F.col("total") == 1, F.col("members")[0]["leaf"]).otherwise(_sha(joined)).alias("digest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import bagminhash, chat, hashforest, merkle, packing, quality, rendezvous, rules, stripes, subwords, tagpath, toxicity
+from lanewise.llm import automaton, bagminhash, chat, hashforest, merkle, packing, quality, rendezvous, rules, stripes, subwords, tagpath, toxicity
 from lanewise.llm.common import table
 
 
@@ -83,6 +83,19 @@ def op12_pointer_jumping_manifest(spark: SparkSession, sf_dir: str) -> DataFrame
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("segment")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    m, found = F.col("matches"), automaton.matched(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        m["n_words"].alias("n_words"),
+        m["n_hit"].alias("n_hit"),
+        F.size(m["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(m["items"], ",").cast("binary"), 256).alias("items_sha256"),
+        (m["n_hit"] > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_knn_quality": op1_knn_quality,
     "op2_grammar_round_trip": op2_grammar_round_trip,
@@ -96,6 +109,7 @@ QUERIES = {
     "op10_hash_prefix_forest": op10_hash_prefix_forest,
     "op11_stripe_divergence": op11_stripe_divergence,
     "op12_pointer_jumping_manifest": op12_pointer_jumping_manifest,
+    "op13_suffix_automaton": op13_suffix_automaton,
 }
 
 OP2_SQL = r"""
@@ -245,4 +259,27 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps,
 FROM folded, (SELECT digest AS root FROM top WHERE n = 1)
 """
 
-ORACLES: dict[str, str] = {"op2_grammar_round_trip": OP2_SQL, "op6_adaptive_rules": OP6_SQL, "op11_stripe_divergence": OP11_SQL, "op12_pointer_jumping_manifest": OP12_SQL}
+OP13_SQL = r"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - 8, 2))) AS k FROM b WHERE len(ws) > 0)
+), words AS (
+  SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM d
+), tens AS (
+  SELECT r, k, list(w) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM words
+), found AS (
+  SELECT r, k, n, item_id FROM (SELECT r, k, n, array_to_string(ten[1:n], ' ') AS w FROM tens JOIN (SELECT DISTINCT n FROM windows) ON len(ten) >= n) JOIN windows USING (n, w)
+), hits AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM found)) GROUP BY r
+), items AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_grammar_round_trip": OP2_SQL, "op6_adaptive_rules": OP6_SQL, "op11_stripe_divergence": OP11_SQL, "op12_pointer_jumping_manifest": OP12_SQL, "op13_suffix_automaton": OP13_SQL}
