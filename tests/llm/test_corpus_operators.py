@@ -79,7 +79,7 @@ def test_signatures_estimate_without_bias():
     for _ in range(40):
         a = Counter({f"e{k}": random.choice([1, 1, 1, 2, 5, 9]) for k in range(60)})
         b = Counter({k: max(0, n + random.choice([-2, 0, 0, 1])) for k, n in a.items() if random.random() < 0.8}) + Counter({f"x{random.random()}": 1 for _ in range(5)})
-        h = {k: words.mix(np.array([hash(k) & (2**63 - 1)], np.uint64))[0] for k in [*a, *b]}
+        h = {k: words.mix(np.array([random.getrandbits(63)], np.uint64))[0] for k in [*a, *b]}
         rows, elements, counts = [], [], []
         for r, bag_ in enumerate((a, b)):
             for k, n in bag_.items():
@@ -87,7 +87,7 @@ def test_signatures_estimate_without_bias():
                     rows.append(r), elements.append(h[k]), counts.append(n)
         sig = bagminhash.signatures(np.array(rows), np.array(elements, np.uint64), np.array(counts), 2, 512)
         errors.append((sig[0] == sig[1]).mean() - similarity(a, b))
-    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.04
+    assert abs(np.mean(errors)) < 4 * np.std(errors) / len(errors) ** 0.5 and np.std(errors) < 0.04
 
 
 def test_near_copies_match_all_pairs(spark):
