@@ -124,7 +124,21 @@ def df_has_checkpoint(df: DataFrame) -> bool:
     return bool(df.sparkSession.sparkContext.getCheckpointDir())
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df worked out once for the several branches that read it: a checkpoint where the session has a folder for it, else cached."""
+    return df.checkpoint() if df_has_checkpoint(df) else df.cache()
+
+
 def carry_forward(df: DataFrame, by: list[str], order: list[str], column: Column, into: str) -> DataFrame:
     """The last value that isn't null up to each row of its group."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(into, F.last(column, ignorenulls=True).over(w))
+
+
+def interval_join(points: DataFrame, bands: DataFrame, keys: list[str], at: str, left: str, right: str, cell: float) -> DataFrame:
+    """points with every band of their keys that holds them, left <= at < right: bands are laid out in cells of the axis, points
+    meet them by an equi-join on their cell, then the exact bounds decide. Bands should span few cells each."""
+    n = lambda c: F.floor(F.col(c) / cell)
+    laid = bands.where(F.col(left) < F.col(right)).withColumn("_cell", F.explode(F.sequence(n(left), n(right))))
+    met = points.withColumn("_cell", n(at)).join(laid, [*keys, "_cell"])
+    return met.where((F.col(at) >= F.col(left)) & (F.col(at) < F.col(right))).drop("_cell")
