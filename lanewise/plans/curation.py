@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanewise.functions import domain, similarity, text
-from lanewise.operators import core
+from lanewise.operators import core, simjoin
 from lanewise.plans.star import STAR_SQL, Star
 
 QUERIES: dict = {}
@@ -203,3 +203,30 @@ def name_score_topn(s: Star) -> DataFrame:
     pairs = names.select("block", F.col("name").alias("person")).join(names.select("block", F.col("name").alias("candidate")), "block").where("person <> candidate")
     scored = pairs.withColumn("score", F.round(similarity.competition_score(F.col("person"), F.col("candidate")), 6))
     return core.top_by(scored, ["person"], 5, F.desc("score"), F.asc("candidate")).select("person", "candidate", "score", "place")
+
+
+#: Titles of the pages and copies of them with letters lost and changed, as misread ones are.
+_TITLES = """SELECT DISTINCT lower(t) AS t FROM (SELECT regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS t, page_id FROM pages
+UNION ALL SELECT replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), 'nd', 'n'), 'th', 'tb'), page_id FROM pages WHERE page_id % 3 = 0) WHERE t <> ''"""
+
+
+def titles(s: Star) -> DataFrame:
+    own = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    misread = F.replace(F.replace(own, F.lit("nd"), F.lit("n")), F.lit("th"), F.lit("tb"))
+    pages = s.raw("pages")
+    both = pages.select(own.alias("t")).unionByName(pages.where("page_id % 3 = 0").select(misread.alias("t")))
+    return both.where("t <> ''").select(F.lower("t").alias("t")).distinct()
+
+
+@query(f"""WITH t AS ({_TITLES}), g AS (SELECT DISTINCT t, (chr(1) || chr(1) || t || chr(2) || chr(2))[k:k + 2] AS gram FROM (SELECT t, unnest(range(1, length(t) + 3)) AS k FROM t)),
+n AS (SELECT t, count(*) AS n FROM g GROUP BY 1), c AS (SELECT x.t AS a, y.t AS b, count(*) AS n_common FROM g x JOIN g y ON x.gram = y.gram AND x.t < y.t GROUP BY ALL)
+SELECT a, b, n_common::INTEGER AS n_common, (p.n + q.n - n_common)::INTEGER AS n_all FROM c JOIN n p ON p.t = a JOIN n q ON q.t = b WHERE 100 * n_common >= 60 * (p.n + q.n - n_common)""", star=False)
+def similar_titles(s: Star) -> DataFrame:
+    """All pairs of titles, misread ones too, that share three fifths of their trigrams."""
+    return simjoin.similar_texts(titles(s), "t", 60)
+
+
+@query()
+def alike_titles(s: Star) -> DataFrame:
+    """All pairs of titles with a Ratcliff-Obershelp ratio of 0.9 or more. It has no SQL; tests hold it against all pairs."""
+    return simjoin.alike_texts(titles(s), "t", 90, similarity.ratio).withColumn("score", F.round("score", 6))

@@ -1,20 +1,20 @@
-"""Relay line-ups: rosters, best times, groups of four by ordered self joins, best order of each, and disjoint choices.
+"""Relay line-ups: rosters, best times, the best groups of four, best order of each, and disjoint choices.
 
-A club's roster is small, clubs are many: groups form inside a club by equi-joins on it, and only athletes with the times
-that their place needs come in, so the joins stay near what can be swum. The choice of disjoint line-ups over the seven
-categories is a search over at most `PER_CATEGORY` candidates each and runs as a grouped function, one club at a time.
+Clubs are many. Windows cut each roster to those who can be in one of its best line-ups at all, a number that doesn't grow
+with the club; the best-first search among these (`lineups`) and the choice of disjoint line-ups over the seven categories,
+from at most `PER_CATEGORY` candidates each, run as grouped functions, one club at a time.
 """
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions import domain
 from lanewise.operators import core
+from lanewise.plans import lineups
 from lanewise.plans.results import current_clubs, eligible
 from lanewise.plans.star import AS_OF_YEAR, STAR_SQL, Star
 
@@ -46,36 +46,24 @@ def candidates(roster: DataFrame, style: str, rule: str, categories: list[str] |
     of a group's 24 orders the first with the least total counts, and of groups with equal totals the one with least ids.
     """
     strokes = domain.RELAY_STROKES[style]
-    slots = [F.try_element_at("times", F.lit(k)).alias(f"t{n}") for n, k in enumerate(strokes)]
-    any_time = F.coalesce(*[F.try_element_at("times", F.lit(k)) for k in dict.fromkeys(strokes)]).isNotNull()
-    member = F.struct("athlete_id", "athlete_gender", "age", *slots).alias("a")
-    # few bytes come in and many groups go out: a fixed number of partitions isn't merged by size, and every join keeps it
-    parts = int(roster.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    able = roster.where(any_time & F.col("age").isNotNull()).select("club_id", member).repartition(parts, "club_id")
-    genders = {"mixed": ("female", "female", "male", "male"), "women": ("female",) * 4, "men": ("male",) * 4}[rule]
-    groups = None
-    for n, gender in enumerate(genders):
-        side = able.where(F.col("a.athlete_gender") == gender).select("club_id", F.col("a").alias(f"a{n}"))
-        if groups is None:
-            groups = side
-        else:
-            joined = groups.join(side, "club_id")
-            groups = joined.where(F.col(f"a{n - 1}.athlete_id") < F.col(f"a{n}.athlete_id")) if genders[n - 1] == gender else joined
-    ages = sum((F.col(f"a{n}.age") for n in range(1, 4)), F.col("a0.age"))
-    groups = groups.withColumn("age_sum", ages).withColumn("category", domain.relay_category(F.col("age_sum"))).where("category IS NOT NULL")
-    if categories is not None:
-        groups = groups.where(F.col("category").isin(*categories))
-    orders = list(permutations(range(4))) if len(set(strokes)) > 1 else [(0, 1, 2, 3)]
-    none = 1 << 60
-    totals = []
-    for k, order in enumerate(orders):
-        total = sum((F.col(f"a{m}.t{place}") for place, m in enumerate(order[1:], 1)), F.col(f"a{order[0]}.t0"))
-        totals.append(F.struct(F.coalesce(total, F.lit(none)).cast("long").alias("total_ms"), F.lit(k).alias("k")))
-    places = F.array(*[F.array(*[F.lit(m) for m in order]) for order in orders])
-    best = groups.select("club_id", "category", "age_sum", F.array(*[F.col(f"a{m}.athlete_id") for m in range(4)]).alias("four"), F.array_min(F.array(*totals)).alias("best"))
-    lined = best.where(F.col("best.total_ms") < none).select("club_id", "category", "age_sum", "best.total_ms", F.col("four"), F.get(places, F.col("best.k")).alias("order"))
-    lined = lined.select("club_id", "category", "age_sum", "total_ms", F.transform("order", lambda m: F.get("four", m)).alias("ids"))
-    return core.top_by(lined, ["club_id", "category"], PER_CATEGORY, F.asc("total_ms"), F.asc(F.array_sort("ids")))
+    places = list(dict.fromkeys(strokes))
+    genders = {"mixed": ("female", "male"), "women": ("female",), "men": ("male",)}[rule]
+    able = roster.where(F.col("age").isNotNull() & F.col("athlete_gender").isin(*genders)).select(
+        "club_id", "athlete_id", "athlete_gender", F.col("age").cast("int").alias("age"), F.array(*[F.try_element_at("times", F.lit(k)).cast("long") for k in places]).alias("own")
+    )
+    # who is behind this many others of the same gender and age in a place can't be in a kept line-up by it
+    each = able.select("club_id", "athlete_gender", "age", "athlete_id", F.posexplode("own").alias("slot", "ms")).where("ms IS NOT NULL")
+    near = core.top_by(each, ["club_id", "slot", "athlete_gender", "age"], PER_CATEGORY + 3, F.asc("ms"), F.asc("athlete_id"))
+    some = able.join(near.select("club_id", "athlete_id").distinct(), ["club_id", "athlete_id"], "left_semi")
+
+    def run(club: pd.DataFrame) -> pd.DataFrame:
+        own = np.array([[lineups._NEVER if t is None or t != t else int(t) for t in row] for row in club["own"]], np.int64).T
+        found = lineups.line_ups(club["athlete_id"].to_numpy(), (club["athlete_gender"] == "female").to_numpy(), club["age"].to_numpy(), own[[places.index(k) for k in strokes]], rule, categories, PER_CATEGORY)
+        rows = pd.DataFrame(found, columns=["category", "age_sum", "total_ms", "ids"])
+        rows.insert(0, "club_id", club["club_id"].iloc[0])
+        return rows.assign(place=rows.groupby("category").cumcount() + 1)
+
+    return some.groupBy("club_id").applyInPandas(run, "club_id bigint, category string, age_sum int, total_ms bigint, ids array<bigint>, place int")
 
 
 def choose_disjoint(line_ups: pd.DataFrame) -> list[int]:
