@@ -203,3 +203,37 @@ def repaired_names(s: Star) -> DataFrame:
     )
     printed = s.raw("part").select("p_partkey", misread.alias("name"))
     return repaired(printed, "name", repairs(printed, "name"))
+
+
+# --- residue of accents in names
+
+
+def without_residue(c: Column) -> Column:
+    """A name without what misread accents leave: an ñ split in two, a vowel doubled by an accented one, a first vowel parted from
+    its word, the rest behind a bracket that nothing closes.
+
+    Vowels are settled in one fold over the characters, each seeing what the ones before have become, so doing it again changes
+    nothing: behind a plain vowel an accented one goes (iá stays), two accented ones lose their accents."""
+    from_, to = "áéíóúüÁÉÍÓÚÜ", "aeiouuAEIOUU"
+    bare = lambda x: F.translate(x, from_, to)
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.right(done["out"], F.lit(1))
+        meets = done["open"] & F.contains(F.lit(from_), x) & F.lower(bare(last)).isin(*VOWELS)
+        kept, marked = last.isin("i", "I") & x.isin("á", "Á"), F.contains(F.lit(from_), last)
+        both = F.concat(F.substring(done["out"], F.lit(1), F.length(done["out"]) - 1), bare(last), bare(x))
+        out = F.when(~meets | kept, F.concat(done["out"], x)).when(marked, both).otherwise(done["out"])
+        return F.struct(out.alias("out"), (~(meets & kept)).alias("open"))
+
+    first = F.struct(F.lit("").cast("string").alias("out"), F.lit(True).alias("open"))
+    meeting = f"[aeiouAEIOU{from_}][{from_}]"
+    settle = lambda t: F.when(t.rlike(meeting), F.aggregate(F.split(t, ""), first, step, lambda s: s["out"])).otherwise(t)
+    opened = lambda t: F.regexp_count(t, F.lit(r"\(")) > F.regexp_count(t, F.lit(r"\)"))
+    closed = lambda t: F.when(opened(t), F.regexp_replace(F.split_part(t, F.lit("("), F.lit(1)), "[ ,]+$", "")).otherwise(t)
+
+    def of(t: Column) -> Column:
+        settled = times.let(F.regexp_replace(t, r"(?i)ñ\s+ñ|n\s+ñ|ñ\s+n", "ñ"), settle)
+        joined = F.regexp_replace(settled, r"(?U)\b([AEIOUaeiou])\s+(?=[a-zñ])", "$1")
+        return F.coalesce(text.blank_to_null(F.regexp_replace(times.let(joined, closed), r"\s+", " ")), t)
+
+    return times.let(mended(c), of)
