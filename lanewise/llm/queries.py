@@ -162,20 +162,29 @@ WITH d AS (
     UNION ALL SELECT r, lang, source, 'repeat', (1000 * n_repeat_words // n_words)::BIGINT, n_repeat_words, n_words FROM f WHERE NOT base_failed
     UNION ALL SELECT r, lang, source, 'length', (100 * word_chars // n_words)::BIGINT, word_chars, n_words FROM f WHERE NOT base_failed)
 ), levels AS (
-  SELECT 1 AS level, lang, source, measure, cell, count(*) AS n FROM v GROUP BY ALL
-  UNION ALL SELECT 2, lang, NULL, measure, cell, count(*) FROM v GROUP BY ALL
-  UNION ALL SELECT 3, NULL, NULL, measure, cell, count(*) FROM v GROUP BY ALL
+  SELECT 1 AS level, lang, source, measure, cell, count(*) AS n, sum(under) AS under FROM v GROUP BY ALL
+  UNION ALL SELECT 2, lang, NULL, measure, cell, count(*), sum(under) FROM v GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, measure, cell, count(*), sum(under) FROM v GROUP BY ALL
 ), c AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY cell) AS upto FROM levels
 ), q AS (
-  SELECT level, lang, source, measure, max(total)::BIGINT AS n, [min(cell) FILTER (WHERE 10 * upto >= total), min(cell) FILTER (WHERE 10 * upto >= 5 * total),
-    min(cell) FILTER (WHERE 10 * upto >= 9 * total)] AS d
-  FROM c GROUP BY ALL
-), near AS (
-  SELECT o.lang, o.source, o.measure, list_transform([1, 2, 3], lambda k: (o.n * o.d[k] + 200 * ((l.n * l.d[k] + 200 * e.d[k]) // (l.n + 200))) // (o.n + 200)) AS d
-  FROM q o JOIN q l ON o.level = 1 AND l.level = 2 AND l.measure = o.measure AND l.lang IS NOT DISTINCT FROM o.lang JOIN q e ON e.level = 3 AND e.measure = o.measure
+  SELECT level, lang, source, measure, max(total)::BIGINT AS n, greatest(1, 1000 * CASE measure WHEN 'repeat' THEN 6 ELSE 1 END * max(total)::BIGINT // sum(under)::BIGINT) AS unit,
+    min(cell) FILTER (WHERE 1000 * upto >= 100 * total) AS low, min(cell) FILTER (WHERE 1000 * upto >= 500 * total) AS mid, min(cell) FILTER (WHERE 1000 * upto >= 900 * total) AS high,
+    min(cell) FILTER (WHERE 1000 * upto >= 700 * total) AS q0,
+    min(cell) FILTER (WHERE 1000 * upto >= 950 * total) AS q2, min(cell) FILTER (WHERE 1000 * upto >= 980 * total) AS q3, min(cell) FILTER (WHERE 1000 * upto >= 990 * total) AS q4,
+    min(cell) FILTER (WHERE 1000 * upto >= 995 * total) AS q5
+  FROM c GROUP BY level, lang, source, measure
+), own AS (
+  SELECT level, lang, source, measure, n, CASE WHEN measure = 'length' THEN top + 3 * (top - mid)
+    WHEN high + unit >= 8 * (q0 + unit) THEN floor(sqrt(((q0 + unit) * (high + unit))::DOUBLE))::BIGINT - unit
+    WHEN q2 + unit >= 8 * (high + unit) THEN floor(sqrt(((high + unit) * (q2 + unit))::DOUBLE))::BIGINT - unit WHEN q3 + unit >= 8 * (q2 + unit) THEN floor(sqrt(((q2 + unit) * (q3 + unit))::DOUBLE))::BIGINT - unit
+    WHEN q4 + unit >= 8 * (q3 + unit) THEN floor(sqrt(((q3 + unit) * (q4 + unit))::DOUBLE))::BIGINT - unit WHEN q5 + unit >= 8 * (q4 + unit) THEN floor(sqrt(((q4 + unit) * (q5 + unit))::DOUBLE))::BIGINT - unit ELSE q5 END AS hi,
+    greatest(0, low - 3 * (mid - low)) AS lo
+  FROM (SELECT *, high + (1::BIGINT << greatest(length(bin(high)) - 6, 0)) - 1 AS top FROM q)
 ), fence AS (
-  SELECT lang, source, measure, d[3] + 3 * (d[3] - d[2]) AS hi, d[1] - 3 * (d[2] - d[1]) AS lo, CASE measure WHEN 'repeat' THEN 6 ELSE 1 END AS event FROM near
+  SELECT o.lang, o.source, o.measure, (o.n * o.hi + 200 * ((l.n * l.hi + 200 * e.hi) // (l.n + 200))) // (o.n + 200) AS hi, (o.n * o.lo + 200 * ((l.n * l.lo + 200 * e.lo) // (l.n + 200))) // (o.n + 200) AS lo,
+    CASE o.measure WHEN 'repeat' THEN 6 ELSE 1 END AS event
+  FROM own o JOIN own l ON o.level = 1 AND l.level = 2 AND l.measure = o.measure AND l.lang IS NOT DISTINCT FROM o.lang JOIN own e ON e.level = 3 AND e.measure = o.measure
 ), judged AS (
   SELECT v.r, bool_and(CASE WHEN v.measure = 'length' THEN value BETWEEN lo AND hi
     ELSE 1000 * over <= hi * under OR (1000 * over - hi * under)::DOUBLE * (1000 * over - hi * under)::DOUBLE <= 9e6::DOUBLE * event * ((hi * under)::DOUBLE / 1000::DOUBLE + event) END) AS held

@@ -2,11 +2,13 @@
 
 Each document is measured once (words, symbols, repeated lines and word windows). The measures of every language and
 source go into mergeable quantile sketches: counts on a log-linear grid of integers, which add up exactly in any order
-and hold at most `GRID_CELLS` cells a measure. A fence is the upper decile plus REACH times its distance from the median
-(word length also has the like lower fence); no fence is a fixed number. A source's deciles are weighed with its
-language's and these with all rows', by how many rows each has, so small groups lean on wider ones without a switch.
-Marks that are rare in a group have deciles of 0, so rates are held against their fence with the tolerance that counts of
-that size have by chance: REACH standard deviations of a Poisson count of events.
+and hold at most `GRID_CELLS` cells a measure. A rate's fence comes from the tail of its sketch, the quantiles TAIL: where two
+neighbouring ones lie a factor of JUMP apart, as where a part of the texts is of another kind, the fence stands between them,
+else at the last. Quantiles are compared with the rate of one event in a text of the group's mean length added, below
+which rates say nothing. Word length has two fences, beyond its deciles by REACH times their distance from the median. A source's
+fences are weighed with its language's and these with all rows', by how many rows each has, so small groups lean on wider
+ones without a switch, and no fence is a fixed number. A rate is held against its fence with the tolerance that counts of
+that size have by chance: REACH standard deviations of a Poisson count of as many events as the fence allows that text.
 
 Null texts and texts without words have no words, fail the base rule and are not kept. Null languages and sources are
 groups of their own. Repeated rows are measured and judged one by one, ties of values share a cell. Very long texts are
@@ -31,10 +33,12 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 WINDOW = 3
-#: Rows that the wider group's deciles count for when a group's own are weighed with them.
+#: Rows that the wider group's fences count for when a group's own are weighed with them.
 PRIOR = 200
-#: Distances between median and decile that a fence lies beyond the decile; also standard deviations of the tolerance.
+#: Distances between median and decile that a fence of word length lies beyond the decile; standard deviations of the tolerance.
 REACH = 3
+#: Quantiles, in thousandths, that a rate's fence is taken from, and the factor between two that parts kinds of text.
+TAIL, JUMP = (700, 900, 950, 980, 990, 995), 8
 #: Rate -> numerator, denominator, marks that one event leaves (a word window that comes again: two windows of words).
 RATES = {"symbol_rate": ("n_symbols", "n_words", 1), "dup_line_rate": ("n_dup_lines", "n_lines", 1), "repeat_rate": ("n_repeat_words", "n_words", 2 * WINDOW)}
 #: Rates are counted per SCALE; word length, in hundredths, has two fences.
@@ -106,6 +110,11 @@ def grid(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
+def cell_top(cell: Column) -> Column:
+    """The greatest member of a grid cell."""
+    return cell + F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(cell)) - EXACT_BITS, F.lit(0))) - 1
+
+
 def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
@@ -116,33 +125,58 @@ def rates(m: Column) -> dict[str, Column]:
 
 
 def sketches(measured: DataFrame, groups: tuple[str, str] = ("lang", "source"), into: str = "measures") -> DataFrame:
-    """The sketch of every group and measure: lang, source, measure, cell, n. Documents that fail the base rule don't count."""
+    """The sketch of every group and measure: lang, source, measure, cell, n, under (words or lines that the rates are of).
+    Documents that fail the base rule don't count."""
     m = F.col(into)
-    cells = F.array(*[F.struct(F.lit(k).alias("measure"), grid(v).alias("cell")) for k, v in rates(m).items()])
+    under = {k: m[u] for k, (_, u, _) in RATES.items()} | {"word_length": m["n_words"]}
+    cells = F.array(*[F.struct(F.lit(k).alias("measure"), grid(v).alias("cell"), under[k].alias("under")) for k, v in rates(m).items()])
     lang, source = (F.col(g).cast("string") for g in groups)
     return (
         measured.where(~base_failed(m))
         .select(lang.alias("lang"), source.alias("source"), F.explode(cells).alias("c"))
         .groupBy("lang", "source", F.col("c.measure").alias("measure"), F.col("c.cell").alias("cell"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.sum("c.under").alias("under"))
     )
 
 
 def merged(sketch: DataFrame, *by: str) -> DataFrame:
     """Sketches merged over all but the given groups: their counts add up."""
-    return sketch.groupBy(*by, "measure", "cell").agg(F.sum("n").alias("n"))
+    return sketch.groupBy(*by, "measure", "cell").agg(F.sum("n").alias("n"), F.sum("under").alias("under"))
 
 
-#: Column -> tenths of the rows at or below it.
-DECILES = {"low": 1, "mid": 5, "high": 9}
+#: Column -> thousandths of the rows at or below it.
+DECILES = {"low": 100, "mid": 500, "high": 900}
+LEVELS = {m: {f"q{t}": t for t in TAIL} for m in RATES} | {"word_length": DECILES}
 
 
-def deciles(sketch: DataFrame, *by: str) -> DataFrame:
-    """One row a group: n (its rows) and <measure>_low, _mid and _high, the first, fifth and ninth decile."""
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """One row a group: n (its rows), <rate>_q700 and so on, word_length_low, _mid and _high, and <rate>_unit, the rate of one event in a
+    text of mean length."""
     w = Window.partitionBy(*by, "measure")
     cells = sketch.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
-    at = lambda name, tenths: F.min(F.when((F.col("measure") == name) & (10 * F.col("upto") >= tenths * F.col("total")), F.col("cell")))
-    return cells.groupBy(*by).agg(F.max("total").alias("n"), *[at(m, t).alias(f"{m}_{d}") for m in MEASURES for d, t in DECILES.items()])
+    at = lambda name, part: F.min(F.when((F.col("measure") == name) & (1000 * F.col("upto") >= part * F.col("total")), F.col("cell")))
+    found = [at(m, t).alias(f"{m}_{q}") for m, levels in LEVELS.items() for q, t in levels.items()]
+    sums = [F.sum(F.when(F.col("measure") == m, F.col("under"))).alias(f"{m}_under") for m in RATES]
+    groups = cells.groupBy(*by).agg(F.max("total").alias("n"), *found, *sums)
+    return groups.select("*", *[F.expr(f"greatest(1, {SCALE * event} * n div {m}_under)").alias(f"{m}_unit") for m, (_, _, event) in RATES.items()])
+
+
+def fences(sketch: DataFrame, *by: str) -> DataFrame:
+    """One row a group: n, <rate>_hi, word_length_hi and word_length_lo, by the group's own sketch."""
+    q = quantiles(sketch, *by)
+    out = []
+    for m in RATES:
+        parts = [F.col(f"{m}_q{t}") + F.col(f"{m}_unit") for t in TAIL]
+        hi = F.col(f"{m}_q{TAIL[-1]}")
+        for lower, upper in reversed(list(zip(parts, parts[1:]))):  # the first gap counts
+            hi = F.when(upper >= JUMP * lower, F.floor(F.sqrt((lower * upper).cast("double"))) - F.col(f"{m}_unit")).otherwise(hi)
+        out.append(hi.cast("long").alias(f"{m}_hi"))
+    low, mid, high = (F.col(f"word_length_{d}") for d in DECILES)
+    high = cell_top(high)
+    return q.select(*by, "n", *out, (high + REACH * (high - mid)).alias("word_length_hi"), F.greatest(F.lit(0), low - REACH * (mid - low)).cast("long").alias("word_length_lo"))
+
+
+FENCES = (*[f"{m}_hi" for m in MEASURES], "word_length_lo")
 
 
 #: Fences are broadcast up to so many groups (under 150 bytes each), beyond that joined by a shuffle.
@@ -150,22 +184,16 @@ BROADCAST_GROUPS = 20_000
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """The fences that hold for each language and source, <measure>_lo and <measure>_hi, written once."""
-    own, lang, every = deciles(sketch, "lang", "source"), deciles(merged(sketch, "lang"), "lang"), deciles(merged(sketch))
+    """The fences that hold for each language and source, FENCES, written once."""
+    own, lang, every = fences(sketch, "lang", "source"), fences(merged(sketch, "lang"), "lang"), fences(merged(sketch))
     joined = (
         own.alias("o")
         .join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")), "left")
         .join(F.broadcast(every.alias("e")))  # one row
     )
     weighed = lambda n, own_, wide: F.expr(f"({n} * {own_} + {PRIOR} * {wide}) div ({n} + {PRIOR})")
-    names = [f"{m}_{d}" for m in MEASURES for d in DECILES]
-    near = joined.select("o.*", *[weighed("l.n", f"l.{c}", f"e.{c}").alias(f"wide_{c}") for c in names])
-    held = near.select("lang", "source", *[weighed("n", c, f"wide_{c}").alias(c) for c in names])
-    out = [F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source")]
-    for m in MEASURES:
-        out.append((F.col(f"{m}_high") + REACH * (F.col(f"{m}_high") - F.col(f"{m}_mid"))).alias(f"{m}_hi"))
-        out.append((F.col(f"{m}_low") - REACH * (F.col(f"{m}_mid") - F.col(f"{m}_low"))).alias(f"{m}_lo"))
-    return staged(held.select(*out), "fences")
+    near = joined.select("o.*", *[weighed("l.n", f"l.{c}", f"e.{c}").alias(f"wide_{c}") for c in FENCES])
+    return staged(near.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *[weighed("n", c, f"wide_{c}").alias(c) for c in FENCES]), "fences")
 
 
 def within(m: Column, side: DataFrame) -> Column:

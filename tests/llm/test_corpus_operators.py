@@ -185,6 +185,26 @@ def test_fences_follow_each_group_of_the_data(spark):
     assert kept[5001] == (fence["tiny"].symbol_rate_hi >= 500)
 
 
+def test_fences_of_rare_marks_come_from_the_tail_and_grow_with_length(spark):
+    """Three in a hundred texts are full of marks: a long clean text with a few stays, as its length allows them, a full one goes."""
+    text = lambda n, every: " ".join(f"w{k:05d}" + "#" * (k % every == 0) for k in range(1, n + 1))
+    rows = [(k, text(60 + k % 40, 1000), "en", "web") for k in range(970)] + [(1000 + k, text(80, 1), "en", "web") for k in range(30)]
+    rows += [(2000, text(2000, 500), "en", "web"), (2001, text(60, 2), "en", "web"), (2002, text(60, 55), "en", "web")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in rules.quality_rules(df).collect()}
+    assert all(kept[k] for k in range(970)) and not any(kept[1000 + k] for k in range(30))
+    assert kept[2000] and kept[2002] and not kept[2001]
+    fence = rules.thresholds(rules.sketches(rules.measure(df, "text", "measures"))).first()
+    assert 0 < fence.symbol_rate_hi < 1000
+
+
+def test_no_fence_of_the_tables_is_a_constant(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", "source", "text")
+    found = rules.thresholds(rules.sketches(rules.measure(docs, "text", "measures"))).collect()
+    assert all(getattr(r, f"{m}_hi") > 0 for r in found for m in rules.MEASURES)
+    assert all(len({getattr(r, f"{m}_hi") for r in found}) > 4 for m in rules.MEASURES)
+
+
 def test_sketches_merge_and_bound_their_error(spark):
     values = spark.range(1, 200_000, 37).select((F.col("id") * F.col("id") % 900_001).alias("v"))
     got = values.select("v", rules.grid(F.col("v")).alias("g")).agg(F.max(F.col("g") > F.col("v")).alias("over"), F.max((F.col("v") - F.col("g")) / F.greatest("v", F.lit(1))).alias("e"), F.countDistinct("g").alias("n")).first()
