@@ -13,7 +13,9 @@ the bucket's largest class with all its texts, block by block inside tasks, so a
 the star shape. No task gets more of a bucket than a part of it, or two blocks of about BLOCK_BYTES.
 
 Null texts and texts without words are nobody's duplicates: each such row is a class of its own. Texts of one to four
-words have one element, all their words. Equal texts are one class at once; repeated rows of one key stay rows.
+words have one element, all their words. Equal texts are one class at once; repeated rows of one key stay rows. Very long
+texts are compared whole. Classes don't depend on ties: of equally early points, leaders and sizes one is taken by its hash.
+An empty table gives no rows. Columns but key and text are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewise.llm.common import staged
+from lanewise.llm.common import drop, staged, tables
 from lanewise.llm.words import mix, shingle_bags, slices, unit
 
 SHINGLE = 5
@@ -160,12 +162,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(tid, root): the least tid that each endpoint of the edges reaches. Labels move to the least neighbour's label,
     then jump to their label's label, until nothing changes; each round is written, so lineage stays short."""
     links = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    label = staged(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("tid"), F.least("a", "m").alias("root")), "labels")
+    with tables() as old:
+        label = staged(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("tid"), F.least("a", "m").alias("root")), "labels")
     while True:
         seen = links.join(label.select(F.col("tid").alias("b"), F.col("root").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         hooked = label.join(seen.withColumnRenamed("a", "tid"), "tid").select("tid", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = hooked.select(F.col("tid").alias("root"), F.col("root").alias("above"))
-        new = staged(hooked.join(up, "root", "left").select("tid", F.coalesce("above", "root").alias("root"), "old"), "labels")
+        with tables() as written:
+            new = staged(hooked.join(up, "root", "left").select("tid", F.coalesce("above", "root").alias("root"), "old"), "labels")
+        drop(edges.sparkSession, old)  # nothing reads the round before any more
+        old = written
         moved = new.where(F.col("root") != F.col("old")).limit(1).count()
         label = new.select("tid", "root")
         if not moved:
@@ -175,15 +181,15 @@ def components(edges: DataFrame) -> DataFrame:
 def _shared_buckets(sigs: DataFrame) -> DataFrame:
     """(bucket, n, tid, leader) of buckets with n > 1 texts. The order that leaders come first in differs between buckets.
     A part's leader has the bucket's as its own."""
-    band = sigs.select("tid", F.explode("buckets").alias("bucket"), F.pmod(F.xxhash64("tid"), F.lit(SALTS)).alias("salt"))
+    salted = sigs.select("tid", F.explode("buckets").alias("bucket"), F.pmod(F.xxhash64("tid"), F.lit(SALTS)).alias("salt"))
+    band = salted.repartition("bucket", "salt")  # one exchange, which the counts and the rows both read
     turn = F.struct(F.xxhash64("tid", F.pmod("bucket", F.lit(3))).alias("turn"), "tid")
-    parts = band.groupBy("bucket", "salt").agg(F.min(turn).alias("first"), F.collect_list("tid").alias("tids"))
-    whole = Window.partitionBy("bucket")  # SALTS rows at most, of 16 bytes a text
-    known = parts.withColumn("n", F.sum(F.size("tids")).over(whole)).withColumn("lead", F.min("first").over(whole)["tid"]).where("n > 1")
-    own = F.col("first")["tid"]
-    return known.select("bucket", "n", own.alias("own"), "lead", F.explode("tids").alias("tid")).select(
-        "bucket", "n", "tid", F.when(F.col("tid") == F.col("own"), F.col("lead")).otherwise(F.col("own")).alias("leader")
-    )
+    parts = band.groupBy("bucket", "salt").agg(F.min(turn).alias("first"), F.count("*").alias("texts"))
+    whole = Window.partitionBy("bucket")  # SALTS rows of one size at most, however many texts a bucket has
+    known = parts.withColumn("n", F.sum("texts").over(whole)).withColumn("lead", F.min("first").over(whole)["tid"]).where("n > 1")
+    facts = known.select("bucket", "salt", "n", F.col("first")["tid"].alias("own"), "lead")
+    met = band.join(facts, ["bucket", "salt"])
+    return met.select("bucket", "n", "tid", F.when(F.col("tid") == F.col("own"), F.col("lead")).otherwise(F.col("own")).alias("leader"))
 
 
 def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
