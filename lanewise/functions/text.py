@@ -75,6 +75,11 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def shape(c: Column) -> Column:
+    """A text's words as one character each: l for a letter alone, w for anything else."""
+    return F.array_join(F.transform(F.split(F.trim(c), r"\s+"), lambda w: F.when((F.length(w) == 1) & (F.upper(w) != F.lower(w)), "l").otherwise("w")), "")
+
+
 def last_year(c: Column) -> Column:
     """The last run of four digits that starts with 19 or 20."""
     return F.try_element_at(F.regexp_extract_all(c, F.lit(r"\b((?:19|20)\d{2})\b"), 1), F.lit(-1)).cast("int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanewise.functions import domain, similarity, text
+from lanewise.functions.times import let
 from lanewise.operators import core, simjoin
 from lanewise.plans.star import STAR_SQL, Star
 
@@ -80,25 +81,36 @@ CLUB_WORDS = ("club", "natacion", "swim", "team", "master", "masters", "deportiv
 PAGE_WORDS = ("page", "pagina", "evento", "event", "resultados", "results", "finals")
 
 
+def _is_time(word: Column) -> Column:
+    """Whether two neighbouring numbers of a word, parted by a colon, point or comma, read as a clock: one or two digits, then two."""
+    groups = F.split(F.translate(word, ".,", "::"), ":")
+    number = lambda g, least: (F.translate(g, "0123456789", "") == "") & F.length(g).between(least, 2)
+    pairs = F.arrays_zip(groups.alias("a"), F.slice(groups, F.lit(2), F.size(groups)).alias("b"))
+    return F.exists(pairs, lambda p: F.coalesce(number(p["a"], 1) & number(p["b"], 2), F.lit(False)))
+
+
 def name_reasons(name: Column) -> Column:
-    """What is odd about an athlete's name, in a fixed order; an empty one has that reason only."""
-    clean = text.blank_to_null(F.regexp_replace(name, r"\s+", " "))
-    words = F.filter(F.split(F.regexp_replace(F.lower(text.strip_accents(clean)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    has = lambda some: F.arrays_overlap(words, F.array(*map(F.lit, some)))
-    often = lambda c: F.regexp_count(clean, F.lit(c))
-    tests = {
-        "contains_digit": clean.rlike("[0-9]"),
-        "contains_time_token": clean.rlike(r"\b\d{1,2}[:.,]\d{2}(?:[:.,]\d{2})?\b"),
-        "contains_status_token": F.arrays_overlap(F.regexp_extract_all(F.upper(clean), F.lit("[A-Z]+"), 0), F.array(*map(F.lit, STATUS_WORDS))),
-        "too_few_name_tokens": F.size(words) < 2,
-        "single_letter_ocr_run": clean.rlike(r"(?:^|\s)(?:\p{L}\s+){3,}\p{L}(?:\s|$)"),
-        "contains_club_word": has(CLUB_WORDS),
-        "contains_pdf_noise": has(PAGE_WORDS),
-        "contains_layout_punctuation": clean.rlike(r"[|_{}\[\]<>]"),
-        "unbalanced_brackets": (often(r"\(") != often(r"\)")) | (often(r"\[") != often(r"\]")),
-    }
-    odd = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(r)) for r, t in tests.items()]))
-    return F.when(clean.isNull(), F.array(F.lit("empty_name"))).otherwise(odd)
+    """What is odd about an athlete's name, in a fixed order; an empty one has that reason only. Characters and words are sorted
+    into classes, and each reason asks for a class."""
+
+    def of(clean: Column) -> Column:
+        among = lambda words, some: F.arrays_overlap(words, F.array(*map(F.lit, some)))
+        often = lambda some: F.length(clean) - F.length(F.translate(clean, some, ""))
+        words = F.filter(F.split(F.lower(text.strip_accents(clean)), "[^a-z0-9]+"), lambda w: w != "")
+        asked = {
+            "contains_digit": often("0123456789") > 0,
+            "contains_time_token": F.exists(F.split(clean, r"[^\w:.,]+"), _is_time),
+            "contains_status_token": among(F.split(F.upper(clean), "[^A-Z]+"), STATUS_WORDS),
+            "too_few_name_tokens": F.size(words) < 2,
+            "single_letter_ocr_run": F.contains(text.shape(clean), F.lit("llll")),
+            "contains_club_word": among(words, CLUB_WORDS),
+            "contains_pdf_noise": among(words, PAGE_WORDS),
+            "contains_layout_punctuation": often("|_{}[]<>") > 0,
+            "unbalanced_brackets": (often("(") != often(")")) | (often("[") != often("]")),
+        }
+        return F.when(clean.isNotNull(), F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(r)) for r, t in asked.items()])))
+
+    return F.coalesce(let(text.blank_to_null(F.regexp_replace(name, r"\s+", " ")), of), F.array(F.lit("empty_name")))
 
 
 def top_two(scored: DataFrame, keys: list[str], score: str, *order: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanewise.functions import domain, similarity, text
+from lanewise.functions.times import let
 from lanewise.operators import core
 from lanewise.plans.identity import tokens
 from lanewise.plans.star import STAR_SQL, Star
@@ -66,23 +67,51 @@ def birth_year(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.trim(c.cast("string")), r"^(\d{4})(?:\.0)?$", 1), F.lit("")).try_cast("int")
 
 
+def _without_note(c: Column) -> Column:
+    """A name without the note in brackets, closed or not, that it ends with."""
+    body = F.when(c.endswith(")"), F.left(c, F.length(c) - 1)).otherwise(c)
+    last = F.substring_index(body, ")", -1)
+    at = F.instr(last, " (")
+    return F.when(at > 0, F.rtrim(F.left(body, F.length(body) - F.length(last) + at - 1))).otherwise(c)
+
+
 def surname_first(c: Column) -> Column:
-    """`Surname, Given` of a name in the order of speech; particles before the last word go with it. Names with a comma or a
-    digit stay as they are; a note in brackets at the end goes."""
+    """`Surname, Given` of a name in the order of speech: the surname is the last word and the particles before it (de, del, de la),
+    found by a fold over the words from the end; the first word is always given. Names with a comma or a digit stay as they are;
+    a note in brackets at the end goes."""
+
+    def step(s: Column, w: Column) -> Column:
+        taken = F.when(s["waits"] & (w == "de"), s["taken"] + 2).when(s["open"] & w.isin("de", "del"), s["taken"] + 1).otherwise(s["taken"])
+        return F.struct(taken.alias("taken"), F.lit(False).alias("open"), (s["open"] & (w == "la")).alias("waits"))
+
+    def ordered(words: Column) -> Column:
+        n = F.size(words)
+        start = F.struct(F.lit(1).alias("taken"), F.lit(True).alias("open"), F.lit(False).alias("waits"))
+        before = F.transform(F.reverse(F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0)))), F.lower)
+        taken = F.aggregate(before, start, step, lambda s: s["taken"])
+        join = lambda k: F.concat(F.array_join(F.slice(words, n - k + 1, k), " "), F.lit(", "), F.array_join(F.slice(words, F.lit(1), n - k), " "))
+        return F.when(n > 1, let(taken, join))
+
+    def of(bare: Column) -> Column:
+        words = F.filter(F.split(bare, r"[^\p{L}]+"), lambda w: w != "")
+        given = F.contains(bare, F.lit(",")) | (F.translate(bare, "0123456789", "") != bare)
+        return F.when(given, bare).otherwise(F.coalesce(let(words, ordered), bare))
+
     clean = text.blank_to_null(F.regexp_replace(c, r"\s+", " "))
-    bare = F.when(F.contains(clean, F.lit(",")), clean).otherwise(F.trim(F.regexp_replace(clean, r"\s+\([^)]*\)?$", "")))
-    words = F.regexp_extract_all(bare, F.lit(r"[\p{L}]+"), 0)
-    n, low = F.size(words), lambda k: F.lower(F.try_element_at(words, F.lit(-k)))
-    taken = F.when((n >= 4) & (low(3) == "de") & (low(2) == "la"), 3).when((n >= 3) & low(2).isin("de", "del"), 2).otherwise(1)
-    ordered = F.concat(F.array_join(F.slice(words, n - taken + 1, taken), " "), F.lit(", "), F.array_join(F.slice(words, F.lit(1), n - taken), " "))
-    return F.when(F.contains(bare, F.lit(",")) | bare.rlike("[0-9]") | (n < 2), bare).otherwise(ordered)
+    return let(clean, lambda t: let(F.when(F.contains(t, F.lit(",")), t).otherwise(_without_note(t)), of))
 
 
 def person_case(c: Column) -> Column:
-    """Words with a capital, particles without. Words are what stands between separators, so each is cased alone."""
-    parts = F.regexp_extract_all(F.regexp_replace(F.trim(c), r"\s+", " "), F.lit(r"[\p{L}]+|[^\p{L}]+"), 0)
-    cased = lambda w: F.when(F.lower(w).isin(*PARTICLES), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
-    return F.nullif(F.array_join(F.transform(parts, cased), ""), F.lit(""))
+    """Words with a capital, particles without: one fold over the letters, a word being cased where it ends."""
+    cased = lambda w: F.when(w.isin(*PARTICLES), w).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w))))
+
+    def step(s: Column, x: Column) -> Column:
+        letter = F.upper(x) != F.lower(x)
+        return F.when(letter, F.struct(s["done"].alias("done"), F.concat(s["word"], x).alias("word"))).otherwise(F.struct(F.concat(s["done"], cased(s["word"]), x).alias("done"), F.lit("").alias("word")))
+
+    letters = F.split(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), "")
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("word"))
+    return F.nullif(F.aggregate(letters, start, step, lambda s: F.concat(s["done"], cased(s["word"]))), F.lit(""))
 
 
 def preferred_name(left: Column, right: Column, surname_left_out: Column) -> Column:

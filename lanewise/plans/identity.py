@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanewise.functions import domain, similarity, text
+from lanewise.functions.times import let
 from lanewise.operators import core
 from lanewise.plans.star import STAR_SQL, Star
 
@@ -120,19 +121,28 @@ def club_context(left: Column, right: Column, right_current: Column, left_curren
     )
 
 
+#: Weights of what makes a name look misread: once if there at all, or for each time.
+NOISE = {"no comma": 3, "digits": 10, "letters alone": 6, "split enye": 6, "vowels in a row": 2, "accents": 1}
+ACCENTED = "ÁÉÍÓÚáéíóúÜüÑñ"
+
+
 def noise(name: Column) -> Column:
-    """How misread a name looks: higher is worse, blank is 100."""
-    plain = text.blank_to_null(F.regexp_replace(name, r"\s+", " "))
-    words = F.regexp_extract_all(F.lower(text.strip_accents(plain)), F.lit(r"\p{L}+"), 0)
-    score = (
-        F.when(F.contains(plain, F.lit(",")), 0).otherwise(3)
-        + F.when(plain.rlike("[0-9]"), 10).otherwise(0)
-        + F.when(plain.rlike(r"(?:^|\s)(?:\p{L}\s+){2,}\p{L}(?:\s|$)"), 6).otherwise(0)
-        + F.when(F.contains(F.lower(plain), F.lit("ñ ñ")), 6).otherwise(0)
-        + 2 * F.size(F.filter(words, lambda w: w.rlike("[aeiou]{2,}")))
-        + F.regexp_count(plain, F.lit("[ÁÉÍÓÚáéíóúÜüÑñ]"))
-    )
-    return F.when(plain.isNull(), 100).otherwise(score)
+    """How misread a name looks: the sum of NOISE, higher is worse; blank is 100."""
+
+    def of(plain: Column) -> Column:
+        without = lambda some: F.length(F.translate(plain, some, ""))
+        words = F.split(F.lower(text.strip_accents(plain)), r"[^\p{L}]+")
+        found = {
+            "no comma": (F.instr(plain, ",") == 0).cast("int"),
+            "digits": (without("0123456789") < F.length(plain)).cast("int"),
+            "letters alone": F.contains(text.shape(plain), F.lit("lll")).cast("int"),
+            "split enye": F.contains(F.lower(plain), F.lit("ñ ñ")).cast("int"),
+            "vowels in a row": F.size(F.filter(words, lambda w: F.contains(F.translate(w, "aeiou", "aaaaa"), F.lit("aa")))),
+            "accents": F.length(plain) - without(ACCENTED),
+        }
+        return sum((weight * found[k] for k, weight in NOISE.items()), F.lit(0))
+
+    return F.coalesce(let(text.blank_to_null(F.regexp_replace(name, r"\s+", " ")), of), F.lit(100))
 
 
 def safe_vowel_repair(original: Column, repaired: Column, n_original: Column, n_repaired: Column) -> Column:

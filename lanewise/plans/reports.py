@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanewise.functions import domain, text, times
+from lanewise.functions.times import let
 from lanewise.operators import core
 from lanewise.plans.documents import parse_relay_line, parse_swimmers
 from lanewise.plans.star import STAR_SQL, Star
@@ -20,9 +21,9 @@ ORACLES: dict = {}
 # Words and bounds of the printed forms.
 OPENER = r"(?i)^\(?(?:E\s*vento?\s+|#)(\d+)\s+(Women|Men|Mixed|Mujeres|Hombres|Damas|Varones|Mixto)\s+(.*?)\)?$"
 SWUM = r"(?i)^(?:(.+?)\s+)?(\d+(?:x\d+)?)\s+(?:(LC|SC|CL|CP|CC)\s+)?Met(?:er|ros?)\s+(.+)$"
-AGES = r"(?:(?:PM|[A-Z])\s+)?(?:\d+\s+a\s+\d+(?:\s+a[ñn]os)?|\d+(?:\s+a[ñn]os)?\s+y\s+m[aá]s|\d+\s+a[ñn]os|PM|[A-Z])"
-RELAY_THEN_AGES = rf"(?i)^(.+?\s+(?:Relay|Relevo))\s+({AGES})$"
-AGES_THEN_RELAY = rf"(?i)^(.+?)\s+({AGES})\s+(Relay|Relevo)$"
+#: Words of an age band by class: a number, a, years, and, more, a band's letter or PM. Shapes that they may form, a letter before them.
+AGE_WORDS = {"a": "a", "años": "o", "anos": "o", "y": "y", "más": "m", "mas": "m", "pm": "p", "relay": "r", "relevo": "r"}
+AGE_SHAPES = ("nan", "nano", "nym", "noym", "no", "p")
 MEET_HEADER = r"(?i)^(.+?)\s+-\s+(\d{1,2}[-/]\d{1,2}[-/]\d{4})(?:\s+(?:a|to)\s+(\d{1,2}[-/]\d{1,2}[-/]\d{4}))?$"
 ABSENT = ("dns", "dnf", "dq", "dsq")
 MOST_POINTS_MS, PLAUSIBLE_MS, LONG_MS, SEED_FROM_M = 9_000, 25_000, 10_000, 100
@@ -39,6 +40,26 @@ def query(sql: str | None = None, star: bool = True):
     return add
 
 
+def _relay_ages(words: Column) -> Column:
+    """(stroke, ages) of a relay's words: the ages follow the word for a relay or stand right before it, at the end."""
+    kind = lambda w: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in AGE_WORDS.items() for x in kv]), F.lower(w)), F.when(w.rlike("^[0-9]+$"), "n").when(w.rlike("^[A-Za-z]$"), "p").otherwise("w"))
+    joined = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    shapes = [*AGE_SHAPES, *[lead + x for lead in "pay" for x in AGE_SHAPES], "a", "y"]
+
+    def of(kinds: Column) -> Column:
+        n = F.length(kinds)
+        at = F.instr(kinds, "r")
+        behind = F.when((at > 1) & F.substring(kinds, at + 1, n).isin(*shapes), F.struct(joined(F.lit(1), at).alias("stroke"), joined(at + 1, n - at).alias("ages")))
+        # what stands between the last word of the stroke and the relay's at the end
+        words_before = F.length(F.rtrim(F.translate(F.left(kinds, n - 1), "nayompr", "       ")))
+        own = F.greatest(words_before, F.lit(1))
+        between = F.substring(kinds, own + 1, n - 1 - own)
+        ahead = F.when(kinds.endswith("r") & (n > 2) & between.isin(*shapes), F.struct(F.concat(joined(F.lit(1), own), F.lit(" "), joined(n, F.lit(1))).alias("stroke"), joined(own + 1, n - 1 - own).alias("ages")))
+        return F.coalesce(behind, ahead)
+
+    return let(F.array_join(F.transform(words, kind), ""), of)
+
+
 def event_context(line: Column) -> Column:
     """(number, gender, age_group, distance_m, course, stroke) of an event's header, null where the line is none.
 
@@ -48,12 +69,8 @@ def event_context(line: Column) -> Column:
     part = F.regexp_extract
     rest = part(F.trim(line), OPENER, 3)
     before, swum = F.nullif(part(rest, SWUM, 1), F.lit("")), part(rest, SWUM, 4)
-    ages = F.when(before.isNotNull(), F.trim(before)).when(swum.rlike(RELAY_THEN_AGES), part(swum, RELAY_THEN_AGES, 2)).when(swum.rlike(AGES_THEN_RELAY), part(swum, AGES_THEN_RELAY, 2))
-    stroke = (
-        F.when(before.isNotNull(), swum)
-        .when(swum.rlike(RELAY_THEN_AGES), part(swum, RELAY_THEN_AGES, 1))
-        .otherwise(F.concat_ws(" ", part(swum, AGES_THEN_RELAY, 1), part(swum, AGES_THEN_RELAY, 3)))
-    )
+    relay = let(F.split(swum, r"\s+"), _relay_ages)
+    ages, stroke = F.coalesce(F.trim(before), relay["ages"]), F.when(before.isNotNull(), swum).otherwise(relay["stroke"])
     return F.when(
         F.trim(line).rlike(OPENER) & rest.rlike(SWUM) & ages.isNotNull(),
         F.struct(
