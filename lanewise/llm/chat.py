@@ -12,7 +12,8 @@ rendering, that turn's text is escaped, one backslash more inside each control s
 where a conversation as a whole still differs, all its texts are escaped. The result carries the verdict.
 
 Null texts and null roles count as empty. Null conversation ids are one conversation. Repeated rows are turns like any
-others. A conversation is one text by contract, so it lies in one row; columns but the named ones are left alone.
+others, in any order where they are equal. Very long texts are formatted whole. A conversation is one text by contract, so it
+lies in one row. An empty table gives no rows. Columns but the named ones are left alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ similarity as weight. Each class of the sample has the same total weight.
 Null and empty texts have no direction: they score the sample's base rate, one half. Very long texts are read whole. A score
 equal to the cut counts as good; of neighbours equally near at the last place any may vote.
 Without labels of both kinds every text scores one half. Repeated rows are scored one by one; labels, languages,
-sources and keys are no inputs of a score.
+sources and keys are no inputs of a score. An empty table gives no rows. Columns but the named ones are left alone, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ spread over the rest. Rows of one key go to one shard. Places within a shard com
 written with their running number among the shard's rows of their task, the counts of (shard, task) are summed up, and
 their sums before each task are joined back; no shard is gathered anywhere.
 
-Null keys are one key. Null texts have size 8 and the checksum of no bytes. Repeated rows have places of their own.
+Null keys are one key. Null texts have size 8 and the checksum of no bytes, very long ones are read whole. Repeated rows have
+places of their own. Of equal draws, the lower shard's wins. An empty table gives no rows. Columns but key and text are left
+alone, whatever their names.
 """
 
 from __future__ import annotations

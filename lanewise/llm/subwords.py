@@ -14,7 +14,8 @@ search ends at the first. Characters without a piece become byte pieces.
 
 Null and empty texts have no ids and decode to an empty text. Very long texts and words are encoded whole, in time linear
 in their length. Decoding gives back every text, except that the mark character itself (a space to the model) comes back
-as a space. Repeated rows are encoded one by one; columns but the named ones pass through, whatever their names.
+as a space. Of pieces that end at one place one only is the model's, so there are no ties. Repeated rows are encoded one by
+one, an empty table gives no rows; columns but the named ones pass through, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ mention of a group to no weight at all. Words are kept as 64-bit hashes, so no t
 
 Null and empty texts score the model's bias. Very long texts are read whole. Without labels of both kinds every text
 scores 0. A score equal to the cut is toxic. Repeated rows are scored one by one, and labelled rows of one key count once
-a class; labels, languages, sources and keys are no inputs of a score. Columns but the named ones are left alone.
+a class; labels, languages, sources and keys are no inputs of a score. An empty table gives
+no rows. Columns but the named ones are left alone, whatever their names.
 """
 
 from __future__ import annotations
