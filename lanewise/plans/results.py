@@ -280,7 +280,9 @@ def club_participation(s: Star) -> DataFrame:
 
 
 def participation(s: Star, sort: str | None = None) -> DataFrame:
-    """Clubs ranked by what they swam, or by name; any other order counts as the first. Ranks are taken within buckets."""
+    """Clubs ranked by what they swam, or by name. Ranks are taken within buckets."""
+    if sort not in (None, "results", "name"):
+        raise ValueError(f"clubs are sorted by results or name, not {sort}")
     per = s.result.where(domain.counted(F.col("status"))).groupBy("club_id").agg(F.count("*").alias("n_results"), F.countDistinct("athlete_id").alias("n_athletes"), F.countDistinct("competition_id").alias("n_competitions"))
     named = per.join(s.club.select("club_id", "club_name"), "club_id")
     if sort == "name":

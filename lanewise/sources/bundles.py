@@ -58,11 +58,17 @@ def read_csv_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A rule file with comma or semicolon, decided by its first line, in UTF-8, or in Latin-1 where it isn't UTF-8 (Spark's reader has no windows-1252; letters are the same)."""
+    """A rule file with comma or semicolon, decided by its first line, in UTF-8, or in windows-1252 where it isn't UTF-8. Spark's reader has
+    no windows-1252: it is read as Latin-1, whose 32 control characters then become the quotes and dashes that they stand for."""
     head = spark.read.text(path).limit(1).collect()
     line = head[0][0] if head else ""
     odd = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     df = read_csv(spark, path, ";" if line.count(";") > line.count(",") else ",", "iso-8859-1" if odd else "UTF-8")
+    if odd:
+        control = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+        shown = [(a, z) for a, z in control if z]
+        marks = ["".join(x) for x in zip(*shown)]
+        df = df.select(*[F.translate(F.col(f"`{c}`"), *marks).alias(c.translate(str.maketrans(*marks))) for c in df.columns])
     return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
 
 

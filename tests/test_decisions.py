@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.plans import decisions, relays, reports
+from lanewise.plans import decisions, relays, reports, results
 from lanewise.sources import bundles
 
 
@@ -92,6 +92,11 @@ def test_sinks_and_modes(spark, tmp_path):
             bundles.one_mode(**modes)
     (tmp_path / "rules.csv").write_bytes("\xefmage;a\n\xf1and\xfa;1\n".encode("latin-1"))
     assert rows(bundles.read_rules(spark, f"{tmp_path}/rules.csv")) == [("ñandú", "1")]
+    (tmp_path / "quoted.csv").write_bytes("name\u2019s;a\n\u201cO\u2019Neil\u201d \u2013 \xf1;\u20ac\n".encode("cp1252"))
+    quoted = bundles.read_rules(spark, f"{tmp_path}/quoted.csv")
+    assert quoted.columns == ["name\u2019s", "a"] and rows(quoted) == [("\u201cO\u2019Neil\u201d \u2013 \xf1", "\u20ac")]
+    with pytest.raises(ValueError):
+        results.participation(None, "town")
 
 
 def test_frames_and_once(spark):
