@@ -5,7 +5,6 @@ import math
 import random
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from lanewise.operators import core
@@ -128,12 +127,12 @@ def test_broken_lines(spark):
     assert {r.part for r in repair.unbroken(df, costs).collect()} == {"x"}
 
 
-@pytest.mark.parametrize(
-    "broken, whole",
-    [("Munñ oz", "Muñoz"), ("Penñ a  Natacioón", "Peña Natación"), ("Andreís", "Andrés"), ("Andre ís", "Andrés"), ("Alumine í", "Aluminé"), ("Rocíío", "Rocío"), ("Joseé", "Joseé"), ("Maríia", "María"), ("ROCÍIO", "ROCÍO"), ("N(cid:450) u", "Ñu"), ("  ", None), ("so (cid:976)in", "so fin"), ("Raíz", "Ráz")],
-)
-def test_mended_accents(spark, broken, whole):
-    assert spark.createDataFrame([(broken,)], "t string").select(repair.mended(F.col("t")).alias("t")).first().t == whole
+MENDED = [("Munñ oz", "Muñoz"), ("Penñ a  Natacioón", "Peña Natación"), ("Andreís", "Andrés"), ("Andre ís", "Andrés"), ("Alumine í", "Aluminé"), ("Rocíío", "Rocío"), ("Joseé", "Joseé"), ("Maríia", "María"), ("ROCÍIO", "ROCÍO"), ("N(cid:450) u", "Ñu"), ("  ", None), ("so (cid:976)in", "so fin"), ("Raíz", "Ráz")]
+
+
+def test_mended_accents(spark):
+    df = spark.createDataFrame(MENDED, "t string, whole string")
+    assert [r for r in df.withColumn("got", repair.mended(F.col("t"))).collect() if r.got != r.whole] == []
 
 
 # --- spellings
