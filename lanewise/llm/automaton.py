@@ -15,7 +15,7 @@ number of items. Texts pass the blocks one after the other, with what was found
 
 Null and empty texts and items have no words: nothing is hit, no window belongs to them. Repeated items of one id count once,
 repeated texts are searched one by one. Items without an id mark words but aren't listed. Very long texts are searched whole,
-a megabyte or one text at a time. Empty tables give no rows, an empty benchmark no hits. Other columns stay, whatever their
+four megabytes or one text at a time. Empty tables give no rows, an empty benchmark no hits. Other columns stay, whatever their
 names; the result is one struct column.
 """
 
@@ -34,8 +34,8 @@ from lanewise.llm.common import staged
 from lanewise.llm.words import Words, mix, slices
 
 WINDOW = 10
-#: Words of a block of items, and of a piece of one item.
-BLOCK_WORDS, PIECE_WORDS = 500_000, 50_000
+#: Words of a block of items and of a piece of one item, and the bytes of a word that count as one.
+BLOCK_WORDS, PIECE_WORDS, WORD_BYTES = 500_000, 50_000, 16
 #: Bytes of text that are searched at a time, and the words that a lane has of its own.
 SLICE, LANE = 4 << 20, 96
 #: Limits of decontaminated(): a text with a hit run of more words, or with more hits in a hundred words, goes as a whole.
@@ -289,7 +289,8 @@ def blocks(items: DataFrame, key: str = "item_id", text: str = "text", window: i
                     )
 
     pieces = staged(named.mapInArrow(cut, "item string, words binary, n bigint"), "pieces")
-    n_blocks = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words))
+    weight = F.greatest("n", F.octet_length("words") / WORD_BYTES)  # so that long words don't make a block larger, either
+    n_blocks = max(1, -(-int(pieces.agg(F.sum(weight)).first()[0] or 0) // block_words))
     dealt = pieces.distinct().withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)))
 
     def built(table: pa.Table) -> pa.Table:

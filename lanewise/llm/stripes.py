@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanewise.llm.common import staged
-from lanewise.operators.core import small_side
+from lanewise.operators.core import BROADCAST_ROWS
 
 MIN_DOCS = 30
 SMOOTH = 5
@@ -218,7 +218,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     totals = cells.groupBy("lang", F.col("c.sources").alias("source")).agg(F.sum("c.counts").alias("total"))
     groups = totals.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("groups"))
     n_terms = kept.groupBy("lang").agg((F.count("*") - 1).alias("n_terms"))
-    known = kept.join(small_side(groups.join(n_terms, "lang")), "lang").select("lang", "term", "sources", "counts", "n_terms", "groups")
+    side = groups.join(n_terms, "lang")
+    if totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # a name and a number for each group
+        side = F.broadcast(side)
+    known = kept.join(side, "lang").select("lang", "term", "sources", "counts", "n_terms", "groups")
     found = staged(known.mapInArrow(emit, "lang string, source string, part string, item string, value bigint"), "divergences")
     w = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item"))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
