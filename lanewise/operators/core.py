@@ -31,8 +31,8 @@ def top_by(df: DataFrame, keys: list[str], n: int, *order: Column, into: str = "
 def global_rank(df: DataFrame, bucket: Column, *order: Column, into: str = "rank") -> DataFrame:
     """The row number over all rows, without sorting them in one task: rows are ranked within buckets, which the order must
     agree with (a lower bucket ranks before a higher one), and the sizes of the buckets before are added. Only the sizes,
-    one row a bucket, meet in one place. The rows are settled, as sizes and ranks both read them."""
-    rows = settled(df.withColumn("_bucket", bucket))
+    one row a bucket, meet in one place. Sizes and ranks both read df: settle it before where it is dear."""
+    rows = df.withColumn("_bucket", bucket)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n")).select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))

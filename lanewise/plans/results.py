@@ -284,7 +284,7 @@ def participation(s: Star, sort: str | None = None) -> DataFrame:
     if sort not in (None, "results", "name"):
         raise ValueError(f"clubs are sorted by results or name, not {sort}")
     per = s.result.where(domain.counted(F.col("status"))).groupBy("club_id").agg(F.count("*").alias("n_results"), F.countDistinct("athlete_id").alias("n_athletes"), F.countDistinct("competition_id").alias("n_competitions"))
-    named = per.join(s.club.select("club_id", "club_name"), "club_id")
+    named = core.settled(per.join(s.club.select("club_id", "club_name"), "club_id"))
     if sort == "name":
         ranked_ = core.global_rank(named, F.substring("club_name", 1, 12), F.asc("club_name"), F.asc("club_id"))
     else:
