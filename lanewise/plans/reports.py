@@ -292,13 +292,14 @@ def relay_swimmers_over_lines(s: Star) -> DataFrame:
     return found.where(F.size("members") > 0).select("document", F.size("members").cast("long").alias("n_members"), F.array_max(F.transform("members", lambda m: m["leg"])).alias("last_leg"), "time_ms", joined.alias("names"))
 
 
-@query("""SELECT o_orderkey AS document, 'Meet ' || o_orderkey AS name, o_orderdate::DATE AS start_date, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE + 2 ELSE o_orderdate::DATE END AS end_date, year(o_orderdate)::INTEGER AS year FROM orders WHERE o_orderkey % 5 <> 0""", star=False)
+@query("""SELECT o_orderkey AS document, 'Meet ' || o_orderkey AS name, o_orderdate::DATE AS start_date, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE + 2 ELSE o_orderdate::DATE END AS end_date, year(o_orderdate)::INTEGER AS year FROM orders WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT o_orderkey, 'Other', DATE '1990-01-01', DATE '1990-01-01', 1990 FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 > 0""", star=False)
 def meet_headers(s: Star) -> DataFrame:
-    """Names and dates of meets from the first line that has them."""
+    """Names and dates of meets from the first line that has them; documents with no such line have none."""
     day, last = F.date_format("o_orderdate", "d-M-yyyy"), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 2), "d/M/yyyy")
     head = F.concat(F.lit("Meet "), F.col("o_orderkey").cast("string"), F.lit(" - "), day, F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" a "), last)).otherwise(""))
-    o = s.raw("orders").withColumn("x", F.explode(F.array(F.struct(F.lit(1).alias("line_number"), F.lit("Results").alias("raw_line")), F.struct(F.lit(2).alias("line_number"), F.when(F.col("o_orderkey") % 5 != 0, head).alias("raw_line")), F.struct(F.lit(3).alias("line_number"), F.lit("Other - 1/1/1990").alias("raw_line")))))
-    return meet_header(o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("document"), "x.line_number", "x.raw_line"))
+    o = s.raw("orders").withColumn("x", F.explode(F.array(F.struct(F.lit(1).alias("line_number"), F.lit("Results").alias("raw_line")), F.struct(F.lit(2).alias("line_number"), F.when(F.col("o_orderkey") % 5 != 0, head).alias("raw_line")), F.struct(F.lit(3).alias("line_number"), F.when((F.col("o_orderkey") % 5 != 0) | (F.col("o_orderkey") % 3 > 0), "Other - 1/1/1990").otherwise("Other").alias("raw_line")))))
+    return meet_header(o.select(F.col("o_orderkey").alias("document"), "x.line_number", "x.raw_line"))
 
 
 @query("""SELECT club_name, athlete_name, gender, birth_year FROM (SELECT club_name, athlete_name, athlete_gender AS gender, birth_year, row_number() OVER (PARTITION BY athlete_id, club_id ORDER BY competition_id, rank_position, event_id, time_ms) AS n
