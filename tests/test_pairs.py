@@ -111,6 +111,26 @@ def test_candidates_are_few(spark, texts):
     assert simjoin.similar_sets(df.select("id", F.array().cast("array<string>").alias("items")), 1, 2).count() == 0
 
 
+def test_candidates_of_a_small_vocabulary_are_few(spark):
+    rng = random.Random(6)
+    parts = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    long = sorted({"".join(rng.choices(parts, k=30)) for _ in range(300)})
+    df = spark.createDataFrame([(t,) for t in [*long, *(t[:-1] + "x" for t in long[:9])]], "id string")
+    for items, num, den in ((simjoin.grams(F.col("id")), 60, 100), (simjoin.letters(F.col("id")), 90, 110)):
+        pairs = simjoin.candidates(df.withColumn("items", items), num, den)
+        assert pairs.columns == ["a", "b"] and 9 <= pairs.count() < 309 * 308 / 2 / 20
+
+
+@pytest.mark.parametrize("block", [1, 50])
+def test_blocks_meet_each_other_once(spark, texts, block, monkeypatch):
+    some = texts[:20] if block == 1 else texts
+    df = spark.createDataFrame([(t,) for t in some], "t string")
+    whole = sorted(simjoin.similar_texts(df, "t", 60).collect())
+    monkeypatch.setattr(simjoin, "BLOCK", block)
+    monkeypatch.setattr(simjoin, "STRIP", 7)
+    assert sorted(simjoin.similar_texts(df, "t", 60).collect()) == whole
+
+
 def test_alike_texts_are_all_pairs(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {(r.a, r.b): r.score for r in simjoin.alike_texts(df, "t", 75, similarity.ratio).collect()}
