@@ -136,8 +136,10 @@ def similar_texts(names: DataFrame, text: str, percent: int, q: int = 3) -> Data
 def alike_texts(names: DataFrame, text: str, percent: int, score) -> DataFrame:
     """(a, b, score) of all pairs of different texts that `score`, a ratio of matching characters (twice the matched over all),
     gives `percent` of a hundred or more. No such ratio exceeds that of the characters' multisets, so the
-    signatures of these are joined first. The score is worked out for what
-    they leave."""
+    signatures of these are joined first. It takes no more edits than the characters that it leaves unmatched, either; the score is
+    worked out for what that leaves."""
     each = settled(names.select(F.col(text).alias("id")).where("id IS NOT NULL AND id <> ''").distinct())
     pairs = candidates(each.withColumn("items", letters(F.col("id"))), percent, 200 - percent)
+    unmatched = F.floor((100 - percent) * (F.length("a") + F.length("b")) / 100).cast("int")
+    pairs = pairs.where(F.call_function("levenshtein", F.col("a"), F.col("b"), unmatched) >= 0)
     return pairs.select("a", "b", score(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= percent / 100)

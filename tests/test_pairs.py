@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from itertools import combinations, permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,19 @@ def test_alike_titles(spark):
     names = sorted({r.t for r in curation.titles(Star(spark, SF)).collect()}, key=str.encode)
     want = {(a, b): round(s, 6) for a, b in itertools.combinations(names, 2) if (s := SequenceMatcher(None, a, b).ratio()) >= 0.9}
     assert {(r.a, r.b): r.score for r in catalog.QUERIES["alike_titles"](spark, SF).collect()} == pytest.approx(want)
+
+
+def test_alike_texts_score_few_pairs(spark):
+    """Texts of the same letters in another order are left before the score is worked out."""
+    rng = random.Random(3)
+    some = ["".join(rng.sample("abcdefghijklmnopqrst" * 2, 40)) for _ in range(60)]
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        scored.add(len(a))
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+    df = spark.createDataFrame([(t,) for t in [*some, some[0][:-1] + "x"]], "t string")
+    assert [(r.a, r.b) for r in simjoin.alike_texts(df, "t", 90, score).collect()] == [tuple(sorted([some[0], some[0][:-1] + "x"]))]
+    assert scored.value < 10
