@@ -150,10 +150,16 @@ def resolve_competitions(incoming: DataFrame, competitions: DataFrame) -> DataFr
     first), else the planned and empty competition of the season that is most alike, from PLANNED_SCORE on; null means new."""
     c = competitions.select(F.col("competition_id").alias("id"), text.match_key(F.col("name")).alias("ck"), F.col("season").alias("cs"), "planned")
     i = incoming.withColumn("k", text.match_key(F.col("name")))
-    exact = i.join(c, F.col("k") == F.col("ck")).withColumn("_far", (~F.col("cs").eqNullSafe(F.col("season"))).cast("int"))
-    exact = core.first_by(exact, ["ref"], F.asc("_far"), F.asc("id")).select("ref", F.col("id").alias("exact_id"))
-    alike = i.join(exact, "ref", "left_anti").join(c.where("planned"), F.col("season") == F.col("cs")).withColumn("score", similarity.competition_score(F.col("k"), F.col("ck")))
-    alike = core.first_by(alike.where(F.col("score") >= PLANNED_SCORE), ["ref"], F.desc("score"), F.desc("id")).select("ref", F.col("id").alias("planned_id"))
+    # of the competitions of a name only the first can be met, and the first of each season
+    named = core.small_side(c.where("ck IS NOT NULL").groupBy("ck").agg(F.min("id").alias("_first")))
+    own = core.small_side(c.where("ck IS NOT NULL").groupBy(F.col("ck").alias("_ck"), "cs").agg(F.min("id").alias("_own")))
+    met = i.join(named, F.col("k") == F.col("ck")).join(own, (F.col("k") == F.col("_ck")) & F.col("cs").eqNullSafe(F.col("season")), "left")
+    exact = core.first_by(met, ["ref"], F.col("_own").isNull().asc(), F.coalesce("_own", "_first").asc()).select("ref", F.coalesce("_own", "_first").alias("exact_id"))
+    rest = i.join(exact, "ref", "left_anti").where("k IS NOT NULL")
+    # names are scored once a season
+    alike = rest.select("k", "season").distinct().join(c.where("planned"), F.col("season") == F.col("cs")).withColumn("score", similarity.competition_score(F.col("k"), F.col("ck")))
+    alike = core.first_by(alike.where(F.col("score") >= PLANNED_SCORE), ["k", "season"], F.desc("score"), F.desc("id")).select("k", "season", F.col("id").alias("planned_id"), "score")
+    alike = core.first_by(rest.join(alike, ["k", "season"]), ["ref"], F.desc("score"), F.desc("planned_id")).select("ref", "planned_id")
     out = incoming.join(exact, "ref", "left").join(alike, "ref", "left")
     how = F.when(F.col("competition_id").isNotNull(), "given").when(F.col("exact_id").isNotNull(), "name").when(F.col("planned_id").isNotNull(), "planned").otherwise("new")
     return out.select(*incoming.columns, F.coalesce("competition_id", "exact_id", "planned_id").alias("resolved_id"), how.alias("how"))

@@ -28,6 +28,16 @@ def joined_rows(df) -> int:
     return most
 
 
+def test_competitions_of_one_name(spark):
+    known = spark.createDataFrame([(k, "Copa Uno" if k < 200 else "Copa Plan", k % 3, k >= 200) for k in range(203)], "competition_id long, name string, season int, planned boolean")
+    incoming = spark.createDataFrame([(k, None, "Cópa uno", k % 4) for k in range(200)] + [(900, None, "Copa Plans", 1), (901, 7, None, 1), (902, None, None, 1)], "ref long, competition_id long, name string, season int")
+    found = gates.resolve_competitions(incoming, known)
+    got = {r.ref: (r.resolved_id, r.how) for r in found.collect()}
+    assert all(got[k] == ((k % 4) % 3, "name") for k in range(200))
+    assert got[900] == (202, "planned") and got[901] == (7, "given") and got[902] == (None, "new")
+    assert joined_rows(found) < 2000
+
+
 def test_people_of_equal_names(spark):
     names = ["alfa soto", "alfa paz luz rio", "a soto", "alfa soto sur"]
     people = spark.createDataFrame([(k, names[k % 4], "female", 1990) for k in range(240)], "athlete_id long, athlete_name string, athlete_gender string, birth_year int")
