@@ -304,8 +304,10 @@ def link_guards(links: DataFrame, people: DataFrame, athletes: DataFrame, existi
     out = out.unionByName(links.join(athletes.select("athlete_id").distinct(), "athlete_id", "left_anti").select("person_id", "athlete_id", F.lit("unknown athlete").alias("reason")))
     for side in ("person_id", "athlete_id"):
         twice = links.withColumn("n", F.count("*").over(Window.partitionBy(side))).where("n > 1").select("person_id", "athlete_id", F.lit(f"{side} twice").alias("reason"))
-        other = existing.select(side, F.struct("person_id", "athlete_id").alias("has"))
-        taken = links.join(other, side).where(F.col("has") != F.struct("person_id", "athlete_id")).select("person_id", "athlete_id", F.lit(f"{side} linked").alias("reason")).distinct()
+        # another link of the side is there if the first or the last one is another
+        own = F.struct("person_id", "athlete_id")
+        other = existing.groupBy(side).agg(F.min(own).alias("first"), F.max(own).alias("last"))
+        taken = links.join(other, side).where((F.col("first") != own) | (F.col("last") != own)).select("person_id", "athlete_id", F.lit(f"{side} linked").alias("reason")).distinct()
         out = out.unionByName(twice).unionByName(taken)
     return out
 

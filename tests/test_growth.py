@@ -38,6 +38,16 @@ def test_competitions_of_one_name(spark):
     assert joined_rows(found) < 2000
 
 
+def test_links_of_one_athlete(spark):
+    links = spark.createDataFrame([(k, 1) for k in range(100)] + [(200, 2), (201, 3)], "person_id long, athlete_id long")
+    existing = spark.createDataFrame([(k, 1) for k in range(100)] + [(200, 2), (201, 4)], "person_id long, athlete_id long")
+    people, athletes = spark.range(300).select(F.col("id").alias("person_id")), spark.range(9).select(F.col("id").alias("athlete_id"))
+    found = decisions.link_guards(links, people, athletes, existing)
+    want = [(k, 1, f"athlete_id {w}") for k in range(100) for w in ("linked", "twice")] + [(201, 3, "person_id linked")]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert joined_rows(found) < 2000
+
+
 def test_people_of_equal_names(spark):
     names = ["alfa soto", "alfa paz luz rio", "a soto", "alfa soto sur"]
     people = spark.createDataFrame([(k, names[k % 4], "female", 1990) for k in range(240)], "athlete_id long, athlete_name string, athlete_gender string, birth_year int")
