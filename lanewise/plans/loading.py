@@ -47,7 +47,9 @@ def insert_missing(target: DataFrame, batch: DataFrame, keys: list[str], *order)
 def backfill_birth_years(athletes: DataFrame, staging: DataFrame) -> DataFrame:
     """Unknown birth years from staged rows of the same name key, compatible gender and null-safe club; the least, if several."""
     a = athletes.withColumn("k", text.match_key(F.col("athlete_name"))).alias("a")
-    s = staging.select(text.match_key(F.col("athlete_name")).alias("k"), "athlete_gender", "club_id", "birth_year").where("birth_year IS NOT NULL").alias("s")
+    s = staging.select(text.match_key(F.col("athlete_name")).alias("k"), "athlete_gender", "club_id", "birth_year").where("k IS NOT NULL AND birth_year IS NOT NULL")
+    # only the least year of a key, gender and club can be found
+    s = s.groupBy("k", "athlete_gender", "club_id").agg(F.min("birth_year").alias("birth_year")).alias("s")
     same = (F.col("a.k") == F.col("s.k")) & F.col("a.club_id").eqNullSafe(F.col("s.club_id")) & domain.compatible(F.col("a.athlete_gender"), F.col("s.athlete_gender"))
     found = a.where("birth_year IS NULL").join(s, same).groupBy("a.athlete_id").agg(F.min("s.birth_year").alias("found"))
     return athletes.join(found, "athlete_id", "left").withColumn("birth_year", F.coalesce("birth_year", "found")).select(*athletes.columns)

@@ -48,6 +48,14 @@ def test_links_of_one_athlete(spark):
     assert joined_rows(found) < 2000
 
 
+def test_staged_rows_of_one_name(spark):
+    athletes = spark.createDataFrame([(k, "Ana Paz", "female", None, 1) for k in range(100)], "athlete_id long, athlete_name string, athlete_gender string, birth_year int, club_id long")
+    staged = spark.createDataFrame([("ana paz", "female", 1990 + k % 9, 1) for k in range(100)] + [("ana paz", "male", 1900, 1), ("ana paz", "female", 1900, 2)], "athlete_name string, athlete_gender string, birth_year int, club_id long")
+    found = loading.backfill_birth_years(athletes, staged)
+    assert {r.birth_year for r in found.collect()} == {1990} and found.count() == 100
+    assert joined_rows(found) < 2000
+
+
 def test_people_of_equal_names(spark):
     names = ["alfa soto", "alfa paz luz rio", "a soto", "alfa soto sur"]
     people = spark.createDataFrame([(k, names[k % 4], "female", 1990) for k in range(240)], "athlete_id long, athlete_name string, athlete_gender string, birth_year int")
