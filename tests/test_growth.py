@@ -76,3 +76,13 @@ def test_pairs_of_one_key_are_dealt_out(spark, monkeypatch):
     assert len({r.task for r in pairs}) > 10
     both = core.dealt_pairs(rows, rows, ["k"])
     assert both.count() == 200 * 200
+
+
+def test_bands_of_one_block_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(core, "CHUNK", 5)
+    monkeypatch.setattr(core, "PAIRS_A_TASK", 100)
+    df = spark.range(60).select(F.lit("k").alias("k"), "id", (F.col("id") % 7).cast("int").alias("y"))
+    got = core.band_pairs(df, ["k"], "y", 2, "id").withColumn("task", F.spark_partition_id()).collect()
+    want = {(a, b, a % 7, b % 7) for a, b in itertools.combinations(range(60), 2) if abs(a % 7 - b % 7) <= 2}
+    assert len(got) == len(want) and {(r.a, r.b, r.number_a, r.number_b) for r in got} == want
+    assert len({r.task for r in got}) > 5
