@@ -120,11 +120,21 @@ def top_two(scored: DataFrame, keys: list[str], score: str, *order: Column) -> D
     return led.where((F.col(score) >= MATCH_SCORE) & (F.col(score) - F.col("second") >= MATCH_MARGIN))
 
 
+#: Rows of clubs, athletes and years of a task of club_pairs.
+SEEN_A_TASK = 100_000
+
+
 def club_pairs(results: DataFrame) -> DataFrame:
-    """Clubs that share an athlete within a year: distinct first, then an equi-join on (athlete, year)."""
-    seen = results.where("club_id IS NOT NULL AND start_date IS NOT NULL").select("club_id", "athlete_id", F.year("start_date").alias("y")).distinct()
-    pairs = seen.withColumnRenamed("club_id", "club_a").join(seen.withColumnRenamed("club_id", "club_b"), ["athlete_id", "y"]).where("club_a < club_b")
-    return pairs.groupBy("club_a", "club_b").agg(F.count("*").alias("n_athlete_years"), F.countDistinct("athlete_id").alias("n_athletes"))
+    """Clubs that share an athlete within a year: distinct first, then the clubs of an athlete's year against each other in the
+    athlete's own task, which counts them by athlete. Tasks grow in number with the rows, not in size."""
+    seen = results.where("club_id IS NOT NULL AND athlete_id IS NOT NULL AND start_date IS NOT NULL").select("club_id", "athlete_id", F.year("start_date").alias("y")).distinct()
+    seen = core.settled(seen)
+    tasks = max(8, seen.count() // SEEN_A_TASK)
+    year = seen.repartition(tasks, "athlete_id").groupBy("athlete_id", "y").agg(F.sort_array(F.collect_list("club_id")).alias("clubs"))
+    first = year.select("athlete_id", "clubs", F.posexplode("clubs").alias("k", "club_a"))
+    pairs = first.select("athlete_id", "club_a", F.explode(F.slice("clubs", F.col("k") + 2, F.size("clubs"))).alias("club_b"))
+    each = pairs.groupBy("club_a", "club_b", "athlete_id").agg(F.count("*").alias("n"))
+    return each.repartition(tasks, "club_a", "club_b").groupBy("club_a", "club_b").agg(F.sum("n").alias("n_athlete_years"), F.count("*").alias("n_athletes"))
 
 
 # --- registered forms

@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from lanewise.operators import core
-from lanewise.plans import decisions, gates, identity, loading
+from lanewise.plans import curation, decisions, gates, identity, loading
 
 
 def joined_rows(df) -> int:
@@ -86,3 +86,18 @@ def test_bands_of_one_block_are_dealt_out(spark, monkeypatch):
     want = {(a, b, a % 7, b % 7) for a, b in itertools.combinations(range(60), 2) if abs(a % 7 - b % 7) <= 2}
     assert len(got) == len(want) and {(r.a, r.b, r.number_a, r.number_b) for r in got} == want
     assert len({r.task for r in got}) > 5
+
+
+def test_clubs_of_an_athletes_year(spark, monkeypatch):
+    monkeypatch.setattr(curation, "SEEN_A_TASK", 30)
+    rows = [(c, a, f"200{y}-05-01") for a in range(20) for y in range(2) for c in range(a % 7 + y)] + [(1, 1, None), (None, 1, "2000-05-01"), (1, None, "2000-05-01"), (2, None, "2000-05-01")]
+    results = spark.createDataFrame(rows * 2, "club_id long, athlete_id long, start_date string").withColumn("start_date", F.to_date("start_date"))
+    want = {}
+    for a, y in itertools.product(range(20), range(2)):
+        for pair in itertools.combinations(range(a % 7 + y), 2):
+            want.setdefault(pair, []).append(a)
+    found = curation.club_pairs(results)
+    got = {(r.club_a, r.club_b): (r.n_athlete_years, r.n_athletes) for r in found.collect()}
+    assert got == {pair: (len(a), len(set(a))) for pair, a in want.items()}
+    assert joined_rows(found) == 0
+    assert found.rdd.getNumPartitions() >= len(set(rows)) // 30 - 1  # tasks grow in number with the rows
