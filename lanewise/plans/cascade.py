@@ -1,9 +1,8 @@
 """The cascade of reviewed rules on names, years and genders: twelve kinds in a fixed order, each seeing what the ones before did.
 
-Rules are compiled: for every key that a row may come with, one array has the rules of all keys that it can become on the way,
-in the order of the cascade. Each different identity (key, club, year, gender) then goes once through one fold over its array,
-whose state is the identity as it is so far; of each kind the first rule that fits counts. Rows take over what their identity
-became. So the number of joins doesn't depend on the number of kinds, and nothing is worked out twice for rows alike.
+Each different identity (key, club, year, gender) goes through the kinds once, by an equi-join a kind with the first rules for its
+key, club and year; of each kind the first rule that fits counts. Rows take over what their identity became. So no identity
+meets more rules than there are genders, however many rules a key has, and nothing is worked out twice for rows alike.
 
 Unknown clubs, years and genders are null: a rule without a gender fits any, one with a gender fits rows without one, too.
 """
@@ -49,45 +48,29 @@ def with_any_gender(evidence: DataFrame) -> DataFrame:
     return evidence.where("gender IS NOT NULL").unionByName(first.withColumn("rule_order", F.lit(2**31 - 1)))
 
 
-def compiled(rules: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(key, rules): for each key the rules that a row of that key may meet, in order. A rule of another key is met only where an
-    earlier kind leads to that key."""
-    at = {k: n for n, k in enumerate(kinds)}
-    step = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in at.items()])
+#: The ways to fit that ask for the rule's club, and those that ask for a gender: compatible, or the rule's own.
+CLUB_WAYS, GENDER_WAYS = ("club", "evidence", "club or no year"), {"compatible": ("club", "old year", "no year", "club or no year", "identity"), "own": ("evidence",)}
+
+
+def _of(*ways: str) -> list[str]:
+    return [k for k, w, _ in KINDS if w in ways]
+
+
+def first_rules(rules: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(step, of_key, of_club, of_year, rules): of each kind, the first rule of each gender for the identities of a key and, where the
+    kind asks for them, of a club and a year. A rule that fits any identity without a year stands at no year, too. So an
+    identity meets at most one rule a gender in each kind, however many rules there are."""
+    step = F.coalesce(*[F.when(F.col("kind") == k, n) for n, k in enumerate(kinds)])
     used = rules.where(F.col("kind").isin(*kinds) & F.col("old_key").isNotNull()).withColumn("step", step)
-    leads = used.where("new_key IS NOT NULL AND new_key <> old_key").select(F.col("old_key").alias("via"), F.col("new_key").alias("to"), F.col("step").alias("at")).distinct()
-    reach = used.select(F.col("old_key").alias("key"), F.col("old_key").alias("now"), F.lit(-1).alias("from")).distinct()
-    front = reach
-    for _ in kinds:  # a kind changes a key at most once
-        further = front.join(leads, (F.col("now") == F.col("via")) & (F.col("at") > F.col("from")))
-        # what is reached early meets all that is reached late
-        front = core.settled(further.groupBy("key", F.col("to").alias("now")).agg(F.min("at").alias("from")))
-        if front.isEmpty():
-            break
-        reach = reach.unionByName(front)
-    early = reach.groupBy("key", "now").agg(F.min("from").alias("from"))
-    met = early.join(used, (F.col("now") == F.col("old_key")) & (F.col("step") > F.col("from")))
-    fields = ["step", "rule_order", "new_key", "new_name", "old_key", "club_key", "birth_year", "old_year", "gender", "new_year", "new_gender", "kind"]
-    return met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rules"))
-
-
-def _fits(s: Column, r: Column) -> Column:
-    """Whether a rule fits the state, by its kind's way of fitting."""
-    known = lambda c: F.coalesce(c, F.lit(False))
-    year, gender, club = r["birth_year"].eqNullSafe(s["year"]), domain.compatible(r["gender"], s["gender"]), r["club_key"].eqNullSafe(s["club"])
-    ways = {
-        "same year": year,
-        "club": club & gender & year,
-        "evidence": club & (r["gender"].isNull() | known(r["gender"] == s["gender"])) & s["year"].isNotNull(),
-        "old year": gender & r["old_year"].eqNullSafe(s["year"]),
-        "no year": gender & s["year"].isNull(),
-        "club or no year": club & gender & (s["year"].isNull() | year),
-        "identity": gender & (s["year"].isNull() | year),
-    }
-    by_kind = F.lit(False)
-    for way, test in ways.items():
-        by_kind = F.when(r["kind"].isin(*[k for k, w, _ in KINDS if w == way]), known(test)).otherwise(by_kind)
-    return (r["step"] > s["done"]) & (r["old_key"] == s["key"]) & by_kind
+    kind, none = F.col("kind"), F.lit(None).cast("int")
+    years = (
+        F.when(kind.isin(*_of("same year", "club")), F.array("birth_year")).when(kind.isin(*_of("old year")), F.array("old_year"))
+        .when(kind.isin(*_of("club or no year", "identity")), F.array_distinct(F.array(F.col("birth_year"), none))).otherwise(F.array(none))
+    )
+    fields = ["rule_order", "new_key", "new_name", "old_key", "club_key", "birth_year", "old_year", "gender", "new_year", "new_gender", "kind", "step"]
+    laid = used.select("step", F.col("old_key").alias("of_key"), F.when(kind.isin(*_of(*CLUB_WAYS)), F.col("club_key")).alias("of_club"), F.explode(years).alias("of_year"), F.col("gender").alias("of_gender"), F.struct(*fields).alias("rule"))
+    first = laid.groupBy("step", "of_key", "of_club", "of_year", "of_gender").agg(F.min("rule").alias("rule"))
+    return first.groupBy("step", "of_key", "of_club", "of_year").agg(F.collect_list("rule").alias("rules"))
 
 
 def _moved(s: Column, r: Column) -> Column:
@@ -101,13 +84,25 @@ def _moved(s: Column, r: Column) -> Column:
     return F.struct(F.coalesce(r["new_name"], s["name"]).alias("name"), F.coalesce(r["new_key"], s["key"]).alias("key"), s["club"].alias("club"), year.alias("year"), gender.alias("gender"), r["step"].alias("done"), kinds.alias("kinds")).cast(_STATE)
 
 
-def _through(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows (_key, _club, _year, _gender, _name, _kinds, ...) after the fold over their rules."""
-    who = ["_key", "_club", "_year", "_gender"]
-    each = rows.select(*who).where("_key IS NOT NULL").distinct().join(core.small_side(table), F.col("_key") == F.col("key"))
+def _through(rows: DataFrame, rules: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """rows (_key, _club, _year, _gender, _name, _kinds, ...) after the kinds, one after the other."""
+    who, way = ["_key", "_club", "_year", "_gender"], {k: w for k, w, _ in KINDS}
+    table = core.settled(first_rules(rules, kinds))
+    steps = sorted(r.step for r in table.select("step").distinct().collect())  # at most one a kind
+    table = core.small_side(table)
     none = F.lit(None)
     start = F.struct(none.alias("name"), F.col("_key").alias("key"), F.col("_club").alias("club"), F.col("_year").alias("year"), F.col("_gender").alias("gender"), F.lit(-1).alias("done"), F.array().cast("array<string>").alias("kinds")).cast(_STATE)
-    became = each.select(*[F.col(c).alias(f"x{c}") for c in who], F.aggregate("rules", start, lambda s, r: F.when(_fits(s, r), _moved(s, r)).otherwise(s)).alias("_s"))
+    became = rows.select(*who).where("_key IS NOT NULL").distinct().select(*[F.col(c).alias(f"x{c}") for c in who], start.alias("_s"))
+    for step in steps:
+        w, s = way[kinds[step]], F.col("_s")
+        on = [
+            F.col("of_key") == s["key"], F.col("of_club").eqNullSafe(s["club"]) if w in CLUB_WAYS else None,
+            s["year"].isNotNull() if w == "evidence" else F.col("of_year").eqNullSafe(s["year"]),
+        ]
+        met = became.join(table.where(F.col("step") == step), core.all_of(*on), "left")
+        sexed = lambda r: domain.compatible(r["gender"], s["gender"]) if w in GENDER_WAYS["compatible"] else r["gender"].isNull() | (r["gender"] == s["gender"]) if w in GENDER_WAYS["own"] else F.lit(True)  # noqa: B023, E731
+        found = met.withColumn("_r", F.array_min(F.filter("rules", lambda r: F.coalesce(sexed(r), F.lit(False)))))  # noqa: B023
+        became = found.select(*[f"x{c}" for c in who], F.when(F.col("_r").isNotNull(), _moved(s, F.col("_r"))).otherwise(s).alias("_s"))
     same = core.all_of(*[F.col(c).eqNullSafe(F.col(f"x{c}")) for c in who])
     joined = rows.join(became, same, "left")
     hit = F.col("_s").isNotNull()
@@ -137,13 +132,13 @@ def curated(rows: DataFrame, rules: DataFrame, name: str = "full_name", club: st
     residue = F.when(F.col("_name") != F.col("_n"), F.array(F.lit("residue"))).otherwise(F.array()).cast("array<string>")
     out = out.withColumn("_key", plain_key(F.col("_name"))).withColumn("_kinds", residue)
     kinds = tuple(k for k, *_ in KINDS if sexed or k != "gender")
-    out = _renamed(core.settled(_through(out, compiled(rules, kinds))), without_residue(F.col("_name")), "residue")
+    out = _renamed(core.settled(_through(out, rules, kinds)), without_residue(F.col("_name")), "residue")
     if not keep_order:
         out = _renamed(out, F.when(F.col("_year").isNull(), surname_first(F.col("_name"))), "order")
         # names that have been put in order meet two kinds again; the others go past them without a key
         again = out.withColumn("_kept", F.col("_key")).withColumn("_key", F.when(F.col("_is"), F.col("_key")))
-        out = core.settled(_through(again, compiled(rules, AFTER_ORDER)).withColumn("_key", F.coalesce("_key", "_kept")).drop("_kept"))
-    out = core.settled(_through(out, compiled(rules, ("merge_year",))))
+        out = core.settled(_through(again, rules, AFTER_ORDER).withColumn("_key", F.coalesce("_key", "_kept")).drop("_kept"))
+    out = core.settled(_through(out, rules, ("merge_year",)))
     if keep_order:
         out = _renamed(out, person_case(F.col("_name")), "case")
     same = core.all_of(*[F.col(c).eqNullSafe(F.col(k)) for k, c in given.items()])

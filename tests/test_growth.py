@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from lanewise.operators import core
-from lanewise.plans import curation, decisions, gates, identity, loading
+from lanewise.plans import cascade, curation, decisions, gates, identity, loading
 
 
 def joined_rows(df) -> int:
@@ -101,3 +101,17 @@ def test_clubs_of_an_athletes_year(spark, monkeypatch):
     assert got == {pair: (len(a), len(set(a))) for pair, a in want.items()}
     assert joined_rows(found) == 0
     assert found.rdd.getNumPartitions() >= len(set(rows)) // 30 - 1  # tasks grow in number with the rows
+
+
+def test_rules_of_one_key(spark):
+    kinds = tuple(k for k, *_ in cascade.KINDS)
+    rules = spark.range(6000).selectExpr(
+        "element_at(array('name_correction', 'birth_year', 'partial_name_identity'), int(id % 3) + 1) AS kind", "int(id) AS rule_order", "'ana' AS old_key", "'u' AS club_key", "int(1970 + id % 4) AS birth_year", "int(1970) AS old_year",
+        "CASE WHEN id % 5 = 0 THEN 'female' END AS gender", "concat('Ana ', id) AS new_name", "'ana' AS new_key", "int(1990 + id % 7) AS new_year", "CAST(NULL AS string) AS new_gender")
+    table = cascade.first_rules(rules, kinds)
+    sizes = table.selectExpr("size(rules) AS n").collect()
+    assert len(sizes) == 4 + 1 + 5 and max(r.n for r in sizes) == 2  # years, no year, years and none; two genders
+    people = spark.createDataFrame([("Ana", "U", 1971, None), ("Ana", "U", None, "male"), ("Ana", "V", 1973, "female")], "full_name string, club_name string, birth_year int, gender string")
+    got = {(r.full_name, r.birth_year, r.gender, ",".join(r.changes)) for r in cascade.curated(people, rules, keep_order=True).collect()}
+    # 9: of its club and year; then 1, of its club for any gender; 2: of any year, not for women; 11: of its year
+    assert got == {("Ana 1", 1991, None, "name_correction,birth_year"), ("Ana 2", 1992, "male", "partial_name_identity"), ("Ana 11", 1973, "female", "partial_name_identity")}
