@@ -13,6 +13,8 @@ from lanewise.functions.text import blank_to_null
 TEXT_STATUSES = ("DNS", "DNF", "DSQ", "SCRATCH", "NT", "NS", "DQ", "DFS", "VALID", "UNKNOWN")
 #: Digits allowed in the first number of a clock with one, two or three numbers; further ones have two.
 FIRST_DIGITS = (3, 3, 2)
+#: A clock of minutes, seconds and hundredths, as nearly all times are printed: read by its places, without the reader of other forms.
+PLAIN = r"^(?:0|[1-9][0-9]{0,2}):[0-9]{2}[.,][0-9]{2}\z"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -54,12 +56,15 @@ def normal_time(text: Column) -> Column:
     def of(value: Column) -> Column:
         return F.coalesce(F.when(F.upper(value).isin(*TEXT_STATUSES), F.upper(value)), let(_clock(value), lambda t: shown(value, t)), value)
 
-    return let(blank_to_null(text), of)
+    return F.when(text.rlike(PLAIN), F.translate(text, ".", ",")).when(text.isNotNull(), let(blank_to_null(text), of))
 
 
 def time_ms(text: Column) -> Column:
     """Milliseconds of a time, null for status words, other text and over 999 minutes."""
-    return let(_clock(blank_to_null(text)), lambda t: F.when(t["minutes"] < 1000, (t["minutes"] * 60 + t["seconds"]) * 1000 + t["centis"] * 10))
+    number = lambda c: c.cast("long")
+    plain = (number(F.substring_index(text, ":", 1)) * 60 + number(F.substring(text, -5, 2))) * 1000 + number(F.substring(text, -2, 2)) * 10
+    other = let(_clock(blank_to_null(text)), lambda t: F.when(t["minutes"] < 1000, (t["minutes"] * 60 + t["seconds"]) * 1000 + t["centis"] * 10))
+    return F.when(text.rlike(PLAIN), plain).when(text.isNotNull(), other)
 
 
 def format_ms(ms: Column) -> Column:

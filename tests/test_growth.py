@@ -4,6 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from lanewise.functions import times
 from lanewise.operators import core
 from lanewise.plans import cascade, curation, decisions, gates, identity, loading
 
@@ -115,3 +116,12 @@ def test_rules_of_one_key(spark):
     got = {(r.full_name, r.birth_year, r.gender, ",".join(r.changes)) for r in cascade.curated(people, rules, keep_order=True).collect()}
     # 9: of its club and year; then 1, of its club for any gender; 2: of any year, not for women; 11: of its year
     assert got == {("Ana 1", 1991, None, "name_correction,birth_year"), ("Ana 2", 1992, "male", "partial_name_identity"), ("Ana 11", 1973, "female", "partial_name_identity")}
+
+
+def test_plain_clocks_are_read_as_others_are(spark):
+    clocks = [("1:05,30", "1:05,30", 65300), ("0:05.30", "0:05,30", 5300), ("999:59,99", "999:59,99", 59999990), (" 1:05,30\n", "1:05,30", 65300), ("1:05,30\n", "1:05,30", 65300), ("01:05,30", "1:05,30", 65300), ("1000:05,30", "1000:05,30", None), ("1:05,3", "1:05,30", 65300), ("DQ", "DQ", None), ("", None, None), (None, None, None)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(clocks)], "k int, t string, shown string, ms long")
+    got = df.select("k", times.normal_time(F.col("t")).alias("shown"), times.time_ms(F.col("t")).alias("ms")).collect()
+    assert sorted((r.k, r.shown, r.ms) for r in got) == [(k, shown, ms) for k, (_, shown, ms) in enumerate(clocks)]
+    plan = df.select(times.time_ms(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring_index" in plan
