@@ -53,7 +53,7 @@ def parse_result_line(line: Column) -> Column:
     final = part(6, 5)
     exhibition = F.upper(final).startswith("X")
     ms = times.time_ms(final)
-    rank = F.when(~exhibition, F.regexp_extract(part(1, 1), r"(\d+)", 1).try_cast("int"))
+    rank = F.when(~exhibition, text.number_in(part(1, 1), r"(\d+)"))
     return F.when(
         seed | bare,
         F.struct(
@@ -67,7 +67,7 @@ def parse_result_line(line: Column) -> Column:
 
 def parse_relay_line(line: Column) -> Column:
     part = lambda g: F.regexp_extract(line, RELAY_LINE, g)
-    return F.when(line.rlike(RELAY_LINE), F.struct(F.regexp_extract(part(1), r"(\d+)", 1).try_cast("int").alias("rank"), part(2).alias("team"), part(3).alias("seed_text"), times.normal_time(part(4)).alias("time_text"), times.time_ms(part(4)).alias("time_ms")))
+    return F.when(line.rlike(RELAY_LINE), F.struct(text.number_in(part(1), r"(\d+)").alias("rank"), part(2).alias("team"), part(3).alias("seed_text"), times.normal_time(part(4)).alias("time_text"), times.time_ms(part(4)).alias("time_ms")))
 
 
 def parse_swimmers(line: Column) -> Column:

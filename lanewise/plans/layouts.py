@@ -170,7 +170,7 @@ def coordinate_rows(rows: DataFrame) -> DataFrame:
     timed = timed.withColumn("ms", times.time_ms(F.col("shown")))
     line_up, ms = F.col("kind") != "swimmer", F.col("ms")
     return timed.select(
-        *line, "kind", "event", F.when(line_up, F.regexp_extract("mark", r"^(\d+)", 1).try_cast("int")).alias("rank"), F.col("athlete").alias("name"),
+        *line, "kind", "event", F.when(line_up, text.number_in(F.col("mark"), r"^(\d+)")).alias("rank"), F.col("athlete").alias("name"),
         F.when(line_up, F.when(F.col("_stuck"), F.trim(F.regexp_extract("club", ATTACHED, 1))).otherwise(F.col("club"))).alias("club"), F.when(line_up, F.col("shown")).alias("time_text"), F.when(line_up, ms).alias("time_ms"),
         F.when(line_up, F.when(ms.isNotNull(), "valid").otherwise(domain.status(F.lit(None).cast("string"), F.col("shown")))).alias("status"),
         F.when(line_up, F.replace(F.nullif("points", F.lit("")), F.lit(" "), F.lit(""))).alias("points"), F.col("leg").cast("int").alias("leg"),
@@ -252,7 +252,7 @@ def coordinate_results(s: Star) -> DataFrame:
         all_ = all_.unionByName(more)
     moved = all_.select(*PAGE, "top", F.transform("words", lambda w: F.struct((w["x0"] + F.col("shift")).alias("x0"), w["text"].alias("text"))).alias("words"))
     _, found = read_reports(printed(moved))
-    own = F.regexp_extract("name", r"^\w+ (\d+)", 1).try_cast("long")
+    own = text.number_in(F.col("name"), r"^\w+ (\d+)", "long")
     return found.select("document", own.alias("number"), "kind", F.col("event.number").alias("event_number"), "rank", "name", "club", "time_ms", "status", "points", "leg")
 
 

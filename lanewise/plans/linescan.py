@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewise.functions import domain, times
+from lanewise.functions import domain, text, times
 from lanewise.functions.times import let
 from lanewise.operators import core
 from lanewise.plans.documents import RESULT_LINE, RESULT_NO_SEED, parse_relay_line, parse_swimmers
@@ -114,7 +114,7 @@ def result_rows(scan: DataFrame, year: Column, document: str = "document", order
     flat = scan.where("kind = 'result'").select(*keys, "event", year.cast("int").alias("_year"), "fields.*", F.col("event.distance_m").alias("distance_m"))
     right = settle(flat)
     # a child's age in an adult's event is the first digit of the adult's, which then opens the team's name
-    first = F.regexp_extract("event.age_group", r"([0-9]+)", 1).try_cast("int")
+    first = text.number_in(F.col("event.age_group"), r"([0-9]+)")
     doubled = F.coalesce((F.col("age") < CHILD) & (first >= ADULT) & F.col("team").rlike(r"^[1-9][0-9]\s+\S"), F.lit(False))
     aged = right.withColumn("_doubled", doubled).withColumns({
         "age": F.when(F.col("_doubled"), F.left("team", F.lit(2)).cast("int")).otherwise(F.col("age")), "team": F.when(F.col("_doubled"), F.trim(F.substring("team", F.lit(3), F.length("team")))).otherwise(F.col("team")),
@@ -123,7 +123,7 @@ def result_rows(scan: DataFrame, year: Column, document: str = "document", order
     timed = shown.withColumn("time_ms", times.time_ms(F.col("time_text"))).withColumn("seed_ms", times.time_ms(F.col("seed_text")))
     exhibition = F.coalesce(F.upper("time_text").startswith("X"), F.lit(False))
     return timed.select(
-        *keys, "event", F.when(~exhibition, F.regexp_extract("rank", r"([0-9]+)", 1).try_cast("int")).alias("rank"), "name", "age", (F.col("_year") - F.col("age")).alias("birth_year"), "team", "seed_text", "seed_ms", "time_text", "time_ms",
+        *keys, "event", F.when(~exhibition, text.number_in(F.col("rank"), r"([0-9]+)")).alias("rank"), "name", "age", (F.col("_year") - F.col("age")).alias("birth_year"), "team", "seed_text", "seed_ms", "time_text", "time_ms",
         F.when(F.col("time_ms").isNotNull(), "valid").otherwise(domain.status(F.lit(None).cast("string"), F.col("time_text"))).alias("status"), F.translate("points", ", ", ".").alias("points"),
     )
 

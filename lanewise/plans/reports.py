@@ -67,21 +67,30 @@ def event_context(line: Column) -> Column:
     distance or behind the stroke, there before or after the word for a relay. A header without a course is short course.
     """
     part = F.regexp_extract
-    rest = part(F.trim(line), OPENER, 3)
-    before, swum = F.nullif(part(rest, SWUM, 1), F.lit("")), part(rest, SWUM, 4)
-    relay = let(F.split(swum, r"\s+"), _relay_ages)
-    ages, stroke = F.coalesce(F.trim(before), relay["ages"]), F.when(before.isNotNull(), swum).otherwise(relay["stroke"])
-    return F.when(
-        F.trim(line).rlike(OPENER) & rest.rlike(SWUM) & ages.isNotNull(),
-        F.struct(
-            part(F.trim(line), OPENER, 1).try_cast("int").alias("number"),
-            domain.event_gender(part(F.trim(line), OPENER, 2)).alias("gender"),
-            ages.alias("age_group"),
-            F.coalesce(domain.distance_m(part(rest, SWUM, 2)), F.lit(0)).alias("distance_m"),
-            domain.course(F.coalesce(F.nullif(part(rest, SWUM, 3), F.lit("")), F.lit("SC"))).alias("course"),
-            domain.stroke(stroke).alias("stroke"),
-        ),
-    )
+
+    def header(t: Column) -> Column:
+        parts = lambda rest: F.struct(F.nullif(part(rest, SWUM, 1), F.lit("")).alias("before"), part(rest, SWUM, 2).alias("distance"), part(rest, SWUM, 3).alias("course"), part(rest, SWUM, 4).alias("swum"))
+        return let(part(t, OPENER, 3), lambda rest: F.when(rest.rlike(SWUM), let(parts(rest), lambda p: let(relayed(p), lambda r: shown(t, p, r)))))
+
+    def relayed(p: Column) -> Column:
+        relay = let(let(F.split(p["swum"], r"\s+"), _relay_ages), lambda r: F.struct(r["ages"].alias("ages"), r["stroke"].alias("stroke")))
+        return F.when(p["before"].isNotNull(), F.struct(F.trim(p["before"]).alias("ages"), p["swum"].alias("stroke"))).otherwise(relay)
+
+    def shown(t: Column, p: Column, r: Column) -> Column:
+        return F.when(
+            r["ages"].isNotNull(),
+            F.struct(
+                part(t, OPENER, 1).try_cast("int").alias("number"),
+                domain.event_gender(part(t, OPENER, 2)).alias("gender"),
+                r["ages"].alias("age_group"),
+                F.coalesce(domain.distance_m(p["distance"]), F.lit(0)).alias("distance_m"),
+                domain.course(F.coalesce(F.nullif(p["course"], F.lit("")), F.lit("SC"))).alias("course"),
+                domain.stroke(r["stroke"]).alias("stroke"),
+            ),
+        )
+
+    # each part is worked out once, and none for lines that don't open as a header
+    return F.when(F.trim(line).rlike(OPENER), let(F.trim(line), header))
 
 
 def settle(rows: DataFrame) -> DataFrame:
@@ -244,7 +253,9 @@ def printed_headers(s: Star) -> DataFrame:
 FROM (SELECT *, (event_id % 9)::INTEGER AS f FROM event) WHERE f < 8""")
 def event_headers(s: Star) -> DataFrame:
     """Event headers of eight forms read back; lines that are none give nothing."""
-    read = printed_headers(s).withColumn("e", event_context(F.col("raw_line"))).where("e IS NOT NULL")
+    lines = core.spread(printed_headers(s))
+    # exploded, as a filter would read each header twice
+    read = lines.select("event_id", F.explode(F.array_compact(F.array(event_context(F.col("raw_line"))))).alias("e"))
     return read.select("event_id", "e.number", "e.gender", "e.distance_m", "e.age_group", "e.course", "e.stroke")
 
 

@@ -4,6 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from lanewise import catalog
 from lanewise.functions import times
 from lanewise.operators import core
 from lanewise.plans import cascade, curation, decisions, gates, identity, loading
@@ -118,6 +119,12 @@ def test_rules_of_one_key(spark):
     assert got == {("Ana 1", 1991, None, "name_correction,birth_year"), ("Ana 2", 1992, "male", "partial_name_identity"), ("Ana 11", 1973, "female", "partial_name_identity")}
 
 
+def test_headers_are_dealt_out_and_read_once(spark):
+    found = catalog.QUERIES["event_headers"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == 4
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("35-39") == 1
+
+
 def test_plain_clocks_are_read_as_others_are(spark):
     clocks = [("1:05,30", "1:05,30", 65300), ("0:05.30", "0:05,30", 5300), ("999:59,99", "999:59,99", 59999990), (" 1:05,30\n", "1:05,30", 65300), ("1:05,30\n", "1:05,30", 65300), ("01:05,30", "1:05,30", 65300), ("1000:05,30", "1000:05,30", None), ("1:05,3", "1:05,30", 65300), ("DQ", "DQ", None), ("", None, None), (None, None, None)]
     df = spark.createDataFrame([(k, *c) for k, c in enumerate(clocks)], "k int, t string, shown string, ms long")
