@@ -90,7 +90,8 @@ def scanned(lines: DataFrame, costs: DataFrame, document: str = "document", orde
 
     kind: skipped (of the page, or before any event), header, result, relay, members, unparsed; the reason of unparsed lines tells
     whether they stand in a relay. Lines printed letter by letter are put together by the words of `costs`."""
-    fixed = unbroken(lines.withColumn("line", mended(F.col("raw_line"))), costs, "line")
+    # settled before several branches read it, and before filters that would work all of it out once more
+    fixed = unbroken(core.settled(core.spread(lines).withColumn("line", mended(F.col("raw_line")))), costs, "line")
     marked = fixed.withColumn("_page", page_line(F.col("line"))).withColumn("_header", F.when(~F.col("_page"), event_context(F.col("line"))))
     under = core.carry_forward(marked, [document], list(order), F.col("_header"), "event")
     relay = F.coalesce(F.col("event.stroke").endswith("_relay"), F.lit(False))
@@ -104,7 +105,7 @@ def scanned(lines: DataFrame, costs: DataFrame, document: str = "document", orde
         F.when(F.col("_header").isNotNull(), "header").when(F.col("_page") | F.col("event").isNull(), "skipped").when(F.col("fields").isNotNull(), "result")
         .when(F.col("relay").isNotNull(), "relay").when(F.size("members") > 0, "members").otherwise("unparsed")
     )
-    return read.withColumn("kind", kind).withColumn("reason", F.when(kind == "unparsed", F.when(relay, "unparsed_relay_line").otherwise("unparsed_inside_event"))).drop("_page", "_header")
+    return core.settled(read.withColumn("kind", kind)).withColumn("reason", F.when(F.col("kind") == "unparsed", F.when(relay, "unparsed_relay_line").otherwise("unparsed_inside_event"))).drop("_page", "_header")
 
 
 def result_rows(scan: DataFrame, year: Column, document: str = "document", order: tuple[str, ...] = ("page_number", "line_number")) -> DataFrame:
