@@ -8,7 +8,8 @@ Two cuts bound what is held. An athlete behind keep + 3 others of the same gende
 line-up by that place: at most 3 of those are in it, and each of the others would make a better one of the same ages. A pair
 behind keep others and all that its partner pair's athletes can be in, likewise. Equal totals are ordered by the athletes'
 ids, for which both hold, too. So a club has at most places x genders x ages x (keep + 3) athletes, and a list of pairs at most
-keep + 2 x (athletes of one gender and age) entries; pairs are formed CHUNK athletes at a time.
+keep + 2 x (athletes of one gender and age) entries; pairs are formed CHUNK athletes at a time, and those behind a full list's last
+aren't sorted. A small club, with no more than DENSE combinations of pairs, needs no search: they are all formed at once.
 """
 
 from __future__ import annotations
@@ -19,29 +20,35 @@ import numpy as np
 
 from lanewise.functions import domain
 
-CHUNK = 256
+CHUNK, DENSE, DENSE_ATHLETES = 256, 250_000, 50_000
 _NEVER = 1 << 40
 
 
 def top_pairs(ids: np.ndarray, female: np.ndarray, age: np.ndarray, first: np.ndarray, second: np.ndarray, wanted: set[int], most: int) -> dict[tuple[int, int], tuple]:
     """(number of women, sum of ages) -> (totals, a, b): the `most` best pairs, by total and ids, with `wanted` numbers of women. Athletes
     are in order of their ids; first and second: the times of the two places."""
-    n, held = len(ids), None
+    n, held = len(ids), np.zeros((5, 0), np.int64)
+    low, span = 2 * int(age.min()), 2 * int(age.max() - age.min()) + 1
+    limit = np.full(3 * span, _NEVER - 1)  # the last total that still enters a list
     for lo in range(0, n, CHUNK):
         a = np.arange(lo, min(lo + CHUNK, n))[:, None]
         b = np.arange(lo + 1, n)[None, :]
         total = np.minimum(first[a] + second[b], second[a] + first[b])
         women, ages = female[a] + female[b], age[a] + age[b]
-        ok = (b > a) & (total < _NEVER) & np.isin(women, list(wanted))
+        cell = women * span + ages - low
+        ok = (b > a) & (total <= limit[cell]) & np.isin(women, list(wanted))
         x, y = np.nonzero(ok)
-        new = np.stack([women[ok], ages[ok], total[ok], x + lo, y + lo + 1])
-        new = new if held is None else np.concatenate([held, new], axis=1)
-        new = new[:, np.lexsort(new[::-1])]
-        begins = np.flatnonzero(np.r_[True, (new[0, 1:] != new[0, :-1]) | (new[1, 1:] != new[1, :-1])]) if new.shape[1] else np.zeros(0, int)
-        place = np.arange(new.shape[1]) - np.repeat(begins, np.diff(np.r_[begins, new.shape[1]]))
+        new = np.concatenate([held, np.stack([women[ok], ages[ok], total[ok], x + lo, y + lo + 1])], axis=1)
+        # pairs come in order of their ids, which equal totals keep
+        at = new[0] * span + new[1] - low
+        order = np.lexsort((new[2], at))
+        new, at = new[:, order], at[order]
+        begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
+        place = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
         held = new[:, place < most]
+        limit[at[place == most - 1]] = new[2, place == most - 1] - 1  # later pairs have greater ids
     out = {}
-    if held is not None and held.shape[1]:
+    if held.shape[1]:
         cuts = np.flatnonzero((held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])) + 1
         for part in np.split(held, cuts, axis=1):
             out[int(part[0, 0]), int(part[1, 0])] = (part[2], part[3], part[4])
@@ -73,6 +80,27 @@ def best_groups(left: dict, right: dict, women: int, low: int, high: int, keep:
     return sorted((t, f) for f, t in best.items())[:keep]
 
 
+def all_groups(left: dict, right: dict, n: int, women: int, bands: list[tuple[int, int]], keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(totals, athletes in order) of best_groups for each band of ages, all combinations of the pairs being formed; n: athletes."""
+    one = [np.concatenate([np.full(len(x[0]), k[0]) for k, x in side.items()]) for side in (left, right)]
+    ages = [np.concatenate([np.full(len(x[0]), k[1]) for k, x in side.items()]) for side in (left, right)]
+    (s, a, b), (t, c, d) = (tuple(np.concatenate(x) for x in zip(*side.values())) for side in (left, right))
+    apart = (a[:, None] != c) & (a[:, None] != d) & (b[:, None] != c) & (b[:, None] != d)
+    x, y = np.nonzero(apart & (one[0][:, None] + one[1] == women))
+    fours = np.sort(np.stack([a[x], b[x], c[y], d[y]]), axis=0)
+    key = ((fours[0] * n + fours[1]) * n + fours[2]) * n + fours[3]  # below 2 ** 63 up to DENSE_ATHLETES
+    total, age = s[x] + t[y], ages[0][x] + ages[1][y]
+    order = np.lexsort((total, key))
+    order = order[np.r_[True, key[order][1:] != key[order][:-1]]] if len(order) else order
+    fours, key, total, age = fours[:, order], key[order], total[order], age[order]
+    best = np.lexsort((key, total))
+    out = []
+    for low, high in bands:
+        some = best[(age[best] >= low) & (age[best] <= high)][:keep]
+        out.append((total[some], fours[:, some].T))
+    return out
+
+
 def line_ups(ids: np.ndarray, female: np.ndarray, age: np.ndarray, times: np.ndarray, rule: str, categories: list[str] | None, keep: int) -> list[tuple[str, int, int, list[int]]]:
     """(category, age_sum, total, ids by place) of a club, best first in each category. times: one row a place, _NEVER for none.
 
@@ -91,13 +119,20 @@ def line_ups(ids: np.ndarray, female: np.ndarray, age: np.ndarray, times: np.nda
     left = top_pairs(ids, female, age, times[0], times[1], wanted, most)
     right = left if (times[0] == times[2]).all() and (times[1] == times[3]).all() else top_pairs(ids, female, age, times[2], times[3], wanted, most)
     one_stroke = all((times[0] == t).all() for t in times[1:])
-    orders = [(0, 1, 2, 3)] if one_stroke else list(permutations(range(4)))
+    orders = np.array([(0, 1, 2, 3)] if one_stroke else list(permutations(range(4))))
+    bands = [(key, low, high) for key, low, high in domain.RELAY_CATEGORIES if categories is None or key in categories]
+    if not left or not right:
+        return []
+    if len(ids) <= DENSE_ATHLETES and sum(len(x[0]) for x in left.values()) * sum(len(x[0]) for x in right.values()) <= DENSE:
+        found = all_groups(left, right, len(ids), women, [(low, high) for _, low, high in bands], keep)
+    else:
+        each = [best_groups(left, right, women, low, high, keep) for _, low, high in bands]
+        found = [(np.array([t for t, _ in best], np.int64), np.array([four for _, four in best], np.int64).reshape(-1, 4)) for best in each]
     out = []
-    for key, low, high in domain.RELAY_CATEGORIES:
-        if categories is not None and key not in categories:
-            continue
-        for total, four in best_groups(left, right, women, low, high, keep):
-            group = sorted(four, key=lambda k: (-female[k] if rule == "mixed" else 0, k))
-            placed = min(orders, key=lambda o: sum(int(times[place, group[m]]) for place, m in enumerate(o)))
-            out.append((key, int(age[list(four)].sum()), int(total), [int(ids[group[m]]) for m in placed]))
+    for (key, *_), (totals, fours) in zip(bands, found):
+        by = fours if rule != "mixed" else fours - female[fours] * len(ids)
+        groups = np.take_along_axis(fours, np.argsort(by, axis=1), axis=1)
+        shown = sum(times[place, groups[:, orders[:, place]]] for place in range(4))  # one column an order
+        placed = ids[np.take_along_axis(groups, orders[np.argmin(shown, axis=1)], axis=1)]
+        out += zip([key] * len(totals), age[fours].sum(axis=1).tolist(), totals.tolist(), placed.tolist())
     return out

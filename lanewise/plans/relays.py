@@ -1,16 +1,21 @@
 """Relay line-ups: rosters, best times, the best groups of four, best order of each, and disjoint choices.
 
 Clubs are many. Windows cut each roster to those who can be in one of its best line-ups at all, a number that doesn't grow
-with the club; the best-first search among these (`lineups`) and the choice of disjoint line-ups over the seven categories,
-from at most `PER_CATEGORY` candidates each, run as grouped functions, one club at a time.
+with the club; the search among these (`lineups`) and what is chosen from it, from at most `PER_CATEGORY` candidates a category
+or category by category, run in one function, one club a row, so that candidates never leave their task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lanewise.functions import domain
 from lanewise.operators import core
@@ -21,6 +26,8 @@ from lanewise.plans.star import AS_OF_YEAR, STAR_SQL, Star
 QUERIES: dict = {}
 ORACLES: dict = {}
 PER_CATEGORY, ALTERNATIVES = 40, 5
+#: Found rows that a task holds before it hands them on.
+ROWS = 20_000
 GENDER_RULES = ("mixed", "women", "men")
 
 
@@ -38,45 +45,75 @@ def best_times(results: DataFrame, keys: list[str] = ["athlete_id", "stroke"]) -
     return results.where("time_ms IS NOT NULL").groupBy(*keys).agg(F.min("time_ms").alias("best_ms"))
 
 
-def candidates(roster: DataFrame, style: str, rule: str, categories: list[str] | None = None) -> DataFrame:
-    """Up to PER_CATEGORY line-ups of each club and category: club_id, category, place, ids (by position), total_ms,
-    age_sum.
+_LINE_UP = "club_id bigint, category string, age_sum int, total_ms bigint, ids array<bigint>"
 
-    roster: club_id, athlete_id, athlete_gender, age, times (map stroke -> ms). Groups are taken in order of athlete_id;
-    of a group's 24 orders the first with the least total counts, and of groups with equal totals the one with least ids.
+
+def _searched(roster: DataFrame, style: str, rule: str, most: int, search: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """What search(ids, female, age, times by position) finds in each club, behind its club_id.
+
+    roster: club_id, athlete_id, athlete_gender, age, times (map stroke -> ms). Who is behind `most` others of the same gender and age
+    in each place is left out.
     """
     strokes = domain.RELAY_STROKES[style]
     places = list(dict.fromkeys(strokes))
     genders = {"mixed": ("female", "male"), "women": ("female",), "men": ("male",)}[rule]
+    own = [f"_{n}" for n in range(len(places))]
     able = roster.where(F.col("age").isNotNull() & F.col("athlete_gender").isin(*genders)).select(
-        "club_id", "athlete_id", "athlete_gender", F.col("age").cast("int").alias("age"), F.array(*[F.try_element_at("times", F.lit(k)).cast("long") for k in places]).alias("own")
+        "club_id", "athlete_id", F.col("athlete_gender").eqNullSafe(F.lit("female")).alias("female"), F.col("age").cast("int").alias("age"), *[F.try_element_at("times", F.lit(k)).cast("long").alias(c) for c, k in zip(own, places)]
     )
-    # who is behind this many others of the same gender and age in a place can't be in a kept line-up by it
-    each = able.select("club_id", "athlete_gender", "age", "athlete_id", F.posexplode("own").alias("slot", "ms")).where("ms IS NOT NULL")
-    near = core.top_by(each, ["club_id", "slot", "athlete_gender", "age"], PER_CATEGORY + 3, F.asc("ms"), F.asc("athlete_id"))
-    some = able.join(near.select("club_id", "athlete_id").distinct(), ["club_id", "athlete_id"], "left_semi")
+    behind = lambda c: F.row_number().over(Window.partitionBy("club_id", "female", "age").orderBy(F.asc_nulls_last(c), "athlete_id"))
+    ranked = able.withColumns({f"{c}_place": behind(c) for c in own})
+    near = [F.col(c).isNotNull() & (F.col(f"{c}_place") <= most) for c in own]
+    some = ranked.where(reduce(lambda a, b: a | b, near)).withColumns({c: F.coalesce(c, F.lit(lineups._NEVER)) for c in own})
+    # a club is one row, dealt out whatever its bytes: few bytes take long
+    dealt = some.repartition(int(roster.sparkSession.conf.get("spark.sql.shuffle.partitions")), "club_id")
+    clubs = dealt.groupBy("club_id").agg(F.collect_list(F.struct("athlete_id", "female", "age", *own)).alias("c"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for club_id, ids, female, age, *own_times in batch.itertuples(index=False, name=None):
+                times = np.stack([np.asarray(own_times[places.index(k)], np.int64) for k in strokes])
+                out += [(club_id, *row) for row in search(np.asarray(ids, np.int64), np.asarray(female, bool), np.asarray(age, np.int64), times)]
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    return clubs.select("club_id", "c.athlete_id", "c.female", "c.age", *[f"c.{c}" for c in own]).mapInPandas(run, schema)
+
+
+def _placed(found: list[tuple]) -> list[tuple]:
+    """Line-ups, best first in each category, with their place in it."""
+    return [(*row, n) for _, rows in groupby(found, key=lambda r: r[0]) for n, row in enumerate(rows, 1)]
 
-    def run(club: pd.DataFrame) -> pd.DataFrame:
-        own = np.array([[lineups._NEVER if t is None or t != t else int(t) for t in row] for row in club["own"]], np.int64).T
-        found = lineups.line_ups(club["athlete_id"].to_numpy(), (club["athlete_gender"] == "female").to_numpy(), club["age"].to_numpy(), own[[places.index(k) for k in strokes]], rule, categories, PER_CATEGORY)
-        rows = pd.DataFrame(found, columns=["category", "age_sum", "total_ms", "ids"])
-        rows.insert(0, "club_id", club["club_id"].iloc[0])
-        return rows.assign(place=rows.groupby("category").cumcount() + 1)
 
-    return some.groupBy("club_id").applyInPandas(run, "club_id bigint, category string, age_sum int, total_ms bigint, ids array<bigint>, place int")
+def candidates(roster: DataFrame, style: str, rule: str, categories: list[str] | None = None) -> DataFrame:
+    """Up to PER_CATEGORY line-ups of each club and category: club_id, category, place, ids (by position), total_ms,
+    age_sum.
 
+    roster: club_id, athlete_id, athlete_gender, age, times (map stroke -> ms). Groups are taken in order of athlete_id;
+    of a group's 24 orders the first with the least total counts, and of groups with equal totals the one with least ids.
+    """
+
+    def search(*club) -> list[tuple]:
+        return _placed(lineups.line_ups(*club, rule, categories, PER_CATEGORY))
+
+    return _searched(roster, style, rule, PER_CATEGORY + 3, search, f"{_LINE_UP}, place int")
 
-def choose_disjoint(line_ups: pd.DataFrame) -> list[int]:
-    """Rows of the line-ups to swim: as many categories as possible, then the least total, no athlete twice; of equals the
+
+def choose_disjoint(line_ups: list[tuple]) -> list[int]:
+    """Which of the line-ups (category, place, ids, total_ms) to swim: as many categories as possible, then the least total, no athlete twice; of equals the
     one that leaves out earlier categories, then the one with better places in them.
 
     A search over the categories, the one with fewest line-ups left first. Line-ups that share an athlete with those
     taken fall out at once, and what is left bounds the number and the time that a branch can still reach.
     """
     order = [key for key, *_ in domain.RELAY_CATEGORIES]
-    bit = {a: 1 << n for n, a in enumerate(dict.fromkeys(a for ids in line_ups["ids"] for a in ids))}
+    bit = {a: 1 << n for n, a in enumerate(dict.fromkeys(a for _, _, ids, _ in line_ups for a in ids))}
     rows: list[list[tuple[int, int, int, int]]] = [[] for _ in order]
-    for i, key, place, ids, total in zip(line_ups.index, line_ups["category"], line_ups["place"], line_ups["ids"], line_ups["total_ms"]):
+    for i, (key, place, ids, total) in enumerate(line_ups):
         rows[order.index(key)].append((int(total), int(place), sum(bit[a] for a in ids), i))
     best: tuple = (1, 0, (), ())
 
@@ -105,11 +142,21 @@ def proposals(line_ups: DataFrame) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.reset_index(drop=True)
-        return part.loc[choose_disjoint(part), ["club_id", "category", "ids", "total_ms", "age_sum"]]
+        return part.loc[choose_disjoint(list(zip(part["category"], part["place"], part["ids"], part["total_ms"]))), ["club_id", "category", "ids", "total_ms", "age_sum"]]
 
     return line_ups.groupBy("club_id").applyInPandas(run, "club_id bigint, category string, ids array<bigint>, total_ms bigint, age_sum int")
 
 
+def proposed(roster: DataFrame, style: str, rule: str) -> DataFrame:
+    """proposals of the candidates, which are as many as PER_CATEGORY x categories a club, in the task that found them."""
+
+    def search(*club) -> list[tuple]:
+        found = _placed(lineups.line_ups(*club, rule, None, PER_CATEGORY))
+        return [found[i][:-1] for i in choose_disjoint([(key, place, ids, total) for key, _, total, ids, place in found])]
+
+    return _searched(roster, style, rule, PER_CATEGORY + 3, search, _LINE_UP).select("club_id", "category", "ids", "total_ms", "age_sum")
+
+
 def validation(legs: Column, rule: str) -> Column:
     """Errors of a line-up given as an array of (athlete_id, gender, age, time_ms)."""
     n = lambda g: F.size(F.filter(legs, lambda x: x["gender"] == g))
@@ -160,7 +207,7 @@ def relay_categories(s: Star) -> DataFrame:
 @query()
 def relay_lineups(s: Star) -> DataFrame:
     """Medley mixed line-ups chosen for each club. A search has no SQL; tests hold it against all choices of small rosters."""
-    return proposals(candidates(star_roster(s), "medley", "mixed")).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+    return proposed(star_roster(s), "medley", "mixed").withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 
 @query()

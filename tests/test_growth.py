@@ -2,12 +2,15 @@
 
 import itertools
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from lanewise import catalog
 from lanewise.functions import times
 from lanewise.operators import core
-from lanewise.plans import cascade, curation, decisions, gates, identity, loading
+from lanewise.plans import cascade, curation, decisions, gates, identity, lineups, loading
 
 
 def joined_rows(df) -> int:
@@ -132,3 +135,19 @@ def test_plain_clocks_are_read_as_others_are(spark):
     assert sorted((r.k, r.shown, r.ms) for r in got) == [(k, shown, ms) for k, (_, shown, ms) in enumerate(clocks)]
     plan = df.select(times.time_ms(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "substring_index" in plan
+
+
+def test_clubs_are_searched_in_one_task_each(spark):
+    rng = np.random.default_rng(4)
+    for size in (5, 13, 30):
+        k, times_ = np.arange(size) * 3, rng.integers(30, 60, (4, size)) * 1000
+        club = (k, k % 2 == 0, 20 + k % 11 * 3, np.where(rng.random((4, size)) < 0.2, lineups._NEVER, times_))
+        for rule in ("mixed", "women"):
+            both = []
+            for dense in (0, lineups.DENSE):
+                with pytest.MonkeyPatch.context() as m:
+                    m.setattr(lineups, "DENSE", dense)
+                    both.append(lineups.line_ups(*club, rule, None, 7))
+            assert both[0] == both[1] and (both[0] or size == 5)
+    plan = catalog.QUERIES["relay_lineups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "FlatMapGroupsInPandas" not in plan
