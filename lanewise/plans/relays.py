@@ -260,14 +260,18 @@ def cross_errors(line_ups: DataFrame, unavailable: DataFrame) -> DataFrame:
 def greedy(roster: DataFrame, style: str, rule: str, order: list[str], fixed: DataFrame | None = None) -> DataFrame:
     """The line-ups of each club category by category, in the given order: the best of those athletes that no fixed and no
     earlier relay has. Not the choice with most relays (proposals is), but the one that a person steps through."""
+    # an earlier relay takes four athletes, so of those of one gender and age and their times four a relay are enough
+    def search(ids, female, age, times) -> list[tuple]:
+        out = []
+        for category in order:
+            best = lineups.line_ups(ids, female, age, times, rule, [category], 1)
+            left = ~np.isin(ids, [i for *_, line_up in best for i in line_up])
+            ids, female, age, times = ids[left], female[left], age[left], times[:, left]
+            out += best
+        return out
+
     left = roster if fixed is None else unassigned(roster, fixed)
-    out = None
-    for category in order:
-        best = candidates(left, style, rule, [category]).where("place = 1").select("club_id", "category", "ids", "total_ms", "age_sum")
-        best = best.checkpoint() if core.df_has_checkpoint(best) else best
-        out = best if out is None else out.unionByName(best)
-        left = unassigned(left, best)
-    return out
+    return _searched(left, style, rule, 4 * len(order), search, _LINE_UP).select("club_id", "category", "ids", "total_ms", "age_sum")
 
 
 def responses(roster: DataFrame, line_ups: DataFrame) -> DataFrame:

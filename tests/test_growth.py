@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lanewise import catalog
 from lanewise.functions import times
 from lanewise.operators import core
-from lanewise.plans import cascade, curation, decisions, gates, identity, lineups, loading
+from lanewise.plans import cascade, curation, decisions, gates, identity, lineups, loading, relays
 
 
 def joined_rows(df) -> int:
@@ -151,3 +151,11 @@ def test_clubs_are_searched_in_one_task_each(spark):
             assert both[0] == both[1] and (both[0] or size == 5)
     plan = catalog.QUERIES["relay_lineups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "FlatMapGroupsInPandas" not in plan
+
+
+def test_greedy_relays_read_the_roster_once(spark):
+    roster = spark.range(40).selectExpr("id % 2 AS club_id", "id AS athlete_id", "'male' AS athlete_gender", "int(30 + id % 5 * 8) AS age", "map('freestyle', 30000 + id * 7919 % 5000) AS times")
+    found = relays.greedy(roster, "freestyle", "men", ["160-199", "120-159"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and "Join" not in plan
+    assert len(found.collect()) == 4
