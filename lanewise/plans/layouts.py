@@ -49,13 +49,14 @@ def query(sql: str | None = None, star: bool = True):
 
 def visual_rows(boxes: DataFrame) -> DataFrame:
     """boxes with `line`, from 0 on each page. Which top starts a line depends on the line before, so a page's different tops are
-    folded in order; boxes then look up the last start at or above them."""
+    folded in order and each gets its line; boxes then look up their top's."""
     last = lambda s: F.try_element_at(s, F.lit(-1))
     rows = boxes.withColumn("top", F.col("top").cast("double"))
     pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_set("top")).alias("_tops"))
     fold = F.aggregate("_tops", F.array().cast("array<double>"), lambda s, t: F.when((F.size(s) == 0) | (t - last(s) > ROW_GAP), F.concat(s, F.array(t))).otherwise(s))
-    placed = rows.join(pages.select(*PAGE, fold.alias("_starts")), PAGE)
-    return placed.withColumn("line", F.size(F.filter("_starts", lambda s: s <= F.col("top"))) - 1).drop("_starts")
+    lines = times.let(fold, lambda starts: F.transform("_tops", lambda t: F.size(F.filter(starts, lambda s: s <= t)) - 1))
+    placed = rows.join(pages.select(*PAGE, "_tops", lines.alias("_lines")), PAGE)
+    return placed.withColumn("line", F.coalesce(F.try_element_at("_lines", F.array_position("_tops", F.col("top")).cast("int")), F.lit(-1))).drop("_tops", "_lines")
 
 
 def in_order(words: Column) -> Column:
@@ -177,9 +178,10 @@ def coordinate_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_reports(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines in reading order, rows by coordinates): each document goes to the reader that its layout asks for."""
-    rows = core.settled(visual_rows(boxes))
+def read_reports(boxes: DataFrame, about: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(lines in reading order, rows by coordinates): each document goes to the reader that its layout asks for. about: how many
+    boxes there are, more or less; they are dealt out by document once, and what follows stays in these tasks."""
+    rows = core.settled(visual_rows(core.dealt(boxes, about, "document")))
     plain = rows.groupBy(*PAGE, "line").agg(in_order(F.collect_list(F.struct("x0", "text"))).alias("raw_line"))
     kinds = layouts(plain).select("document", (F.col("layout") == "coordinates").alias("_set"))
     told = core.settled(rows.join(kinds, "document", "left"))
@@ -207,11 +209,12 @@ def _at(x, *texts) -> Column:
 
 
 #: Documents of the printed pages: a customer's orders, 40 lines a page.
+BOXES = 20  # printed for an order, about
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders"
 
 
 def _orders(s: Star) -> DataFrame:
-    return s.raw("orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    return core.dealt(s.raw("orders"), s.raw("orders").count() * BOXES, "o_custkey").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
 
 
 @query(f"""WITH o AS ({_RANKED}), r AS (SELECT *, o_custkey % 3 = 0 AS relay, n * 3 AS line FROM o),
@@ -251,7 +254,7 @@ def coordinate_results(s: Star) -> DataFrame:
     for more in lines[1:]:
         all_ = all_.unionByName(more)
     moved = all_.select(*PAGE, "top", F.transform("words", lambda w: F.struct((w["x0"] + F.col("shift")).alias("x0"), w["text"].alias("text"))).alias("words"))
-    _, found = read_reports(printed(moved))
+    _, found = read_reports(printed(moved), s.raw("orders").count() * BOXES)
     own = text.number_in(F.col("name"), r"^\w+ (\d+)", "long")
     return found.select("document", own.alias("number"), "kind", F.col("event.number").alias("event_number"), "rank", "name", "club", "time_ms", "status", "points", "leg")
 
@@ -284,6 +287,6 @@ def ordered_columns(s: Star) -> DataFrame:
     all_ = lines[0]
     for more in lines[1:]:
         all_ = all_.unionByName(more)
-    found, _ = read_reports(printed(all_))
+    found, _ = read_reports(printed(all_), s.raw("orders").count() * BOXES)
     several = F.max("column").over(Window.partitionBy("document")) > 0
     return found.select("document", "line_number", F.when(several, 1).otherwise(0).alias("in_columns"), "raw_line")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lanewise import catalog
 from lanewise.functions import times
 from lanewise.operators import core
-from lanewise.plans import cascade, curation, decisions, gates, identity, lineups, loading, relays
+from lanewise.plans import cascade, curation, decisions, gates, identity, layouts, lineups, loading, relays
 
 
 def joined_rows(df) -> int:
@@ -159,3 +159,12 @@ def test_greedy_relays_read_the_roster_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Range (") == 1 and "Join" not in plan
     assert len(found.collect()) == 4
+
+
+def test_tasks_grow_in_number_with_the_boxes(spark, monkeypatch):
+    monkeypatch.setattr(core, "ROWS_A_TASK", 100)
+    held = []
+    monkeypatch.setattr(core, "settled", lambda df: held.append(df) or df.cache())
+    boxes = spark.range(950).selectExpr("id % 50 AS document", "int(1) AS page_number", "double(id % 7 * 12) AS top", "double(id) AS x0", "double(id + 4) AS x1", "'w' AS text")
+    layouts.read_reports(boxes, 950)
+    assert held[0].rdd.getNumPartitions() == 10 and held[0].count() == 950
