@@ -65,16 +65,35 @@ def parse_result_line(line: Column) -> Column:
     )
 
 
+#: A relay's parts as one text: those of known letters, then the team, which may hold any. The mark is none of what parts a line's words.
+RELAY_PARTS, MARK = "$1\x01$3\x01$4\x01$2", "\x01"
+#: Swimmers with what stands before each, and what stands behind the last; their parts as one text, whose mark no part holds.
+SWIMMERS, SWIMMER_PARTS = rf"(?s:.*?){SWIMMER}|(?s:.+)", "$1)$3)$4)$2)"
+
+
 def parse_relay_line(line: Column) -> Column:
-    part = lambda g: F.regexp_extract(line, RELAY_LINE, g)
-    return F.when(line.rlike(RELAY_LINE), F.struct(text.number_in(part(1), r"(\d+)").alias("rank"), part(2).alias("team"), part(3).alias("seed_text"), times.normal_time(part(4)).alias("time_text"), times.time_ms(part(4)).alias("time_ms")))
+    """(rank, team, seed_text, time_text, time_ms) of a relay team's line, null where it is none; the line is matched once."""
+
+    def shown(p: Column) -> Column:
+        rank, final = F.get(p, F.lit(0)), F.get(p, F.lit(2))
+        return F.struct(text.number_in(rank, r"(\d+)").alias("rank"), F.get(p, F.lit(3)).alias("team"), F.get(p, F.lit(1)).alias("seed_text"), times.normal_time(final).alias("time_text"), times.time_ms(final).alias("time_ms"))
+
+    # behind $ the pattern takes the end of the line, too, which would stay behind the parts
+    parts = F.regexp_replace(line, F.lit(RELAY_LINE + r"[\n\r\x{85}\x{2028}\x{2029}]*"), F.lit(RELAY_PARTS))
+    return F.when(line.rlike(r"^[*\d-]"), times.let(parts, lambda t: F.when(t != line, times.let(F.split(t, MARK, 4), shown))))
 
 
 def parse_swimmers(line: Column) -> Column:
-    """Array of (leg, name, gender, age) of a line of relay members."""
-    whole = F.regexp_extract_all(line, F.lit(SWIMMER), 0)
-    part = lambda s, g: F.regexp_extract(s, SWIMMER, g)
-    return F.transform(whole, lambda s: F.struct(part(s, 1).cast("int").alias("leg"), F.trim(part(s, 2)).alias("name"), domain.athlete_gender(F.nullif(part(s, 3), F.lit(""))).alias("gender"), part(s, 4).try_cast("int").alias("age")))
+    """Array of (leg, name, gender, age) of a line of relay members; the line is matched once."""
+
+    def swimmer(p: Column, k: Column) -> Column:
+        at = lambda n: F.get(p, k + n)
+        return F.struct(at(0).cast("int").alias("leg"), F.trim(at(3)).alias("name"), domain.athlete_gender(F.nullif(at(1), F.lit(""))).alias("gender"), at(2).try_cast("int").alias("age"))
+
+    # what stands behind the last swimmer leaves marks only, and a swimmer's name is never empty
+    parts = F.split(F.rtrim(F.regexp_replace(line, F.lit(SWIMMERS), F.lit(SWIMMER_PARTS)), F.lit(")")), r"\)")
+    firsts = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(0), F.size(p) - 1, F.lit(4))).otherwise(F.array().cast("array<int>"))
+    return times.let(parts, lambda p: F.when(p.isNotNull(), F.transform(firsts(p), lambda k: swimmer(p, k))))
 
 
 def parsed_documents(rows: DataFrame, key: list[str], order: list[str], line: str = "raw_line") -> DataFrame:

@@ -142,20 +142,18 @@ def relay_teams(lines: DataFrame, document: str = "document") -> DataFrame:
     """(document, team_line, team, rank, seed_text, time_text, time_ms, members) of lines (document, line_number, raw_line).
 
     A team's swimmers are those of the lines below it, up to the next team or header and at most TEAM_LINES, read as one
-    text: a name that breaks over two lines is one name.
+    text: a name that breaks over two lines is one name. Lines of no team leave before those of a team are put together.
     """
-    raw = F.trim("raw_line")
-    head = event_context(raw).isNotNull()
+    raw = F.col("_raw")
     marked = raw.rlike(r"^\d\)\s")
-    team = F.when(~head & ~marked, parse_relay_line(raw))
-    upto = Window.partitionBy(document).orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("_team", team).withColumn("_starts", head | F.col("_team").isNotNull())
-    rows = rows.withColumn("_own", F.last(F.when(F.col("_starts"), F.struct("line_number", "_team")), ignorenulls=True).over(upto)).where("_own._team IS NOT NULL")
-    near = (F.col("line_number") > F.col("_own.line_number")) & (F.col("line_number") <= F.col("_own.line_number") + TEAM_LINES)
-    below = F.array_sort(F.collect_list(F.when(near, F.struct("line_number", raw.alias("raw")))))
-    held = rows.groupBy(document, F.col("_own.line_number").alias("team_line")).agg(F.first("_own._team").alias("t"), below.alias("below"))
-    whole = F.array_join(F.transform("below", lambda b: b["raw"]), " ")
-    return held.select(document, "team_line", "t.team", "t.rank", "t.seed_text", "t.time_text", "t.time_ms", parse_swimmers(whole).alias("members"))
+    # each step that several columns read is a column of its own, as each of its uses would work it out once more
+    read = lines.select(document, "line_number", F.trim("raw_line").alias("_raw")).withColumn("_head", event_context(raw).isNotNull())
+    read = read.withColumn("_team", F.when(~F.col("_head") & ~marked, parse_relay_line(raw)))
+    own = F.when(F.col("_head") | F.col("_team").isNotNull(), F.struct("line_number", F.col("_team").isNotNull().alias("team")))
+    rows = core.carry_forward(read, [document], ["line_number"], own, "_own").where("_own.team AND line_number <= _own.line_number + " + str(TEAM_LINES))
+    below = F.sort_array(F.collect_list(F.when(F.col("line_number") > F.col("_own.line_number"), F.struct("line_number", "_raw"))))
+    held = rows.groupBy(document, F.col("_own.line_number").alias("team_line")).agg(F.first("_team", ignorenulls=True).alias("t"), below.alias("below"))
+    return held.select(document, "team_line", "t.team", "t.rank", "t.seed_text", "t.time_text", "t.time_ms", parse_swimmers(F.array_join(F.col("below._raw"), " ")).alias("members"))
 
 
 def once(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -291,16 +289,21 @@ def normal_result_rows(s: Star) -> DataFrame:
 FROM orders JOIN (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL) ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey""", star=False)
 def relay_swimmers_over_lines(s: Star) -> DataFrame:
     """Relay teams printed one an order, a swimmer to a line and every name broken in two; read back whole."""
-    o = s.raw("orders").select("o_orderkey", "o_custkey")
-    legs = s.raw("lineitem").where("l_linenumber <= 4").groupBy(F.col("l_orderkey").alias("document"), F.col("l_linenumber").cast("long").alias("leg")).agg(F.min("l_suppkey").cast("string").alias("name"))
-    time = times.format_ms((F.col("o_custkey") % 60 + 60) * 1000)
-    team = o.select(F.col("o_orderkey").alias("document"), F.lit(1).cast("long").alias("line_number"), F.concat(F.lit("1 Club Uno A NT "), time).alias("raw_line"))
-    upper = legs.select("document", (2 * F.col("leg")).alias("line_number"), F.concat(F.col("leg").cast("string"), F.lit(") Nom")).alias("raw_line"))
-    lower = legs.select("document", (2 * F.col("leg") + 1).alias("line_number"), F.concat(F.translate("name", "0123456789", "abcdefghij"), F.lit(" W35")).alias("raw_line"))
-    found = relay_teams(team.unionByName(upper).unionByName(lower))
+    orders, items = s.raw("orders"), s.raw("lineitem").where("l_linenumber <= 4")
+    # the team is printed first, without a leg; dealt out by document before anything is printed, the texts need no other shuffle
+    o = orders.select(F.col("o_orderkey").alias("document"), F.lit(None).cast("long").alias("leg"), F.col("o_custkey").alias("n"))
+    both = o.unionByName(items.select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").cast("long").alias("leg"), F.col("l_suppkey").alias("n")))
+    dealt = core.dealt(both, orders.count() + 2 * items.count(), "document").groupBy("document", "leg").agg(F.min("n").alias("n"))
+    leg, name = F.col("leg"), F.translate(F.col("n").cast("string"), "0123456789", "abcdefghij")
+    line = lambda number, *raw: F.struct(number.alias("line_number"), F.concat(*raw).alias("raw_line"))
+    team = line(F.lit(1).cast("long"), F.lit("1 Club Uno A NT "), times.format_ms((F.col("n") % 60 + 60) * 1000))
+    broken = F.array(line(2 * leg, leg.cast("string"), F.lit(") Nom")), line(2 * leg + 1, name, F.lit(" W35")))
+    found = relay_teams(dealt.select("document", F.inline(F.when(leg.isNull(), F.array(team)).otherwise(broken))))
+    # exploded, as a filter would read the swimmers twice
+    read = found.select("document", "time_ms", F.explode(F.filter(F.array("members"), lambda m: F.size(m) > 0)).alias("members"))
     digits = lambda n: F.translate(F.regexp_replace(n, "^Nom ", ""), "abcdefghij", "0123456789")
-    joined = F.array_join(F.transform(F.array_sort("members"), lambda m: F.concat(F.lit("Name"), digits(m["name"]), F.lit(" Of Line"))), "|")
-    return found.where(F.size("members") > 0).select("document", F.size("members").cast("long").alias("n_members"), F.array_max(F.transform("members", lambda m: m["leg"])).alias("last_leg"), "time_ms", joined.alias("names"))
+    joined = F.array_join(F.transform(F.sort_array("members"), lambda m: F.concat(F.lit("Name"), digits(m["name"]), F.lit(" Of Line"))), "|")
+    return read.select("document", F.size("members").cast("long").alias("n_members"), F.array_max(F.col("members.leg")).alias("last_leg"), "time_ms", joined.alias("names"))
 
 
 @query("""SELECT o_orderkey AS document, 'Meet ' || o_orderkey AS name, o_orderdate::DATE AS start_date, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE + 2 ELSE o_orderdate::DATE END AS end_date, year(o_orderdate)::INTEGER AS year FROM orders WHERE o_orderkey % 5 <> 0

@@ -53,6 +53,26 @@ def test_relay_names_over_lines(spark):
     assert found == {"Uno A": (1, 121000, [(1, "Alfa, Ana", "female", 35), (2, "Beta, Leo", "male", 40)]), "Dos B": (2, 131500, [(1, "Gama, Eva", "female", 30)])}
 
 
+def test_relay_lines_of_odd_texts(spark):
+    from lanewise.plans.documents import parse_relay_line, parse_swimmers
+
+    lines = ["1 C\x01D A NT 2:01,00 7,5", "1\tNT\tNT\tX1:59,00\n", "--- Uno (a) 9'9 DQ", "*12 Uno 35,1 34,1\r\n", "1 Uno NT", "x 1 Uno NT 1:00,00", "", None]
+    got = spark.createDataFrame([(l,) for l in lines], "l string").select(parse_relay_line(F.col("l")).alias("r"), "l").collect()
+    assert [g.r and tuple(g.r) for g in got] == [(1, "C\x01D A", "NT", "2:01,00", 121000), (1, "NT", "NT", "X1:59,00", 119000), (None, "Uno (a)", "9'9", "DQ", None), (12, "Uno", "35,1", "34,10", 34100), None, None, None, None]
+    lines = ["x) 1) Ana $1 W35 2)Leo\\ 40  3) \x01 M7 ", "1) Ana W35 2) Leo) M40 3) Eva 1234 4) Luz 99 rest (5)", "9) (a M1)", "none)", "", None]
+    got = spark.createDataFrame([(l,) for l in lines], "l string").select(parse_swimmers(F.col("l")).alias("m")).collect()
+    assert [g.m if g.m is None else [tuple(m) for m in g.m] for g in got] == [[(2, "Leo\\", None, 40), (3, "\x01", "male", 7)], [(1, "Ana", "female", 35)], [], [], [], None]
+
+
+def test_relay_lines_are_dealt_out_once(spark):
+    """The rows are shuffled once, before they are printed, and swimmers are read at one place of the plan."""
+    from lanewise.plans.documents import SWIMMER
+
+    plan = reports.QUERIES["relay_swimmers_over_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert str(plan.executedPlan()).count("Exchange hashpartitioning") == 1
+    assert str(plan.optimizedPlan()).count(SWIMMER) == 1
+
+
 def test_pages_in_columns(spark):
     lines = [("d", 1, "Event 1 Women 35-39 Event 2 Men 35-39"), ("e", 1, "#1 Women 18-24 100 #2 Men 18-24"), ("f", 1, f"x {reports.WATERMARK}"), ("g", 1, "Event 1 Women 35-39"), ("h", 3, "Event 1 Women Event 2 Men"), ("h", 1, None)]
     assert rows(reports.layouts(spark.createDataFrame(lines, "document string, page_number int, raw_line string"))) == [("d", "two columns"), ("e", "columns"), ("f", "coordinates"), ("g", "plain"), ("h", "plain")]
