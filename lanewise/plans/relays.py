@@ -1,8 +1,8 @@
 """Relay line-ups: rosters, best times, the best groups of four, best order of each, and disjoint choices.
 
 Clubs are many. Windows cut each roster to those who can be in one of its best line-ups at all, a number that doesn't grow
-with the club; the search among these (`lineups`) and what is chosen from it, from at most `PER_CATEGORY` candidates a category
-or category by category, run in one function, one club a row, so that candidates never leave their task.
+with the club; the search among these (`lineups`) and what is chosen from it, out of all their groups or category by category, run
+in one function, one club a row, so that candidates never leave their task.
 """
 
 from __future__ import annotations
@@ -103,58 +103,37 @@ def candidates(roster: DataFrame, style: str, rule: str, categories: list[str] |
     return _searched(roster, style, rule, PER_CATEGORY + 3, search, f"{_LINE_UP}, place int")
 
 
-def choose_disjoint(line_ups: list[tuple]) -> list[int]:
-    """Which of the line-ups (category, place, ids, total_ms) to swim: as many categories as possible, then the least total, no athlete twice; of equals the
-    one that leaves out earlier categories, then the one with better places in them.
-
-    A search over the categories, the one with fewest line-ups left first. Line-ups that share an athlete with those
-    taken fall out at once, and what is left bounds the number and the time that a branch can still reach.
-    """
-    order = [key for key, *_ in domain.RELAY_CATEGORIES]
-    bit = {a: 1 << n for n, a in enumerate(dict.fromkeys(a for _, _, ids, _ in line_ups for a in ids))}
-    rows: list[list[tuple[int, int, int, int]]] = [[] for _ in order]
-    for i, (key, place, ids, total) in enumerate(line_ups):
-        rows[order.index(key)].append((int(total), int(place), sum(bit[a] for a in ids), i))
-    best: tuple = (1, 0, (), ())
-
-    def search(left: dict[int, list], n: int, total: int, taken: tuple) -> None:
-        nonlocal best
-        left = {c: r for c, r in left.items() if r}
-        bound = (-(n + len(left)), total + sum(r[0][0] for r in left.values()))
-        if bound > best[:2]:
-            return
-        if not left:
-            key = tuple(next((p for c, p, _ in taken if c == k), -1) for k in range(len(order)))
-            best = min(best, (-n, total, key, tuple(i for *_, i in sorted(taken))))
-            return
-        at = min(left, key=lambda c: len(left[c]))
-        rest = {c: r for c, r in left.items() if c != at}
-        for ms, place, mask, i in left[at]:
-            search({c: [x for x in r if not x[2] & mask] for c, r in rest.items()}, n + 1, total + ms, (*taken, (at, place, i)))
-        search(rest, n, total, taken)
-
-    search({c: sorted(r) for c, r in enumerate(rows)}, 0, 0, ())
-    return list(best[3])
+def choose_disjoint(line_ups: pd.DataFrame) -> list[int]:
+    """The labels of the line-ups (category, place, ids, total_ms) to swim: as many categories as possible, then the least total, no athlete twice; of equals the
+    one that leaves out earlier categories, then the one with better places in them."""
+    rows = line_ups.sort_values("place", kind="stable")
+    parts = [part for key, *_ in domain.RELAY_CATEGORIES if len(part := rows[rows["category"] == key])]
+    if not parts:
+        return []
+    athletes, members = np.unique(np.concatenate([np.stack(part["ids"]) for part in parts]), return_inverse=True)
+    groups = np.split(members.reshape(-1, 4), np.cumsum([len(part) for part in parts])[:-1])
+    lists = [(part["total_ms"].to_numpy(np.int64) * lineups.GRAIN, own) for part, own in zip(parts, groups)]
+    for count in range(min(len(lists), len(athletes) // 4), 0, -1):
+        if found := lineups.choose(lists, count, len(athletes), sum(int(t.max()) for t, _ in lists) + 1, lineups.GRAIN):
+            return [part.index[p] for part, p in zip(parts, found[1]) if p >= 0]
+    return []
 
 
 def proposals(line_ups: DataFrame) -> DataFrame:
-    """The chosen line-ups of each club."""
+    """The line-ups of each club to swim, chosen of those given."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.reset_index(drop=True)
-        return part.loc[choose_disjoint(list(zip(part["category"], part["place"], part["ids"], part["total_ms"]))), ["club_id", "category", "ids", "total_ms", "age_sum"]]
+        return part.loc[choose_disjoint(part), ["club_id", "category", "ids", "total_ms", "age_sum"]]
 
     return line_ups.groupBy("club_id").applyInPandas(run, "club_id bigint, category string, ids array<bigint>, total_ms bigint, age_sum int")
 
 
 def proposed(roster: DataFrame, style: str, rule: str) -> DataFrame:
-    """proposals of the candidates, which are as many as PER_CATEGORY x categories a club, in the task that found them."""
-
-    def search(*club) -> list[tuple]:
-        found = _placed(lineups.line_ups(*club, rule, None, PER_CATEGORY))
-        return [found[i][:-1] for i in choose_disjoint([(key, place, ids, total) for key, _, total, ids, place in found])]
-
-    return _searched(roster, style, rule, PER_CATEGORY + 3, search, _LINE_UP).select("club_id", "category", "ids", "total_ms", "age_sum")
+    """The line-ups of each club to swim, chosen out of all that its roster can form, in the task that forms them."""
+    # a line-up of every category takes 28 athletes, so whoever is behind 28 others of the same gender and age in each place is in none
+    most = 4 * len(domain.RELAY_CATEGORIES)
+    return _searched(roster, style, rule, most, lambda *club: lineups.disjoint(*club, rule), _LINE_UP).select("club_id", "category", "ids", "total_ms", "age_sum")
 
 
 def validation(legs: Column, rule: str) -> Column:
@@ -206,7 +185,7 @@ def relay_categories(s: Star) -> DataFrame:
 
 @query()
 def relay_lineups(s: Star) -> DataFrame:
-    """Medley mixed line-ups chosen for each club. A search has no SQL; tests hold it against all choices of small rosters."""
+    """Medley mixed line-ups chosen for each club, out of all groups. A search has no SQL; tests hold it against all choices of small rosters."""
     return proposed(star_roster(s), "medley", "mixed").withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 

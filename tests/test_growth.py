@@ -3,14 +3,16 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
 
 from lanewise import catalog
-from lanewise.functions import times
+from lanewise.functions import domain, times
 from lanewise.operators import core
 from lanewise.plans import cascade, curation, decisions, gates, identity, layouts, lineups, loading, relays
+from lanewise.plans.star import Star
 
 
 def joined_rows(df) -> int:
@@ -168,3 +170,58 @@ def test_tasks_grow_in_number_with_the_boxes(spark, monkeypatch):
     boxes = spark.range(950).selectExpr("id % 50 AS document", "int(1) AS page_number", "double(id % 7 * 12) AS top", "double(id) AS x0", "double(id + 4) AS x1", "'w' AS text")
     layouts.read_reports(boxes, 950)
     assert held[0].rdd.getNumPartitions() == 10 and held[0].count() == 950
+
+
+def chosen_plainly(club, rule):
+    """(-line-ups, total) of the best choice out of all groups, by every set of athletes that a choice can have."""
+    by: dict = {}
+    for key, _, total, line in lineups.line_ups(*club, rule, None, 10**9):
+        by.setdefault(key, []).append((total, sum(1 << i for i in line)))
+    held = {0: (0, 0)}
+    for groups in by.values():
+        for used, (n, spent) in list(held.items()):
+            for total, mask in groups:
+                if not used & mask:
+                    held[used | mask] = min(held.get(used | mask, (0, 0)), (n - 1, spent + total))
+    return min(held.values())
+
+
+def test_line_ups_are_chosen_out_of_all_groups(spark):
+    behind = 0
+    for club, rows in pd.DataFrame(relays.star_roster(Star(spark, "/root/testdata/sf0.001")).dropna(subset=["age"]).collect(), columns=["club_id", "athlete_id", "gender", "age", "times"]).groupby("club_id"):
+        ids = np.arange(len(rows))
+        times_ = np.array([[t.get(s, lineups._NEVER) for t in rows["times"]] for s in domain.RELAY_STROKES["medley"]])
+        own = (ids, (rows["gender"] == "female").to_numpy(), rows["age"].to_numpy(np.int64), times_)
+        found = lineups.disjoint(*own, "mixed")
+        value = -len(found), sum(total for _, _, total, _ in found)
+        if len(ids) < 14:
+            assert value == chosen_plainly(own, "mixed")
+        # the choice out of the best 40 of each category, the cut that there was
+        few = [row for _, part in itertools.groupby(lineups.line_ups(*own, "mixed", None, 40), key=lambda r: r[0]) for row in zip(itertools.count(1), part)]
+        cut = pd.DataFrame([(key, place, ids_, total) for place, (key, _, total, ids_) in few], columns=["category", "place", "ids", "total_ms"])
+        chosen = cut.loc[relays.choose_disjoint(cut)]
+        assert value <= (-len(chosen), chosen["total_ms"].sum())
+        behind += value < (-len(chosen), chosen["total_ms"].sum())
+        shown = {(r.category, r.total_ms) for r in catalog.QUERIES["relay_lineups"](spark, "/root/testdata/sf0.001").where(F.col("club_id") == int(club)).collect()} if behind == 1 else None
+        assert shown is None or shown == {(key, total) for key, _, total, _ in found}
+    assert behind
+
+
+def test_what_is_not_looked_up_is_in_no_better_choice(monkeypatch):
+    rng = np.random.default_rng(6)
+    for size, ages in ((12, (18, 60)), (18, (18, 45))):
+        ids, times_ = rng.permutation(size), rng.integers(30_000, 60_000, (4, size))
+        club = (ids, ids % 2 == 0, rng.integers(*ages, size), np.where(rng.random((4, size)) < 0.1, lineups._NEVER, times_))
+        for rule in ("mixed", "women", "men"):
+            with monkeypatch.context() as m:
+                whole = lineups.disjoint(*club, rule)
+                m.setattr(lineups, "WHOLE", 0)
+                m.setattr(lineups, "FIRST", 5)
+                m.setattr(lineups, "CHOICES", 2000)
+                assert lineups.disjoint(*club, rule) == whole
+    # four categories have groups, more than are looked up, but all of two of them need the same athlete
+    monkeypatch.setattr(lineups, "WHOLE", 0)
+    monkeypatch.setattr(lineups, "FIRST", 5)
+    k, ages = np.arange(32), np.array([20] * 30 + [45, 80])
+    found = lineups.disjoint(k, k % 2 == 0, ages, rng.integers(30_000, 60_000, (4, 32)), "mixed")
+    assert len(found) == 3 and len({i for *_, line in found for i in line}) == 12
