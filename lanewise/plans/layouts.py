@@ -2,19 +2,20 @@
 
 Two readers. Pages in columns: gutters are found by a sweep over a document's horizontal coverage and the text is put into
 reading order, whatever the number of columns. Pages set by coordinates: the bands of a table's columns are learned from the
-words of its head, for each page anew, and words meet their band by an interval join. Both are windows and joins; a page, or
-the few hundred places of a document's sweep, is the largest group that is ever ordered.
+words of its head, for each page anew, and words are put into the band that holds them. The first is windows and joins, the second
+windows and groupings by document, so that boxes dealt out by document are never shuffled or stored; a page, or the few hundred
+places of a document's sweep, is the largest group that is ever held or ordered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from lanewise.functions import domain, text, times
 from lanewise.operators import core
-from lanewise.plans.reports import WATERMARK, event_context, layouts
+from lanewise.plans.reports import WATERMARK, event_context, layout_of, layout_signs, layouts
 from lanewise.plans.star import STAR_SQL, Star
 
 QUERIES: dict = {}
@@ -49,14 +50,16 @@ def query(sql: str | None = None, star: bool = True):
 
 def visual_rows(boxes: DataFrame) -> DataFrame:
     """boxes with `line`, from 0 on each page. Which top starts a line depends on the line before, so a page's different tops are
-    folded in order and each gets its line; boxes then look up their top's."""
+    folded in order and each gets its line; boxes look up their top's while a page is one row, so no join is needed."""
     last = lambda s: F.try_element_at(s, F.lit(-1))
-    rows = boxes.withColumn("top", F.col("top").cast("double"))
-    pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_set("top")).alias("_tops"))
+    rows = boxes.withColumn("top", F.col("top").cast("double")).where(core.all_of(*[F.col(k).isNotNull() for k in PAGE]))
+    own = [c for c in rows.columns if c not in PAGE]
+    pages = rows.groupBy(*PAGE).agg(F.collect_list(F.struct(*own)).alias("_boxes"), F.array_sort(F.collect_set("top")).alias("_tops"))
     fold = F.aggregate("_tops", F.array().cast("array<double>"), lambda s, t: F.when((F.size(s) == 0) | (t - last(s) > ROW_GAP), F.concat(s, F.array(t))).otherwise(s))
     lines = times.let(fold, lambda starts: F.transform("_tops", lambda t: F.size(F.filter(starts, lambda s: s <= t)) - 1))
-    placed = rows.join(pages.select(*PAGE, "_tops", lines.alias("_lines")), PAGE)
-    return placed.withColumn("line", F.coalesce(F.try_element_at("_lines", F.array_position("_tops", F.col("top")).cast("int")), F.lit(-1))).drop("_tops", "_lines")
+    line = lambda b: F.coalesce(F.try_element_at("_lines", F.array_position("_tops", b["top"]).cast("int")), F.lit(-1))
+    placed = F.transform("_boxes", lambda b: F.struct(*[b[c].alias(c) for c in own], line(b).alias("line")))
+    return pages.withColumn("_lines", lines).select(*PAGE, F.inline(placed)).select(*rows.columns, "line")
 
 
 def in_order(words: Column) -> Column:
@@ -117,36 +120,55 @@ def ordered_lines(rows: DataFrame) -> DataFrame:
     return lines.withColumn("zone", zone).select("document", F.row_number().over(order).alias("line_number"), "page_number", "column", "raw_line")
 
 
-def head_bands(rows: DataFrame) -> DataFrame:
-    """(document, page_number, name, left, right): the columns of each page by the heads in the first line that has those of
-    athlete, club and time; a page without such a line has the bands of the page before, a document without any the fixed ones."""
-    word = F.lower(text.strip_accents(F.col("text")))
-    name = F.coalesce(*[F.when(word.isin(*words), k) for k, words in HEADS.items()])
-    heads = rows.withColumn("name", name).where("name IS NOT NULL").groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct(F.col("x0").alias("left"), "name"))).alias("heads"))
-    whole = heads.where(F.forall(F.array(*map(F.lit, ("athlete", "club", "time"))), lambda k: F.exists("heads", lambda h: h["name"] == k)))
-    first = core.first_by(whole, PAGE, F.asc("line")).select(*PAGE, "heads")
-    pages = rows.select(*PAGE).distinct().join(first, PAGE, "left")
-    carried = core.carry_forward(pages, ["document"], ["page_number"], F.col("heads"), "carried")
+def along() -> WindowSpec:
+    """A document's lines in order; all windows over them share it, so that they are sorted once."""
+    return Window.partitionBy("document").orderBy("page_number", "line")
+
+
+#: A window's frame that is all of it.
+ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def worded(rows: DataFrame) -> DataFrame:
+    """(document, page_number, line, words: array of (x0, text), raw_line) of rows with `line`."""
+    lines = rows.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("words"))
+    return lines.withColumn("raw_line", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+
+
+def head_bands(lines: DataFrame) -> DataFrame:
+    """Worded lines with a column for each name of HEADS, the (left, right) of its bands: the columns of each page by the heads in the first line that has
+    those of athlete, club and time; a page without such a line has the bands of the page before, a document without any the fixed ones."""
+    word = lambda w: F.lower(text.strip_accents(w["text"]))
+    name = lambda w: times.let(word(w), lambda t: F.coalesce(*[F.when(t.isin(*words), k) for k, words in HEADS.items()]))
+    heads = F.array_sort(F.filter(F.transform("words", lambda w: F.struct(w["x0"].alias("left"), name(w).alias("name"))), lambda h: h["name"].isNotNull()))
+    whole = F.forall(F.array(*map(F.lit, ("athlete", "club", "time"))), lambda k: F.exists("_heads", lambda h: h["name"] == k))
+    own = lines.withColumn("_heads", heads).withColumn("_heads", F.when(whole, F.struct("line", "_heads")))
+    first = F.min("_heads").over(Window.partitionBy(*PAGE).orderBy("line").rowsBetween(*ALL))
     fixed = F.array(*[F.struct(F.lit(left + SLACK).alias("left"), F.lit(k).alias("name")) for k, (left, _) in BANDS.items()])
-    each = carried.withColumn("heads", F.coalesce("carried", fixed)).select(*PAGE, "heads", F.posexplode("heads").alias("at", "h"))
-    right = F.coalesce(F.try_element_at("heads", F.col("at") + 2)["left"], F.col("h.left") + LAST_WIDTH + SLACK) - SLACK
-    return each.select(*PAGE, "h.name", (F.col("h.left") - SLACK).alias("left"), right.alias("right"))
+    held = own.withColumn("_heads", first["_heads"])
+    held = held.withColumn("_heads", F.coalesce(F.last("_heads", ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0)), fixed))
+
+    def band(h: Column, at: Column) -> Column:
+        right = F.coalesce(F.try_element_at("_heads", at + 2)["left"], h["left"] + LAST_WIDTH + SLACK) - SLACK
+        return F.struct(h["name"].alias("name"), (h["left"] - SLACK).alias("left"), right.alias("right"))
+
+    banded = held.withColumn("_heads", F.transform("_heads", band))
+    own_bands = lambda k: F.filter("_heads", lambda b: b["name"] == k)
+    return banded.withColumns({k: own_bands(k) for k in HEADS}).drop("_heads")
 
 
-def coordinate_rows(rows: DataFrame) -> DataFrame:
-    """Result, team and swimmer rows of documents set by coordinates, given as rows with `line`: document, page_number, line, kind, event (of the header
+def coordinate_rows(lines: DataFrame) -> DataFrame:
+    """Result, team and swimmer rows of documents set by coordinates, given as worded lines: document, page_number, line, kind, event (of the header
     above), rank, name (athlete, team or swimmer), club, time_text, time_ms, status, points, leg.
 
     A result or team begins with a rank mark (a result with a number behind it), a swimmer of a relay with a number; swimmers
     beyond the fourth of a team are none. A time that is stuck to the club is taken off it.
     """
     line = [*PAGE, "line"]
-    banded = core.interval_join(rows, head_bands(rows), PAGE, "x0", "left", "right", CELL)
-    cells = banded.groupBy(*line).agg(*[in_order(F.collect_list(F.when(F.col("name") == k, F.struct("x0", "text")))).alias(k) for k in HEADS])
-    words = rows.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("words"))
+    inside = lambda k: F.filter("words", lambda w: F.exists(k, lambda b: (w["x0"] >= b["left"]) & (w["x0"] < b["right"])))
+    cell = lambda k: F.array_join(F.transform(inside(k), lambda w: w["text"]), " ")
     word = lambda k: F.coalesce(F.try_element_at("words", F.lit(k))["text"], F.lit(""))
-    raw = F.array_join(F.transform("words", lambda w: w["text"]), " ")
-    whole = words.join(cells, line, "left").select(*line, raw.alias("raw"), F.replace(word(1), F.lit("Â"), F.lit("")).alias("mark"), word(2).alias("number"), *HEADS)
+    whole = head_bands(lines).select(*line, F.col("raw_line").alias("raw"), F.replace(word(1), F.lit("Â"), F.lit("")).alias("mark"), word(2).alias("number"), *[cell(k).alias(k) for k in HEADS])
     whole = core.carry_forward(whole.withColumn("_event", event_context(F.col("raw"))), ["document"], ["page_number", "line"], F.col("_event"), "event")
     relay, marked = F.coalesce(F.col("event.stroke").endswith("_relay"), F.lit(False)), F.col("mark").rlike(RANK_MARK)
     named = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
@@ -158,8 +180,7 @@ def coordinate_rows(rows: DataFrame) -> DataFrame:
         .when(relay & digits("mark"), "swimmer")
     )
     kinds = whole.withColumn("kind", kind)
-    upto = Window.partitionBy("document").orderBy("page_number", "line")
-    team = F.sum(F.when(F.col("kind") == "team", 1).when(F.col("_event").isNotNull(), 1).otherwise(0)).over(upto)
+    team = F.sum(F.when(F.col("kind") == "team", 1).when(F.col("_event").isNotNull(), 1).otherwise(0)).over(along())
     placed = kinds.withColumn("_team", team).where("kind IS NOT NULL")
     own = Window.partitionBy("document", "_team").orderBy("page_number", "line")
     legged = placed.withColumn("leg", F.when(F.col("kind") == "swimmer", F.row_number().over(own) - 1)).where("leg IS NULL OR leg BETWEEN 1 AND 4")
@@ -182,10 +203,17 @@ def read_reports(boxes: DataFrame, about: int = 0) -> tuple[DataFrame, DataFrame
     """(lines in reading order, rows by coordinates): each document goes to the reader that its layout asks for. about: how many
     boxes there are, more or less; they are dealt out by document once, and what follows stays in these tasks."""
     rows = core.settled(visual_rows(core.dealt(boxes, about, "document")))
-    plain = rows.groupBy(*PAGE, "line").agg(in_order(F.collect_list(F.struct("x0", "text"))).alias("raw_line"))
-    kinds = layouts(plain).select("document", (F.col("layout") == "coordinates").alias("_set"))
+    kinds = layouts(worded(rows)).select("document", (F.col("layout") == "coordinates").alias("_set"))
     told = core.settled(rows.join(kinds, "document", "left"))
-    return ordered_lines(told.where("NOT coalesce(_set, false)").drop("_set")), coordinate_rows(told.where("_set").drop("_set"))
+    return ordered_lines(told.where("NOT coalesce(_set, false)").drop("_set")), coordinate_rows(worded(told.where("_set")))
+
+
+def read_coordinates(boxes: DataFrame) -> DataFrame:
+    """The rows by coordinates of read_reports alone, for boxes that are dealt out by document: all steps are windows and groupings within a
+    document, so boxes stay in their task and none is stored, whatever their number."""
+    lines = worded(visual_rows(boxes))
+    layout = layout_of({k: sign.over(along().rowsBetween(*ALL)) for k, sign in layout_signs(F.col("page_number") <= 2).items()})
+    return coordinate_rows(lines.withColumn("_layout", layout).where("_layout = 'coordinates'").drop("_layout"))
 
 
 # --- registered forms: pages printed from the star tables and read again
@@ -214,7 +242,8 @@ _RANKED = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderk
 
 
 def _orders(s: Star) -> DataFrame:
-    return core.dealt(s.raw("orders"), s.raw("orders").count() * BOXES, "o_custkey").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    orders = s.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return core.dealt(orders, s.raw("orders").count() * BOXES, "o_custkey").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
 
 
 @query(f"""WITH o AS ({_RANKED}), r AS (SELECT *, o_custkey % 3 = 0 AS relay, n * 3 AS line FROM o),
@@ -235,26 +264,21 @@ def coordinate_results(s: Star) -> DataFrame:
     row = F.when(glued, F.concat(front, _at(317, "Clube", F.concat(club, time)), _at(451, (F.col("n") % 9).cast("string")))).otherwise(
         F.concat(front, _at(317, "Clube", club), _at(413, time), _at(451, (F.col("n") % 9).cast("string")))
     )
-    # each order has room for its row and five swimmers, the fifth of whom is none; a page has 40 orders
+    # each order has room for its row and five swimmers, the fifth of whom is none; a page has 40 orders. Its first order prints a page's
+    # watermark, a document's first its header and heads, so orders stay where they were dealt to
+    line = lambda top, words: F.struct(F.lit(top).cast("double").alias("top"), F.transform(words, lambda w: F.struct((w["x0"] + F.col("shift")).alias("x0"), w["text"].alias("text"))).alias("words"))
     top = lambda k: 100 + (F.col("n") % 40) * 60 + 10 * k
-    page = (F.expr("n div 40") + 1).alias("page_number")
-    lines = [o.select(F.col("o_custkey").alias("document"), page, shift.alias("shift"), top(0).alias("top"), row.alias("words"))]
-    swimmer = F.concat(_at(62, F.col("k").cast("string")), _at(121, F.when(F.col("k") == 5, F.lit("Rodape")).otherwise("Atletas"), id_, F.col("k").cast("string")))
-    five = o.where(relay).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    lines.append(five.select(F.col("o_custkey").alias("document"), page, shift.alias("shift"), top(F.col("k")).alias("top"), swimmer.alias("words")))
-    pages = o.select(F.col("o_custkey").alias("document"), page, shift.alias("shift"), relay.alias("relay")).distinct()
-    header = F.when(F.col("relay"), _at(40, "Event", F.col("document").cast("string"), "Women", "200", "SC", "Meter", "Freestyle", "Relay", "160", "a", "199")).otherwise(
-        _at(40, "Event", F.col("document").cast("string"), "Women", "35-39", "100", "LC", "Meter", "Free")
-    )
-    lines.append(pages.where("page_number = 1").select(*PAGE, "shift", F.lit(20).alias("top"), header.alias("words")))
+    swimmer = lambda k: F.concat(_at(62, k.cast("string")), _at(121, F.when(k == 5, F.lit("Rodape")).otherwise("Atletas"), id_, k.cast("string")))
+    document = F.col("o_custkey").cast("string")
+    header = F.when(relay, _at(40, "Event", document, "Women", "200", "SC", "Meter", "Freestyle", "Relay", "160", "a", "199")).otherwise(_at(40, "Event", document, "Women", "35-39", "100", "LC", "Meter", "Free"))
     heads = F.concat(_at(60, "Col"), _at(120, "Atleta"), _at(316, "Clube"), _at(412, "Tempo"), _at(450, "Pontos"))
-    lines.append(pages.where("page_number = 1").select(*PAGE, "shift", F.lit(40).alias("top"), heads.alias("words")))
-    lines.append(pages.select(*PAGE, "shift", F.lit(5000).alias("top"), _at(500, *WATERMARK.split()).alias("words")))
-    all_ = lines[0]
-    for more in lines[1:]:
-        all_ = all_.unionByName(more)
-    moved = all_.select(*PAGE, "top", F.transform("words", lambda w: F.struct((w["x0"] + F.col("shift")).alias("x0"), w["text"].alias("text"))).alias("words"))
-    _, found = read_reports(printed(moved), s.raw("orders").count() * BOXES)
+    some = lambda when, *lines: F.when(when, F.array(*lines)).otherwise(F.array().cast("array<struct<top:double,words:array<struct<x0:double,text:string>>>>"))
+    five = F.transform(F.sequence(F.lit(1), F.when(relay, 5).otherwise(1)), lambda k: line(top(k), swimmer(k)))
+    lines = F.concat(
+        F.array(line(top(0), row)), F.when(relay, five).otherwise(some(F.lit(False), line(0, heads))), some(F.col("n") == 0, line(20, header), line(40, heads)), some(F.col("n") % 40 == 0, line(5000, _at(500, *WATERMARK.split())))
+    )
+    all_ = o.withColumn("shift", shift).select(F.col("o_custkey").alias("document"), (F.expr("n div 40") + 1).alias("page_number"), F.inline(lines))
+    found = read_coordinates(printed(all_))
     own = text.number_in(F.col("name"), r"^\w+ (\d+)", "long")
     return found.select("document", own.alias("number"), "kind", F.col("event.number").alias("event_number"), "rank", "name", "club", "time_ms", "status", "points", "leg")
 

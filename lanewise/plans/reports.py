@@ -189,14 +189,28 @@ WATERMARK = "Sistemas de Natação Swim It Up"
 TWO_COLUMNS = ((0, 300), (300, 620))
 
 
+def layout_signs(early: Column) -> dict[str, Column]:
+    """The aggregates over a document's lines (raw_line) that tell its layout, of the lines that are early in it."""
+    seen = lambda sign: F.when(early, sign)
+    heads = lambda opener: F.max(seen(F.regexp_count("raw_line", F.lit(rf"{opener}\d+\s+(?:Women|Men|Mixed)"))))
+    return {
+        "marked": F.bool_or(seen(F.contains("raw_line", F.lit(WATERMARK)))),
+        "two": heads(r"\bEvent\s+"),
+        "many": heads("#"),
+        "aged": F.bool_or(seen(F.col("raw_line").rlike(r"#\d+\s+(?:Women|Men|Mixed)\s+\d"))),
+    }
+
+
+def layout_of(signs: dict[str, Column]) -> Column:
+    return F.when(signs["marked"], "coordinates").when(signs["two"] > 1, "two columns").when((signs["many"] > 1) & signs["aged"], "columns").otherwise("plain")
+
+
 def layouts(lines: DataFrame, document: str = "document") -> DataFrame:
     """(document, layout) of lines (document, page_number, raw_line), by the first two pages: by the watermark, or by lines
     that hold more than one event header, which stand in two columns or, numbered by a hash, in several."""
-    heads = lambda opener: F.max(F.regexp_count("raw_line", F.lit(rf"{opener}\d+\s+(?:Women|Men|Mixed)")))
-    seen = lines.where("page_number <= 2").groupBy(document).agg(
-        F.bool_or(F.contains("raw_line", F.lit(WATERMARK))).alias("marked"), heads(r"\bEvent\s+").alias("two"), heads("#").alias("many"), F.bool_or(F.col("raw_line").rlike(r"#\d+\s+(?:Women|Men|Mixed)\s+\d")).alias("aged")
-    )
-    return seen.select(document, F.when(F.col("marked"), "coordinates").when(F.col("two") > 1, "two columns").when((F.col("many") > 1) & F.col("aged"), "columns").otherwise("plain").alias("layout"))
+    signs = layout_signs(F.lit(True))
+    seen = lines.where("page_number <= 2").groupBy(document).agg(*[sign.alias(k) for k, sign in signs.items()])
+    return seen.select(document, layout_of({k: F.col(k) for k in signs}).alias("layout"))
 
 
 def reading_order(rows: DataFrame, columns: int = 2) -> DataFrame:

@@ -225,3 +225,24 @@ def test_what_is_not_looked_up_is_in_no_better_choice(monkeypatch):
     k, ages = np.arange(32), np.array([20] * 30 + [45, 80])
     found = lineups.disjoint(k, k % 2 == 0, ages, rng.integers(30_000, 60_000, (4, 32)), "mixed")
     assert len(found) == 3 and len({i for *_, line in found for i in line}) == 12
+
+
+def test_boxes_of_coordinates_are_neither_shuffled_nor_stored(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(core, "settled", lambda df: stored.append(df) or df.cache())
+    found = catalog.QUERIES["coordinate_results"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the orders are dealt out by document, which is all that is shuffled
+    assert not stored and "Join" not in plan and "Union" not in plan and plan.count("Exchange hashpartitioning(o_custkey") == plan.count("Exchange") == 1
+
+
+def test_rows_by_coordinates_are_the_same_alone(spark):
+    s = "/root/testdata/sf0.001"
+    boxes = spark.read.parquet(f"{s}/orders.parquet").where("o_custkey < 40").selectExpr("o_custkey AS document", "int(o_orderkey % 3) AS page_number", "double(o_orderkey % 5 * 10) AS top", "o_orderkey AS k")
+    words = "Event 4 Women 100 LC Meter Free|20 Atleta Clube Tempo|1º 3 Ana Sol32,47 9|Sistemas de Natação Swim It Up|2º 4 Eva Mar 1:02,33".split("|")
+    lines = boxes.withColumn("w", F.explode(F.split(F.element_at(F.array(*map(F.lit, words)), (F.col("k") % 5 + 1).cast("int")), " "))).withColumn("x0", 60.0 + F.pmod(F.xxhash64("w", "k"), F.lit(400)))
+    boxes = lines.select("document", "page_number", "top", "x0", (F.col("x0") + 4).alias("x1"), F.col("w").alias("text"))
+    boxes = boxes.union(boxes.limit(3).withColumn("page_number", F.lit(None).cast("int"))).union(boxes.limit(3).withColumn("top", F.lit(None).cast("double")))
+    _, both = layouts.read_reports(boxes)
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(both) == shown(layouts.read_coordinates(boxes))
