@@ -51,20 +51,19 @@ def query(sql: str | None = None, star: bool = True):
 def visual_rows(boxes: DataFrame) -> DataFrame:
     """boxes with `line`, from 0 on each page. Which top starts a line depends on the line before, so a page's different tops are
     folded in order and each gets its line; boxes look up their top's while a page is one row, so no join is needed."""
-    last = lambda s: F.try_element_at(s, F.lit(-1))
     rows = boxes.withColumn("top", F.col("top").cast("double")).where(core.all_of(*[F.col(k).isNotNull() for k in PAGE]))
     own = [c for c in rows.columns if c not in PAGE]
     pages = rows.groupBy(*PAGE).agg(F.collect_list(F.struct(*own)).alias("_boxes"), F.array_sort(F.collect_set("top")).alias("_tops"))
-    fold = F.aggregate("_tops", F.array().cast("array<double>"), lambda s, t: F.when((F.size(s) == 0) | (t - last(s) > ROW_GAP), F.concat(s, F.array(t))).otherwise(s))
-    lines = times.let(fold, lambda starts: F.transform("_tops", lambda t: F.size(F.filter(starts, lambda s: s <= t)) - 1))
-    line = lambda b: F.coalesce(F.try_element_at("_lines", F.array_position("_tops", b["top"]).cast("int")), F.lit(-1))
-    placed = F.transform("_boxes", lambda b: F.struct(*[b[c].alias(c) for c in own], line(b).alias("line")))
-    return pages.withColumn("_lines", lines).select(*PAGE, F.inline(placed)).select(*rows.columns, "line")
+    state = lambda top, n, lines: F.struct(top.alias("top"), n.alias("n"), F.concat(lines, F.array(n)).alias("lines"))
+    none = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("lines"))
+    fold = F.aggregate("_tops", none, lambda s, t: F.when(s["top"].isNull() | (t - s["top"] > ROW_GAP), state(t, s["n"] + 1, s["lines"])).otherwise(state(s["top"], s["n"], s["lines"])), lambda s: s["lines"])
+    placed = pages.withColumn("_lines", fold).select(*PAGE, "_tops", "_lines", F.inline("_boxes"))
+    return placed.withColumn("line", F.coalesce(F.try_element_at("_lines", F.array_position("_tops", F.col("top")).cast("int")), F.lit(-1))).select(*rows.columns, "line")
 
 
 def in_order(words: Column) -> Column:
     """The texts of words (x0, text) from left to right."""
-    return F.array_join(F.transform(F.array_sort(words), lambda w: w["text"]), " ")
+    return F.array_join(F.sort_array(words)["text"], " ")
 
 
 def phrases(rows: DataFrame) -> DataFrame:
@@ -131,8 +130,8 @@ ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 def worded(rows: DataFrame) -> DataFrame:
     """(document, page_number, line, words: array of (x0, text), raw_line) of rows with `line`."""
-    lines = rows.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("words"))
-    return lines.withColumn("raw_line", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+    lines = rows.groupBy(*PAGE, "line").agg(F.sort_array(F.collect_list(F.struct("x0", "text"))).alias("words"))
+    return lines.withColumn("raw_line", F.array_join(F.col("words.text"), " "))
 
 
 def head_bands(lines: DataFrame) -> DataFrame:
@@ -141,20 +140,21 @@ def head_bands(lines: DataFrame) -> DataFrame:
     word = lambda w: F.lower(text.strip_accents(w["text"]))
     name = lambda w: times.let(word(w), lambda t: F.coalesce(*[F.when(t.isin(*words), k) for k, words in HEADS.items()]))
     heads = F.array_sort(F.filter(F.transform("words", lambda w: F.struct(w["x0"].alias("left"), name(w).alias("name"))), lambda h: h["name"].isNotNull()))
+    # few lines hold the head of the time, so the words of the others aren't looked at
+    some = F.lower(text.strip_accents(F.col("raw_line"))).rlike("|".join(HEADS["time"]))
     whole = F.forall(F.array(*map(F.lit, ("athlete", "club", "time"))), lambda k: F.exists("_heads", lambda h: h["name"] == k))
-    own = lines.withColumn("_heads", heads).withColumn("_heads", F.when(whole, F.struct("line", "_heads")))
-    first = F.min("_heads").over(Window.partitionBy(*PAGE).orderBy("line").rowsBetween(*ALL))
-    fixed = F.array(*[F.struct(F.lit(left + SLACK).alias("left"), F.lit(k).alias("name")) for k, (left, _) in BANDS.items()])
-    held = own.withColumn("_heads", first["_heads"])
-    held = held.withColumn("_heads", F.coalesce(F.last("_heads", ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0)), fixed))
 
     def band(h: Column, at: Column) -> Column:
         right = F.coalesce(F.try_element_at("_heads", at + 2)["left"], h["left"] + LAST_WIDTH + SLACK) - SLACK
         return F.struct(h["name"].alias("name"), (h["left"] - SLACK).alias("left"), right.alias("right"))
 
-    banded = held.withColumn("_heads", F.transform("_heads", band))
-    own_bands = lambda k: F.filter("_heads", lambda b: b["name"] == k)
-    return banded.withColumns({k: own_bands(k) for k in HEADS}).drop("_heads")
+    own_bands = lambda k: F.filter(F.transform("_heads", band), lambda b: b["name"] == k).alias(k)
+    own = lines.withColumn("_heads", F.when(some, heads)).withColumn("_heads", F.when(F.col("_heads").isNotNull() & whole, F.struct("line", *[own_bands(k) for k in HEADS])))
+    held = own.withColumn("_heads", F.min("_heads").over(Window.partitionBy(*PAGE).orderBy("line").rowsBetween(*ALL)))
+    held = held.withColumn("_heads", F.last("_heads", ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0)))
+    fixed = {k: F.array(F.struct(F.lit(k).alias("name"), F.lit(left).alias("left"), F.lit(right).alias("right"))) for k, (left, right) in BANDS.items()}
+    fixed["points"] = F.array(F.struct(F.lit("points").alias("name"), F.lit(BANDS["points"][0]).alias("left"), F.lit(BANDS["points"][0] + LAST_WIDTH + SLACK).alias("right")))
+    return held.withColumns({k: F.when(F.col("_heads").isNotNull(), F.col(f"_heads.{k}")).otherwise(fixed[k]) for k in HEADS}).drop("_heads")
 
 
 def coordinate_rows(lines: DataFrame) -> DataFrame:
@@ -165,12 +165,16 @@ def coordinate_rows(lines: DataFrame) -> DataFrame:
     beyond the fourth of a team are none. A time that is stuck to the club is taken off it.
     """
     line = [*PAGE, "line"]
-    inside = lambda k: F.filter("words", lambda w: F.exists(k, lambda b: (w["x0"] >= b["left"]) & (w["x0"] < b["right"])))
-    cell = lambda k: F.array_join(F.transform(inside(k), lambda w: w["text"]), " ")
+    inside = lambda b: lambda w: (w["x0"] >= b["left"]) & (w["x0"] < b["right"])
+    found = lambda k: F.when(F.size(k) == 1, F.filter("words", inside(F.col(k)[0]))).otherwise(F.filter("words", lambda w: F.exists(k, lambda b: inside(b)(w))))
+    cell = lambda k: F.array_join(found(k)["text"], " ")
     word = lambda k: F.coalesce(F.try_element_at("words", F.lit(k))["text"], F.lit(""))
-    whole = head_bands(lines).select(*line, F.col("raw_line").alias("raw"), F.replace(word(1), F.lit("Â"), F.lit("")).alias("mark"), word(2).alias("number"), *[cell(k).alias(k) for k in HEADS])
+    whole = head_bands(lines).select(*line, F.col("raw_line").alias("raw"), F.replace(word(1), F.lit("Â"), F.lit("")).alias("mark"), word(2).alias("number"), "words", *HEADS)
+    # only rows with a rank mark have more than the athlete's cell
+    whole = whole.withColumn("_marked", F.col("mark").rlike(RANK_MARK))
+    whole = whole.select(*line, "raw", "mark", "number", "_marked", *[(cell(k) if k == "athlete" else F.when(F.col("_marked"), cell(k))).alias(k) for k in HEADS])
     whole = core.carry_forward(whole.withColumn("_event", event_context(F.col("raw"))), ["document"], ["page_number", "line"], F.col("_event"), "event")
-    relay, marked = F.coalesce(F.col("event.stroke").endswith("_relay"), F.lit(False)), F.col("mark").rlike(RANK_MARK)
+    relay, marked = F.coalesce(F.col("event.stroke").endswith("_relay"), F.lit(False)), F.col("_marked")
     named = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     digits = lambda c: F.col(c).rlike(r"^\d+$")
     kind = (
@@ -219,11 +223,11 @@ def read_coordinates(boxes: DataFrame) -> DataFrame:
 # --- registered forms: pages printed from the star tables and read again
 
 
-def printed(lines: DataFrame) -> DataFrame:
-    """Boxes of lines (document, page_number, top, words: array of (x0, text)): a word's width follows its length."""
-    return lines.select(*PAGE, F.col("top").cast("double").alias("top"), F.explode("words").alias("w")).select(
-        *PAGE, "top", F.col("w.x0").cast("double").alias("x0"), (F.col("w.x0") + 4 * F.length("w.text")).cast("double").alias("x1"), F.col("w.text").alias("text")
-    )
+def printed(lines: DataFrame, shift: Column | None = None) -> DataFrame:
+    """Boxes of lines (document, page_number, top, words: array of (x0, text)), shifted to the right: a word's width follows its length."""
+    each = lines.select(*PAGE, F.col("top").cast("double").alias("top"), (F.lit(0.0) if shift is None else shift).alias("shift"), F.explode("words").alias("w"))
+    x0 = F.col("w.x0").cast("double") + F.col("shift")
+    return each.select(*PAGE, "top", x0.alias("x0"), (x0 + 4 * F.length("w.text")).cast("double").alias("x1"), F.col("w.text").alias("text"))
 
 
 def _at(x, *texts) -> Column:
@@ -266,19 +270,19 @@ def coordinate_results(s: Star) -> DataFrame:
     )
     # each order has room for its row and five swimmers, the fifth of whom is none; a page has 40 orders. Its first order prints a page's
     # watermark, a document's first its header and heads, so orders stay where they were dealt to
-    line = lambda top, words: F.struct(F.lit(top).cast("double").alias("top"), F.transform(words, lambda w: F.struct((w["x0"] + F.col("shift")).alias("x0"), w["text"].alias("text"))).alias("words"))
+    line = lambda top, words: F.struct(F.lit(top).cast("double").alias("top"), words.alias("words"))
     top = lambda k: 100 + (F.col("n") % 40) * 60 + 10 * k
     swimmer = lambda k: F.concat(_at(62, k.cast("string")), _at(121, F.when(k == 5, F.lit("Rodape")).otherwise("Atletas"), id_, k.cast("string")))
     document = F.col("o_custkey").cast("string")
     header = F.when(relay, _at(40, "Event", document, "Women", "200", "SC", "Meter", "Freestyle", "Relay", "160", "a", "199")).otherwise(_at(40, "Event", document, "Women", "35-39", "100", "LC", "Meter", "Free"))
     heads = F.concat(_at(60, "Col"), _at(120, "Atleta"), _at(316, "Clube"), _at(412, "Tempo"), _at(450, "Pontos"))
     some = lambda when, *lines: F.when(when, F.array(*lines)).otherwise(F.array().cast("array<struct<top:double,words:array<struct<x0:double,text:string>>>>"))
-    five = F.transform(F.sequence(F.lit(1), F.when(relay, 5).otherwise(1)), lambda k: line(top(k), swimmer(k)))
+    five = [line(top(k), swimmer(F.lit(k))) for k in range(1, 6)]
     lines = F.concat(
-        F.array(line(top(0), row)), F.when(relay, five).otherwise(some(F.lit(False), line(0, heads))), some(F.col("n") == 0, line(20, header), line(40, heads)), some(F.col("n") % 40 == 0, line(5000, _at(500, *WATERMARK.split())))
+        F.array(line(top(0), row)), some(relay, *five), some(F.col("n") == 0, line(20, header), line(40, heads)), some(F.col("n") % 40 == 0, line(5000, _at(500, *WATERMARK.split())))
     )
-    all_ = o.withColumn("shift", shift).select(F.col("o_custkey").alias("document"), (F.expr("n div 40") + 1).alias("page_number"), F.inline(lines))
-    found = read_coordinates(printed(all_))
+    all_ = o.withColumn("shift", shift).select(F.col("o_custkey").alias("document"), (F.expr("n div 40") + 1).alias("page_number"), "shift", F.inline(lines))
+    found = read_coordinates(printed(all_, F.col("shift")))
     own = text.number_in(F.col("name"), r"^\w+ (\d+)", "long")
     return found.select("document", own.alias("number"), "kind", F.col("event.number").alias("event_number"), "rank", "name", "club", "time_ms", "status", "points", "leg")
 

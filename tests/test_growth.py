@@ -237,12 +237,16 @@ def test_boxes_of_coordinates_are_neither_shuffled_nor_stored(spark, monkeypatch
 
 
 def test_rows_by_coordinates_are_the_same_alone(spark):
-    s = "/root/testdata/sf0.001"
-    boxes = spark.read.parquet(f"{s}/orders.parquet").where("o_custkey < 40").selectExpr("o_custkey AS document", "int(o_orderkey % 3) AS page_number", "double(o_orderkey % 5 * 10) AS top", "o_orderkey AS k")
-    words = "Event 4 Women 100 LC Meter Free|20 Atleta Clube Tempo|1º 3 Ana Sol32,47 9|Sistemas de Natação Swim It Up|2º 4 Eva Mar 1:02,33".split("|")
-    lines = boxes.withColumn("w", F.explode(F.split(F.element_at(F.array(*map(F.lit, words)), (F.col("k") % 5 + 1).cast("int")), " "))).withColumn("x0", 60.0 + F.pmod(F.xxhash64("w", "k"), F.lit(400)))
-    boxes = lines.select("document", "page_number", "top", "x0", (F.col("x0") + 4).alias("x1"), F.col("w").alias("text"))
-    boxes = boxes.union(boxes.limit(3).withColumn("page_number", F.lit(None).cast("int"))).union(boxes.limit(3).withColumn("top", F.lit(None).cast("double")))
-    _, both = layouts.read_reports(boxes)
-    shown = lambda df: sorted(map(str, df.collect()))
-    assert shown(both) == shown(layouts.read_coordinates(boxes))
+    texts = lambda words, x, step: [(x + step * k, w) for k, w in enumerate(words.split())]
+    event, head, mark = texts("Event 4 Women 35-39 100 LC Meter Free", 20, 30), [(120, "Atleta"), (316, "Clube"), (412, "Tempo"), (450, "Pontos")], texts(layouts.WATERMARK, 500, 30)
+    row = [(60, "1º"), (90, "3"), (121, "Ana"), (150, "Silva"), (317, "Clube"), (345, "Sol32,47"), (451, "9")]
+    pages = {1: {20: event, 30: head, 40: row, 50: [*row[:5], (413, "1:02,33")], 900: mark}, 2: {40: row}, 3: {30: [(x - 40, w) for x, w in head], 40: [(x - 40, w) for x, w in row]}}
+    # document 3 has no mark; some boxes have no page or no place
+    boxes = [(d, p, float(top), x + 7.0 * d, x + 7.0 * d + 4, w) for d in (1, 2, 3) for p, lines in pages.items() for top, words in lines.items() for x, w in words if d < 3 or top < 900]
+    boxes += [(1, None, 40.0, 60.0, 64.0, "2º"), (2, 1, None, 60.0, 64.0, "3º"), (None, 1, 20.0, 1.0, 2.0, "Event")]
+    df = spark.createDataFrame(boxes, "document long, page_number int, top double, x0 double, x1 double, text string")
+    _, both = layouts.read_reports(df)
+    shown = lambda rows: sorted(map(str, rows.collect()))
+    alone = layouts.read_coordinates(df)
+    assert shown(both) == shown(alone)
+    assert sorted((r.document, r.page_number, r.name, r.club, r.time_ms) for r in alone.collect()) == [x for d in (1, 2) for x in ((d, 1, "Ana Silva", "Clube", 62330), (d, 1, "Ana Silva", "Clube Sol", 32470), (d, 2, "Ana Silva", "Clube Sol", 32470), (d, 3, "Ana Silva", "Clube Sol", 32470))]
